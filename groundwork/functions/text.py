@@ -61,18 +61,19 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
-@lru_cache(maxsize=1)
-def _accent_map() -> tuple[str, str]:
-    """Every BMP letter whose NFD form is one base character plus marks U+0300-036F,
-    then the marks themselves (no counterpart, so ``translate`` deletes them)."""
+@lru_cache(maxsize=2)
+def _accent_map(max_marks: int = 9) -> tuple[str, str]:
+    """Every BMP letter whose NFD form is one base character plus up to ``max_marks``
+    marks U+0300-036F, then the marks themselves (``translate`` deletes those)."""
     marks = "".join(map(chr, range(0x300, 0x370)))
     source, target = [], []
     for code in range(0x80, 0xFFFF):
         if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF or 0x300 <= code < 0x370:
             continue
         char = chr(code)
-        base = "".join(c for c in unicodedata.normalize("NFD", char) if not 0x300 <= ord(c) < 0x370)
-        if len(base) == 1 and base != char:
+        parts = unicodedata.normalize("NFD", char)
+        base = "".join(c for c in parts if not 0x300 <= ord(c) < 0x370)
+        if len(base) == 1 and base != char and len(parts) - 1 <= max_marks:
             source.append(char)
             target.append(base)
     return "".join(source) + marks, "".join(target)
@@ -100,6 +101,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def index_words(text: Column) -> Column:
+    """Words as a full-text index sees them: letters with a single mark lose it."""
+    source, target = _accent_map(1)
+    return words(F.translate(F.lower(text), source, target))
+
+
 def shingles(text: Column, size: int = 3) -> Column:
     """Word n-grams; a text with fewer words yields the words themselves."""
 

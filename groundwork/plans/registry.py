@@ -2,5 +2,16 @@
 
 from __future__ import annotations
 
-from groundwork.plans import corpus_plans, text_plans  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from groundwork.operators import retrieval as V
+from groundwork.plans import corpus_plans, retrieval_plans, text_plans  # noqa: F401
 from groundwork.plans.base import ORACLES, QUERIES  # noqa: F401
+from groundwork.session import materialize
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalize, de-duplicate, index and answer every benchmark item in one batch."""
+    kept = corpus_plans.accepted(spark, sf_dir).select(F.col("ord").alias("doc_id"), "case_text", "target", "source", "task")
+    kept = materialize(kept, "accepted")
+    return V.project_hits(V.bm25_topk(kept, retrieval_plans.asked(spark, sf_dir)), kept)
