@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundwork.operators import retrieval as V
-from groundwork.plans import corpus_plans, evaluation_plans, governance_plans, retrieval_plans, text_plans, vector_plans  # noqa: F401
+from groundwork.plans import corpus_plans, evaluation_plans, governance_plans, retrieval_plans, rule_plans, source_plans, telemetry_plans, text_plans, vector_plans  # noqa: F401
 from groundwork.plans.base import ORACLES, QUERIES  # noqa: F401
 from groundwork.session import materialize
 
