@@ -56,24 +56,24 @@ def _sub_blocks(value: Column, skip: int) -> list[Column]:
     return low + [top[0] + top[1] * 16 + top[2] * 256]
 
 
-def _near_keys(value: Column) -> Column:
-    """16 keys of 28 bits. Values at distance <= 3 agree on one of four 16-bit blocks,
-    and then on one of four pieces of the other 48 bits, so they share a key."""
-    keys = []
-    for i, block in enumerate(_blocks(value)):
-        for j, piece in enumerate(_sub_blocks(value, i)):
-            keys.append(((F.lit(i * 4 + j).cast("bigint") * 65536 + block) * 4096 + piece).alias("k"))
-    return F.array(*keys)
+# Up to this many classes a 16-bit block and a length bin keep groups small; beyond
+# it the longer keys do. Both are exact for distances up to 3.
+FINE_KEYS_FROM = 20_000_000
 
 
-def _first_shared(a: Column, b: Column) -> Column:
+def _slots(value: Column, fine: bool) -> list[Column]:
+    """Coarse: four 16-bit blocks. Fine: 16 keys of 28 bits. Values at distance <= 3 agree
+    on one of four blocks, and then on one of four pieces of the other 48 bits."""
+    if not fine:
+        return _blocks(value)
+    return [block * 4096 + piece for i, block in enumerate(_blocks(value)) for piece in _sub_blocks(value, i)]
+
+
+def _first_shared(a: Column, b: Column, fine: bool) -> Column:
     """Index of the first key two values share: a pair is emitted at that key only."""
-    xor = a.bitwiseXOR(b)
     out = None
-    for i, block in enumerate(_blocks(xor)):
-        for j, piece in enumerate(_sub_blocks(xor, i)):
-            hit = (block == 0) & (piece == 0)
-            out = F.when(hit, i * 4 + j) if out is None else out.when(hit, i * 4 + j)
+    for i, key in enumerate(_slots(a.bitwiseXOR(b), fine)):
+        out = F.when(key == 0, i) if out is None else out.when(key == 0, i)
     return out
 
 
@@ -83,64 +83,57 @@ def similarity_classes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("simhash", "canon_len").agg(F.min("ord").alias("ord"))
 
 
-def _keyed(classes: DataFrame, probe: bool) -> DataFrame:
-    """Key rows: blocking key plus a logarithmic length bin. The probing side also
-    looks into the two neighbouring bins, which covers every ratio >= 0.9."""
+def _keyed(classes: DataFrame, fine: bool, probe: bool) -> DataFrame:
+    """Key rows (slot, key, bin). Bins are logarithmic in the length and wider than the
+    ratio limit, so similar lengths lie in the same or in neighbouring bins. The probing
+    side also stands in the next bin (up = 1), which meets every neighbour once."""
     lb = F.floor(F.log("canon_len") / F.lit(_LOG_STEP)).cast("int")
-    bins = F.array(lb - 1, lb, lb + 1) if probe else F.array(lb)
-    return classes.select("ord", "simhash", "canon_len", F.explode(_near_keys(F.col("simhash"))).alias("k"), bins.alias("_b")).select(
-        "ord", "simhash", "canon_len", "k", F.explode("_b").alias("lb")
-    )
+    rows = classes.select("ord", "simhash", "canon_len", lb.alias("_lb"), F.posexplode(F.array(*_slots(F.col("simhash"), fine))).alias("slot", "key"))
+    shifts = F.array(F.lit(0), F.lit(1)) if probe else F.array(F.lit(0))
+    return rows.withColumn("up", F.explode(shifts)).select("ord", "simhash", "canon_len", "slot", "key", "up", (F.col("_lb") + F.col("up")).alias("bin"))
 
 
-def near_pairs(classes: DataFrame, max_distance: int = 3, min_ratio: float = 0.90) -> DataFrame:
+def near_pairs(classes: DataFrame, max_distance: int = 3, min_ratio: float = 0.90, fine: bool | None = None) -> DataFrame:
     """Edges (src earlier than dst) between classes with Hamming distance <=
-    ``max_distance`` and length ratio >= ``min_ratio``."""
-    a = _keyed(classes, probe=False).alias("a")
-    b = _keyed(classes, probe=True).alias("b")
+    ``max_distance`` (at most 3) and length ratio >= ``min_ratio``."""
+    if fine is None:
+        fine = classes.count() > FINE_KEYS_FROM
+    a, b = _keyed(classes, fine, probe=False).alias("a"), _keyed(classes, fine, probe=True).alias("b")
+    same = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.bin") == F.col("b.bin"))
+    once = (F.col("b.up") == 1) | (F.col("a.ord") < F.col("b.ord"))
     ratio = F.least("a.canon_len", "b.canon_len") / F.greatest("a.canon_len", "b.canon_len")
     distance = H.hamming(F.col("a.simhash"), F.col("b.simhash"))
-    joined = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.lb") == F.col("b.lb")) & (F.col("a.ord") < F.col("b.ord")) & (ratio >= min_ratio))
-    shared = _first_shared(F.col("a.simhash"), F.col("b.simhash"))
-    slot = F.floor(F.col("a.k") / F.lit(65536 * 4096)).cast("int")
-    return joined.filter((distance <= max_distance) & (shared == slot)).select(
-        F.col("a.ord").alias("src"), F.col("b.ord").alias("dst"), distance.alias("distance")
-    )
+    shared = _first_shared(F.col("a.simhash"), F.col("b.simhash"), fine)
+    joined = a.join(b, same & once & (ratio >= min_ratio)).filter((distance <= max_distance) & (shared == F.col("a.slot")))
+    return joined.select(F.least("a.ord", "b.ord").alias("src"), F.greatest("a.ord", "b.ord").alias("dst"), distance.alias("distance"))
 
 
-def _leader_rounds(classes: DataFrame, group_limit: int, max_distance: int, min_ratio: float):
+def _leader_rounds(classes: DataFrame, group_limit: int, max_distance: int, min_ratio: float, fine: bool):
     """Thin out crowded key groups before any pair is formed. Every key group compares
     its rows with its earliest row only (a map-side minimum). A class that is the
     earliest of all its groups has no earlier candidate and is accepted; every class
     near it is rejected, and both leave the graph. Repeats while a group is larger
-    than ``group_limit``. Returns (remaining classes, accepted, rejected)."""
-    accepted = rejected = None
+    than ``group_limit``. Returns (remaining classes, rejected)."""
+    rejected = None
     while True:
-        probe = _keyed(classes, probe=True)
-        groups = probe.groupBy("k", "lb").agg(
-            F.count("*").alias("n"), F.min(F.struct("ord", "simhash", "canon_len")).alias("lead")
-        )
-        groups = materialize(groups.filter("n > 1"), "groups")
-        peak = groups.agg(F.max("n")).first()[0] or 0
-        if peak <= group_limit:
-            return classes, accepted, rejected
-        rows = probe.withColumn("_g", F.concat_ws(":", "k", "lb"))
-        leads = groups.select(F.concat_ws(":", "k", "lb").alias("_g"), "lead")
+        sizes = _keyed(classes, fine, probe=False).groupBy("slot", "key", "bin").agg(F.count("*").alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= group_limit:
+            return classes, rejected
+        group = F.concat_ws(":", "slot", "key", "bin").alias("_g")
+        rows = _keyed(classes, fine, probe=True).select("ord", "simhash", "canon_len", group)
+        leads = materialize(rows.groupBy("_g").agg(F.min(F.struct("ord", "simhash", "canon_len")).alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "groups")
         seen = salted_lookup(rows, leads, "_g", "ord")
         ratio = F.least("canon_len", "lead.canon_len") / F.greatest("canon_len", "lead.canon_len")
         close = (H.hamming(F.col("simhash"), F.col("lead.simhash")) <= max_distance) & (ratio >= min_ratio)
-        seen = materialize(seen.select("ord", F.col("lead.ord").alias("lead"), close.alias("close")), "leads")
-        followers = seen.filter("ord <> lead").select("ord").distinct()
-        won = materialize(classes.select("ord").join(followers, "ord", "left_anti"), "won")
-        lost = seen.filter("close and ord <> lead").join(won.select(F.col("ord").alias("lead")), "lead", "left_semi")
+        seen = materialize(seen.select("ord", F.col("lead.ord").alias("lead"), close.alias("close")).filter("ord <> lead"), "leads")
+        won = materialize(classes.select("ord").join(seen.select("ord").distinct(), "ord", "left_anti"), "won")
+        lost = seen.filter("close").join(won.select(F.col("ord").alias("lead")), "lead", "left_semi")
         lost = materialize(lost.select("ord").distinct(), "lost")
-        accepted = won if accepted is None else accepted.unionByName(won)
         rejected = lost if rejected is None else rejected.unionByName(lost)
-        gone = won.unionByName(lost)
-        classes = materialize(classes.join(gone, "ord", "left_anti"), "classes")
+        classes = materialize(classes.join(won.unionByName(lost), "ord", "left_anti"), "classes")
 
 
-def near_dup_greedy(nodes: DataFrame, group_limit: int = 1024, max_distance: int = 3, min_ratio: float = 0.90) -> DataFrame:
+def near_dup_greedy(nodes: DataFrame, group_limit: int = 1024, max_distance: int = 3, min_ratio: float = 0.90, fine: bool | None = None) -> DataFrame:
     """Verdict of a sequential scan: a record is near-duplicate iff an earlier accepted
     record is within the distance and length ratio. Input ``ord, canon_len, simhash``
     (distinct contents); output ``ord, near``.
@@ -150,8 +143,9 @@ def near_dup_greedy(nodes: DataFrame, group_limit: int = 1024, max_distance: int
     few joins on the remaining edges, cut from lineage by a written table."""
     nodes = materialize(nodes.select("ord", "canon_len", "simhash"), "nodes")
     classes = materialize(similarity_classes(nodes), "classes")
-    open_classes, accepted, rejected = _leader_rounds(classes, group_limit, max_distance, min_ratio)
-    edges = materialize(near_pairs(open_classes, max_distance, min_ratio).select("src", "dst"), "edges")
+    fine = classes.count() > FINE_KEYS_FROM if fine is None else fine
+    open_classes, rejected = _leader_rounds(classes, group_limit, max_distance, min_ratio, fine)
+    edges = materialize(near_pairs(open_classes, max_distance, min_ratio, fine).select("src", "dst"), "edges")
     lost = [] if rejected is None else [rejected.select("ord")]
     while not edges.isEmpty():
         blocked = edges.select(F.col("dst").alias("ord")).distinct()
