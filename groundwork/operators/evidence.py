@@ -82,13 +82,13 @@ def evidence_rank(
     found = terms.join(bounded_broadcast(pairs), "term").groupBy("doc", "token").agg(F.max("points").alias("points"))
     scores = found.join(bounded_broadcast(asked), "token").groupBy("query", "doc").agg(F.sum("points").alias("base"))
 
-    folded = X.fold_text(F.col(f"q.{text}"))
-    facts = scores.join(docs.withColumnRenamed(doc, "doc").alias("d"), "doc").join(
-        bounded_broadcast(queries.withColumnRenamed(query, "query").alias("q")), "query"
-    )
+    # Patterns are tested once per query, not once per (query, document) pair.
+    wants = queries.withColumnRenamed(query, "query").withColumn("_f", X.fold_text(F.col(text)))
+    wants = materialize(wants.withColumns({f"_b{i}": F.col("_f").rlike(p) for i, (p, _, _) in enumerate(bonuses)}), "queries")
+    facts = scores.join(docs.withColumnRenamed(doc, "doc").alias("d"), "doc").join(bounded_broadcast(wants).alias("q"), "query")
     bonus = F.lit(0)
-    for pattern, condition, value in bonuses:
-        bonus = bonus + F.when(folded.rlike(pattern) & F.expr(condition), value).otherwise(0)
+    for i, (_, condition, value) in enumerate(bonuses):
+        bonus = bonus + F.when(F.col(f"q._b{i}") & F.expr(condition), value).otherwise(0)
     for condition in blocks:
         facts = facts.filter(~F.coalesce(F.expr(condition), F.lit(False)))
     scored = facts.select("query", "doc", F.col(f"d.{source}").alias("source"), F.col(f"d.{page}").alias("page"), (F.col("base") + bonus).alias("score"))
