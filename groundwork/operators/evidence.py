@@ -121,8 +121,8 @@ def topic_rank_with_backfill(entries: DataFrame, queries: DataFrame, n: int = 12
     need = q.select("query").join(short, "query", "left").select("query", F.coalesce("have", F.lit(0)).alias("have")).filter(F.col("have") < floor_)
     # A query can already hold at most floor_ - 1 core entries, so twice floor_ core
     # entries are always enough to fill it up.
-    pool = entries.filter("core").select("entry_id").orderBy("entry_id").limit(2 * floor_)
-    offered = need.withColumn("_p", F.lit(1)).join(F.broadcast(pool.withColumn("_p", F.lit(1))), "_p").drop("_p")
+    pool = [r["entry_id"] for r in entries.filter("core").select("entry_id").orderBy("entry_id").limit(2 * floor_).collect()]
+    offered = need.withColumn("entry_id", F.explode(F.array(*[F.lit(i) for i in pool]).cast(f"array<{dict(entries.dtypes)['entry_id']}>")))
     fresh = offered.join(ranked.select("query", "entry_id"), ["query", "entry_id"], "left_anti")
     filled = top_k(fresh, ["query"], [F.asc("entry_id")], floor_, "_r").filter(F.col("_r") + F.col("have") <= floor_)
     return ranked.select("query", "entry_id", "rank", (F.col("score") / 100).alias("score")).unionByName(

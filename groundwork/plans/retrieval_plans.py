@@ -100,12 +100,12 @@ _BIGRAMS = "case when len(w) < 2 then [] else list_transform(range(1, len(w)), l
 @query(
     "x05_match_any_phrase",
     f"""with {CORPUS_SQL}, q as (select item_id as query, {iwords('text')} as w from benchmark),
-    units as (select distinct query, unnest(({_BIGRAMS})[1:40]) as phrase from q),
+    units as (select distinct query, unnest({_BIGRAMS}) as phrase from q),
     grams as (select distinct doc, unnest({_BIGRAMS}) as phrase from toks)
     select distinct query as query_id, doc as doc_id from grams join units using (phrase)""",
 )
 def x05(spark, sf):
-    pairs = items(spark, sf).select("query_id", F.slice(X.shingles(F.translate(F.col("text"), *X._accent_map(1)), 2), 1, 40).alias("terms"))
+    pairs = items(spark, sf).select("query_id", V._ngrams(X.index_words(F.col("text")), 2).alias("terms"))
     found = V.match_any_phrase(spread(corpus(spark, sf), "doc_id"), pairs)
     return found.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"))
 
@@ -246,29 +246,28 @@ def x13(spark, sf):
     return out.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-_ENTRIES_SQL = f"""entries as materialized (select doc_id as entry_id, source, coalesce(quality, 0) = 1 as core, doc_id % 97 as page, text,
-    [w[1] || ' ' || w[2], w[3], w[4]] as topics
-  from (select doc_id, source, text, string_split({A.squeeze('text')}, ' ') as w from documents) left join labels using (doc_id) where len(w) >= 4)"""
+_ENTRIES_SQL = f"""entries as materialized (select doc_id as entry_id, source, coalesce(quality, 0) = 1 as core, doc_id % 97 as page, text, list_distinct({_BIGRAMS}) as topics
+  from (select doc_id, source, text, string_split({A.squeeze('text')}, ' ') as w from documents) left join labels using (doc_id))"""
 
 
 def entries(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text", F.split(X.squeeze(F.col("text")), " ").alias("w")).filter("size(w) >= 4")
+    """Documents as evidence entries; their topics are all distinct word pairs."""
+    docs = raw_docs(spark, sf).select("doc_id", "source", "text", F.split(X.squeeze(F.col("text")), " ").alias("w"))
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    w = F.col("w")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("entry_id"), "source", (F.coalesce("quality", F.lit(0)) == 1).alias("core"), (F.col("doc_id") % 97).alias("page"), "text",
-        F.array(F.concat_ws(" ", w[0], w[1]), w[2], w[3]).alias("topics"),
+        F.array_distinct(V._ngrams(F.col("w"), 2)).alias("topics"),
     )
 
 
 @query(
     "x14_topic_rank_with_backfill",
     f"""with {_ENTRIES_SQL}, k as (select item_id as query, {A.squeeze('strip_accents(lower(text))')} as q from benchmark),
-    tp as (select entry_id, i, {A.squeeze('strip_accents(lower(topics[i]))')} as topic from (select entry_id, topics, unnest([1, 2, 3]) as i from entries)),
-    pts as (select query, entry_id, case when contains(q, topic) then 300 else
-        45 * len(list_filter(string_split(topic, ' '), lambda t: length(t) >= 4 and contains(q, t))) end as p from k, tp where topic <> ''),
-    tot as (select query, e.entry_id, sum(p) + (case when core then 20 else 0 end) + (case when contains(max(q), max(lower(source))) then 50 else 0 end) as s
-      from pts join k using (query) join entries e using (entry_id) group by query, e.entry_id, core),
+    tp as (select entry_id, {A.squeeze('strip_accents(lower(t))')} as topic from (select entry_id, unnest(topics) as t from entries)),
+    pts as (select query, entry_id, sum(case when contains(q, topic) then 300 else
+        45 * len(list_filter(string_split(topic, ' '), lambda t: length(t) >= 4 and contains(q, t))) end) as p from k, tp where topic <> '' group by query, entry_id),
+    tot as (select query, e.entry_id, p + (case when core then 20 else 0 end) + (case when contains(q, lower(source)) then 50 else 0 end) as s
+      from pts join k using (query) join entries e using (entry_id)),
     ranked as materialized (select * from (select query, entry_id, s, row_number() over (partition by query order by s desc, entry_id) as rank from tot where s > 20) where rank <= 12),
     have as (select k.query, count(r.entry_id) as have from k left join ranked r on r.query = k.query group by k.query),
     fresh as (select h.query, e.entry_id, have, row_number() over (partition by h.query order by e.entry_id) as r
@@ -328,7 +327,7 @@ def x16(spark, sf):
     f"""with {_ENTRIES_SQL}, k as (select item_id as query, lower(text) as q from benchmark),
     s as (select query, entry_id, source, page, len(list_filter(topics, lambda t: contains(q, lower(t)))) as score from k, entries),
     r as (select *, row_number() over (partition by query order by score desc, source, page, entry_id) as rank from s where score > 0),
-    w as (select item_id as query, {iwords('text')}[1:3] as wanted from benchmark),
+    w as (select item_id as query, list_distinct({iwords('text')}) as wanted from benchmark),
     h as (select entry_id, lower(array_to_string(topics, ' ') || ' ' || text) as hay from entries),
     b as (select query, entry_id, len(list_filter(wanted, lambda t: contains(hay, lower(t)))) as score from w, h),
     br as (select query, entry_id as rule_id, row_number() over (partition by query order by score desc, entry_id) as rn from b where score > 0)
@@ -337,7 +336,7 @@ def x16(spark, sf):
 def x17(spark, sf):
     rows = materialize(entries(spark, sf), "entries")
     found = E.topic_hits(rows, items(spark, sf))
-    wanted = items(spark, sf).select("query_id", F.slice(X.index_words(F.col("text")), 1, 3).alias("wanted"))
+    wanted = items(spark, sf).select("query_id", F.array_distinct(X.index_words(F.col("text"))).alias("wanted"))
     rule = E.best_rule(rows, wanted).select("query", F.col("entry_id").alias("rule_id"))
     return found.join(rule, "query", "left").select(F.col("query").alias("query_id"), "entry_id", "score", F.col("rank").cast("bigint").alias("rank"), "rule_id")
 

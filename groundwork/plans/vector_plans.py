@@ -85,8 +85,8 @@ def v03(spark, sf):
 
 @query(
     "v04_vector_topk",
-    f"""with {SIG_SQL}, s as (select q.vec_id as query_id, r.vec_id as ref_id, r.label || ':' || floor(r.r * 20) as key, floor({similarity_sql('q', 'r')} * 1000 + 0.5) / 1000 as similarity
-      from sig q cross join sig r),
+    f"""with {SIG_SQL}, {_FIRST_SQL}, s as (select q.vec_id as query_id, r.vec_id as ref_id, r.label || ':' || floor(r.r * 20) as key, floor({similarity_sql('q', 'r')} * 1000 + 0.5) / 1000 as similarity
+      from firsts q cross join sig r),
     d as (select *, row_number() over (partition by query_id, key order by similarity desc, ref_id) as dn from s),
     k as (select *, row_number() over (partition by query_id order by similarity desc, ref_id) as rank from d where dn = 1)
     select query_id, ref_id, similarity, rank from k where rank <= 3""",
@@ -94,7 +94,7 @@ def v03(spark, sf):
 def v04(spark, sf):
     sigs = signatures(spark, sf)
     refs = spread(sigs.withColumn("key", F.concat_ws(":", "label", F.floor(F.col("r") * 20).cast("string"))).withColumnRenamed("vec_id", "ref_id"), "ref_id")
-    out = V.vector_topk(sigs.withColumnRenamed("vec_id", "query_id"), refs)
+    out = V.vector_topk(firsts(sigs).withColumnRenamed("vec_id", "query_id"), refs)
     return out.select(F.col("query").alias("query_id"), F.col("ref").alias("ref_id"), "similarity", F.col("rank").cast("bigint").alias("rank"))
 
 
