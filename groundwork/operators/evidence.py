@@ -200,3 +200,66 @@ def cite(evidence: DataFrame, documents: DataFrame, source: str = "source") -> D
         F.when(F.col("pmid").isNotNull(), F.concat(F.lit("PMID "), F.col("pmid"))), F.lit("academic source"),
     )
     return joined.select(*evidence.columns, "title", locator.alias("cited"))
+
+
+# --- shipped evidence rules -------------------------------------------------
+
+# Query patterns (folded), document conditions and points.
+EVIDENCE_BONUSES = [
+    ("(tam ly|tam than|stress|lo au|tram cam|cam xuc|buon|hoang|mat ngu|tu hai|hanh vi|cang thang)", "d.source = 'PSY1'", 12),
+    ("(do am|kho|uot|nhuan|tron|gloss|bong be mat|nuoc bot|moisture|wet|dry)", "d.source = 'TCATLAS1'", 16),
+    ("(do am|kho|uot|nhuan|tron|gloss|bong be mat|nuoc bot|moisture|wet|dry)", "d.source in ('OA17', 'OA18')", 4),
+    ("(phan khu|dau luoi|ria luoi|hai ben luoi|giua luoi|goc luoi|tam phe|can dom|ty vi|than|bang quang|tongue region|topograph)", "d.source = 'OA19'", 6),
+    ("(hinh the|kich thuoc|map|beu|gay|mong|thon|dau rang|han rang|tooth|shape|morpholog)", "d.source like 'MR%'", 7),
+    ("(mat duoi|tinh mach|mach duoi luoi|sublingual|vein)", "d.source = 'AT1' and d.page = 22", 30),
+    ("(mat duoi|tinh mach|mach duoi luoi|sublingual|vein)", "d.source = 'TC1' and d.page in (47, 48)", 14),
+]
+# Observation flags as (flag, column, pattern on the folded value).
+PROFILE_FLAGS = [
+    ("top_purple", "top_color", "(tim|xanh tim|am tim)"), ("any_red", "top_color", "(do|do sam|do giang)"), ("any_pale", "top_color", "(nhot|nhat)"), ("top_pale", "top_color", "(nhot|nhat|trang nhot)"),
+    ("white_coat", "coating_color", "trang"), ("yellow_coat", "coating_color", "vang"), ("thick_coat", "coating_thickness", "day"), ("thin_coat", "coating_thickness", "(mong|rat mong)"),
+    ("toothmarks", "toothmarks_text", "(han rang|dau rang)"), ("fissure", "fissures", "nut"), ("dry", "moisture", "(kho|thien kho)"), ("moist", "moisture", "(nhuan|uot|am)"),
+    ("under_purple", "under_color", "(tim|xanh tim|am tim|toi)"), ("under_dilated", "under_dilation", "(gian|phinh|cang)"),
+]
+_ATLAS = "d.source in ('AT1', 'TCATLAS1')"
+_VENTRAL = "d.hay rlike '(mat duoi|tinh mach duoi luoi|mach duoi luoi)'"
+# Contradictions that exclude an atlas entry: (surface, entry pattern,
+# condition on the query's flags).
+_CONTRADICTIONS = [
+    (_VENTRAL, ".*", "not q.under_present or not q.under_visible"), (_VENTRAL, "tim|xanh tim|am tim", "not q.under_purple"),
+    (_VENTRAL, "gian|phinh", "not q.under_dilated and not q.vessel_visible"),
+    (f"not {_VENTRAL}", "xanh tim|am tim|mau tim|luoi tim", "not q.top_purple"), (f"not {_VENTRAL}", "dau rang|han rang", "not q.toothmarks"),
+    (f"not {_VENTRAL}", "reu vang", "q.white_coat and not q.yellow_coat"), (f"not {_VENTRAL}", "reu trang", "q.yellow_coat and not q.white_coat"),
+    (f"not {_VENTRAL}", "reu day", "q.thin_coat and not q.thick_coat"), (f"not {_VENTRAL}", "nhot|trang nhot", "q.top_red and not q.top_pale"),
+    (f"not {_VENTRAL}", "do sam|do giang|luoi do", "q.top_pale and not q.top_red"),
+]
+ATLAS_BLOCKS = [f"q.has_profile and {_ATLAS} and {side} and d.hay rlike '({pattern})' and ({condition})" for side, pattern, condition in _CONTRADICTIONS]
+# Points of agreeing observations on atlas entries.
+_AGREEMENTS = [
+    (_VENTRAL, ".*", "q.under_purple", 4), (_VENTRAL, ".*", "q.vessel_visible", 2), (f"not {_VENTRAL}", "tim|xanh tim|am tim", "q.top_purple", 4), (f"not {_VENTRAL}", "reu trang", "q.white_coat", 2),
+    (f"not {_VENTRAL}", "reu vang", "q.yellow_coat", 2), (f"not {_VENTRAL}", "dau rang|han rang", "q.toothmarks", 2), (f"not {_VENTRAL}", "nut", "q.fissure", 2), (f"not {_VENTRAL}", "kho", "q.dry", 1), (f"not {_VENTRAL}", "nhuan|uot|am", "q.moist", 1),
+]
+ATLAS_BONUSES = [("", f"q.has_profile and {_ATLAS} and {side} and d.hay rlike '({pattern})' and {condition}", points) for side, pattern, condition, points in _AGREEMENTS]
+
+
+def observation_profile(queries: DataFrame) -> DataFrame:
+    """Adds the profile flags of the observation columns to the queries. Further inputs:
+    has_profile, under_present, under_visible, vessel_visible (booleans)."""
+    value = lambda c: F.coalesce(F.col(c), F.lit("")) if c in queries.columns else F.lit("")
+    flags = {name: X.asserted(value(c), pattern) for name, c, pattern in PROFILE_FLAGS}
+    flags["top_red"] = flags["any_red"] & ~flags["any_pale"]
+    present = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in queries.columns else F.lit(default)
+    given = {"has_profile": present("has_profile", False), "under_present": present("under_present", False), "under_visible": present("under_visible", True), "vessel_visible": present("vessel_visible", False)}
+    return queries.withColumns({**flags, **given})
+
+
+def knowledge_rank(docs: DataFrame, queries: DataFrame, limit: int = 18, **columns) -> DataFrame:
+    """evidence_rank with the shipped bonuses, contradictions and the rule that context-only
+    entries (source PSY1) need a query that asks for them. ``queries`` may carry the
+    observation columns of ``PROFILE_FLAGS``."""
+    text = columns.get("text", "text")
+    hay = docs.withColumn("hay", X.fold_text(F.col(text)))
+    psych = EVIDENCE_BONUSES[0][0]
+    profiled = observation_profile(queries).withColumn("wants_context", X.fold_text(F.col(text)).rlike(psych))
+    blocks = ["d.source = 'PSY1' and not q.wants_context", *ATLAS_BLOCKS]
+    return evidence_rank(hay, profiled, limit, EVIDENCE_BONUSES + ATLAS_BONUSES, blocks, **columns)

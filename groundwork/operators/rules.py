@@ -415,16 +415,17 @@ def observation_flags(df: DataFrame) -> DataFrame:
     return derive(df.withColumns(flags), OBSERVATION_COMBINATIONS)
 
 
-def emit_patterns(df: DataFrame, key: str, rules: list = PATTERN_RULES, k: int = MAX_PATTERNS) -> DataFrame:
-    """All satisfied rules of a row as (key, label, score, warning, rank), best first, at
-    most k. Rules are an array in the row, ranked in the row: no shuffle."""
+def emit_patterns(df: DataFrame, key: str, rules: list = PATTERN_RULES, k: int = MAX_PATTERNS, by_score: bool = True) -> DataFrame:
+    """All satisfied rules of a row as (key, label, score, warning, rank), best first or
+    in rule order, at most k. Rules are an array in the row, ranked in the row: no shuffle."""
+    first = (lambda s, i: -F.expr(num(s)).cast("double")) if by_score else (lambda s, i: F.lit(float(i)))
     emitted = [
-        F.when(F.expr(num(c)), F.struct((-F.expr(num(s)).cast("double")).alias("neg"), F.lit(i).alias("ord"), F.expr(label).alias("label"), F.lit(w).alias("warning")))
+        F.when(F.expr(num(c)), F.struct(first(s, i).alias("sort"), F.lit(i).alias("ord"), F.expr(num(s)).cast("double").alias("score"), F.expr(label).alias("label"), F.lit(w).alias("warning")))
         for i, (label, c, s, w) in enumerate(rules)
     ]
     ranked = F.slice(F.array_sort(F.array_compact(F.array(*emitted))), 1, k)
     rows = df.select(key, F.posexplode(ranked).alias("pos", "p"))
-    return rows.select(key, "p.label", F.round(-F.col("p.neg"), 6).alias("score"), "p.warning", (F.col("pos") + 1).alias("rank"))
+    return rows.select(key, "p.label", F.round("p.score", 6).alias("score"), "p.warning", (F.col("pos") + 1).alias("rank"))
 
 
 # Fusion weights, limits and caps.
@@ -512,3 +513,69 @@ def report_rows(df: DataFrame, key: str, sections: list[tuple[str, list[tuple[st
         built.append(F.struct(F.lit(number).alias("section"), F.lit(title).alias("title"), X.distinct_ci(F.array_compact(F.array(*items)), cap).alias("items")))
     rows = df.select(key, F.explode(F.array(*built)).alias("s")).select(key, "s.section", "s.title", F.posexplode("s.items").alias("item_no", "item"))
     return rows.withColumn("item_no", F.col("item_no") + 1)
+
+
+# --- further shipped rule sets ----------------------------------------------
+
+# Toothmark reference classes (needs the calibration inputs and
+# color_left / color_right).
+TOOTH_INPUTS = [("color_support", "greatest(tooth_color, least(color_left, color_right) * 0.9)")]
+TOOTH_RULES = [
+    ("edge >= 0.60 and tooth >= 0.60 and side_max >= 2 and (side_min >= 1 or color_support >= 0.45)", "'present'", "0.90 * (0.72 + 0.18 * tooth + 0.10 * greatest(bilateral, color_support))", "'strong-contour'"),
+    ("edge >= 0.58 and tooth >= 0.44 and events_total >= 2 and (bilateral >= 0.24 or color_support >= 0.30)", "'suspected'", "(case when quality = 'good' then 0.74 else 0.60 end) * (0.72 + 0.18 * tooth + 0.10 * color_support)", "'moderate-contour'"),
+    ("quality = 'good' and edge >= 0.68 and tooth < 0.24 and events_total = 0 and color_support < 0.18", "'absent'", "0.72", "'negative-contour'"),
+]
+TOOTH_DEFAULT = ("'unknown'", "null", "'below-gates'")
+
+
+def toothmark_class(df: DataFrame, current: str = "current_toothmarks") -> DataFrame:
+    """Reference class of the toothmarks and its agreement with the current one."""
+    df = rule_cascade(derive(df, CALIBRATION_INPUTS + TOOTH_INPUTS), "tooth_class", TOOTH_RULES, TOOTH_DEFAULT, ACTIVE)
+    now, ref = F.col(current), F.coalesce(F.col("tooth_class.label"), F.lit("unknown"))
+    agreement = F.when((now == "unknown") | (ref == "unknown"), "insufficient").when(now == ref, "aligned").when(now.isin("present", "suspected") & ref.isin("present", "suspected"), "partial").otherwise("conflict")
+    return df.withColumn("tooth_agreement", agreement)
+
+
+_ratio = lambda *rules: ([(c, f"'{label}'", "null", "'ratio'") for c, label in rules[:-1]], (f"'{rules[-1]}'", "null", "'ratio'"))
+# Labels by plain ratio thresholds (mean_r, mean_g, mean_s, mean_v, bbox,
+# glare, stasis_ratio, vessel dark and spot ratios, light_ok).
+RATIO_RULES = {
+    "r_color": _ratio(("purple > 0.13 or stasis_ratio > 0.07", "Tím/ám tím"), ("mean_v < 0.53 and mean_r > mean_g * 1.12", "Đỏ sẫm"), ("mean_r > mean_g * 1.25 and mean_s > 0.34", "Đỏ"), ("mean_s < 0.20 and mean_v > 0.60", "Nhợt/nhạt"), "Đỏ nhạt/hồng"),
+    "r_coating": _ratio(("yellow > 0.075 and yellow > white * 0.55", "Vàng"), ("white > 0.10", "Trắng"), "Không thấy màu rêu nổi bật"),
+    "r_thickness": _ratio(("greatest(white, yellow) > 0.34", "Dày"), ("greatest(white, yellow) > 0.15", "Mỏng"), "Rất mỏng/khó tách"),
+    "r_texture": _ratio(("greatest(white, yellow) > 0.22 and glare > 0.025", "Khá nhuận/ẩm"), ("greatest(white, yellow) > 0.22", "Tương đối đồng nhất"), "Khó đánh giá chắc"),
+    "r_moisture": _ratio(("glare > 0.035", "Nhuận/ẩm"), ("glare < 0.008 and light_ok", "Thiên khô tương đối"), "Trung bình/khó xác định"),
+    "r_shape": _ratio(("bbox > 0.88", "Khá rộng/bệu"), ("bbox < 0.52", "Khá thon"), "Trung bình"),
+    "r_fissures": _ratio(("dark > 0.045", "Có rãnh/nứt nhìn thấy"), ("dark > 0.020", "Có thể có rãnh nứt nhẹ"), "Không thấy nứt nổi bật"),
+    "r_toothmarks": _ratio(("bbox > 0.78 and coverage > 0.10 and dark > 0.028", "Bờ lưỡi không đều, cần đối chiếu dấu răng"), "Chưa thấy dấu răng nổi bật"),
+    "r_spots": _ratio(("spot > 0.055", "Có điểm đỏ/gai nổi bật"), ("spot > 0.025", "Có một số điểm đỏ"), "Không thấy nổi bật"),
+    "r_stasis": _ratio(("stasis_ratio > 0.055", "Có vùng tím/sẫm cần đối chiếu"), "Không thấy ban/điểm ứ nổi bật"),
+}
+
+
+def ratio_labels(df: DataFrame) -> DataFrame:
+    for name, (rules, default) in RATIO_RULES.items():
+        df = rule_cascade(df, name, rules, default)
+    return df
+
+
+# Fall-back patterns over the joined observation texts; confidences stay
+# at or below 0.62, at most four, in rule order.
+FALLBACK_FLAGS = [
+    ("f_red", "top_text", "đỏ"), ("f_pale", "top_text", "nhợt|nhạt"), ("f_yellow", "top_text", "vàng"), ("f_white", "top_text", "trắng"), ("f_dry", "top_text", "khô"),
+    ("f_little", "top_text", "rất mỏng|ít rêu|khó tách|tróc|mất rêu|không thấy màu rêu nổi bật"), ("f_thick", "top_text", "dày|nhầy|dính|bẩn"), ("f_purple", "top_text", "tím|ám tím|ứ"),
+    ("f_tooth", "top_text", "dấu răng|hằn răng"), ("f_broad", "top_text", "bệu|rộng"), ("f_under", "under_text", "tím|xanh tím|giãn|ứ"),
+]
+FALLBACK_RULES = [
+    ("'Tham Vấn: âm dịch/hư nhiệt cần đối chiếu'", "f_red and f_dry and f_little", "0.56", True), ("'Tham Vấn: tín hiệu nhiệt cần đối chiếu'", "f_red and f_yellow", "0.58", True),
+    ("'Tham Vấn: tín hiệu hư/hàn cần đối chiếu'", "f_pale and f_white", "0.55", True), ("'Tham Vấn: Tỳ khí/Tỳ dương hư cần đối chiếu'", "f_pale and (f_tooth or f_broad)", "0.54", True),
+    ("'Tham Vấn: khí huyết ứ trệ cần đối chiếu'", "f_purple", "0.56", True), ("'Tham Vấn: thấp trọc/đàm hoặc tích trệ cần đối chiếu'", "f_thick", "0.53", True),
+    ("'Tham Vấn: mạch dưới lưỡi cần đối chiếu ứ trệ'", "f_under", "0.54", True),
+]
+FALLBACK_LIMIT = 4
+
+
+def fallback_patterns(df: DataFrame, key: str) -> DataFrame:
+    """Fall-back rules over top_text and under_text, the first four in rule order."""
+    flags = {n: F.lower(F.coalesce(F.col(c), F.lit(""))).rlike(p) for n, c, p in FALLBACK_FLAGS}
+    return emit_patterns(df.withColumns(flags), key, FALLBACK_RULES, FALLBACK_LIMIT, by_score=False)

@@ -295,3 +295,41 @@ def q13(spark, sf):
         F.when(F.col("event_id") % 3 == 0, "poor").otherwise("good").alias("bottom_grade"),
     )
     return Q.quality_dashboard(rows, [F.desc("ts"), F.desc("event_id")])
+
+
+# --- further rule sets ------------------------------------------------------
+
+_TOOTH = [("color_left", "least(1.0, left_line * 4.0)"), ("color_right", "least(1.0, right_line * 4.0)"), ("current_toothmarks", "case when bilateral > 0.5 then 'present' when bilateral > 0.3 then 'suspected' when bilateral > 0.1 then 'absent' else 'unknown' end")]
+
+
+@query(
+    "q08_toothmark_class",
+    f"""with {FEAT}, s as (select *, {_triple('tooth_class', Q.TOOTH_RULES, Q.TOOTH_DEFAULT)} from {_chain('feat', _TOOTH + Q.CALIBRATION_INPUTS + Q.TOOTH_INPUTS)}), r as (select *, current_toothmarks as now, coalesce(tooth_class_label, 'unknown') as ref from s)
+    select vec_id, {_triples(['tooth_class'])}, case when now = 'unknown' or ref = 'unknown' then 'insufficient' when now = ref then 'aligned'
+      when now in ('present', 'suspected') and ref in ('present', 'suspected') then 'partial' else 'conflict' end as tooth_agreement from r""",
+)
+def q08_tooth(spark, sf):
+    return _flat(Q.toothmark_class(Q.derive(features(spark, sf), _TOOTH)), ["tooth_class"], "tooth_agreement")
+
+
+_RATIOS = [("mean_r", "roi_height"), ("mean_g", "roi_width"), ("mean_s", "body_sat"), ("mean_v", "body_luma"), ("bbox", "area_fill"), ("glare", "gloss"), ("stasis_ratio", "smoothness"), ("light_ok", "neutral_pixels > 100")]
+
+
+@query("q04_ratio_labels", f"with {FEAT} select vec_id, {', '.join(_triple(n, r, d, 'true') for n, (r, d) in Q.RATIO_RULES.items())} from {_chain('feat', _RATIOS)}")
+def q04_ratio(spark, sf):
+    return _flat(Q.ratio_labels(Q.derive(features(spark, sf), _RATIOS)), list(Q.RATIO_RULES))
+
+
+_TOP_COLUMNS = ["body_color", "shape", "coating_color", "coating_thickness", "coating_texture", "moisture", "fissures", "toothmarks", "spots", "stasis"]
+
+
+@query(
+    "q09_fallback_patterns",
+    f"""with {FEAT}, {_OBS}, t as (select vec_id, {" || ' · ' || ".join(_TOP_COLUMNS)} as top_text, under_color || ' · ' || under_dilation as under_text from obs),
+    fl as (select *, {', '.join(f"regexp_matches(lower({c}), '{p}') as {n}" for n, c, p in Q.FALLBACK_FLAGS)} from t),
+    em as ({' union all '.join(f"select vec_id, {i} as ord, {label} as label, {s}::double as score from fl where {c}" for i, (label, c, s, _) in enumerate(Q.FALLBACK_RULES))})
+    select vec_id, label, score, rank from (select *, row_number() over (partition by vec_id order by ord) as rank from em) where rank <= 4""",
+)
+def q09_fallback(spark, sf):
+    texts = observations(spark, sf).select("vec_id", F.concat_ws(" · ", *_TOP_COLUMNS).alias("top_text"), F.concat_ws(" · ", "under_color", "under_dilation").alias("under_text"))
+    return Q.fallback_patterns(texts, "vec_id").select("vec_id", "label", "score", F.col("rank").cast("bigint").alias("rank"))

@@ -60,3 +60,13 @@ def test_index_files_prune_by_term(spark, tmp_path):
     V.write_index(corpus(spark), str(tmp_path / "index"))
     postings = spark.read.parquet(str(tmp_path / "index" / "postings"))
     assert V.index_probe(postings, ["tongue", "nothing"]).first()["n_docs"] == 3
+
+
+def test_knowledge_rank_blocks_contradictions(spark):
+    docs = spark.createDataFrame(
+        [(1, "lưỡi tím rêu trắng", "AT1", 3), (2, "lưỡi đỏ rêu dày", "AT1", 4), (3, "stress lưỡi", "PSY1", 1), (4, "lưỡi rêu trắng", "TC1", 5)], "doc_id long, text string, source string, page long"
+    )
+    q = spark.createDataFrame([(1, "lưỡi rêu trắng", True, "đỏ", "trắng", "mỏng"), (2, "lưỡi stress", False, None, None, None)], "query_id long, text string, has_profile boolean, top_color string, coating_color string, coating_thickness string")
+    out = E.knowledge_rank(docs, q).collect()
+    assert [r["doc"] for r in out if r["query"] == 1] == [4]
+    assert {r["doc"]: r["score"] for r in out if r["query"] == 2}[3] == 6 + 12
