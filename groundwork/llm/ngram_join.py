@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from groundwork.llm.common import materialize
 from groundwork.llm.graph import components
 
+#: Cells of the table that tells which texts are candidates.
+_FILTER_BITS = 22
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,40 +41,54 @@ def needed_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def rarity_sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
-    """Occurrences of all shingles of all documents in ``2**bits`` counters by hash.
-
-    It only decides the order of shingles, so collisions cost time and never links. Each
-    task sends its counters in blocks, which are summed in two steps of bounded groups."""
-    block = 1 << 12
+def _gathered(df: DataFrame, fill: Callable[[np.ndarray, pd.DataFrame], None], bits: int) -> np.ndarray:
+    """One table of ``2**bits`` counters over all rows of ``df``: each task fills its own
+    (``fill`` adds a batch), and the tables are summed block by block. A group that is
+    summed has at most 256 tasks, then at most one row per 256 tasks."""
+    block = min(1 << 12, 1 << bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << bits, dtype=np.int64)
-        task, any_row = 0, False
+        total, task = np.zeros(1 << bits, dtype=np.int64), None
         for pdf in batches:
-            for start in range(0, len(pdf), 2000):
-                part = [shingle_set(t, width) for t in pdf["text"].iloc[start : start + 2000]]
-                total += np.bincount((np.concatenate(part) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-            any_row, task = any_row or len(pdf) > 0, int(pdf["pid"].iloc[0]) if len(pdf) else task
-        if any_row:
-            total = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(-1, min(block, 1 << bits))
-            for at in range(0, len(total), 64):
-                rows = total[at : at + 64]
-                yield pd.DataFrame({"block": np.arange(at, at + len(rows)), "wave": task % 256, "counts": [r.tobytes() for r in rows]})
+            if len(pdf):
+                fill(total, pdf)
+                task = int(pdf["pid"].iloc[0])
+        if task is not None:
+            own = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(-1, block)
+            used = np.flatnonzero(own.any(axis=1))
+            for at in range(0, len(used), 64):
+                rows = used[at : at + 64]
+                yield pd.DataFrame({"block": rows, "wave": task // 256, "counts": [own[r].tobytes() for r in rows]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.minimum(np.sum([np.frombuffer(c, dtype=np.int32) for c in pdf["counts"]], axis=0, dtype=np.int64), 2**31 - 1)
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "wave": pdf["wave"].iloc[:1], "counts": [total.astype(np.int32).tobytes()]})
 
     schema = "block long, wave long, counts binary"
-    parts = docs.select("text", F.spark_partition_id().alias("pid")).mapInPandas(count, schema)
+    parts = df.withColumn("pid", F.spark_partition_id()).mapInPandas(count, schema)
     summed = parts.groupBy("block", "wave").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-    out = np.zeros((max(1, (1 << bits) // block), min(block, 1 << bits)), dtype=np.int32)
-    for r in summed.select("block", "counts").collect():  # 4 * 2**bits bytes, whatever the input
+    out = np.zeros(((1 << bits) // block, block), dtype=np.int32)
+    for r in summed.select("block", "counts").collect():  # 4 * 2**bits bytes at most, whatever the input
         out[r["block"]] = np.frombuffer(r["counts"], dtype=np.int32)
     return out.reshape(-1)
 
 
+def rarity_sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
+    """Occurrences of all shingles of all documents in ``2**bits`` counters by hash. It only
+    decides the order of shingles, so collisions cost time and never links."""
+
+    def fill(total: np.ndarray, pdf: pd.DataFrame) -> None:
+        for start in range(0, len(pdf), 2000):
+            part = [shingle_set(t, width) for t in pdf["text"].iloc[start : start + 2000]]
+            total += np.bincount(_cell(np.concatenate(part), bits), minlength=1 << bits)
+
+    return _gathered(docs.select("text"), fill, bits)
+
+
+def _cell(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def document_prefixes(docs: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
     """``rid, doc_id, thash, n, sig, psig, prefix``, stored: per row the size of its shingle
     set, a 128-bit signature of the set, and its prefix: its rarest shingles, as many as
@@ -88,7 +104,7 @@ def document_prefixes(docs: DataFrame, width: int, percent: int, bits: int) -> D
                 own = shingle_set(text, width)
                 n = len(own)
                 keep = n - (percent * n + 99) // 100 + 1 if n else 0
-                order = np.lexsort((own, counts[(own >> np.uint64(64 - bits)).astype(np.int64)]))[:keep]
+                order = np.lexsort((own, counts[_cell(own, bits)]))[:keep]
                 head = own[order]
                 sizes.append(n)
                 sigs.append(xxhash.xxh3_128_digest(own.tobytes()))
@@ -110,14 +126,21 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
 
 
-def _posted(sets: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Prefix postings ``token, gid, n, pos`` of one set per group, and per token that two or
-    more groups have: their number and the group that has it earliest in its prefix."""
+def _posted(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Prefix postings ``token, gid, n, pos`` of one set per group, for tokens that two or
+    more groups have: with their number ``df`` and the group ``head`` that has the token
+    earliest in its prefix. Size and position travel as one number."""
     leaders = sets.join(groups.select(F.col("gid").alias("rid")), "rid", "left_semi")
-    postings = leaders.select("rid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", F.col("rid").alias("gid"), F.col("n").cast("int").alias("n"), "pos")
-    dealt = postings.repartition("token")
-    lists = dealt.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("pos", "n", "gid")).alias("head")).filter("df > 1")
-    return dealt, lists
+    postings = leaders.select("rid", "n", F.posexplode("prefix").alias("pos", "token"))
+    packed = postings.select("token", F.col("rid").alias("gid"), F.shiftleft(F.col("pos").cast("bigint"), 32).bitwiseOR(F.col("n")).alias("place"))
+    dealt = packed.repartition("token")
+    lists = dealt.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("place", "gid")).alias("head")).filter("df > 1")
+    joined = dealt.join(lists, "token")
+
+    def parts(c: str) -> list:
+        return [F.col(c).bitwiseAND((1 << 32) - 1).cast("int").alias("n"), F.shiftright(c, 32).cast("int").alias("pos")]
+
+    return joined.select("token", "gid", *parts("place"), "df", F.struct("head.gid", *parts("head.place")).alias("head"))
 
 
 def _may_link(a: str, b: str, percent: int):
@@ -134,27 +157,37 @@ def _pairs(a: str, b: str):
 
 def _verified(pairs: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Expands group pairs to pairs of member sets and keeps the links. Pairs inside a
-    group (a = b) are included. The sets of candidates only are made again from texts."""
+    group (a = b) are included. The sets of candidates are made again from the texts where
+    those are read: a table of fixed size tells which texts may be candidates, so neither
+    the texts nor all sets are shuffled or stored."""
     left = members.select(F.col("gid").alias("a"), F.col("cid").alias("x"))
     right = members.select(F.col("gid").alias("b"), F.col("cid").alias("y"))
     expanded = materialize(pairs.join(left, "a").join(right, "b").filter("x <> y AND (a <> b OR x < y)").select("x", "y"), "member-pairs")
     wanted = expanded.select(F.col("x").alias("rid")).union(expanded.select("y")).distinct()
     where = materialize(sets.join(wanted, "rid", "left_semi").select(F.col("rid").alias("cid"), F.col("doc_id").alias("_id"), "thash"), "candidates")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("thash0"))
-    found = texts.join(where, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("thash0").eqNullSafe(F.col("thash")))
+
+    def mark(total: np.ndarray, pdf: pd.DataFrame) -> None:
+        total[_cell(pdf["thash"].to_numpy(dtype=np.int64), _FILTER_BITS)] = 1
+
+    cells = docs.sparkSession.sparkContext.broadcast(_gathered(where.select("thash"), mark, _FILTER_BITS) > 0)
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), _lists(sets)], ["cid", "members"])
-
-    full = materialize(found.select("cid", "text").mapInArrow(rebuilt, "cid long, members array<long>"), "candidate-sets").dropDuplicates(["cid"])
+            thash = batch.column("thash").to_numpy(zero_copy_only=False)
+            rows = pa.array(np.flatnonzero(cells.value[_cell(thash, _FILTER_BITS)]), pa.int64())
+            sets = [shingle_set(t, width) for t in batch.column("text").take(rows).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("thash").take(rows), _lists(sets)], ["doc_id", "thash", "members"])
+
+    own = docs.select("doc_id", F.xxhash64("text").alias("thash"), "text").mapInArrow(rebuilt, "doc_id long, thash long, members array<long>")
+    wanted_rows = where.withColumnRenamed("thash", "_thash")
+    found = own.join(wanted_rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("thash") == F.col("_thash")))
+    full = materialize(found.select("cid", "members"), "candidate-sets").dropDuplicates(["cid"])
     both = expanded.join(full.select(F.col("cid").alias("x"), F.col("members").alias("mx")), "x").join(full.select(F.col("cid").alias("y"), F.col("members").alias("my")), "y")
     common, sizes = F.size(F.array_intersect("mx", "my")), F.size("mx") + F.size("my")
     return both.filter((100 + percent) * common >= percent * sizes).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def near_duplicate_links(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 21, hot: int = 64, tile: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_duplicate_links(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 20, hot: int = 64, tile: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``sets`` (rows), ``members`` (sig, cid, gid, first_id: one row per distinct set) and
     ``links`` (a, b: cids that connect every component).
 
@@ -170,8 +203,7 @@ def near_duplicate_links(docs: DataFrame, width: int = 5, percent: int = 80, bit
     classes = materialize(classes, "classes")
     groups = materialize(classes.groupBy("psig", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("n_members")), "groups")
     members = materialize(classes.join(groups, ["psig", "n"]).select("sig", "cid", "gid", "first_id"), "members")
-    dealt, lists = _posted(sets, groups)
-    shared = materialize(dealt.join(lists, "token").select("token", "gid", "n", "pos", "df", "head"), "postings")
+    shared = materialize(_posted(sets, groups), "postings")
     few, many = shared.filter(F.col("df") <= hot), shared.filter(F.col("df") > hot)
     before = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.gid") < F.col("r.gid")))
     close = few.alias("l").join(few.alias("r"), (F.col("l.token") == F.col("r.token")) & before & _may_link("l", "r", percent)).select(*_pairs("l", "r"))
@@ -220,8 +252,10 @@ def one_per_component(docs: DataFrame, width: int = 5, percent: int = 80, **opti
     sets, members, links = near_duplicate_links(whole, width, percent, **options)
     roots = components(links)
     kept = members.join(roots.filter("node <> root").select(F.col("node").alias("cid")), "cid", "left_anti").select(F.col("cid").alias("rid"))
-    chosen = sets.filter("n > 0").join(kept, "rid", "left_semi").select(F.col("doc_id").alias("_id"), "thash")
-    texts = whole.select("row", "doc_id", F.xxhash64("text").alias("thash0"), (F.coalesce(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")), F.lit("")) == "").alias("blank"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("thash0").eqNullSafe(F.col("thash"))
-    found = texts.filter(~F.col("blank")).join(chosen, same, "left_semi")
-    return found.unionByName(texts.filter("blank")).select("row.*")
+    key = [F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("doc_id").isNull().alias("k2")]
+    chosen = sets.filter("n > 0").join(kept, "rid", "left_semi").select(*key, "thash")
+    own = whole.select("row", *key, F.xxhash64("text").alias("thash"), (~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).alias("blank"))
+    found = own.filter(~F.col("blank")).join(chosen, ["k1", "k2", "thash"], "left_semi")
+    repeat = F.row_number().over(W.partitionBy("k1", "k2", "thash").orderBy(F.xxhash64("row")))
+    found = found.withColumn("repeat", repeat).filter("repeat = 1").drop("repeat")
+    return found.select("row").union(own.filter("blank").select("row")).select("row.*")
