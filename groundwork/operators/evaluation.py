@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from groundwork.functions import text as X
+from groundwork.functions import hashing as H, text as X
 from groundwork.operators.joins import top_k
 from groundwork.session import materialize
 
@@ -190,9 +189,10 @@ def rle_overlap(df: DataFrame, gold: str, pred: str, size: Column) -> DataFrame:
 
 
 def holdout_metrics(rows: DataFrame) -> DataFrame:
-    """One row for one holdout and one model. ``rows``: sample_id, holdout_version,
-    model_sha256, usable, gold_present, pred_present, dice, iou. ``error`` names mixed
-    versions, mixed models or repeated samples."""
+    """One row for one holdout and one model, with intervals of the mean Dice and IoU.
+    ``rows``: sample_id, holdout_version, model_sha256, usable, gold_present,
+    pred_present, dice, iou. ``error`` names mixed versions, mixed models or repeated
+    samples."""
     usable, gold, pred = F.col("usable"), F.col("gold_present"), F.col("pred_present")
     repeated = rows.groupBy("sample_id").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*")).scalar()
     counts = presence_confusion(rows, gold, pred, usable)
@@ -202,43 +202,36 @@ def holdout_metrics(rows: DataFrame) -> DataFrame:
         (F.min("holdout_version") != F.max("holdout_version")).alias("mixed_holdout"), (F.min("model_sha256") != F.max("model_sha256")).alias("mixed_model"),
     )
     error = F.when(F.col("mixed_holdout"), "MIXED_HOLDOUT_VERSIONS").when(F.col("mixed_model"), "MIXED_MODEL_ARTIFACTS").when(repeated > 0, "DUPLICATE_SAMPLE_ID")
-    joined = counts.withColumn("_k", F.lit(1)).join(extra.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return joined.withColumn("error", error).drop("mixed_holdout", "mixed_model")
-
-
-def bootstrap_ci(df: DataFrame, value: str, iterations: int = 2000, seed: int = 20260918, block_values: int = 20_000) -> DataFrame:
-    """Percentile interval of the mean. Rows are first counted by distinct value, then a
-    resample is a multinomial draw of counts: first over hash blocks of values, then
-    inside each block. This has the distribution of drawing rows one by one, costs
-    iterations x distinct values instead of iterations x rows. There are at most 1,000
-    blocks, spread by hash, and only their sizes reach the driver. Draws are seeded by (seed, iteration, block); the random stream differs
-    from a sequential generator."""
-    counted = materialize(df.select(F.col(value).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n")), "values")
-    size, rows = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    joined = counts.withColumn("_k", F.lit(1)).join(extra.withColumn("_k", F.lit(1)), "_k")
+    for name in ("dice", "iou"):
+        ci = bootstrap_ci(rows.filter(usable & gold), name, ["sample_id"])
+        joined = joined.join(ci.select(F.lit(1).alias("_k"), F.col("lower").alias(f"{name}_lower"), F.col("upper").alias(f"{name}_upper")), "_k")
+    return joined.drop("_k").withColumn("error", error).drop("mixed_holdout", "mixed_model")
+
+
+BUCKETS = 256
+
+
+def bootstrap_ci(df: DataFrame, value: str, key: list[str], iterations: int = 2000, seed: int = 20260918) -> DataFrame:
+    """Percentile interval of the mean. Every row falls into one of 256 buckets by the
+    SHA-256 of its key; a resample draws 256 buckets with replacement, and the mean of a
+    draw is the sum over the count of what was drawn. So the work besides one map-side
+    aggregate does not depend on the rows. Draws come from SHA-256 of (seed, iteration,
+    position): any engine can repeat them. Nulls are left out."""
+    place = H.hex_bucket(H.sha256(F.concat_ws(":", *[F.col(k).cast("string") for k in key])), 2)
+    rows = df.select(place.alias("bucket"), F.col(value).cast("double").alias("v")).filter("v is not null")
+    buckets = rows.groupBy("bucket").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
     spark = df.sparkSession
-    schema = "lower double, upper double, iterations int, n long"
-    if rows <= 1:
-        one = counted.agg(F.min("v").alias("lower"), F.min("v").alias("upper"))
-        return one.select("lower", "upper", F.lit(0).alias("iterations"), F.lit(rows).cast("long").alias("n"))
-    blocks = max(1, min(1000, -(-size // block_values)))
-    tagged = counted.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
-    sizes = {r["block"]: r["n"] for r in tagged.groupBy("block").agg(F.sum("n").alias("n")).collect()}
-    totals = np.array([sizes.get(b, 0) for b in range(blocks)], dtype=float)
-    shared = spark.sparkContext.broadcast(totals)
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        block, pdf = int(pdf["block"].iloc[0]), pdf.sort_values("v")
-        values, weights = pdf["v"].to_numpy(), pdf["n"].to_numpy(dtype=float)
-        share, sums = shared.value / shared.value.sum(), np.zeros(iterations)
-        for b in range(iterations):
-            mine = np.random.default_rng([seed, b]).multinomial(rows, share)[block]
-            sums[b] = np.random.default_rng([seed, b, block + 1]).multinomial(mine, weights / weights.sum()) @ values
-        return pd.DataFrame({"b": np.arange(iterations), "s": sums})
-
-    means = tagged.groupBy("block").applyInPandas(draw, "b long, s double").groupBy("b").agg((F.sum("s") / rows).alias("mean"))
+    pos = F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1)))
+    drawn = spark.range(iterations).select(F.col("id").alias("b"), pos.alias("pos"))
+    drawn = drawn.select("b", H.hex_bucket(H.sha256(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("pos").cast("string"))), 2).alias("bucket"))
+    means = drawn.join(buckets, "bucket").groupBy("b").agg((F.sum("s") / F.sum("c")).alias("mean"))
     low, high = int(np.floor(0.025 * (iterations - 1))), int(np.floor(0.975 * (iterations - 1)))
-    sorted_means = means.agg(F.array_sort(F.collect_list("mean")).alias("m"))
-    return sorted_means.select(F.col("m")[low].alias("lower"), F.col("m")[high].alias("upper"), F.lit(iterations).alias("iterations"), F.lit(rows).cast("long").alias("n"))
+    ordered = means.agg(F.array_sort(F.collect_list("mean")).alias("m"))  # one value per iteration
+    whole = buckets.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum("s").alias("s"))
+    joined = whole.withColumn("_k", F.lit(1)).join(ordered.withColumn("_k", F.lit(1)), "_k")
+    pick = lambda i: F.when(F.col("n") > 1, F.get("m", F.least(F.lit(i), F.size("m") - 1))).otherwise(F.col("s"))
+    return joined.select(pick(low).alias("lower"), pick(high).alias("upper"), F.when(F.col("n") > 1, iterations).otherwise(0).alias("iterations"), "n")
 
 
 def threshold_sweep(df: DataFrame, score: str, gold: str, grid: list[float], by: list[str] = ()) -> DataFrame:

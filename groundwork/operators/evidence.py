@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundwork.functions import text as X
-from groundwork.operators.joins import bounded_broadcast, top_k
+from groundwork.operators.joins import top_k
 from groundwork.session import materialize
 
 # Fixed values of the score.
@@ -32,12 +32,25 @@ def _grams(text: Column, sizes: list[int]) -> Column:
 
 def substring_join(hay: DataFrame, text: str, needles: DataFrame, needle: str, same: str | None = None) -> DataFrame:
     """All (hay row, needle row) pairs where ``text`` contains ``needle``. ``same`` names
-    a column both sides must share."""
+    a column both sides must share. The trigram rows carry a digest instead of the text,
+    which joins once for the test, so a long text is not repeated per trigram."""
     sizes = [r[0] for r in needles.select(F.least(F.length(needle), F.lit(3)).alias("n")).distinct().filter("n > 0").collect()]
-    keyed_hay = hay.withColumn("_g", F.explode(_grams(F.col(text), sizes or [3])))
+    shared = [same] if same else []
+    keyed = needles.filter(F.length(needle) > 0)
+    sought = keyed.select(*shared, F.col(needle).alias("_needle"), F.substring(F.col(needle), 1, 3).alias("_g")).distinct()
+    tagged = hay.withColumn("_h", F.md5(text))
+    grams = tagged.select("_h", *shared, F.explode(_grams(F.col(text), sizes or [3])).alias("_g"))
+    maybe = grams.join(sought, ["_g", *shared]).select("_h", *shared, "_needle").distinct()
+    found = tagged.join(maybe, ["_h", *shared]).filter(F.contains(F.col(text), F.col("_needle"))).drop("_h")
+    return found.join(keyed.withColumn("_needle", F.col(needle)), ["_needle", *shared]).drop("_needle")
+
+
+def word_join(words: DataFrame, word: str, needles: DataFrame, needle: str) -> DataFrame:
+    """``substring_join`` for distinct single words, which are short enough to travel."""
+    sizes = [r[0] for r in needles.select(F.least(F.length(needle), F.lit(3)).alias("n")).distinct().filter("n > 0").collect()]
+    keyed_words = words.withColumn("_g", F.explode(_grams(F.col(word), sizes or [3])))
     keyed_needles = needles.filter(F.length(needle) > 0).withColumn("_g", F.substring(F.col(needle), 1, 3))
-    on = ["_g"] + ([same] if same else [])
-    return keyed_hay.join(bounded_broadcast(keyed_needles), on).filter(F.contains(F.col(text), F.col(needle))).drop("_g")
+    return keyed_words.join(keyed_needles, "_g").filter(F.contains(F.col(word), F.col(needle))).drop("_g")
 
 
 def _doc_terms(docs: DataFrame, doc: str, text: str, **fold) -> DataFrame:
@@ -52,46 +65,51 @@ def token_overlap_search(docs: DataFrame, queries: DataFrame, k: int = 6, doc: s
     """Top-k documents by the number of query tokens contained in the folded text. A
     token holds no blank, so it is contained in the text iff it is contained in one
     of its words; the substring test runs on the vocabulary, not on the texts."""
-    terms = materialize(_doc_terms(docs, doc, text, dstroke=False), "terms")
+    terms = _doc_terms(docs, doc, text, dstroke=False)
     asked = materialize(_query_tokens(queries, query, text, dstroke=False), "asked")
-    vocabulary = terms.select("term").distinct()
-    pairs = materialize(substring_join(vocabulary, "term", asked.select("token").distinct(), "token"), "pairs")
-    found = terms.join(bounded_broadcast(pairs), "term").select("doc", "token").distinct()
-    scores = found.join(bounded_broadcast(asked), "token").groupBy("query", "doc").agg(F.count("*").alias("score"))
+    vocabulary = materialize(terms.select("term").distinct(), "vocabulary")
+    pairs = materialize(word_join(vocabulary, "term", asked.select("token").distinct(), "token"), "pairs")
+    found = terms.join(pairs, "term").select("doc", "token").distinct()
+    scores = found.join(asked, "token").groupBy("query", "doc").agg(F.count("*").alias("score"))
     best = top_k(scores, ["query"], [F.desc("score"), F.asc("doc")], max(1, k))
     texts = docs.select(F.col(doc).alias("doc"), F.substring(text, 1, max_chars).alias("excerpt"))
-    return texts.join(bounded_broadcast(best), "doc").select("query", "doc", "score", "rank", "excerpt")
+    return texts.join(best, "doc").select("query", "doc", "score", "rank", "excerpt")
 
 
 def evidence_rank(
-    docs: DataFrame, queries: DataFrame, limit: int = 18, bonuses: list[tuple[str, str, int]] = (), blocks: list[str] = (),
+    docs: DataFrame, queries: DataFrame, limit: int = 18, bonuses: list[tuple] = (), blocks: list[tuple[str, str]] = (),
     doc: str = "doc_id", query: str = "query_id", text: str = "text", source: str = "source", page: str = "page",
 ) -> DataFrame:
     """Per query token 3 points for a document with that token, else 1 point when one
     contains the other. ``bonuses``: (pattern on the folded query, SQL condition on the
-    document, points). ``blocks``: SQL conditions over both rows that exclude a pair.
-    Order: score desc, source, page; the limit is clamped to 4..24."""
-    limit = max(4, min(24, int(limit)))
-    terms = materialize(_doc_terms(docs, doc, text), "terms")
+    document d, points, optional SQL condition on the query q). ``blocks``: (condition on
+    d, condition on q) that exclude a pair. Every condition is tested once per document or
+    once per query; pairs join booleans. Order: score desc, source, page; the first
+    ``limit``. The texts are scanned twice: for their vocabulary, which is matched with
+    the tokens, and for the matched words only."""
+    terms = _doc_terms(docs, doc, text)
     asked = materialize(_query_tokens(queries, query, text), "asked")
-    vocabulary, tokens = terms.select("term").distinct(), asked.select("token").distinct()
-    wider = substring_join(vocabulary, "term", tokens, "token").select("term", "token")
-    narrower = substring_join(tokens, "token", vocabulary, "term").select("term", "token")
+    vocabulary, tokens = materialize(terms.select("term").distinct(), "vocabulary"), asked.select("token").distinct()
+    wider = word_join(vocabulary, "term", tokens, "token").select("term", "token")
+    narrower = word_join(tokens, "token", vocabulary, "term").select("term", "token")
     points = F.when(F.col("term") == F.col("token"), EXACT_POINTS).otherwise(PARTIAL_POINTS)
     pairs = materialize(wider.unionByName(narrower).distinct().withColumn("points", points), "pairs")
-    found = terms.join(bounded_broadcast(pairs), "term").groupBy("doc", "token").agg(F.max("points").alias("points"))
-    scores = found.join(bounded_broadcast(asked), "token").groupBy("query", "doc").agg(F.sum("points").alias("base"))
-
-    # Patterns are tested once per query, not once per (query, document) pair.
-    wants = queries.withColumnRenamed(query, "query").withColumn("_f", X.fold_text(F.col(text)))
-    wants = materialize(wants.withColumns({f"_b{i}": F.col("_f").rlike(p) for i, (p, _, _) in enumerate(bonuses)}), "queries")
-    facts = scores.join(docs.withColumnRenamed(doc, "doc").alias("d"), "doc").join(bounded_broadcast(wants).alias("q"), "query")
-    bonus = F.lit(0)
-    for i, (_, condition, value) in enumerate(bonuses):
-        bonus = bonus + F.when(F.col(f"q._b{i}") & F.expr(condition), value).otherwise(0)
-    for condition in blocks:
-        facts = facts.filter(~F.coalesce(F.expr(condition), F.lit(False)))
-    scored = facts.select("query", "doc", F.col(f"d.{source}").alias("source"), F.col(f"d.{page}").alias("page"), (F.col("base") + bonus).alias("score"))
+    found = terms.join(pairs, "term").groupBy("doc", "token").agg(F.max("points").alias("points"))
+    scores = found.join(asked, "token").groupBy("query", "doc").agg(F.sum("points").alias("base"))
+
+    yes = lambda sql: F.coalesce(F.expr(sql), F.lit(False))
+    folded = X.fold_text(F.col(f"q.{text}"))
+    wants = [(folded.rlike(b[0]) & yes(b[3] if len(b) > 3 else "true")).alias(f"_q{i}") for i, b in enumerate(bonuses)]
+    bars = [yes(q).alias(f"_bq{j}") for j, (_, q) in enumerate(blocks)]
+    asks = materialize(queries.alias("q").select(F.col(f"q.{query}").alias("query"), *wants, *bars), "queries")
+    has = [yes(b[1]).alias(f"_d{i}") for i, b in enumerate(bonuses)]
+    barred = [yes(d).alias(f"_bd{j}") for j, (d, _) in enumerate(blocks)]
+    facts = materialize(docs.alias("d").select(F.col(f"d.{doc}").alias("doc"), F.col(f"d.{source}").alias("source"), F.col(f"d.{page}").alias("page"), *has, *barred), "facts")
+    both = scores.join(facts, "doc").join(asks, "query")
+    for j in range(len(blocks)):
+        both = both.filter(~(F.col(f"_bd{j}") & F.col(f"_bq{j}")))
+    bonus = sum((F.when(F.col(f"_q{i}") & F.col(f"_d{i}"), b[2]).otherwise(0) for i, b in enumerate(bonuses)), F.lit(0))
+    scored = both.select("query", "doc", "source", "page", (F.col("base") + bonus).alias("score"))
     return top_k(scored.filter("score > 0"), ["query"], [F.desc("score"), F.asc("source"), F.asc("page"), F.asc("doc")], limit)
 
 
@@ -139,7 +157,7 @@ def ontology_expand(queries: DataFrame, ontology: DataFrame, query: str = "query
     hits = substring_join(q, "q", aliases, "alias").select("query", "node_id").distinct()
     words = F.filter(F.split(fold(F.concat_ws(" ", "node_id", "label", F.array_join("aliases", " "))), " "), lambda t: F.length(t) >= 3)
     tokens = ontology.select("node_id", F.explode(words).alias("token")).distinct()
-    return hits.join(bounded_broadcast(tokens), "node_id").select("query", "token").distinct()
+    return hits.join(tokens, "node_id").select("query", "token").distinct()
 
 
 def snippet_rank(matches: DataFrame, texts: DataFrame, queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
@@ -149,12 +167,12 @@ def snippet_rank(matches: DataFrame, texts: DataFrame, queries: DataFrame, query
     strong = top_k(usable, ["query"], [F.desc("similarity"), F.asc("page")], SNIPPET_MATCHES, "_m")
     asked = queries.select(F.col(query).alias("query"), X.token_array(F.col(text)).alias("tokens"))
     pieces = (
-        texts.join(bounded_broadcast(strong.select("query", "source", "page", "similarity")), ["source", "page"])
+        texts.join(strong.select("query", "source", "page", "similarity"), ["source", "page"])
         .select("query", "source", "page", "similarity", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
         .withColumn("folded", X.fold_text(F.col("sentence")))
     )
     hay = F.col("folded")
-    scored = pieces.join(bounded_broadcast(asked), "query").withColumn("score", F.size(F.filter("tokens", lambda t: F.contains(hay, t)))).filter("score > 0")
+    scored = pieces.join(asked, "query").withColumn("score", F.size(F.filter("tokens", lambda t: F.contains(hay, t)))).filter("score > 0")
     order = [F.desc("score"), F.desc("similarity"), F.asc("page"), F.asc("pos")]
     distinct = top_k(scored, ["query", "folded"], order, 1, "_d")
     best = top_k(distinct, ["query"], order, SNIPPETS)
@@ -194,7 +212,7 @@ def merge_signals(signals: DataFrame, owner: str, label: str, confidence: str, o
 
 def cite(evidence: DataFrame, documents: DataFrame, source: str = "source") -> DataFrame:
     """Evidence with its document title and a locator: page, else locator, else PMID."""
-    joined = evidence.join(bounded_broadcast(documents.select(source, "title", "pmid")), source, "left")
+    joined = evidence.join(documents.select(source, "title", "pmid"), source, "left")
     locator = F.coalesce(
         F.when(F.col("page").isNotNull(), F.concat(F.lit("p. "), F.col("page"))), F.nullif(F.col("locator"), F.lit("")),
         F.when(F.col("pmid").isNotNull(), F.concat(F.lit("PMID "), F.col("pmid"))), F.lit("academic source"),
@@ -233,13 +251,13 @@ _CONTRADICTIONS = [
     (f"not {_VENTRAL}", "reu day", "q.thin_coat and not q.thick_coat"), (f"not {_VENTRAL}", "nhot|trang nhot", "q.top_red and not q.top_pale"),
     (f"not {_VENTRAL}", "do sam|do giang|luoi do", "q.top_pale and not q.top_red"),
 ]
-ATLAS_BLOCKS = [f"q.has_profile and {_ATLAS} and {side} and d.hay rlike '({pattern})' and ({condition})" for side, pattern, condition in _CONTRADICTIONS]
+ATLAS_BLOCKS = [(f"{_ATLAS} and {side} and d.hay rlike '({pattern})'", f"q.has_profile and ({condition})") for side, pattern, condition in _CONTRADICTIONS]
 # Points of agreeing observations on atlas entries.
 _AGREEMENTS = [
     (_VENTRAL, ".*", "q.under_purple", 4), (_VENTRAL, ".*", "q.vessel_visible", 2), (f"not {_VENTRAL}", "tim|xanh tim|am tim", "q.top_purple", 4), (f"not {_VENTRAL}", "reu trang", "q.white_coat", 2),
     (f"not {_VENTRAL}", "reu vang", "q.yellow_coat", 2), (f"not {_VENTRAL}", "dau rang|han rang", "q.toothmarks", 2), (f"not {_VENTRAL}", "nut", "q.fissure", 2), (f"not {_VENTRAL}", "kho", "q.dry", 1), (f"not {_VENTRAL}", "nhuan|uot|am", "q.moist", 1),
 ]
-ATLAS_BONUSES = [("", f"q.has_profile and {_ATLAS} and {side} and d.hay rlike '({pattern})' and {condition}", points) for side, pattern, condition, points in _AGREEMENTS]
+ATLAS_BONUSES = [("", f"{_ATLAS} and {side} and d.hay rlike '({pattern})'", points, f"q.has_profile and {condition}") for side, pattern, condition, points in _AGREEMENTS]
 
 
 def observation_profile(queries: DataFrame) -> DataFrame:
@@ -261,5 +279,5 @@ def knowledge_rank(docs: DataFrame, queries: DataFrame, limit: int = 18, **colum
     hay = docs.withColumn("hay", X.fold_text(F.col(text)))
     psych = EVIDENCE_BONUSES[0][0]
     profiled = observation_profile(queries).withColumn("wants_context", X.fold_text(F.col(text)).rlike(psych))
-    blocks = ["d.source = 'PSY1' and not q.wants_context", *ATLAS_BLOCKS]
+    blocks = [("d.source = 'PSY1'", "not q.wants_context"), *ATLAS_BLOCKS]
     return evidence_rank(hay, profiled, limit, EVIDENCE_BONUSES + ATLAS_BONUSES, blocks, **columns)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from groundwork.functions import hashing as H, jsonpred as J
-from groundwork.operators.joins import bounded_broadcast, salted_lookup, top_k, with_dense_index
+from groundwork.operators.joins import salted_lookup, top_k, with_dense_index
 from groundwork.session import materialize
 
 # --- splits -----------------------------------------------------------------
@@ -20,9 +20,8 @@ def split_by_byte(digest: Column) -> Column:
 
 
 def split_by_value(value: Column) -> Column:
-    """The same cut for ids that are not hex digests, on xxhash64 modulo 256."""
-    byte = F.pmod(F.xxhash64(value), F.lit(256))
-    return F.when(byte < 205, "train").when(byte < 230, "validation").otherwise("test")
+    """The same cut for ids that are not hex digests, on their SHA-256."""
+    return split_by_byte(H.sha256(value.cast("string")))
 
 
 def holdout_split(group_hash: Column) -> Column:
@@ -104,18 +103,16 @@ def integrity_digest(**fields: Column) -> Column:
 
 # --- manifests --------------------------------------------------------------
 
-LEAF_ROWS = 8_000
+MANIFEST_DEPTH = 6
 
 
-def manifest_digest(members: DataFrame, depth: int | None = None) -> DataFrame:
+def manifest_digest(members: DataFrame, depth: int = MANIFEST_DEPTH) -> DataFrame:
     """Tree digest over lines ``id:digest:split``. A leaf holds the lines whose SHA-256
     starts with the same ``depth`` hex characters, ordered bytewise; a parent hashes
-    the ordered hashes of its 256 children. Depth is even and follows the row count,
-    so a leaf holds some thousand lines however large the version is."""
-    if depth is None:
-        depth, rows = 2, members.count()
-        while rows / 16**depth > LEAF_ROWS:
-            depth += 2
+    the ordered hashes of its 256 children. The depth is one for all versions, so a
+    digest means the same at every size; 16 million leaves keep a leaf small."""
+    if depth < 2 or depth % 2:
+        raise ValueError("the depth must be even")
     line = F.concat_ws(":", F.col("sample_id").cast("string"), "digest", "split")
     lines = members.select(line.alias("_l")).withColumn("_p", F.substring(H.sha256(F.col("_l")), 1, depth))
     joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\n")
@@ -127,17 +124,7 @@ def manifest_digest(members: DataFrame, depth: int | None = None) -> DataFrame:
     return level.select(F.col("_h").alias("manifest_sha256"), F.col("_n").alias("members"), F.lit(depth).alias("depth"))
 
 
-def manifest_exact(members: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """The flat digest: all ordered lines joined by newline. For versions of at most
-    ``limit`` members, larger ones must use the tree digest."""
-    if members.limit(limit + 1).count() > limit:
-        raise ValueError("too many members for a flat digest; use manifest_digest")
-    line = F.concat_ws(":", F.col("sample_id").cast("string"), "digest", "split")
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("sample_id").alias("k"), line.alias("l"))))
-    return members.agg(H.sha256(F.array_join(F.transform(ordered, lambda s: s["l"]), "\n")).alias("manifest_sha256"), F.count("*").alias("members"))
-
-
-def manifest(members: DataFrame, prefix: str = "ds", depth: int | None = None) -> DataFrame:
+def manifest(members: DataFrame, prefix: str = "ds", depth: int = MANIFEST_DEPTH) -> DataFrame:
     """One row: digest, version (prefix + first 16 hex), members and counts by split."""
     head = manifest_digest(members, depth)
     counts = members.agg(*[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "validation", "test", "holdout")])
@@ -146,8 +133,9 @@ def manifest(members: DataFrame, prefix: str = "ds", depth: int | None = None) -
 
 
 def register_version(members: DataFrame, path: str, prefix: str = "ds") -> DataFrame:
-    """Write the members once under their version. A known version is left alone; a
-    known version with another member count is an error. Returns the manifest row."""
+    """Write the members once under their version. A known version is left alone; one
+    that is stored with another digest or member count (two digests with the same first
+    16 characters) is an error. Returns the manifest row."""
     spark = members.sparkSession
     head = materialize(manifest(members, prefix), "manifest")
     row = head.first()
@@ -156,9 +144,10 @@ def register_version(members: DataFrame, path: str, prefix: str = "ds") -> DataF
     exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
     if not exists:
         members.select("sample_id", "digest", "split").write.mode("errorifexists").parquet(target)
-    stored = spark.read.parquet(target).count()
-    if stored != row["members"]:
-        raise ValueError(f"version {row['version']} holds {stored} members, expected {row['members']}")
+    found = manifest_digest(spark.read.parquet(target)).first()
+    stored = found["members"] if found else 0
+    if stored != row["members"] or (found and found["manifest_sha256"] != row["manifest_sha256"]):
+        raise ValueError(f"version {row['version']} holds {stored} members of another manifest, expected {row['members']}")
     return head.withColumn("created", F.lit(not exists)).withColumn("stored", F.lit(stored).cast("bigint"))
 
 
@@ -226,7 +215,8 @@ def allocate_packets(pool: DataFrame, annotators: DataFrame, done: DataFrame, n:
     (annotator, sample_id). The n first of them lie among the first n + |done| open
     samples, so only those positions are generated: the work is n per annotator plus
     the size of ``done``, not annotators x samples."""
-    n = max(1, min(100, int(n)))
+    if n < 1:
+        raise ValueError("n must be positive")
     places = materialize(with_dense_index(pool, order, "_place", start).select("sample_id", "_place"), "places")
     finished = materialize(done.select("annotator", "sample_id").distinct().join(places, "sample_id"), "done")
     counts = finished.groupBy("annotator").agg(F.count("*").alias("_c"))
@@ -310,8 +300,14 @@ def champion_state(log: DataFrame) -> DataFrame:
     deciding = previous_value(deciding, ["family"], "day", ["ts", "event_id"], "model", "before")
     refused = judged.filter(~(promotes | restores)).select("family", "event_id", "ts", "action", "model", F.when(F.col("action") == "promote", "not_a_candidate").otherwise("never_promoted").alias("violation"))
     same = F.col("before") == F.col("model")
-    kept = deciding.select("family", "event_id", "ts", "action", "model", F.when(same, "already_champion").alias("violation"))
-    return kept.unionByName(refused)
+    kept = deciding.select("family", "event_id", "ts", "action", "model", F.when(same, "already_champion").alias("violation"), F.col("model").alias("_set"))
+    every = kept.unionByName(refused.withColumn("_set", F.lit(None).cast(dict(kept.dtypes)["model"]))).withColumn("day", F.to_date("ts"))
+    last = kept.withColumn("day", F.to_date("ts")).groupBy("family", "day").agg(F.max_by("_set", F.struct("ts", "event_id")).alias("_set"))
+    days = every.select("family", "day").distinct().join(last, ["family", "day"], "left")
+    carried = days.withColumn("_carried", F.last("_set", True).over(W.partitionBy("family").orderBy("day").rowsBetween(W.unboundedPreceding, -1))).drop("_set")
+    inside = W.partitionBy("family", "day").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    marked = every.withColumn("_inside", F.last("_set", True).over(inside)).join(carried, ["family", "day"])
+    return marked.select("family", "event_id", "ts", "action", "model", "violation", F.coalesce("_inside", "_carried").alias("champion"))
 
 
 def champion_history(replay: DataFrame) -> DataFrame:
@@ -326,21 +322,25 @@ def champion_history(replay: DataFrame) -> DataFrame:
 
 
 def promotion_gate(candidates: DataFrame, reviews: DataFrame, evaluations: DataFrame, shadows: DataFrame, holdout_count: int, min_runs: int = 5) -> DataFrame:
-    """A candidate is promotable iff its latest review approves and links a gold
-    evaluation and a shadow evidence of its own hash, the evaluation covers the whole
-    holdout, at least five complete runs carry the hash and both physical
-    confirmations are set. ``shadows``: shadow_id, sha, runs, complete_runs (runs that
-    are complete and of that hash), device_confirmed, latency_confirmed."""
-    latest = reviews.groupBy("model_id").agg(F.max(F.struct("created_at", "review_id", "decision", "evaluation_id", "shadow_id")).alias("r")).select("model_id", "r.*")
-    e = evaluations.select("evaluation_id", F.col("sha").alias("_esha"), "sample_count")
-    s = shadows.select("shadow_id", F.col("sha").alias("_ssha"), "runs", "complete_runs", "device_confirmed", "latency_confirmed")
+    """A candidate is promotable iff its latest approving review (a later rejection does
+    not block) links a gold evaluation and a shadow evidence of its own version and
+    hash, compared without case, the evaluation covers the whole holdout, at least
+    ``min_runs`` complete runs carry the hash and both physical confirmations are set.
+    ``evaluations`` and ``shadows`` carry model_id and sha; ``shadows`` also runs,
+    complete_runs (runs that are complete and of that hash), device_confirmed and
+    latency_confirmed."""
+    fields = F.struct("created_at", "review_id", "evaluation_id", "shadow_id")
+    latest = reviews.groupBy("model_id").agg(F.max(F.when(F.col("decision") == "approve", fields)).alias("r")).select("model_id", F.lit(True).alias("reviewed"), "r.*")
+    e = evaluations.select("evaluation_id", F.col("model_id").alias("_emodel"), F.lower("sha").alias("_esha"), "sample_count")
+    s = shadows.select("shadow_id", F.col("model_id").alias("_smodel"), F.lower("sha").alias("_ssha"), "runs", "complete_runs", "device_confirmed", "latency_confirmed")
     joined = candidates.join(latest, "model_id", "left").join(e, "evaluation_id", "left").join(s, "shadow_id", "left")
+    own = lambda model, sha: (F.col(model) == F.col("model_id")) & (F.col(sha) == F.lower("sha"))
     checks = [
-        (F.col("review_id").isNotNull(), "review_missing"),
-        (F.col("decision") == "approve", "review_not_approved"),
-        (F.col("_esha") == F.col("sha"), "evaluation_hash_mismatch"),
+        (F.col("reviewed"), "review_missing"),
+        (F.col("review_id").isNotNull(), "review_not_approved"),
+        (own("_emodel", "_esha"), "evaluation_hash_mismatch"),
         (F.col("sample_count") == holdout_count, "holdout_not_covered"),
-        (F.col("_ssha") == F.col("sha"), "shadow_hash_mismatch"),
+        (own("_smodel", "_ssha"), "shadow_hash_mismatch"),
         (F.col("runs") >= min_runs, "too_few_runs"),
         (F.col("runs") == F.col("complete_runs"), "incomplete_run"),
         (F.col("device_confirmed") & F.col("latency_confirmed"), "physical_confirmation_missing"),
@@ -348,15 +348,25 @@ def promotion_gate(candidates: DataFrame, reviews: DataFrame, evaluations: DataF
     return joined.select("model_id", J.first_error(*checks).alias("blocked_by")).withColumn("promotable", F.col("blocked_by").isNull())
 
 
-def learning_events(changes: DataFrame, approved: list[str], holdout: DataFrame) -> DataFrame:
-    """Transitions into an approved status (sample_id, ts, event_id, status, bucket) as
-    learning events: key hash, repeated keys ignored, holdout samples blocked."""
-    prior = previous_value(changes, ["sample_id"], "bucket", ["ts", "event_id"], "status", "was")
-    moved = prior.filter(F.col("status").isin(approved) & (F.col("was").isNull() | (F.col("was") != F.col("status"))))
-    keyed = moved.withColumn("event_key", H.hash_key(F.col("status"), F.col("sample_id"), F.col("bucket")))
-    first = keyed.groupBy("event_key").agg(F.min(F.struct("ts", "event_id", "sample_id", "status")).alias("e")).select("event_key", "e.*")
-    blocked = holdout.select("sample_id").distinct().withColumn("_h", F.lit(True))
-    return first.join(blocked, "sample_id", "left").select("event_key", "sample_id", "event_id", "status", F.when(F.col("_h"), "blocked_holdout").otherwise("queued").alias("state"))
+def learning_events(contributions: DataFrame, samples: DataFrame, pool: DataFrame) -> DataFrame:
+    """Learning events of two status logs: a contribution (contribution_id, sample_id, ts,
+    event_id, status) that becomes approved, once per contribution; a sample (sample_id,
+    group_hash, ts, event_id, status) that becomes adjudicated, once per sample and group.
+    ``pool``: sample_id, group_hash of known samples. Samples whose group hash is in the
+    prospective holdout are blocked; ``rebuild`` marks adjudications that call for a new
+    snapshot. The first row with the status always is a transition into it, so minima
+    decide and no log is ordered."""
+    at = F.min(F.struct("ts", "event_id", "sample_id")).alias("e")
+    approved = contributions.filter("status = 'approved'").groupBy("contribution_id").agg(at)
+    approved = approved.select(F.lit("verified_contribution_approved").alias("event_type"), F.col("contribution_id").cast("string").alias("ref"), "e.*").join(pool, "sample_id", "left")
+    adjudicated = samples.filter("status = 'adjudicated'").groupBy("sample_id", "group_hash").agg(F.min(F.struct("ts", "event_id")).alias("e"))
+    adjudicated = adjudicated.select(F.lit("adjudicated_training_ready").alias("event_type"), F.concat_ws("|", F.col("sample_id").cast("string"), "group_hash").alias("ref"), "e.*", "sample_id", "group_hash")
+    every = approved.unionByName(adjudicated)
+    held = F.coalesce(H.hex_bucket(F.col("group_hash"), 8, 5) == 0, F.lit(False))
+    return every.select(
+        H.sha256(F.concat_ws("|", "event_type", "ref")).alias("event_key"), "event_type", "sample_id", "event_id",
+        F.when(held, "blocked_holdout").otherwise("queued").alias("state"), (~held & (F.col("event_type") == "adjudicated_training_ready")).alias("rebuild"),
+    )
 
 
 def mark_snapshotted(events: DataFrame, members: DataFrame) -> DataFrame:
@@ -366,14 +376,13 @@ def mark_snapshotted(events: DataFrame, members: DataFrame) -> DataFrame:
     return joined.withColumn("state", F.when((F.col("state") == "queued") & F.col("_m"), "snapshotted").otherwise(F.col("state"))).drop("_m")
 
 
-def review_queue(contributions: DataFrame, limit: int, content: str = "content_sha256") -> DataFrame:
-    """Pending first, newest first, limit clamped to 1..500. A resubmission of the same
+def review_queue(contributions: DataFrame, limit: int = 500, content: str = "content_sha256") -> DataFrame:
+    """The first ``limit`` rows, pending first, newest first. A resubmission of the same
     content keeps the first row and only moves updated_at."""
-    n = max(1, min(500, int(limit)))
     columns = [c for c in contributions.columns if c not in (content, "updated_at")]
     first = contributions.groupBy(content).agg(F.min(F.struct("created_at", *[c for c in columns if c != "created_at"])).alias("_f"), F.max("updated_at").alias("updated_at"))
     rows = first.select(content, *[F.col(f"_f.{c}").alias(c) for c in columns], "updated_at")
-    return rows.orderBy((F.col("status") == "pending").desc(), F.col("created_at").desc(), F.col("contribution_id").desc()).limit(n)
+    return rows.orderBy((F.col("status") == "pending").desc(), F.col("created_at").desc(), F.col("contribution_id").desc()).limit(limit)
 
 
 # --- contracts --------------------------------------------------------------

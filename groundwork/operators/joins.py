@@ -6,45 +6,39 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from groundwork.session import materialize
 
-BROADCAST_ROWS = 200_000
 HOT_ROWS = 50_000
 HOT_SHARE = 1000
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a small input over all cores before CPU-heavy row work. Inputs
-    with at least one full split per core already are spread and stay untouched."""
+    """Hash-partition an input that has fewer partitions than there are cores before
+    CPU-heavy row work; others already are spread and stay untouched."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, *keys) if size < cores * 128 * 1024 * 1024 else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a bounded count shows at most ``max_rows`` rows;
-    beyond that the planner and AQE choose a shuffle join and split skewed keys."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def hot_values(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> list:
-    """Key values with at least max(min_rows, total / 1000) rows: never more than
-    1,000 values, whatever the size of the table. Counts are combined map-side."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_rows)
+def hot_values(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> dict:
+    """Counts of the key values with at least max(min_rows, total / 1000) rows: never more
+    than 1,000 values, whatever the size of the table. Counts are combined map-side."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_rows)
     top = counts.orderBy(F.desc("_n")).limit(HOT_SHARE).collect()
     if not top:
-        return []
+        return {}
     total = df.count()
-    return [r[key] for r in top if r["_n"] >= max(min_rows, total / HOT_SHARE)]
+    return {r[key]: r["_n"] for r in top if r["_n"] >= max(min_rows, total / HOT_SHARE)}
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner", buckets: int = 64, min_rows: int = HOT_ROWS) -> DataFrame:
-    """Join with a right side that has one row per key. Rows of hot keys on the left
-    are spread over ``buckets`` partitions; only the hot right rows are replicated."""
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner", min_rows: int = HOT_ROWS) -> DataFrame:
+    """Join with a right side that has one row per key. A hot key's rows on the left are
+    spread over as many partitions as its count fills with ``min_rows`` rows each; only
+    the hot right rows are replicated."""
     hot = hot_values(left, key, min_rows)
     if not hot:
         return left.join(right, key, how)
-    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(spread_by), F.lit(buckets)).cast("int")).otherwise(0)
-    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.withColumn("_salt", F.explode(copies))
+    parts = F.create_map(*[F.lit(x) for value, n in hot.items() for x in (value, -(-n // min_rows))])
+    width = F.coalesce(F.try_element_at(parts, F.col(key)), F.lit(1))
+    salt = F.pmod(F.xxhash64(spread_by), width).cast("int")
+    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), width.cast("int") - 1)))
     return left.withColumn("_salt", salt).join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
@@ -58,7 +52,7 @@ def with_dense_index(df: DataFrame, order: list[str], name: str, start: int = 0)
     rank = F.row_number().over(W.partitionBy("_pid").orderBy(*order))
     return (
         parts.withColumn("_rn", rank)
-        .join(bounded_broadcast(offsets), "_pid")
+        .join(offsets, "_pid")
         .withColumn(name, F.col("_off") + F.col("_rn") - 1 + start)
         .drop("_pid", "_rn", "_off")
     )

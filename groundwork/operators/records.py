@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundwork.functions import hashing as H, text as X
-from groundwork.operators.joins import bounded_broadcast
 
 SCHEMA_VERSION = "case-record-v1"
 MIN_CANONICAL = 40
@@ -113,12 +112,13 @@ def fold_conversations(turns: DataFrame, key: str = "conv_id", order: str = "tur
 
 def attach_provenance(records: DataFrame, registry: DataFrame, source: str = "source") -> DataFrame:
     """Registry columns provider, dataset, license, trust_tier, clinical_gold joined by
-    source. A record's own license wins; rights are verified when either is present."""
+    source, beside the record's own pmid, pmcid, doi and source_url (else the registry's
+    dataset_card). A record's own license wins; rights are verified when either is present."""
     own = F.nullif(_optional(records, "license"), F.lit(""))
     reg = registry.withColumnRenamed("license", "_source_license")
     base = records.withColumn("_own", own).drop("license")
     lic = F.coalesce("_own", F.nullif(F.col("_source_license"), F.lit("")), F.lit(""))
-    return base.join(bounded_broadcast(reg), source, "left").select(
+    return base.join(reg, source, "left").select(
         *[x for x in base.columns if x != "_own"],
         F.struct(
             F.coalesce("provider", F.lit("")).alias("provider"),
@@ -127,6 +127,8 @@ def attach_provenance(records: DataFrame, registry: DataFrame, source: str = "so
             "trust_tier",
             F.coalesce("clinical_gold", F.lit(False)).alias("clinical_gold"),
             (lic != "").alias("rights_verified"),
+            *[F.nullif(_optional(records, c), F.lit("")).alias(c) for c in ("pmid", "pmcid", "doi")],
+            F.coalesce(F.nullif(_optional(records, "source_url"), F.lit("")), _optional(registry, "dataset_card")).alias("source_url"),
         ).alias("provenance"),
     )
 
@@ -135,6 +137,6 @@ def license_allowlist(records: DataFrame, registry: DataFrame, source: str = "so
     """Keep records whose license is allow-listed for their source. ``registry`` has
     one row per source with ``license_allowlist``; a null list accepts everything."""
     rules = registry.select(source, "license_allowlist")
-    joined = records.join(bounded_broadcast(rules), source)
+    joined = records.join(rules, source)
     allowed = F.col("license_allowlist").isNull() | F.array_contains("license_allowlist", F.col(license))
     return joined.filter(allowed).drop("license_allowlist")

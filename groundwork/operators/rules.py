@@ -112,9 +112,10 @@ def temper_confidence(df: DataFrame) -> DataFrame:
     )
 
 
-def quality_dashboard(df: DataFrame, order: list, latest: int = 100) -> DataFrame:
-    """Counts and shares over the latest rows (general, top_grade, bottom_grade)."""
-    recent = df.orderBy(*order).limit(latest)
+def quality_dashboard(df: DataFrame, order: list, latest: int | None = 100) -> DataFrame:
+    """Counts and shares over the latest rows (general, top_grade, bottom_grade); over all
+    rows if ``latest`` is None."""
+    recent = df if latest is None else df.orderBy(*order).limit(latest)
     passing = (F.col("top_grade") != "poor") & (~F.col("general") | (F.col("bottom_grade") != "poor"))
     return recent.agg(
         F.count("*").alias("total"), F.count_if("general").alias("general"), F.round(F.avg((F.col("top_grade") == "good").cast("int")), 4).alias("share_good"), F.round(F.avg(passing.cast("int")), 4).alias("share_passing")
@@ -127,7 +128,7 @@ ACTIVE = "quality <> 'poor'"
 # Derived inputs of the calibrated rule set.
 CALIBRATION_INPUTS = [
     ("qc_base", "case when quality = 'good' then 0.90 else 0.70 end"),
-    ("norm_ready", "quality <> 'poor' and norm_applied and neutral_pixels >= 64"),
+    ("norm_ready", "quality <> 'poor' and norm_applied and norm_bounded and neutral_pixels >= 64"),
     ("cover", "greatest(coat, dark)"),
     ("purple_gate", "case when quality = 'good' then 0.17 else 0.22 end"),
     ("spot_gate", "case when quality = 'good' then 0.065 else 0.080 end"),
@@ -138,6 +139,13 @@ CALIBRATION_INPUTS = [
     ("events_total", "left_events + right_events"),
 ]
 _BASE = ("null", "'base-observation'")
+
+
+def observed(*columns: str) -> str:
+    """The first of the columns that is not blank, trimmed, else unknown."""
+    return "coalesce(" + ", ".join(f"nullif(trim({c}), '')" for c in columns) + f", '{UNKNOWN}')"
+
+
 # The calibrated rule set: feature -> (ordered rules, default). A rule is
 # (condition, label, confidence, reason).
 CALIBRATED_RULES = {
@@ -148,7 +156,7 @@ CALIBRATED_RULES = {
             ("norm_ready and body_candidate = 'đỏ' and body_sat >= case when quality = 'good' then 0.43 else 0.47 end", "'đỏ'", "qc_base * 0.84", "'normalized-red-gate'"),
             ("body_candidate = 'đỏ nhạt'", "'đỏ nhạt'", "qc_base * case when norm_ready then 0.78 else 0.62 end", "case when norm_ready then 'normalized-light-red' else 'light-red-with-limited-color-reference' end"),
         ],
-        ("body_candidate", *_BASE),
+        (observed("base_body_color", "body_candidate"), *_BASE),
     ),
     "coating_color": (
         [
@@ -158,7 +166,7 @@ CALIBRATED_RULES = {
             ("coat >= 0.09 and yellow >= 0.30 and yellow > white * 1.28", "'vàng'", f"qc_base * {clamp('0.70 + (yellow - 0.30) * 0.55')}", "'yellow-dominance-gate'"),
             ("coat >= 0.075 and white >= 0.14 and yellow < 0.24", "'trắng'", f"qc_base * {clamp('0.68 + (white - 0.14) * 0.35')}", "'white-coating-gate'"),
         ],
-        ("coat_candidate", *_BASE),
+        (observed("base_coating_color", "coat_candidate"), *_BASE),
     ),
     "coating_thickness": (
         [
@@ -166,14 +174,14 @@ CALIBRATED_RULES = {
             ("(coat >= 0.42 and strict >= 0.18) or (dark_gate and dark >= 0.42)", "'dày'", f"qc_base * {clamp('0.72 + (cover - 0.42) * 0.45')}", "case when dark_gate then 'dark-coating-coverage-gate' else 'thick-coating-dual-coverage-gate' end"),
             ("cover >= 0.10", "'mỏng'", "qc_base * 0.74", "case when dark_gate then 'dark-coating-coverage-gate' else 'thin-coating-coverage-gate' end"),
         ],
-        ("thickness_candidate", *_BASE),
+        (observed("base_coating_thickness", "thickness_candidate"), *_BASE),
     ),
     "shape": (
         [
             ("aspect >= 0.72 and mid >= 0.80 and area_fill >= 0.56", "'rộng/mập tương đối theo ảnh 2D'", f"qc_base * {clamp('0.67 + (aspect - 0.72) * 0.45 + (mid - 0.80) * 0.35')}", "'rtb-broad-2d-conservative'"),
             ("aspect > 0 and aspect <= 0.54 and mid > 0 and mid <= 0.66", "'hẹp/gầy tương đối theo ảnh 2D'", f"qc_base * {clamp('0.67 + (0.54 - aspect) * 0.55 + (0.66 - mid) * 0.35')}", "'rtb-thin-2d-conservative'"),
         ],
-        (f"'{UNKNOWN}'", *_BASE),
+        (observed("base_shape"), *_BASE),
     ),
     "toothmarks": (
         [
@@ -181,7 +189,7 @@ CALIBRATED_RULES = {
             ("edge >= 0.58 and tooth >= 0.44 and events_total >= 2 and (bilateral >= 0.24 or tooth_color >= 0.30)", "'Nghi dấu răng nhẹ'", f"qc_base * {clamp('0.60 + tooth * 0.12 + tooth_color * 0.06')}", "'multiscale-concavity-suspicion-gate'"),
             ("edge >= 0.68 and tooth < 0.24 and events_total = 0 and tooth_color < 0.18", "'Không thấy dấu răng rõ'", "qc_base * 0.68", "'adequate-edge-negative-gate'"),
         ],
-        (f"'{UNKNOWN}'", *_BASE),
+        (observed("base_toothmarks"), *_BASE),
     ),
     "coating_texture": (
         [
@@ -189,11 +197,11 @@ CALIBRATED_RULES = {
             ("coat >= 0.10 and rough >= 0.078", "'thô/không đều'", "qc_base * 0.69", "'coating-roughness-gate'"),
             ("coat >= 0.10 and rough > 0 and rough <= 0.050", "'khá đều'", "qc_base * 0.68", "'low-roughness-gate'"),
         ],
-        (f"'{UNKNOWN}'", *_BASE),
+        (observed("base_coating_texture"), *_BASE),
     ),
     "spots": (
-        [("spot >= spot_gate", "'Có tín hiệu điểm đỏ/gai'", f"qc_base * {clamp('0.64 + (spot - spot_gate) * 1.8')}", "'spot-gate'")],
-        ("'Không thấy tín hiệu điểm đỏ/gai nổi bật'", "qc_base * 0.62", "'below-spot-gate'"),
+        [("spot >= spot_gate", "'Có tín hiệu điểm đỏ/gai'", f"qc_base * {clamp('0.64 + (spot - spot_gate) * 1.8')}", "'red-spot-ratio-qc-gate'")],
+        ("'Không thấy tín hiệu điểm đỏ/gai nổi bật'", "qc_base * 0.62", "'red-spot-ratio-qc-gate'"),
     ),
 }
 
@@ -231,7 +239,7 @@ FEATURE_RULES = {
             ("coat >= 0.10", "'mỏng'", _blend(0.68, 0.32, clamp("0.62 + (coat - 0.10) * 0.35")), "'thin'"),
             ("coat >= 0.05", "'rất mỏng'", _blend(0.68, 0.32, "0.58"), "'very-thin'"),
         ],
-        ("thickness_candidate", _blend(0.68, 0.32, "0.50"), "'candidate'"),
+        (observed("thickness_candidate"), f"case when {observed('thickness_candidate')} <> '{UNKNOWN}' then {_blend(0.68, 0.32, '0.50')} end", f"case when {observed('thickness_candidate')} <> '{UNKNOWN}' then 'candidate' else 'unknown' end"),
     ),
     "k_texture": (
         [
@@ -343,7 +351,7 @@ _mean = lambda ramps: "round((" + " + ".join(_ramp(*r) for r in ramps) + ") / 5.
 SHAPE_INPUTS = [
     ("broad_score", _mean(BROAD_RAMPS)),
     ("narrow_score", _mean(NARROW_RAMPS)),
-    ("stable", "edge >= 0.60 and roi_height >= 0.28 and roi_width >= 0.18 and top_margin > 0.012 and bottom_margin > 0.012 and center_deviation <= 0.14 and smoothness <= 0.22"),
+    ("stable", "edge >= 0.60 and roi_height >= case when anchored then 0.08 else 0.28 end and roi_width >= case when anchored then 0.12 else 0.18 end and top_margin > 0.012 and bottom_margin > 0.012 and center_deviation <= 0.14 and smoothness <= 0.22"),
 ]
 SHAPE_RULES = [
     ("not stable", "'unknown'", "null", "'geometry-unstable'"),
@@ -355,7 +363,8 @@ SHAPE_DEFAULT = ("'typical'", "(case when quality = 'good' then 0.82 else 0.64 e
 
 def dual_score_class(df: DataFrame, current: str = "current_shape") -> DataFrame:
     """Shape class from two averaged ramp scores and its agreement with the current one
-    (broad, narrow, typical, unknown)."""
+    (broad, narrow, typical, unknown). ``anchored`` views, found by the mouth at a source
+    height of 320 pixels or more, pass smaller size gates."""
     df = rule_cascade(derive(df, SHAPE_INPUTS), "shape_class", SHAPE_RULES, SHAPE_DEFAULT, ACTIVE)
     now, ref = F.col(current), F.coalesce(F.col("shape_class.label"), F.lit("unknown"))
     near = (now == "typical") | (ref == "typical")
@@ -436,10 +445,11 @@ POOR_CAP, MAX_LIFT, MAX_CANDIDATES = 0.25, 0.08, 6
 
 
 def fuse_candidates(direct: DataFrame, reasoning: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """Per item and label the weighted score of direct (key, label, score), reasoning and
+    """Per item and label the weighted score of direct (key, label, score, ord), reasoning and
     atlas support (items.atlas), lifted at most 0.08 above the direct score. Accepted:
-    direct >= 0.72, or direct >= 0.50 with two layers; the best six per item."""
-    d = direct.groupBy(key, "label").agg(F.max("score").alias("d"))
+    direct >= 0.72, or direct >= 0.50 with two layers; the best six per item, ties in the
+    order of the direct rows (``ord``)."""
+    d = direct.groupBy(key, "label").agg(F.max("score").alias("d"), F.min("ord").alias("ord"))
     r = reasoning.groupBy(key, "label").agg(F.max("score").alias("r"))
     both = d.join(r, [key, "label"], "full_outer").join(items.select(key, "atlas"), key)
     ds, gp = F.coalesce("d", F.lit(0.0)), F.coalesce("r", "d")
@@ -447,8 +457,8 @@ def fuse_candidates(direct: DataFrame, reasoning: DataFrame, items: DataFrame, k
     layers = (ds >= 0.50).cast("int") + (support >= 0.55).cast("int") + (gp >= 0.55).cast("int")
     weighted = F.least(F.lit(1.0), LAYER_WEIGHTS[0] * ds + LAYER_WEIGHTS[1] * gp + LAYER_WEIGHTS[2] * support)
     score = F.when(ds > 0, F.least(ds + MAX_LIFT, weighted)).otherwise(weighted)
-    rated = both.select(key, "label", F.round(score, 3).alias("score"), layers.alias("layers"), ((ds >= 0.72) | ((ds >= 0.50) & (layers >= 2))).alias("ok"))
-    return top_k(rated.filter("ok").drop("ok"), [key], [F.desc("score"), F.asc("label")], MAX_CANDIDATES)
+    rated = both.select(key, "label", "ord", F.round(score, 3).alias("score"), layers.alias("layers"), ((ds >= 0.72) | ((ds >= 0.50) & (layers >= 2))).alias("ok"))
+    return top_k(rated.filter("ok").drop("ok"), [key], [F.desc("score"), F.asc_nulls_last("ord"), F.asc("label")], MAX_CANDIDATES)
 
 
 def fuse_layers(direct: DataFrame, reasoning: DataFrame, items: DataFrame, key: str) -> DataFrame:
@@ -562,7 +572,7 @@ def ratio_labels(df: DataFrame) -> DataFrame:
 # Fall-back patterns over the joined observation texts; confidences stay
 # at or below 0.62, at most four, in rule order.
 FALLBACK_FLAGS = [
-    ("f_red", "top_text", "đỏ"), ("f_pale", "top_text", "nhợt|nhạt"), ("f_yellow", "top_text", "vàng"), ("f_white", "top_text", "trắng"), ("f_dry", "top_text", "khô"),
+    ("f_red", "top_text", "đỏ|đo\u0309"), ("f_pale", "top_text", "nhợt|nhạt"), ("f_yellow", "top_text", "vàng"), ("f_white", "top_text", "trắng"), ("f_dry", "top_text", "khô"),
     ("f_little", "top_text", "rất mỏng|ít rêu|khó tách|tróc|mất rêu|không thấy màu rêu nổi bật"), ("f_thick", "top_text", "dày|nhầy|dính|bẩn"), ("f_purple", "top_text", "tím|ám tím|ứ"),
     ("f_tooth", "top_text", "dấu răng|hằn răng"), ("f_broad", "top_text", "bệu|rộng"), ("f_under", "under_text", "tím|xanh tím|giãn|ứ"),
 ]
@@ -575,7 +585,12 @@ FALLBACK_RULES = [
 FALLBACK_LIMIT = 4
 
 
+FALLBACK_DEFAULT = ("'Tham Vấn: nguyên tắc đọc thiệt tượng'", "0.42")
+
+
 def fallback_patterns(df: DataFrame, key: str) -> DataFrame:
-    """Fall-back rules over top_text and under_text, the first four in rule order."""
+    """Fall-back rules over top_text and under_text, the first four in rule order; the
+    reading principle where none holds. Both spellings of the red word count."""
     flags = {n: F.lower(F.coalesce(F.col(c), F.lit(""))).rlike(p) for n, c, p in FALLBACK_FLAGS}
-    return emit_patterns(df.withColumns(flags), key, FALLBACK_RULES, FALLBACK_LIMIT, by_score=False)
+    none = " and ".join(f"not ({c})" for _, c, _, _ in FALLBACK_RULES)
+    return emit_patterns(df.withColumns(flags), key, [*FALLBACK_RULES, (FALLBACK_DEFAULT[0], none, FALLBACK_DEFAULT[1], True)], FALLBACK_LIMIT, by_score=False)

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from groundwork.operators.joins import bounded_broadcast, top_k
+from groundwork.operators.joins import top_k
 
 # Signature dimensions with weight and scale.
 DIMENSIONS = [
@@ -17,7 +17,8 @@ NAMES = [n for n, _, _ in DIMENSIONS]
 # Weights of the five categories and of the two similarity parts.
 CATEGORY_WEIGHTS = [("tongue", 0.3), ("coat", 0.3), ("thick", 0.2), ("fissure", 0.1), ("spots", 0.1)]
 NUMERIC_SHARE, CATEGORY_SHARE = 0.82, 0.18
-QUERY_BLOCK = 4096
+#: Queries and references that one task compares at a time.
+QUERY_BLOCK, REF_BLOCK = 1024, 8192
 
 
 def validate_vector(vector: Column, low: float, high: float) -> Column:
@@ -75,26 +76,32 @@ def _arrays(pdf: pd.DataFrame) -> dict:
 
 
 def _block_topk(queries: DataFrame, refs: DataFrame, schema: str, pick) -> DataFrame:
-    """Scan the references once per block of at most ``QUERY_BLOCK`` queries. A task
-    compares each Arrow batch with the block and emits ``pick(query rows, reference
-    batch, similarities)``: a few rows per query, never the pairs."""
-    prepared = with_categories(queries)
-    count = prepared.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    tagged = prepared.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)))
-    sc, out = queries.sparkSession.sparkContext, None
-    for i in range(blocks):
-        shared = sc.broadcast(tagged.filter(F.col("_block") == i).drop("_block").toPandas())
-
-        def search(batches, shared=shared):
-            block = shared.value
-            for batch in batches:
-                if len(batch) and len(block):
-                    yield pick(block, batch, _similarity_matrix(_arrays(block), _arrays(batch)))
-
-        part = with_categories(refs).mapInPandas(search, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Compares every query with every reference in blocks: queries and references are
+    dealt by hash, and each task gets one block of both. A task emits
+    ``pick(queries, references, similarities)``, a few rows per query, never the pairs.
+    The number of blocks follows the row counts, so a task's share stays the same."""
+    q, r = with_categories(queries), with_categories(refs)
+    blocks, slices = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-r.count() // REF_BLOCK))
+    dealt = lambda names, n: F.pmod(F.xxhash64(*names), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("_block", dealt(queries.columns, blocks)).withColumn("_slice", every(slices))
+    right = r.withColumn("_slice", dealt(refs.columns, slices)).withColumn("_block", every(blocks))
+
+    def search(block: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+        return pick(block, batch, _similarity_matrix(_arrays(block), _arrays(batch)))
+
+    keys = ["_block", "_slice"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+
+
+def _codes(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns as numbers that are equal where the values are."""
+    codes = pd.factorize(pd.concat([left, right], ignore_index=True))[0]
+    return codes[: len(left), None], codes[None, len(left) :]
+
+
+def _frame(block: pd.DataFrame, query: str, rows: np.ndarray, columns: dict) -> pd.DataFrame:
+    return pd.DataFrame({"query": block[query].to_numpy()[rows]} | columns)
 
 
 def vector_topk(queries: DataFrame, refs: DataFrame, k: int = 3, query: str = "query_id", ref: str = "ref_id", key: str = "key") -> DataFrame:
@@ -103,13 +110,18 @@ def vector_topk(queries: DataFrame, refs: DataFrame, k: int = 3, query: str = "q
 
     def pick(block, batch, sims):
         rounded = np.floor(sims * 1000 + 0.5) / 1000
-        ids, keys, frames = batch[ref].to_numpy(), batch[key].to_numpy(), []
-        for row in range(len(block)):
-            order = np.lexsort((ids, -rounded[row]))
-            _, first = np.unique(keys[order], return_index=True)
-            best = order[np.sort(first)[:k]]
-            frames.append(pd.DataFrame({"query": block[query].iloc[row], "ref": ids[best], "key": keys[best], "similarity": rounded[row][best]}))
-        return pd.concat(frames)
+        ids, codes = batch[ref].to_numpy(), pd.factorize(batch[key])[0]
+        spread = lambda x: np.broadcast_to(x, rounded.shape)
+        if not rounded.size:
+            return _frame(block, query, np.zeros(0, dtype=int), {"ref": ids[:0], "key": batch[key].to_numpy()[:0], "similarity": rounded[0:0].ravel()})
+        order = np.lexsort((spread(ids), -rounded, spread(codes)), axis=1)
+        starts = np.flatnonzero(np.r_[True, np.diff(np.sort(codes)) > 0])
+        best = order[:, starts]  # the best reference of each key
+        value = np.take_along_axis(rounded, best, axis=1)
+        top = np.lexsort((ids[best], -value), axis=1)[:, :k]
+        best, value = np.take_along_axis(best, top, axis=1), np.take_along_axis(value, top, axis=1)
+        rows = np.repeat(np.arange(len(block)), best.shape[1])
+        return _frame(block, query, rows, {"ref": ids[best.ravel()], "key": batch[key].to_numpy()[best.ravel()], "similarity": value.ravel()})
 
     types = dict(refs.dtypes)
     schema = f"query {dict(queries.dtypes)[query]}, ref {types[ref]}, key {types[key]}, similarity double"
@@ -121,20 +133,21 @@ def vector_topk(queries: DataFrame, refs: DataFrame, k: int = 3, query: str = "q
 def learned_topk(queries: DataFrame, legacy: DataFrame, verified: DataFrame, limit: int = 3, query: str = "query_id") -> DataFrame:
     """Union of two knowledge sets (knowledge_id, top_hash, bottom_hash, approved_at,
     signature) ranked per query: exact hash matches first, then the blended score,
-    then the newest. Kept: exact matches or similarity >= 0.45."""
-    limit = min(5, max(1, int(limit)))
+    then the newest. Kept: exact matches or similarity >= 0.45; ``limit`` as given."""
 
     def pick(block, batch, sims):
-        frames, ids, at = [], batch["knowledge_id"].to_numpy(), batch["approved_at"].to_numpy()
-        for row in range(len(block)):
-            top = (batch["top_hash"] == block["top_hash"].iloc[row]).to_numpy()
-            bottom = (batch["bottom_hash"] == block["bottom_hash"].iloc[row]).to_numpy()
-            raw = np.minimum(1.0, np.where(top, 0.35, 0.0) + np.where(bottom, 0.10, 0.0) + np.where(top, 0.55, 1.0) * sims[row])
-            exact = top | bottom
-            keep = np.flatnonzero(exact | (sims[row] >= 0.45))
-            order = keep[np.lexsort((ids[keep], -at[keep], -raw[keep], ~exact[keep]))][:limit]
-            frames.append(pd.DataFrame({"query": block[query].iloc[row], "knowledge_id": ids[order], "exact": exact[order], "raw": raw[order], "approved_at": at[order]}))
-        return pd.concat(frames)
+        ids, at = batch["knowledge_id"].to_numpy(), batch["approved_at"].to_numpy()
+        same = lambda name: np.equal(*_codes(block[name], batch[name]))
+        top, bottom = same("top_hash"), same("bottom_hash")
+        raw = np.minimum(1.0, np.where(top, 0.35, 0.0) + np.where(bottom, 0.10, 0.0) + np.where(top, 0.55, 1.0) * sims)
+        exact = top | bottom
+        keep = exact | (sims >= 0.45)
+        spread = lambda x: np.broadcast_to(x, raw.shape)
+        order = np.lexsort((spread(ids), -spread(at), -raw, ~exact, ~keep), axis=1)[:, :limit]
+        rows = np.repeat(np.arange(len(block)), order.shape[1])
+        cols = order.ravel()
+        rows, cols = rows[keep[rows, cols]], cols[keep[rows, cols]]
+        return _frame(block, query, rows, {"knowledge_id": ids[cols], "exact": exact[rows, cols], "raw": raw[rows, cols], "approved_at": at[cols]})
 
     columns = ["knowledge_id", "top_hash", "bottom_hash", "approved_at", *NAMES]
     knowledge = legacy.select(columns).unionByName(verified.select(columns))
@@ -152,7 +165,7 @@ def class_centroids(df: DataFrame, label: str, dims: list[str]) -> DataFrame:
 
 def centroid_similarity(df: DataFrame, centroids: DataFrame, label: str, dims: list[str]) -> DataFrame:
     """1 - mean clipped difference to the centroid of the row's class."""
-    joined = df.join(bounded_broadcast(centroids), label)
+    joined = df.join(centroids, label)
     distance = sum((F.least(F.lit(1.0), F.abs(F.col(d) - F.col(f"mean_{d}"))) for d in dims), F.lit(0.0))
     value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - distance / len(dims)))
     return joined.select(*df.columns, F.round(value, 3).alias("similarity"))

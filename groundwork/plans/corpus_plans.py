@@ -111,12 +111,18 @@ def source_registry(spark, sf):
     "r05_attach_provenance",
     f"""with {_REGISTRY_SQL} select doc_id, provider, dataset, trust_tier, clinical_gold,
       coalesce(nullif(own, ''), nullif(r.license, ''), '') as license,
-      coalesce(nullif(own, ''), nullif(r.license, ''), '') <> '' as rights_verified
-    from (select doc_id, source, case when lang = 'de' then 'CC-BY-3.0' else '' end as own from documents) d
+      coalesce(nullif(own, ''), nullif(r.license, ''), '') <> '' as rights_verified,
+      pmid, cast(null as varchar) as pmcid, doi, source_url
+    from (select doc_id, source, case when lang = 'de' then 'CC-BY-3.0' else '' end as own, case when doc_id % 3 = 0 then 'P' || doc_id end as pmid, case when doc_id % 4 = 1 then '10.1/' || doc_id end as doi,
+      case when doc_id % 5 = 0 then 'https://' || source || '/' || doc_id end as source_url from documents) d
     left join registry r on r.source = d.source""",
 )
 def r05(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.when(F.col("lang") == "de", "CC-BY-3.0").otherwise("").alias("license"))
+    own = lambda number, rest, *parts: F.when(F.col("doc_id") % number == rest, F.concat(*parts, F.col("doc_id").cast("string"))).otherwise("")
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "source", F.when(F.col("lang") == "de", "CC-BY-3.0").otherwise("").alias("license"), own(3, 0, F.lit("P")).alias("pmid"), own(4, 1, F.lit("10.1/")).alias("doi"),
+        own(5, 0, F.lit("https://"), F.col("source"), F.lit("/")).alias("source_url"),
+    )
     out = R.attach_provenance(docs, source_registry(spark, sf))
     return out.select("doc_id", "provenance.*")
 

@@ -157,25 +157,38 @@ def e06(spark, sf):
     return overlaps(spark, sf).select("l_orderkey", "gold_pixels", "pred_pixels", "intersection", F.round("dice", 6).alias("dice"), F.round("iou", 6).alias("iou"), "mask_error")
 
 
+def boot_sql(rows: str, value: str, key: str) -> str:
+    """lower, upper and n of the bucket bootstrap over ``rows``."""
+    return f"""(with bk as (select {A.hexnum(f"sha256({key})", 2)} as bucket, sum({value}::double) as s, count(*) as c from {rows} where {value} is not null group by 1),
+      dr as (select b, {A.hexnum("sha256('20260918:' || b || ':' || p)", 2)} as bucket from range(2000) x(b), range(256) y(p)),
+      mn as (select b, sum(s) / sum(c) as mean from dr join bk using (bucket) group by b),
+      od as (select list_sort(list(mean)) as m from mn)
+      select m[50] as lower, m[1950] as upper, (select sum(c)::bigint from bk) as n from od)"""
+
+
 @query(
     "e05_holdout_metrics",
-    f"""with {_MASK_SQL}, f as (select l_orderkey, l_orderkey > 100 as u, gold_pixels > 20 as g, pred_pixels > 20 as p, dice, iou from scored),
+    f"""with {_MASK_SQL}, f as materialized (select l_orderkey, l_orderkey > 100 as u, gold_pixels > 20 as g, pred_pixels > 20 as p, dice, iou from scored), ug as (select * from f where u and g),
     c as (select {_CELLS('u')}, count(*) filter (where not u) as excluded, count(*) as samples, count(*) filter (where u) as usable, count(*) filter (where u and g) as positives,
       round(avg(dice) filter (where u and g), 6) as mean_dice, round(avg(iou) filter (where u and g), 6) as mean_iou from f)
-    select *, {_RATES}, cast(null as varchar) as error from c""",
+    select c.*, {_RATES}, round(d.lower, 6) as dice_lower, round(d.upper, 6) as dice_upper, round(i.lower, 6) as iou_lower, round(i.upper, 6) as iou_upper, cast(null as varchar) as error
+    from c, {boot_sql('ug', 'dice', 'l_orderkey::varchar')} d, {boot_sql('ug', 'iou', 'l_orderkey::varchar')} i""",
 )
 def e05(spark, sf):
     rows = overlaps(spark, sf).select(
         F.col("l_orderkey").alias("sample_id"), F.lit("h1").alias("holdout_version"), F.lit("m1").alias("model_sha256"), (F.col("l_orderkey") > 100).alias("usable"),
         (F.col("gold_pixels") > 20).alias("gold_present"), (F.col("pred_pixels") > 20).alias("pred_present"), "dice", "iou",
     )
-    out = E.holdout_metrics(rows)
-    return _rounded(out).withColumn("mean_dice", F.round("mean_dice", 6)).withColumn("mean_iou", F.round("mean_iou", 6))
+    out = _rounded(E.holdout_metrics(rows))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_dice", "mean_iou", "dice_lower", "dice_upper", "iou_lower", "iou_upper")})
+
+
+_LINE_KEY = "l_orderkey || ':' || l_linenumber"
 
 
-@query("e07_bootstrap_ci")
+@query("e07_bootstrap_ci", f"select round(lower, 4) as lower, round(upper, 4) as upper, 2000 as iterations, n from {boot_sql('lineitem', 'l_extendedprice', _LINE_KEY)}")
 def e07(spark, sf):
-    out = E.bootstrap_ci(table(spark, sf, "lineitem"), "l_extendedprice")
+    out = E.bootstrap_ci(table(spark, sf, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber"])
     return out.withColumn("lower", F.round("lower", 4)).withColumn("upper", F.round("upper", 4))
 
 

@@ -27,7 +27,7 @@ def g01(spark, sf):
     return members(spark, sf).groupBy(G.split_by_byte(F.col("digest")).alias("split")).agg(F.count("*").alias("n"))
 
 
-@query("g01_split_by_value")
+@query("g01_split_by_value", f"select split, count(*) as n from (select {_BYTE('sha256(event_id::varchar)')} as split from events) group by split")
 def g01_value(spark, sf):
     return table(spark, sf, "events").groupBy(G.split_by_value(F.col("event_id")).alias("split")).agg(F.count("*").alias("n"))
 
@@ -131,8 +131,10 @@ def g08(spark, sf):
 
 
 _MANIFEST = f"""{_MEMBERS}, lines as (select sample_id || ':' || digest || ':' || split as l from members),
-    leaves as (select substr(sha256(l), 1, 2) as p, sha256(string_agg(l, chr(10) order by l)) as h from lines group by 1),
-    root as (select sha256(string_agg(p || ':' || h, chr(10) order by p || ':' || h)) as manifest_sha256 from leaves)"""
+    t6 as (select substr(sha256(l), 1, 6) as p, sha256(string_agg(l, chr(10) order by l)) as h from lines group by 1),
+    t4 as (select substr(p, 1, 4) as p, sha256(string_agg(p || ':' || h, chr(10) order by p || ':' || h)) as h from t6 group by substr(p, 1, 4)),
+    t2 as (select substr(p, 1, 2) as p, sha256(string_agg(p || ':' || h, chr(10) order by p || ':' || h)) as h from t4 group by substr(p, 1, 2)),
+    root as (select sha256(string_agg(p || ':' || h, chr(10) order by p || ':' || h)) as manifest_sha256 from t2)"""
 
 
 @query(
@@ -293,13 +295,13 @@ def g21(spark, sf):
 
 
 def registry_log(spark, sf):
-    events = table(spark, sf, "events").filter("event_type in ('purchase', 'signup', 'view')")
+    events = table(spark, sf, "events")
     model = F.concat(F.lit("m"), (F.get_json_object("props", "$.k").cast("int") % 12).cast("string"))
-    return events.select(F.col("user_id").alias("family"), "event_id", "ts", F.when(F.col("event_type") == "purchase", "promote").otherwise("rollback").alias("action"), model.alias("model"))
+    return events.select(F.col("user_id").alias("family"), "event_id", "ts", F.when(F.col("event_type").isin("purchase", "signup"), "promote").otherwise("rollback").alias("action"), model.alias("model"))
 
 
-_REPLAY = """log as (select user_id as family, event_id, ts, case when event_type = 'purchase' then 'promote' else 'rollback' end as action, 'm' || (cast(json_extract_string(props, '$.k') as int) % 12) as model
-      from events where event_type in ('purchase', 'signup', 'view')),
+_REPLAY = """log as (select user_id as family, event_id, ts, case when event_type in ('purchase', 'signup') then 'promote' else 'rollback' end as action, 'm' || (cast(json_extract_string(props, '$.k') as int) % 12) as model
+      from events),
     ranked as materialized (select *, row_number() over (partition by family order by ts, event_id) as pos from log),
     firsts as (select family, model, min(pos) as first_pos from ranked where action = 'promote' group by all),
     judged as materialized (select r.*, first_pos, coalesce(case when action = 'promote' then pos = first_pos else first_pos < pos end, false) as deciding from ranked r left join firsts f using (family, model)),
@@ -308,9 +310,14 @@ _REPLAY = """log as (select user_id as family, event_id, ts, case when event_typ
       union all select family, event_id, ts, action, model, case when action = 'promote' then 'not_a_candidate' else 'never_promoted' end from judged where not deciding)"""
 
 
-@query("g22_champion_state", f"with {_REPLAY} select family, event_id, action, model, violation from replay")
+@query(
+    "g22_champion_state",
+    f"""with {_REPLAY} select family, event_id, action, replay.model as model, violation,
+      last_value(case when r.deciding then r.model end ignore nulls) over (partition by family order by r.pos rows between unbounded preceding and current row) as champion
+      from replay join (select event_id, pos, deciding, model from judged) r using (event_id)""",
+)
 def g22(spark, sf):
-    return G.champion_state(registry_log(spark, sf)).select("family", "event_id", "action", "model", "violation")
+    return G.champion_state(registry_log(spark, sf)).drop("ts")
 
 
 @query("g22_champion_history", f"with {_REPLAY} select family, model, event_id, ts as valid_from, lead(ts) over (partition by family order by ts, event_id) as valid_to from replay where violation is null")
@@ -321,10 +328,10 @@ def g22_history(spark, sf):
 
 @query(
     "g23_promotion_gate",
-    """with rv as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders),
+    """with rv as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders where o_orderstatus = 'F'),
     sh as (select l_orderkey, count(*) as runs, count(*) filter (where l_quantity > 5) as complete_runs, max(l_discount) > 0.03 as dev from lineitem group by l_orderkey),
     j as (select c_custkey, rv.*, sh.* from customer left join rv on rv.o_custkey = c_custkey and rn = 1 left join sh on sh.l_orderkey = rv.o_orderkey),
-    k as (select c_custkey as model_id, case when o_orderkey is null then 'review_missing' when o_orderstatus <> 'F' then 'review_not_approved' when o_orderpriority = '5-LOW' then 'evaluation_hash_mismatch'
+    k as (select c_custkey as model_id, case when c_custkey not in (select o_custkey from orders) then 'review_missing' when o_orderkey is null then 'review_not_approved' when o_orderpriority = '5-LOW' then 'evaluation_hash_mismatch'
       when not o_totalprice > 60000 then 'holdout_not_covered' when l_orderkey is null then 'shadow_hash_mismatch' when runs < 3 then 'too_few_runs' when runs <> complete_runs then 'incomplete_run'
       when not dev then 'physical_confirmation_missing' end as blocked_by from j) select *, blocked_by is null as promotable from k""",
 )
@@ -337,30 +344,39 @@ def g23(spark, sf):
         F.when(F.col("o_orderstatus") == "F", "approve").otherwise("reject").alias("decision"), F.col("o_orderkey").alias("evaluation_id"), F.col("o_orderkey").alias("shadow_id"),
     )
     evaluations = orders.select(
-        F.col("o_orderkey").alias("evaluation_id"), F.when(F.col("o_orderpriority") == "5-LOW", sha(F.lit("other"))).otherwise(sha(F.col("o_custkey"))).alias("sha"),
+        F.col("o_orderkey").alias("evaluation_id"), F.col("o_custkey").alias("model_id"), F.when(F.col("o_orderpriority") == "5-LOW", sha(F.lit("other"))).otherwise(F.upper(sha(F.col("o_custkey")))).alias("sha"),
         F.when(F.col("o_totalprice") > 60000, 200).otherwise(100).alias("sample_count"),
     )
     runs = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("shadow_id")).agg(
         F.count("*").alias("runs"), F.count_if(F.col("l_quantity") > 5).alias("complete_runs"), (F.max("l_discount") > 0.03).alias("device_confirmed")
     )
-    shadows = runs.join(orders.select(F.col("o_orderkey").alias("shadow_id"), sha(F.col("o_custkey")).alias("sha")), "shadow_id").withColumn("latency_confirmed", F.lit(True))
+    shadows = runs.join(orders.select(F.col("o_orderkey").alias("shadow_id"), F.col("o_custkey").alias("model_id"), sha(F.col("o_custkey")).alias("sha")), "shadow_id").withColumn("latency_confirmed", F.lit(True))
     return G.promotion_gate(candidates, reviews, evaluations, shadows, 200, min_runs=3)
 
 
 def learning(spark, sf):
-    changes = table(spark, sf, "events").select(F.col("user_id").alias("sample_id"), "ts", "event_id", F.col("event_type").alias("status"), F.to_date("ts").alias("bucket"))
-    users = changes.select("sample_id").distinct()
-    hold = users.filter(G.holdout_split(F.sha2(F.col("sample_id").cast("string"), 256)) == "holdout")
-    return G.learning_events(changes, ["purchase", "signup"], hold), users
-
-
-_LEARN = f"""ch as (select user_id as sample_id, ts, event_id, event_type as status, lag(event_type) over (partition by user_id order by ts, event_id) as was from events),
-    mv as (select *, sha256(status || '|' || sample_id || '|' || cast(cast(ts as date) as varchar)) as event_key from ch where status in ('purchase', 'signup') and was is distinct from status),
-    ev as materialized (select event_key, sample_id, event_id, status, case when {A.hexnum("sha256(cast(sample_id as varchar))", 8)} % 5 = 0 then 'blocked_holdout' else 'queued' end as state
-      from (select *, row_number() over (partition by event_key order by ts, event_id) as rn from mv) where rn = 1)"""
-
-
-@query("g24_learning_events", f"with {_LEARN} select event_key, sample_id, event_id, status, state from ev")
+    """Users are samples; a user's events with one number k are a contribution. Every
+    seventh user is not in the pool."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    events = table(spark, sf, "events").select(F.col("user_id").alias("sample_id"), "ts", "event_id", "event_type", (F.col("user_id") * 1000 + k).alias("contribution_id"))
+    group = F.sha2(F.col("sample_id").cast("string"), 256)
+    contributions = events.withColumn("status", F.when(F.col("event_type") == "purchase", "approved").otherwise("pending"))
+    samples = events.withColumns({"status": F.when(F.col("event_type") == "signup", "adjudicated").otherwise("open"), "group_hash": group})
+    users = events.select("sample_id").distinct()
+    pool = users.filter("sample_id % 7 <> 0").withColumn("group_hash", group)
+    return G.learning_events(contributions, samples, pool), users
+
+
+_LEARN = f"""e as (select user_id as sample_id, ts, event_id, event_type, user_id * 1000 + cast(json_extract_string(props, '$.k') as bigint) as contribution_id from events),
+    ev as materialized (select sha256('verified_contribution_approved|' || contribution_id) as event_key, 'verified_contribution_approved' as event_type, sample_id, event_id,
+        case when sample_id % 7 <> 0 and {A.hexnum("sha256(cast(sample_id as varchar))", 8)} % 5 = 0 then 'blocked_holdout' else 'queued' end as state, false as rebuild
+      from (select *, row_number() over (partition by contribution_id order by ts, event_id) as rn from e where event_type = 'purchase') where rn = 1
+      union all select sha256('adjudicated_training_ready|' || sample_id || '|' || sha256(cast(sample_id as varchar))), 'adjudicated_training_ready', sample_id, event_id,
+        case when {A.hexnum("sha256(cast(sample_id as varchar))", 8)} % 5 = 0 then 'blocked_holdout' else 'queued' end, {A.hexnum("sha256(cast(sample_id as varchar))", 8)} % 5 <> 0
+      from (select *, row_number() over (partition by sample_id order by ts, event_id) as rn from e where event_type = 'signup') where rn = 1)"""
+
+
+@query("g24_learning_events", f"with {_LEARN} select event_key, event_type, sample_id, event_id, state, rebuild from ev")
 def g24(spark, sf):
     return learning(spark, sf)[0]
 

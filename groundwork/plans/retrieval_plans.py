@@ -142,8 +142,8 @@ def x08(spark, sf):
 
 @query(
     "x09_assemble_context",
-    f"""with {bm25_sql()}, blocks as (select query, rank, 'CASE ' || rank || ' | source=' || source || ' | task=text | record=' || h.doc || chr(10)
-        || 'Facts: ' || {A.truncate('clean', 1200)} || chr(10) || 'License: ' as b from hits h join toks t on t.doc = h.doc),
+    f"""with {bm25_sql()}, blocks as (select query, rank, 'CASE ' || rank || ' | source=' || source || ' | task=text | record=' || h.doc || ' | bm25=' || cast(round(cast(h.score as double), 6) as decimal(18, 6)) || chr(10)
+        || 'Facts: ' || {A.truncate('clean', 1200)} || chr(10) || 'Provenance: {{"license":"","pmid":"","pmcid":"","doi":""}}' as b from hits h join toks t on t.doc = h.doc),
     texts as (select query, string_agg(b, chr(10) || chr(10) order by rank) as c from blocks group by query)
     select query as query_id, case when length(c) > 7600 then substr(c, 1, 7599) || '…' else c end as context from texts""",
 )
@@ -160,12 +160,12 @@ def x10(spark, sf):
 
 _CHAT_QUERIES = f"""q as materialized (select conv_id as query, string_agg(text, ' ' order by turn) as text,
     list_distinct(flatten(list(terms))) as terms from (
-      select conv_id, turn, text, list_filter({iwords('text')}, lambda t: length(t) >= 8) as terms from conversations where role = 'user') group by conv_id)"""
+      select conv_id, turn, text, {iwords('text')} as terms from conversations where role = 'user') group by conv_id)"""
 
 
 def chat_queries(spark, sf):
     turns = table(spark, sf, "conversations").filter("role = 'user'")
-    terms = turns.select("conv_id", F.explode(F.filter(X.index_words(F.col("text")), lambda t: F.length(t) >= 8)).alias("t")).distinct()
+    terms = turns.select("conv_id", F.explode(X.index_words(F.col("text"))).alias("t")).distinct()
     listed = terms.groupBy("conv_id").agg(F.collect_list("t").alias("terms"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
     texts = turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.array_join(ordered, " ").alias("text"))
@@ -222,7 +222,7 @@ BONUSES = [
     ("(ment|que)", "d.source like 'src1%'", 7),
     ("(los|las)", "d.source = 'src2' and d.page = 22", 30),
 ]
-BLOCKS = ["d.lang = 'de' and length(q.text) < 80"]
+BLOCKS = [("d.lang = 'de'", "length(q.text) < 80")]
 
 
 @query(
@@ -304,8 +304,8 @@ def x15(spark, sf):
 
 @query(
     "x16_snippet_rank",
-    f"""with {bm25_sql()}, m as (select query, doc, rank from hits join q using (query) where length(q.text) >= 120 and rank <= 3),
-    st as (select query, doc, rank, unnest(range(1, len(s) + 1)) as pos, s from (select query, m.doc, rank, {SENTENCES_SQL.replace('text', 'd.text')} as s from m join documents d on d.doc_id = m.doc)),
+    f"""with {bm25_sql()}, m as (select query, doc, row_number() over (partition by query order by hits.rank) as rank from hits left join labels on doc_id = doc where coalesce(quality, 1) <> 0),
+    st as (select query, doc, rank, unnest(range(1, len(s) + 1)) as pos, s from (select query, m.doc, m.rank, {SENTENCES_SQL.replace('text', 'd.text')} as s from m join documents d on d.doc_id = m.doc where m.rank <= 3)),
     f as (select query, doc, rank, pos, s[pos] as sentence, {A.fold('s[pos]')} as folded from st),
     sc as (select f.*, len(list_filter({A.tokens('q.text')}, lambda t: contains(f.folded, t))) as score from f join q using (query)),
     dd as (select *, row_number() over (partition by query, folded order by score desc, rank, pos) as dup from sc where score > 0),
@@ -315,9 +315,9 @@ def x15(spark, sf):
 def x16(spark, sf):
     queries = asked(spark, sf)
     found = hits(spark, sf, spread(corpus(spark, sf), "doc_id"), queries)
-    quality = queries.select(F.col("query_id").alias("query"), F.when(F.length("text") < 120, "poor").otherwise("good").alias("quality"))
+    quality = table(spark, sf, "labels").select(F.col("doc_id").alias("doc"), F.when(F.col("quality") == 0, "poor").alias("quality"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), "source", "text")
-    matches = found.join(quality, "query").select("query", F.col("doc").alias("page"), (1 - 0.04 * (F.col("rank") - 1)).alias("similarity"), "quality")
+    matches = found.join(quality, "doc", "left").select("query", F.col("doc").alias("page"), (1 - 0.04 * (F.col("rank") - 1)).alias("similarity"), F.coalesce("quality", F.lit("good")).alias("quality"))
     matches = matches.join(docs.select("page", "source"), "page")
     return E.snippet_rank(matches, docs, queries).withColumnRenamed("query", "query_id")
 

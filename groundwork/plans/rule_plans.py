@@ -30,6 +30,9 @@ def _definitions(at) -> list[tuple[str, str]]:
         ("quality", pick(61, [(-0.1, "poor"), (0.05, "fair")], "good")), ("norm_applied", f"{at(62)} > -0.1"), ("sulcus_signal", f"{at(63)} > -0.1"), ("bilateral_signal", f"{at(64)} > -0.1"),
         ("body_candidate", pick(62, [(-0.1, "nhợt"), (0.0, "đỏ"), (0.12, "đỏ nhạt")], "")), ("coat_candidate", pick(63, [(-0.1, "trắng"), (0.1, "vàng")], Q.UNKNOWN)),
         ("thickness_candidate", pick(64, [(-0.1, "rất mỏng"), (0.0, "mỏng"), (0.1, "dày")], Q.UNKNOWN)), ("distribution_candidate", pick(61, [(-0.05, "trung tâm–sau"), (0.1, "lan tỏa")], "không rõ")),
+        ("norm_bounded", f"{at(1)} > -0.15"), ("anchored", f"{at(2)} > 0.05"),
+        ("base_body_color", pick(3, [(-0.15, "hồng"), (-0.1, " ")], "")), ("base_coating_color", pick(4, [(-0.15, "xám")], "")), ("base_coating_thickness", pick(5, [(-0.15, " dày ")], "")),
+        ("base_shape", pick(6, [(0.0, "thon")], "")), ("base_toothmarks", pick(7, [(-0.05, "không rõ nét")], " ")), ("base_coating_texture", pick(8, [(0.0, "mịn")], "")),
         ("current_shape", pick(60, [(-0.1, "broad"), (0.0, "narrow"), (0.1, "typical")], "unknown")),
     ]
     return out
@@ -119,7 +122,72 @@ def q03(spark, sf):
 
 # --- rule sets --------------------------------------------------------------
 
-_CALIBRATED = f"cal as materialized (select *, {', '.join(_triple(n, r, d) for n, (r, d) in Q.CALIBRATED_RULES.items())} from {_chain('feat', Q.CALIBRATION_INPUTS)})"
+_UNIT_SQL = lambda x: f"greatest(0::double, least(1::double, {x}))"
+# Written from the reference's rules, not from the operator's: (label, confidence, reason).
+_CAL_CASES = {
+    "body_color": (
+        "case when purple_ok then 'tím/xanh tím' when pale_ok then 'nhợt' when red_ok then 'đỏ' when body_candidate = 'đỏ nhạt' then 'đỏ nhạt' "
+        "when trim(base_body_color) <> '' then trim(base_body_color) when trim(body_candidate) <> '' then trim(body_candidate) else 'Không xác định' end",
+        f"case when purple_ok then qb * {_UNIT_SQL('0.66::double + (purple - pg) * 1.6::double')} when pale_ok then qb * 0.82::double when red_ok then qb * 0.84::double "
+        "when body_candidate = 'đỏ nhạt' then qb * (case when ready then 0.78::double else 0.62::double end) end",
+        "case when purple_ok then 'rtb-purple-qc-gated' when pale_ok then 'normalized-pale-gate' when red_ok then 'normalized-red-gate' "
+        "when body_candidate = 'đỏ nhạt' and ready then 'normalized-light-red' when body_candidate = 'đỏ nhạt' then 'light-red-with-limited-color-reference' else 'base-observation' end",
+    ),
+    "coating_color": (
+        "case when dark_ok then 'nghi xám/đen' when bare then 'ít/không rêu rõ' when mixed then 'trắng-vàng/ngả vàng' when yellowish then 'vàng' when whitish then 'trắng' "
+        "when trim(base_coating_color) <> '' then trim(base_coating_color) when trim(coat_candidate) <> '' then trim(coat_candidate) else 'Không xác định' end",
+        f"case when dark_ok then qb * {_UNIT_SQL('0.66::double + (dark - 0.1::double) * 0.7::double + (dark_neutral - 0.55::double) * 0.2::double')} when bare then 0.74::double "
+        f"when mixed then qb * {_UNIT_SQL('0.66::double + least(white, yellow) * 0.3::double')} when yellowish then qb * {_UNIT_SQL('0.7::double + (yellow - 0.3::double) * 0.55::double')} "
+        f"when whitish then qb * {_UNIT_SQL('0.68::double + (white - 0.14::double) * 0.35::double')} end",
+        "case when dark_ok then 'dedicated-neutral-dark-coating-contrast-gate' when bare then 'low-coating-coverage-gate' when mixed then 'r3-balanced-white-yellow-mixture-gate' "
+        "when yellowish then 'yellow-dominance-gate' when whitish then 'white-coating-gate' else 'base-observation' end",
+    ),
+    "coating_thickness": (
+        "case when bare then 'rất mỏng/ít rêu' when thick_ok then 'dày' when eff >= 0.1::double then 'mỏng' "
+        "when trim(base_coating_thickness) <> '' then trim(base_coating_thickness) when trim(thickness_candidate) <> '' then trim(thickness_candidate) else 'Không xác định' end",
+        f"case when bare then 0.76::double when thick_ok then qb * {_UNIT_SQL('0.72::double + (eff - 0.42::double) * 0.45::double')} when eff >= 0.1::double then qb * 0.74::double end",
+        "case when bare then 'low-coating-coverage-gate' when (thick_ok or eff >= 0.1::double) and dark_ok then 'dark-coating-coverage-gate' when thick_ok then 'thick-coating-dual-coverage-gate' "
+        "when eff >= 0.1::double then 'thin-coating-coverage-gate' else 'base-observation' end",
+    ),
+    "shape": (
+        "case when wide then 'rộng/mập tương đối theo ảnh 2D' when slim then 'hẹp/gầy tương đối theo ảnh 2D' when trim(base_shape) <> '' then trim(base_shape) else 'Không xác định' end",
+        f"case when wide then qb * {_UNIT_SQL('0.67::double + (aspect - 0.72::double) * 0.45::double + (mid - 0.8::double) * 0.35::double')} "
+        f"when slim then qb * {_UNIT_SQL('0.67::double + (0.54::double - aspect) * 0.55::double + (0.66::double - mid) * 0.35::double')} end",
+        "case when wide then 'rtb-broad-2d-conservative' when slim then 'rtb-thin-2d-conservative' else 'base-observation' end",
+    ),
+    "toothmarks": (
+        "case when marked then 'Có tín hiệu dấu răng' when faint then 'Nghi dấu răng nhẹ' when unmarked then 'Không thấy dấu răng rõ' when trim(base_toothmarks) <> '' then trim(base_toothmarks) else 'Không xác định' end",
+        f"case when marked then qb * {_UNIT_SQL('0.72::double + (tooth - 0.6::double) * 0.45::double + least(0.1::double, ev * 0.012::double) + tooth_color * 0.06::double')} "
+        f"when faint then qb * {_UNIT_SQL('0.6::double + tooth * 0.12::double + tooth_color * 0.06::double')} when unmarked then qb * 0.68::double end",
+        "case when marked then 'multiscale-repeated-concavity-with-bilateral-or-color-support' when faint then 'multiscale-concavity-suspicion-gate' when unmarked then 'adequate-edge-negative-gate' else 'base-observation' end",
+    ),
+    "coating_texture": (
+        "case when slick then 'nghi nhờn/trơn' when coarse then 'thô/không đều' when smooth then 'khá đều' when trim(base_coating_texture) <> '' then trim(base_coating_texture) else 'Không xác định' end",
+        f"case when slick then qb * {_UNIT_SQL('0.67::double + (gloss - 0.022::double) * 2.2::double + (gloss_distributed - 0.55::double) * 0.22::double')} when coarse then qb * 0.69::double when smooth then qb * 0.68::double end",
+        "case when slick then 'distributed-gloss-plus-low-roughness-flash-gated' when coarse then 'coating-roughness-gate' when smooth then 'low-roughness-gate' else 'base-observation' end",
+    ),
+    "spots": (
+        "case when spot >= sg then 'Có tín hiệu điểm đỏ/gai' else 'Không thấy tín hiệu điểm đỏ/gai nổi bật' end",
+        f"qb * (case when spot >= sg then {_UNIT_SQL('0.64::double + (spot - sg) * 1.8::double')} else 0.62::double end)",
+        "'red-spot-ratio-qc-gate'",
+    ),
+}
+_CALIBRATED = f"""g as (select *, case quality when 'good' then 0.9::double else 0.7::double end as qb, norm_applied and norm_bounded and neutral_pixels >= 64 as ready, greatest(coat, dark) as eff, left_events + right_events as ev,
+      case quality when 'good' then 0.17::double else 0.22::double end as pg, case quality when 'good' then 0.065::double else 0.08::double end as sg,
+      {_UNIT_SQL('overexposed * 3.2::double + greatest(0::double, gloss_largest - 0.72::double) * 1.7::double + greatest(0::double, 0.22::double - gloss_distributed) * 0.9::double')} as fl from feat),
+    h as (select *, ready and purple >= pg and body_sat >= 0.2::double as purple_ok, ready and body_candidate = 'nhợt' and body_luma >= 0.58::double and body_sat <= 0.22::double as pale_ok,
+      ready and body_candidate = 'đỏ' and body_sat >= case quality when 'good' then 0.43::double else 0.47::double end as red_ok,
+      ready and dark >= 0.1::double and dark_neutral >= 0.55::double and greatest(dark_central, dark_posterior) >= 0.14::double as dark_ok, eff < 0.055::double and strict < 0.025::double and quality = 'good' as bare,
+      coat >= 0.09::double and yellow >= 0.18::double and white >= 0.18::double and yellow <= white * 1.28::double and white <= yellow * 1.28::double as mixed,
+      coat >= 0.09::double and yellow >= 0.3::double and yellow > white * 1.28::double as yellowish, coat >= 0.075::double and white >= 0.14::double and yellow < 0.24::double as whitish,
+      aspect >= 0.72::double and mid >= 0.8::double and area_fill >= 0.56::double as wide, aspect > 0 and aspect <= 0.54::double and mid > 0 and mid <= 0.66::double as slim,
+      edge >= 0.6::double and tooth >= 0.6::double and greatest(left_events, right_events) >= 2 and (least(left_events, right_events) >= 1 or tooth_color >= 0.45::double) as marked,
+      edge >= 0.58::double and tooth >= 0.44::double and ev >= 2 and (bilateral >= 0.24::double or tooth_color >= 0.3::double) as faint,
+      edge >= 0.68::double and tooth < 0.24::double and ev = 0 and tooth_color < 0.18::double as unmarked,
+      coat >= 0.12::double and gloss >= 0.022::double and gloss_strict <= 0.035::double and gloss_distributed >= 0.55::double and gloss_largest <= 0.58::double and rough <= 0.055::double and fl < 0.45::double as slick,
+      coat >= 0.1::double and rough >= 0.078::double as coarse, coat >= 0.1::double and rough > 0 and rough <= 0.05::double as smooth from g),
+    i as (select *, (coat >= 0.42::double and strict >= 0.18::double) or (dark_ok and dark >= 0.42::double) as thick_ok from h),
+    cal as materialized (select vec_id, {', '.join(f"case when quality <> 'poor' then {l} end as {n}_label, case when quality <> 'poor' then round({c}, 3) end as {n}_confidence, case when quality <> 'poor' then {r} end as {n}_reason" for n, (l, c, r) in _CAL_CASES.items())} from i)"""
 _triples = lambda names: ", ".join(f"{n}_{p}" for n in names for p in ("label", "confidence", "reason"))
 
 
@@ -227,19 +295,22 @@ def q09(spark, sf):
     s as (select b.vec_id, label, d, gp, case when t >= 0.72 then 0.82::double when t >= 0.60 then 0.64::double when t >= 0.50 then 0.48::double else 0.25::double end as sup from b join items using (vec_id)),
     w as (select *, least(1.0::double, 0.7::double * d + 0.2::double * gp + 0.1::double * sup) as w, cast(d >= 0.5 as int) + cast(sup >= 0.55 as int) + cast(gp >= 0.55 as int) as layers from s),
     k as (select vec_id, label, round(case when d > 0 then least(d + 0.08::double, w) else w end, 3) as score from w where d >= 0.72 or (d >= 0.5 and layers >= 2)),
-    top6 as (select * from (select *, row_number() over (partition by vec_id order by score desc, label) as rn from k) where rn <= 6),
+    top6 as (select * from (select k.*, row_number() over (partition by vec_id order by k.score desc, o.ord nulls last, label) as rn from k left join (select vec_id, label, rank as ord from patterns) o using (vec_id, label)) where rn <= 6),
+    rf as (select vec_id, max(r) as rf from r group by vec_id),
     a as (select vec_id, avg(score) as a, count(*) as n from top6 group by vec_id),
-    j as (select i.*, coalesce(a.a, 0.35::double) as a, coalesce(n, 0) as n from items i left join a using (vec_id))
+    j as (select i.*, coalesce(a.a, rf, 0.35::double) as a, coalesce(n, 0) as n from items i left join a using (vec_id) left join rf using (vec_id))
     select vec_id, n as candidates, round(greatest(0.0::double, least(case quality when 'good' then 0.88::double when 'fair' then 0.62::double else 0.25::double end, c + 0.08::double, 0.45::double * c + 0.35::double * t + 0.2::double * a)), 3) as confidence,
       case when c >= 0.6 and t >= 0.68 and a >= 0.6 then 'strong' when cast(c >= 0.52 as int) + cast(t >= 0.58 as int) + cast(a >= 0.52 as int) >= 2 then 'moderate' else 'weak' end as agreement from j""",
 )
 def q10(spark, sf):
     found = materialize(patterns(spark, sf), "patterns")
     obs = observations(spark, sf)
-    items = obs.select("vec_id", F.least(F.lit(1.0), F.col("body_luma")).alias("confidence"), F.least(F.lit(1.0), F.col("edge")).alias("atlas"), "quality", F.lit(None).cast("double").alias("reasoning_first"))
     reasoning = found.filter("warning").select("vec_id", "label", F.least(F.lit(1.0), F.col("score") * 0.9).alias("score"))
     extra = obs.filter("quality = 'good'").select("vec_id", F.lit("reading only").alias("label"), F.lit(0.9).alias("score"))
-    return Q.fuse_layers(found.select("vec_id", "label", "score"), reasoning.unionByName(extra), items, "vec_id")
+    reasoning = reasoning.unionByName(extra)
+    first = reasoning.groupBy("vec_id").agg(F.max("score").alias("reasoning_first"))
+    items = obs.select("vec_id", F.least(F.lit(1.0), F.col("body_luma")).alias("confidence"), F.least(F.lit(1.0), F.col("edge")).alias("atlas"), "quality").join(first, "vec_id", "left")
+    return Q.fuse_layers(found.select("vec_id", "label", "score", F.col("rank").alias("ord")), reasoning, items, "vec_id")
 
 
 _CLAIMS = [
@@ -327,7 +398,8 @@ _TOP_COLUMNS = ["body_color", "shape", "coating_color", "coating_thickness", "co
     "q09_fallback_patterns",
     f"""with {FEAT}, {_OBS}, t as (select vec_id, {" || ' · ' || ".join(_TOP_COLUMNS)} as top_text, under_color || ' · ' || under_dilation as under_text from obs),
     fl as (select *, {', '.join(f"regexp_matches(lower({c}), '{p}') as {n}" for n, c, p in Q.FALLBACK_FLAGS)} from t),
-    em as ({' union all '.join(f"select vec_id, {i} as ord, {label} as label, {s}::double as score from fl where {c}" for i, (label, c, s, _) in enumerate(Q.FALLBACK_RULES))})
+    em as ({' union all '.join(f"select vec_id, {i} as ord, {label} as label, {s}::double as score from fl where {c}" for i, (label, c, s, _) in enumerate(Q.FALLBACK_RULES))}
+      union all select vec_id, 7, 'Tham Vấn: nguyên tắc đọc thiệt tượng', 0.42::double from fl where not (f_red and f_dry and f_little or f_red and f_yellow or f_pale and f_white or f_pale and (f_tooth or f_broad) or f_purple or f_thick or f_under))
     select vec_id, label, score, rank from (select *, row_number() over (partition by vec_id order by ord) as rank from em) where rank <= 4""",
 )
 def q09_fallback(spark, sf):

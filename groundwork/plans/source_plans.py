@@ -85,7 +85,7 @@ def s06(spark, sf):
 @query(
     "s07_export_samples",
     """select o_orderdate, o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderpriority":"' || o_orderpriority || '","split":"' || o_orderstatus || '"}' as sample
-    from (select * from orders where o_orderstatus = 'F' order by o_orderdate, o_orderkey limit 5000)""",
+    from (select * from orders where o_orderstatus = 'F' order by o_orderdate, o_orderkey limit 9999)""",
 )
 def s07(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderstatus").alias("split"), "o_orderdate")
@@ -107,19 +107,36 @@ def s08_digest(spark, sf):
     return O.inventory({t: table(spark, sf, t) for t in TABLES}, digest=True)
 
 
-@query(
-    "s09_import_roster",
-    """with r as (select c_custkey as ord, upper('sv' || (c_custkey % 700)) as mssv, c_name as full_name, cast(1970 + c_nationkey as varchar) as birth_year, case when c_acctbal < 0 then '' else c_mktsegment end as faculty, 'L' || c_nationkey as class_name, cast(c_custkey as varchar) as stt from customer),
+_ROSTER_SQL = """with r as (select c_custkey as ord, upper('sv' || (c_custkey % 700)) as mssv, c_name as full_name, cast(1970 + c_nationkey as varchar) as birth_year, case when c_acctbal < 0 then '' else c_mktsegment end as faculty, 'L' || c_nationkey as class_name, cast(c_custkey as varchar) as stt from customer),
     v as (select *, row_number() over (partition by mssv order by ord desc) as rn from r where faculty <> '')
-    select mssv, full_name, birth_year, faculty, class_name, stt from v where rn = 1""",
-)
-def s09(spark, sf):
+    select mssv, full_name, birth_year, faculty, class_name, stt from v where rn = 1"""
+
+
+def s09_roster(spark, sf):
+    """A title row and the header row stand above the customers."""
     cells = F.array(
         F.concat(F.lit(" "), F.col("c_custkey").cast("string")), F.concat(F.lit("sv"), F.col("c_custkey") % 700), "c_name", (F.col("c_nationkey") + 1970).cast("string"),
         F.when(F.col("c_acctbal") < 0, "  ").otherwise(F.col("c_mktsegment")), F.concat(F.lit("L"), "c_nationkey"),
     )
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("ord"), cells.alias("cells"))
-    roster, _ = S.import_roster(rows, ["STT", "Mã số sinh viên", "Họ và tên", "Năm sinh", "Khoa", "Lớp"])
+    title = [F.struct(F.lit(-2).cast("bigint").alias("ord"), F.array(F.lit("Danh sách"), *[F.lit("")] * 5).alias("cells"))]
+    header = F.struct(F.lit(-1).cast("bigint").alias("ord"), F.array(*[F.lit(x) for x in ("STT", "MSSV", "Họ và tên", "Năm sinh", "Khoa", "Lớp")]).alias("cells"))
+    above = table(spark, sf, "region").limit(1).select(F.explode(F.array(*title, header)).alias("r")).select("r.*")
+    return S.import_roster(above.unionByName(rows))
+
+
+@query(
+    "s09_import_counts",
+    """with r as (select upper('sv' || (c_custkey % 700)) as mssv from customer where c_acctbal >= 0)
+    select count(*) as valid, count(*) - count(distinct mssv) as duplicates, count(distinct mssv) as kept from r""",
+)
+def s09_counts(spark, sf):
+    return s09_roster(spark, sf)[1]
+
+
+@query("s09_import_roster", _ROSTER_SQL)
+def s09(spark, sf):
+    roster, _ = s09_roster(spark, sf)
     return roster.select("mssv", "full_name", "birth_year", "faculty", "class_name", "stt")
 
 

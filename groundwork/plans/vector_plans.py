@@ -1,5 +1,5 @@
-"""V: vector similarity over embeddings. A 12-value signature is derived from the first
-twelve components of every embedding."""
+"""V: vector similarity over embeddings. A 12-value signature folds all components of every
+embedding: value i is made of the mean size of components i, i + 12, i + 24 and so on."""
 
 from __future__ import annotations
 
@@ -9,22 +9,25 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import hashing as H
 from groundwork.operators import vectors as V
-from groundwork.operators.joins import spread
 from groundwork.plans.base import query, table
 
-GLOBAL_DIMS = ["r", "g", "b", "s", "v"]
-# name, scale: the signature value is min(1, |component| * scale); aspect is shifted.
+COMPONENTS = 64
+GLOBAL_DIMS = V.NAMES
+# The signature value is min(1, mean |component| * scale); aspect is shifted.
 _SCALES = [3.0, 3.0, 3.0, 4.0, 4.0, 0.6, 0.9, 0.7, 0.15, 0.3, 2.0, 2.5]
 
 
 def signatures(spark, sf):
-    e = lambda i: F.abs(F.col("embedding")[i].cast("double"))
+    def e(i):
+        own = [F.abs(F.col("embedding")[j].cast("double")) for j in range(i, COMPONENTS, len(V.NAMES))]
+        return sum(own[1:], own[0]) / len(own)
+
     dims = [(F.least(F.lit(1.0), e(i) * _SCALES[i]) + (0.5 if n == "aspect" else 0.0)).alias(n) for i, n in enumerate(V.NAMES)]
     return table(spark, sf, "embeddings").select("vec_id", "label", *dims)
 
 
 SIG_SQL = "sig as materialized (select vec_id, label, " + ", ".join(
-    f"least(1.0::double, abs(cast(embedding[{i + 1}] as double)) * {_SCALES[i]}::double){' + 0.5::double' if n == 'aspect' else ''} as {n}" for i, n in enumerate(V.NAMES)
+    f"least(1.0::double, ({' + '.join(f'abs(cast(embedding[{j + 1}] as double))' for j in range(i, COMPONENTS, 12))}) / {len(range(i, COMPONENTS, 12))} * {_SCALES[i]}::double){' + 0.5::double' if n == 'aspect' else ''} as {n}" for i, n in enumerate(V.NAMES)
 ) + " from embeddings)"
 
 
@@ -63,52 +66,44 @@ def v02(spark, sf):
     return signatures(spark, sf).select("vec_id", *[c.alias(n) for n, c in V.coarse_category().items()])
 
 
-_FIRST_SQL = "firsts as materialized (select * from sig where vec_id in (select min(vec_id) from sig group by label))"
-
-
-def firsts(sigs):
-    """The first vector of each class stands for a query."""
-    ids = sigs.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    return sigs.join(ids.select("vec_id"), "vec_id", "left_semi")
-
-
 @query(
     "v03_mixed_similarity",
-    f"with {SIG_SQL}, {_FIRST_SQL} select sig.vec_id, f.vec_id as other, round({similarity_sql('sig', 'f')}, 6) as similarity from sig join firsts f on f.label = sig.label",
+    f"with {SIG_SQL} select sig.vec_id, f.vec_id as other, round({similarity_sql('sig', 'f')}, 6) as similarity from sig join sig f on f.vec_id = sig.vec_id + 1",
 )
 def v03(spark, sf):
+    """Every vector with its successor."""
     sigs = signatures(spark, sf)
-    a = sigs.select("vec_id", "label", F.struct(*V.NAMES).alias("a"))
-    b = firsts(sigs).select(F.col("vec_id").alias("other"), "label", F.struct(*V.NAMES).alias("b"))
-    return a.join(b, "label").select("vec_id", "other", F.round(V.mixed_similarity("a", "b"), 6).alias("similarity"))
+    a = sigs.select("vec_id", F.struct(*V.NAMES).alias("a"))
+    b = sigs.select(F.col("vec_id").alias("other"), F.struct(*V.NAMES).alias("b"))
+    return a.join(b, F.col("other") == F.col("vec_id") + 1).select("vec_id", "other", F.round(V.mixed_similarity("a", "b"), 6).alias("similarity"))
 
 
 @query(
     "v04_vector_topk",
-    f"""with {SIG_SQL}, {_FIRST_SQL}, s as (select q.vec_id as query_id, r.vec_id as ref_id, r.label || ':' || floor(r.r * 20) as key, floor({similarity_sql('q', 'r')} * 1000 + 0.5) / 1000 as similarity
-      from firsts q cross join sig r),
+    f"""with {SIG_SQL}, s as (select q.vec_id as query_id, r.vec_id as ref_id, r.label || ':' || floor(r.r * 20) as key, floor({similarity_sql('q', 'r')} * 1000 + 0.5) / 1000 as similarity
+      from sig q cross join sig r),
     d as (select *, row_number() over (partition by query_id, key order by similarity desc, ref_id) as dn from s),
     k as (select *, row_number() over (partition by query_id order by similarity desc, ref_id) as rank from d where dn = 1)
     select query_id, ref_id, similarity, rank from k where rank <= 3""",
 )
 def v04(spark, sf):
     sigs = signatures(spark, sf)
-    refs = spread(sigs.withColumn("key", F.concat_ws(":", "label", F.floor(F.col("r") * 20).cast("string"))).withColumnRenamed("vec_id", "ref_id"), "ref_id")
-    out = V.vector_topk(firsts(sigs).withColumnRenamed("vec_id", "query_id"), refs)
+    refs = sigs.withColumn("key", F.concat_ws(":", "label", F.floor(F.col("r") * 20).cast("string"))).withColumnRenamed("vec_id", "ref_id")
+    out = V.vector_topk(sigs.withColumnRenamed("vec_id", "query_id"), refs)
     return out.select(F.col("query").alias("query_id"), F.col("ref").alias("ref_id"), "similarity", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(
     "v05_class_centroids",
     f"""with {SIG_SQL}, c as (select label, {', '.join(f'avg({d}) as m_{d}' for d in GLOBAL_DIMS)} from sig group by label)
-    select vec_id, label, round(least(1.0, greatest(0.0, 1 - ({' + '.join(f'least(1.0, abs({d} - m_{d}))' for d in GLOBAL_DIMS)}) / 5)), 3) as similarity from sig join c using (label)""",
+    select vec_id, label, round(least(1.0, greatest(0.0, 1 - ({' + '.join(f'least(1.0, abs({d} - m_{d}))' for d in GLOBAL_DIMS)}) / {len(GLOBAL_DIMS)})), 3) as similarity from sig join c using (label)""",
 )
 def v05(spark, sf):
     sigs = signatures(spark, sf)
     return V.centroid_similarity(sigs, V.class_centroids(sigs, "label", GLOBAL_DIMS), "label", GLOBAL_DIMS).select("vec_id", "label", "similarity")
 
 
-_Z = lambda p: "round(sqrt((" + " + ".join(f"pow(({d} - {p}.m_{d}) / greatest(1e-6, {p}.s_{d}), 2)" for d in GLOBAL_DIMS) + ") / 5), 4)"
+_Z = lambda p: "round(sqrt((" + " + ".join(f"pow(({d} - {p}.m_{d}) / greatest(1e-6, {p}.s_{d}), 2)" for d in GLOBAL_DIMS) + f") / {len(GLOBAL_DIMS)}), 4)"
 
 
 @query(
@@ -126,8 +121,8 @@ def v06(spark, sf):
 
 @query(
     "v07_learned_topk",
-    f"""with {SIG_SQL}, {_FIRST_SQL}, s as (select q.vec_id as query_id, k.vec_id as knowledge_id, q.vec_id = k.vec_id as t, q.label = k.label and k.r > 0.3 and q.r > 0.3 as b, {similarity_sql('q', 'k')} as sim
-      from firsts q cross join sig k),
+    f"""with {SIG_SQL}, s as (select q.vec_id as query_id, k.vec_id as knowledge_id, q.vec_id = k.vec_id as t, q.label = k.label and k.r > 0.3 and q.r > 0.3 as b, {similarity_sql('q', 'k')} as sim
+      from sig q cross join sig k),
     r as (select *, t or b as exact, least(1.0::double, (case when t then 0.35::double else 0 end) + (case when b then 0.10::double else 0 end) + (case when t then 0.55::double else 1 end) * sim) as raw from s),
     o as (select *, row_number() over (partition by query_id order by exact desc, raw desc, knowledge_id desc) as rank from r where exact or sim >= 0.45)
     select query_id, knowledge_id, exact, round(raw, 4) as similarity, rank from o where rank <= 5""",
@@ -135,7 +130,7 @@ def v06(spark, sf):
 def v07(spark, sf):
     hashed = lambda side: F.when(F.col("r") > 0.3, H.hash_key("bottom", F.col("label"))).otherwise(H.hash_key(side, F.col("vec_id")))
     sigs = signatures(spark, sf).withColumn("top_hash", H.hash_key("top", F.col("vec_id"))).withColumn("approved_at", F.col("vec_id"))
-    queries = firsts(sigs).withColumn("bottom_hash", hashed("query")).withColumnRenamed("vec_id", "query_id")
+    queries = sigs.withColumn("bottom_hash", hashed("query")).withColumnRenamed("vec_id", "query_id")
     known = sigs.withColumn("bottom_hash", hashed("known")).withColumnRenamed("vec_id", "knowledge_id")
     out = V.learned_topk(queries, known.filter("label < 5"), known.filter("label >= 5"), 5)
     return out.select(F.col("query").alias("query_id"), "knowledge_id", "exact", "similarity", F.col("rank").cast("bigint").alias("rank"))

@@ -6,19 +6,26 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 
 from groundwork.functions import text as X
 from groundwork.functions.dictionaries import ROSTER_HEADERS
-from groundwork.operators.joins import bounded_broadcast
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType, wrapped: bool = False) -> DataFrame:
-    """Records of JSON files. Lines are read with ``schema``; a file that is one document
-    (``wrapped``) may be an array, an object with ``records`` or ``data``, or a single
-    object. Unreadable rows keep their text in ``_corrupt_record``."""
-    if not wrapped:
-        full = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-        return spark.read.schema(full).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+def is_wrapped(spark: SparkSession, path: str) -> bool:
+    """Whether the files hold one JSON document each instead of one per line: the first
+    line that is not blank is an open array or not a JSON value of its own."""
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value").alias("v"), F.try_parse_json("value").isNotNull().alias("whole")).first()
+    return first is not None and not first["whole"] and first["v"][0] in "[{"
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType, wrapped: bool | None = None) -> DataFrame:
+    """Records of JSON files: one record per line, or files that are one document
+    (``wrapped``; found out from the first line if None). A document or line may be an
+    array, an object with ``records`` or ``data``, or a single object. Unreadable rows
+    keep their text in ``_corrupt_record``. Only files of one document each are read
+    whole by one task."""
+    if wrapped is None:
+        wrapped = is_wrapped(spark, path)
     listed = T.ArrayType(schema)
     outer = T.StructType(schema.fields + [T.StructField("records", listed), T.StructField("data", listed), T.StructField("_corrupt_record", T.StringType())])
-    whole = spark.read.schema(outer).option("columnNameOfCorruptRecord", "_corrupt_record").json(path, multiLine=True)
+    whole = spark.read.schema(outer).option("columnNameOfCorruptRecord", "_corrupt_record").json(path, multiLine=wrapped)
     single = F.array(F.struct(*[F.col(f.name) for f in schema.fields]))
     rows = F.coalesce("records", "data", single)
     return whole.select(F.explode(rows).alias("r"), "_corrupt_record").select("r.*", "_corrupt_record")
@@ -42,7 +49,7 @@ def read_jsonl_strict(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     boxed = F.try_parse_json(F.concat(F.lit("["), "line", F.lit("]")))
     good = F.try_variant_get(boxed, "$[0]", "variant").isNotNull() & F.try_variant_get(boxed, "$[1]", "variant").isNull()
     filled = lines.filter(F.trim("line") != "").withColumn("_good", good)
-    bad = filled.filter(~F.col("_good")).join(bounded_broadcast(blocks), ["file", "block"])
+    bad = filled.filter(~F.col("_good")).join(blocks, ["file", "block"])
     report = bad.select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
     return filled.filter("_good").select("file", "line"), report
 
@@ -61,24 +68,34 @@ def verify_inputs(spark: SparkSession, path: str, pinned: DataFrame, glob: str =
     unpinned. A file is hashed whole in one task, so it must fit in memory."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     hashed = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("actual"), "length")
-    joined = hashed.join(bounded_broadcast(pinned), "name", "left")
+    joined = hashed.join(pinned, "name", "left")
     state = F.when(F.col("sha256").isNull(), "unpinned").when(F.lower("sha256") == F.col("actual"), "ok").otherwise("mismatch")
     return joined.select("name", "length", "actual", state.alias("state"))
 
 
-def with_source(records: DataFrame, registry: DataFrame, source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(records with registry columns, sources that the registry does not know)."""
-    small = bounded_broadcast(registry)
-    unknown = records.select(source).distinct().join(small, source, "left_anti")
-    return records.join(small, source), unknown
+def with_source(records: DataFrame, registry: DataFrame, source: str = "source", strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records with registry columns, sources that the registry does not know). With
+    ``strict`` an unknown source is an error."""
+    unknown = records.select(source).distinct().join(registry, source, "left_anti")
+    if strict and (found := unknown.first()):
+        raise ValueError(f"unknown source: {found[source]}")
+    return records.join(registry, source), unknown
 
 
-def import_roster(rows: DataFrame, headers: list[str], order: str = "ord") -> tuple[DataFrame, DataFrame]:
-    """``rows``: ``order`` and array ``cells``; ``headers``: the header row's cells. Columns
-    are found by folded alias; rows without a required field are dropped; keys are
+def import_roster(rows: DataFrame, headers: list[str] | None = None, order: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """``rows``: ``order`` and array ``cells``; ``headers``: the header row's cells. If they
+    are not given, the first row with the key column's name is the header, and what comes
+    before it is left out. Columns are found by folded alias; rows without a required field are dropped; keys are
     upper-cased; the last row of a key wins. Returns (roster, counts)."""
     import unicodedata
 
+    if headers is None:
+        names = F.transform("cells", lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", ""))
+        head = rows.filter(F.array_contains(names, "mssv")).orderBy(order).first()
+        if head is None:
+            raise ValueError("no header row")
+        headers, rows = [h or "" for h in head["cells"]], rows.filter(F.col(order) > head[order])
+
     def fold(value: str) -> str:
         plain = "".join(c for c in unicodedata.normalize("NFD", value.strip().lower()) if not 0x300 <= ord(c) < 0x370).replace("đ", "d")
         return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in plain).split())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_EXPORT = 5000
+EXPORT_LIMIT = 5000
 
 
 def write_corpus(accepted: DataFrame, stats: DataFrame, path: str, format: str = "json") -> DataFrame:
@@ -15,11 +15,12 @@ def write_corpus(accepted: DataFrame, stats: DataFrame, path: str, format: str =
     return accepted.sparkSession.read.schema(state.schema).json(f"{path}/state")
 
 
-def export_samples(df: DataFrame, limit: int, order: list[str], split: str | None = None) -> DataFrame:
-    """JSON rows in order, at most min(5000, max(1, limit)) of them."""
-    n = min(MAX_EXPORT, max(1, int(limit)))
+def export_samples(df: DataFrame, limit: int | None, order: list[str], split: str | None = None) -> DataFrame:
+    """JSON rows in order: the first ``limit`` of them, all if it is None. The usual page
+    is ``EXPORT_LIMIT`` rows."""
     rows = df if split is None else df.filter(F.col("split") == split)
-    return rows.orderBy(*order).limit(n).select(*order, F.to_json(F.struct(*df.columns)).alias("sample"))
+    rows = rows.orderBy(*order) if limit is None else rows.orderBy(*order).limit(limit)
+    return rows.select(*order, F.to_json(F.struct(*df.columns)).alias("sample"))
 
 
 def inventory(tables: dict[str, DataFrame], digest: bool = False) -> DataFrame:

@@ -37,7 +37,8 @@ def test_manifest_ignores_partitioning_and_sees_changes(spark):
     assert G.manifest(members(spark).repartition(7, "digest")).first()["manifest_sha256"] == base
     assert G.manifest(members(spark).withColumn("split", F.lit("train"))).first()["manifest_sha256"] != base
     assert G.manifest_digest(members(spark), 4).first()["members"] == 500
-    assert G.manifest_exact(members(spark)).first()["members"] == 500
+    with pytest.raises(ValueError):
+        G.manifest_digest(members(spark), 3)
 
 
 def test_splits_never_overlap(spark):
@@ -72,6 +73,7 @@ def test_champion_replay(spark):
     df = df.select("family", "event_id", F.timestamp_seconds(F.col("d") * 50_000).alias("ts"), "action", "model")
     replay = G.champion_state(df)
     assert {r["event_id"]: r["violation"] for r in replay.collect()} == {1: None, 2: None, 3: "not_a_candidate", 4: None, 5: "already_champion", 6: "never_promoted"}
+    assert {r["event_id"]: r["champion"] for r in replay.collect()} == {1: "a", 2: "b", 3: "b", 4: "a", 5: "a", 6: "a"}
     spans = {r["event_id"]: r["valid_to"] is None for r in G.champion_history(replay).collect()}
     assert spans == {1: False, 2: False, 4: True}
 
@@ -119,12 +121,14 @@ def test_agreement_gate(spark):
 
 
 def test_bootstrap_interval(spark):
-    values = [(float(v),) for v in np.random.default_rng(4).normal(10, 2, 400)]
-    df = spark.createDataFrame(values, "v double")
-    row = E.bootstrap_ci(df, "v", iterations=400, block_values=50).first()
-    data = np.array(values)[:, 0]
-    draws = np.sort([np.random.default_rng([9, i]).choice(data, 400).mean() for i in range(400)])
-    assert abs(row["lower"] - draws[9]) < 0.06 and abs(row["upper"] - draws[389]) < 0.06
-    assert E.bootstrap_ci(df.repartition(5), "v", iterations=400, block_values=50).first() == row
-    assert E.bootstrap_ci(df.limit(1), "v").first()["iterations"] == 0
-    assert E.bootstrap_ci(df.filter("v > 1e9"), "v").first()["lower"] is None
+    values = [(i, float(v)) for i, v in enumerate(np.random.default_rng(4).normal(10, 2, 4000))]
+    df = spark.createDataFrame(values, "i long, v double")
+    row = E.bootstrap_ci(df, "v", ["i"], iterations=400).first()
+    data = np.array([v for _, v in values])
+    draws = np.sort([np.random.default_rng([9, i]).choice(data, len(data)).mean() for i in range(400)])
+    assert abs(row["lower"] - draws[9]) < 0.02 and abs(row["upper"] - draws[389]) < 0.02
+    again = E.bootstrap_ci(df.repartition(5), "v", ["i"], iterations=400).first()
+    assert np.allclose(row[:2], again[:2]) and row["n"] == again["n"] == 4000
+    assert E.bootstrap_ci(df.limit(1), "v", ["i"]).first()["iterations"] == 0
+    assert E.bootstrap_ci(df.filter("v > 1e9"), "v", ["i"]).first()["lower"] is None
+
