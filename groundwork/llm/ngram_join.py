@@ -130,7 +130,7 @@ def _posted(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """Prefix postings ``token, gid, n, pos`` of one set per group, for tokens that two or
     more groups have: with their number ``df`` and the group ``head`` that has the token
     earliest in its prefix. Size and position travel as one number."""
-    leaders = sets.join(groups.select(F.col("gid").alias("rid")), "rid", "left_semi")
+    leaders = sets.join(groups.select(F.col("gid").alias("rid")).hint("merge"), "rid", "left_semi")
     postings = leaders.select("rid", "n", F.posexplode("prefix").alias("pos", "token"))
     packed = postings.select("token", F.col("rid").alias("gid"), F.shiftleft(F.col("pos").cast("bigint"), 32).bitwiseOR(F.col("n")).alias("place"))
     dealt = packed.repartition("token")
@@ -164,25 +164,27 @@ def _verified(pairs: DataFrame, members: DataFrame, sets: DataFrame, docs: DataF
     right = members.select(F.col("gid").alias("b"), F.col("cid").alias("y"))
     expanded = materialize(pairs.join(left, "a").join(right, "b").filter("x <> y AND (a <> b OR x < y)").select("x", "y"), "member-pairs")
     wanted = expanded.select(F.col("x").alias("rid")).union(expanded.select("y")).distinct()
-    where = materialize(sets.join(wanted, "rid", "left_semi").select(F.col("rid").alias("cid"), F.col("doc_id").alias("_id"), "thash"), "candidates")
+    where = sets.select("rid", "doc_id", "thash").join(wanted, "rid", "left_semi")
+    where = materialize(where.select(F.col("rid").alias("cid"), F.col("doc_id").alias("_id"), "thash", F.xxhash64("doc_id", "thash").alias("key")), "candidates")
 
     def mark(total: np.ndarray, pdf: pd.DataFrame) -> None:
-        total[_cell(pdf["thash"].to_numpy(dtype=np.int64), _FILTER_BITS)] = 1
+        total[_cell(pdf["key"].to_numpy(dtype=np.int64), _FILTER_BITS)] = 1
 
-    cells = docs.sparkSession.sparkContext.broadcast(_gathered(where.select("thash"), mark, _FILTER_BITS) > 0)
+    cells = docs.sparkSession.sparkContext.broadcast(_gathered(where.select("key"), mark, _FILTER_BITS) > 0)
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            thash = batch.column("thash").to_numpy(zero_copy_only=False)
-            rows = pa.array(np.flatnonzero(cells.value[_cell(thash, _FILTER_BITS)]), pa.int64())
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            rows = pa.array(np.flatnonzero(cells.value[_cell(key, _FILTER_BITS)]), pa.int64())
             sets = [shingle_set(t, width) for t in batch.column("text").take(rows).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("thash").take(rows), _lists(sets)], ["doc_id", "thash", "members"])
 
-    own = docs.select("doc_id", F.xxhash64("text").alias("thash"), "text").mapInArrow(rebuilt, "doc_id long, thash long, members array<long>")
-    wanted_rows = where.withColumnRenamed("thash", "_thash")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("thash"), "text").withColumn("key", F.xxhash64("doc_id", "thash"))
+    own = texts.mapInArrow(rebuilt, "doc_id long, thash long, members array<long>")
+    wanted_rows = where.select("cid", "_id", F.col("thash").alias("_thash")).hint("merge")
     found = own.join(wanted_rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("thash") == F.col("_thash")))
     full = materialize(found.select("cid", "members"), "candidate-sets").dropDuplicates(["cid"])
-    both = expanded.join(full.select(F.col("cid").alias("x"), F.col("members").alias("mx")), "x").join(full.select(F.col("cid").alias("y"), F.col("members").alias("my")), "y")
+    both = expanded.join(full.select(F.col("cid").alias("x"), F.col("members").alias("mx")).hint("merge"), "x").join(full.select(F.col("cid").alias("y"), F.col("members").alias("my")).hint("merge"), "y")
     common, sizes = F.size(F.array_intersect("mx", "my")), F.size("mx") + F.size("my")
     return both.filter((100 + percent) * common >= percent * sizes).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
@@ -197,6 +199,9 @@ def near_duplicate_links(docs: DataFrame, width: int = 5, percent: int = 80, bit
     list's leader only; after that, groups of the list that are not yet connected are
     compared pair by pair in tiles of about ``tile`` groups. So a large cluster of near
     copies costs a star, and no pair that could connect two components is left out.
+
+    Joins of prefixes and sets are sort-merge joins by hint: both sides grow with the
+    table, so neither is ever broadcast, and the plan is the same at every size.
     """
     sets = document_prefixes(docs, width, percent, bits)
     classes = sets.filter("n > 0").groupBy("sig", "psig", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first_id"))
