@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from groundwork.llm.common import BLANKS, ascii_lower
+from groundwork.llm.common import BLANKS, ascii_lower, materialize
 
 _DOC = ["doc_id", "sig"]
 _LINE = ["h1", "h2"]
@@ -30,15 +30,13 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     Rows that agree in ``doc_id`` and text are one document. A null text is an empty one;
     a null ``doc_id`` is a value like any other. Other columns are ignored.
     """
-    lines = F.split(ascii_lower(F.col("text")), "\n")
-    exploded = _documents(docs).select(*_DOC, F.size(lines).alias("n_lines"), F.posexplode(lines).alias("pos", "raw"))
+    split = _documents(docs).select(*_DOC, F.size(F.split("text", "\n")).alias("n_lines"), F.split(ascii_lower(F.col("text")), "\n").alias("lines"))
     key = F.btrim(F.col("raw"), F.lit(BLANKS))
-    keyed = (
-        exploded.select(*_DOC, "n_lines", "pos", key.alias("key"))
-        .filter(F.char_length("key") >= max(1, min_chars))
-        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), *_DOC, "pos", "n_lines")
-    )
-    dealt = keyed.repartitionByRange(*_LINE, *_DOC)
+    keyed = split.select(*_DOC, "n_lines", F.posexplode("lines").alias("pos", "raw")).select(*_DOC, "n_lines", "pos", key.alias("key"))
+    keyed = keyed.filter(F.char_length("key") >= max(1, min_chars))
+    hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), *_DOC, "pos", "n_lines")
+    # stored: the range sampling, the counts and the join read hashes and never the texts again
+    dealt = materialize(hashed, "line-hashes").repartitionByRange(*_LINE, *_DOC)
     in_document = F.row_number().over(W.partitionBy(*_LINE, *_DOC).orderBy("pos"))
     heads = dealt.withColumn("_n", in_document).filter(F.col("_n") == 1)
     seen = [F.count("*").alias("n_docs")] + ([F.min(F.struct(*_DOC, "pos")).alias("head")] if keep_first else [])
