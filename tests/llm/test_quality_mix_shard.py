@@ -50,6 +50,7 @@ def test_score_is_the_mean_log_ratio(spark):
     docs = documents(spark, rows)
     labels = spark.createDataFrame([(k, 1, 0) for k in range(4)] + [(10, 0, 0), (11, 1, 1)], "doc_id long, quality int, toxic int")
     ratios, threshold = quality.fit(docs, labels, buckets=512)
+    tests = {r["doc_id"] for r in labels.filter("pmod(xxhash64(doc_id, 'fold'), 5) = 0").collect()}
     from pyspark.sql import functions as F
 
     words = sorted({w for _, t in rows for w in t.split()} | {"x"})
@@ -61,7 +62,7 @@ def test_score_is_the_mean_log_ratio(spark):
         w = t.split()
         found = [buckets[x] for x in w] + [pair_buckets[p] for p in zip(w, w[1:], strict=False)]
         raw.update(found)
-        target.update(found if i < 4 else [])
+        target.update(found if i < 4 and i not in tests else [])
     total = [sum(c.values()) + 512 for c in (raw, target)]
     expected = [math.log((target[b] + 1) / total[1]) - math.log((raw[b] + 1) / total[0]) for b in range(512)]
     assert np.allclose(ratios, expected, atol=1e-8)
@@ -76,7 +77,7 @@ def test_clean_labelled_documents_stay(spark):
     rows = [r for r in queries.QUERIES["op7_quality_rules"](spark, SF).collect() if r["doc_id"] in labels and not r["base_failed"]]
     good = [r["kept"] for r in rows if labels[r["doc_id"]]["quality"] == 1]
     bad = [r["kept"] for r in rows if labels[r["doc_id"]]["quality"] == 0]
-    assert sum(good) >= 0.98 * len(good) and (not bad or sum(bad) <= 0.3 * len(bad))
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
 def targets(sizes, share=1.5, weights=(5, 2, 1)):
