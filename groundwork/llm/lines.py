@@ -41,6 +41,8 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     heads = dealt.withColumn("_n", in_document).filter(F.col("_n") == 1)
     seen = [F.count("*").alias("n_docs")] + ([F.min(F.struct(*_DOC, "pos")).alias("head")] if keep_first else [])
     common = heads.groupBy(*_LINE).agg(*seen).filter(F.col("n_docs") >= min_docs).drop("n_docs")
+    # stored, so that both sides of the join are plain shuffles and a hot line's can be split
+    common = materialize(common, "common-lines")
     lost = dealt.join(common, _LINE)
     if keep_first:
         lost = lost.filter(~F.struct(*_DOC, "pos").eqNullSafe(F.col("head")))

@@ -49,11 +49,18 @@ def _with_grams(df: DataFrame, url: str, s: Settings) -> DataFrame:
     out = df.withColumn("_text", text)
     ends = F.sequence(F.lit(s.order + 1), F.char_length("_text"))
     for k in range(1, s.order + 2):
-        gram = lambda i, k=k: F.pmod(F.xxhash64(F.lit(k), F.substr(F.col("_text"), i - (k - 1), F.lit(k))), F.lit(s.buckets)).cast("int")
-        out = out.withColumn(f"_g{k}", F.transform(ends, gram))
+        out = out.withColumn(f"_g{k}", F.transform(ends, _bucket_at(k, s)))
     return out
 
 
+def _bucket_at(k: int, s: Settings):
+    return lambda i: F.pmod(F.xxhash64(F.lit(k), F.substr(F.col("_text"), i - (k - 1), F.lit(k))), F.lit(s.buckets)).cast("int")
+
+
+def _looked_up(counts: Column):
+    return lambda g: F.get(counts, g)
+
+
 def _probability(i: Column, table: str, total: float, s: Settings) -> Column:
     """Smoothed probability of character i (1-based) under the counts of one class: each
     longer context is mixed with the estimate from the shorter one."""
@@ -74,7 +81,7 @@ def score_urls(df: DataFrame, url: str, model: tuple[list[float], list[float], f
     out = _with_grams(df, url, s)
     for name, counts in tables.items():
         for k in range(1, s.order + 2):
-            out = out.withColumn(f"{name}{k}", F.transform(f"_g{k}", lambda g, counts=counts: F.get(counts, g)))
+            out = out.withColumn(f"{name}{k}", F.transform(f"_g{k}", _looked_up(counts)))
     n = F.size("_g1") - 1
     ratio = lambda total, i: total + F.ln(_probability(i, "_a", n_a, s)) - F.ln(_probability(i, "_r", n_r, s))
     score = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), ratio) / n)

@@ -96,7 +96,7 @@ def test_literals_follow_names_and_constants():
     assert literals(SOURCES[9]) == []
     assert literals(SOURCES[10]) == ["aB3dE5fG7hI9jK1l"]
     assert literals(SOURCES[11]) == ["Tr0ub4dor-and-3"]
-    assert literals(SOURCES[12]) == ["Zx81mQ", "pL02vR7t"] or literals(SOURCES[12]) == ["pL02vR7t"]
+    assert literals(SOURCES[12]) == ["Zx81mQ", "pL02vR7t"]
     assert literals("The key: value of this sentence is plain.") == []
 
 
@@ -125,10 +125,11 @@ def test_awkward_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "just text"), (4, "u", "<p>a<p>b"), (5, "u", "<div hidden>x</div><p>y"), (None, "u", "<p>z"), (None, "u", "<p>z"), (6, "u", "<p>" + "w " * 200_000), (7, "u", "<nav>only</nav>")]
     pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, text string")
     got = [(r["page_id"], r["text"]) for r in html_extract.extract(pages).collect()]
-    assert sorted(got, key=str)[:7] == sorted([(1, ""), (2, ""), (3, "just text"), (4, "a\nb"), (5, "y"), (None, "z"), (None, "z"), (6, ("w " * 200_000).strip()), (7, "")], key=str)[:7]
+    assert sorted(got, key=str) == sorted([(1, ""), (2, ""), (3, "just text"), (4, "a\nb"), (5, "y"), (None, "z"), (None, "z"), (6, ("w " * 200_000).strip()), (7, "")], key=str)
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
 def test_clustering_splits_prose_from_links():
-    lines = [html_extract.Line("a" * n, t, 0, False, ()) for n, t in [(5, 4), (6, 4), (200, 1), (30, 1), (220, 1), (4, 6), (5, 6)]]
-    assert list(html_extract.content_lines(lines, 1.0)) == [False, False, True, True, True, False, False] or html_extract.content_lines(lines, 1.0)[2]
+    lines = [html_extract.Line("a" * n, t, 0, False, ()) for n, t in [(5, 4), (6, 4), (5, 4), (200, 1), (30, 1), (220, 1), (4, 6), (5, 6), (4, 6)]]
+    good = html_extract.content_lines(lines, 1.0)
+    assert good[3:6].all() and not good[[0, 1, 7, 8]].any()  # smoothing reaches one line further at most
