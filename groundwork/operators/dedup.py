@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundwork.functions import hashing as H, text as X
 from groundwork.operators.joins import salted_lookup, with_dense_index
-from groundwork.session import materialize
+from groundwork.session import discard, materialize
 
 
 def exact_dedup(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -56,23 +57,16 @@ def _sub_blocks(value: Column, skip: int) -> list[Column]:
     return low + [top[0] + top[1] * 16 + top[2] * 256]
 
 
-# Up to this many classes a 16-bit block and a length bin keep groups small; beyond
-# it the longer keys do. Both are exact for distances up to 3.
-FINE_KEYS_FROM = 20_000_000
-
-
-def _slots(value: Column, fine: bool) -> list[Column]:
-    """Coarse: four 16-bit blocks. Fine: 16 keys of 28 bits. Values at distance <= 3 agree
-    on one of four blocks, and then on one of four pieces of the other 48 bits."""
-    if not fine:
-        return _blocks(value)
+def _slots(value: Column) -> list[Column]:
+    """16 keys of 28 bits. Values at distance <= 3 agree on one of four blocks, and then on
+    one of four pieces of the other 48 bits."""
     return [block * 4096 + piece for i, block in enumerate(_blocks(value)) for piece in _sub_blocks(value, i)]
 
 
-def _first_shared(a: Column, b: Column, fine: bool) -> Column:
+def _first_shared(a: Column, b: Column) -> Column:
     """Index of the first key two values share: a pair is emitted at that key only."""
     out = None
-    for i, key in enumerate(_slots(a.bitwiseXOR(b), fine)):
+    for i, key in enumerate(_slots(a.bitwiseXOR(b))):
         out = F.when(key == 0, i) if out is None else out.when(key == 0, i)
     return out
 
@@ -83,32 +77,32 @@ def similarity_classes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("simhash", "canon_len").agg(F.min("ord").alias("ord"))
 
 
-def _keyed(classes: DataFrame, fine: bool, probe: bool) -> DataFrame:
+def _keyed(classes: DataFrame, probe: bool) -> DataFrame:
     """Key rows (slot, key, bin). Bins are logarithmic in the length and wider than the
     ratio limit, so similar lengths lie in the same or in neighbouring bins. The probing
     side also stands in the next bin (up = 1), which meets every neighbour once."""
     lb = F.floor(F.log("canon_len") / F.lit(_LOG_STEP)).cast("int")
-    rows = classes.select("ord", "simhash", "canon_len", lb.alias("_lb"), F.posexplode(F.array(*_slots(F.col("simhash"), fine))).alias("slot", "key"))
+    rows = classes.select("ord", "simhash", "canon_len", lb.alias("_lb"), F.posexplode(F.array(*_slots(F.col("simhash")))).alias("slot", "key"))
     shifts = F.array(F.lit(0), F.lit(1)) if probe else F.array(F.lit(0))
     return rows.withColumn("up", F.explode(shifts)).select("ord", "simhash", "canon_len", "slot", "key", "up", (F.col("_lb") + F.col("up")).alias("bin"))
 
 
-def near_pairs(classes: DataFrame, max_distance: int = 3, min_ratio: float = 0.90, fine: bool | None = None) -> DataFrame:
+def near_pairs(classes: DataFrame, max_distance: int = 3, min_ratio: float = 0.90) -> DataFrame:
     """Edges (src earlier than dst) between classes with Hamming distance <=
     ``max_distance`` (at most 3) and length ratio >= ``min_ratio``."""
-    if fine is None:
-        fine = classes.count() > FINE_KEYS_FROM
-    a, b = _keyed(classes, fine, probe=False).alias("a"), _keyed(classes, fine, probe=True).alias("b")
+    if max_distance > 3:
+        raise ValueError("the keys find pairs up to distance 3")
+    a, b = _keyed(classes, probe=False).alias("a"), _keyed(classes, probe=True).alias("b")
     same = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.bin") == F.col("b.bin"))
     once = (F.col("b.up") == 1) | (F.col("a.ord") < F.col("b.ord"))
     ratio = F.least("a.canon_len", "b.canon_len") / F.greatest("a.canon_len", "b.canon_len")
     distance = H.hamming(F.col("a.simhash"), F.col("b.simhash"))
-    shared = _first_shared(F.col("a.simhash"), F.col("b.simhash"), fine)
+    shared = _first_shared(F.col("a.simhash"), F.col("b.simhash"))
     joined = a.join(b, same & once & (ratio >= min_ratio)).filter((distance <= max_distance) & (shared == F.col("a.slot")))
     return joined.select(F.least("a.ord", "b.ord").alias("src"), F.greatest("a.ord", "b.ord").alias("dst"), distance.alias("distance"))
 
 
-def _leader_rounds(classes: DataFrame, group_limit: int, max_distance: int, min_ratio: float, fine: bool):
+def _leader_rounds(classes: DataFrame, group_limit: int, max_distance: int, min_ratio: float):
     """Thin out crowded key groups before any pair is formed. Every key group compares
     its rows with its earliest row only (a map-side minimum). A class that is the
     earliest of all its groups has no earlier candidate and is accepted; every class
@@ -116,11 +110,11 @@ def _leader_rounds(classes: DataFrame, group_limit: int, max_distance: int, min_
     than ``group_limit``. Returns (remaining classes, rejected)."""
     rejected = None
     while True:
-        sizes = _keyed(classes, fine, probe=False).groupBy("slot", "key", "bin").agg(F.count("*").alias("n"))
+        sizes = _keyed(classes, probe=False).groupBy("slot", "key", "bin").agg(F.count("*").alias("n"))
         if (sizes.agg(F.max("n")).first()[0] or 0) <= group_limit:
             return classes, rejected
         group = F.concat_ws(":", "slot", "key", "bin").alias("_g")
-        rows = _keyed(classes, fine, probe=True).select("ord", "simhash", "canon_len", group)
+        rows = _keyed(classes, probe=True).select("ord", "simhash", "canon_len", group)
         leads = materialize(rows.groupBy("_g").agg(F.min(F.struct("ord", "simhash", "canon_len")).alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "groups")
         seen = salted_lookup(rows, leads, "_g", "ord")
         ratio = F.least("canon_len", "lead.canon_len") / F.greatest("canon_len", "lead.canon_len")
@@ -133,7 +127,7 @@ def _leader_rounds(classes: DataFrame, group_limit: int, max_distance: int, min_
         classes = materialize(classes.join(won.unionByName(lost), "ord", "left_anti"), "classes")
 
 
-def near_dup_greedy(nodes: DataFrame, group_limit: int = 1024, max_distance: int = 3, min_ratio: float = 0.90, fine: bool | None = None) -> DataFrame:
+def near_dup_greedy(nodes: DataFrame, group_limit: int = 1024, max_distance: int = 3, min_ratio: float = 0.90) -> DataFrame:
     """Verdict of a sequential scan: a record is near-duplicate iff an earlier accepted
     record is within the distance and length ratio. Input ``ord, canon_len, simhash``
     (distinct contents); output ``ord, near``.
@@ -143,9 +137,8 @@ def near_dup_greedy(nodes: DataFrame, group_limit: int = 1024, max_distance: int
     few joins on the remaining edges, cut from lineage by a written table."""
     nodes = materialize(nodes.select("ord", "canon_len", "simhash"), "nodes")
     classes = materialize(similarity_classes(nodes), "classes")
-    fine = classes.count() > FINE_KEYS_FROM if fine is None else fine
-    open_classes, rejected = _leader_rounds(classes, group_limit, max_distance, min_ratio, fine)
-    edges = materialize(near_pairs(open_classes, max_distance, min_ratio, fine).select("src", "dst"), "edges")
+    open_classes, rejected = _leader_rounds(classes, group_limit, max_distance, min_ratio)
+    edges = materialize(near_pairs(open_classes, max_distance, min_ratio).select("src", "dst"), "edges")
     lost = [] if rejected is None else [rejected.select("ord")]
     while not edges.isEmpty():
         blocked = edges.select(F.col("dst").alias("ord")).distinct()
@@ -156,8 +149,8 @@ def near_dup_greedy(nodes: DataFrame, group_limit: int = 1024, max_distance: int
         rest = rest.join(hit.withColumnRenamed("ord", "dst"), "dst", "left_anti")
         edges = materialize(rest.join(hit.withColumnRenamed("ord", "src"), "src", "left_anti").select("src", "dst"), "edges")
     leaders = classes.select("ord")
-    for frame in lost:
-        leaders = leaders.join(frame, "ord", "left_anti")
+    if lost:
+        leaders = leaders.join(functools.reduce(DataFrame.union, lost), "ord", "left_anti")
     kept = leaders.withColumn("_kept", F.lit(True))
     return nodes.join(kept, "ord", "left").select("ord", F.col("_kept").isNull().alias("near"))
 
@@ -258,15 +251,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = edges.select("src", "dst")
     both = materialize(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), "labels")
+    old = (labels,)
     while True:
         heard = salted_lookup(both.withColumnRenamed("dst", "node"), labels, "node", "src")
         offers = heard.groupBy(F.col("src").alias("node")).agg(F.min("label").alias("offer"))
         lower = labels.join(offers, "node", "left").select("node", "label", F.least("label", F.coalesce("offer", "label")).alias("next"))
         lower = materialize(lower, "labels")
+        discard(*old)
         roots = lower.select(F.col("node").alias("next"), F.col("next").alias("jump"))
         jumped = salted_lookup(lower, roots, "next", "node", how="left")
         jumped = materialize(jumped.select("node", F.coalesce("jump", "next").alias("label"), (F.coalesce("jump", "next") != F.col("label")).alias("moved")), "labels")
-        labels = jumped.select("node", "label")
+        labels, old = jumped.select("node", "label"), (lower, jumped)
         if jumped.filter("moved").isEmpty():
             return labels.withColumnRenamed("label", "component")
 

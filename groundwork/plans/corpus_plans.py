@@ -9,6 +9,7 @@ from groundwork.operators import dedup as D, records as R
 from groundwork.operators.joins import spread
 from groundwork.plans import ansi as A
 from groundwork.plans.base import query, table
+from groundwork.plans.text_plans import SENTENCES_SQL
 from groundwork.session import materialize
 
 
@@ -186,6 +187,28 @@ def d05(spark, sf):
     return verdicts(spark, sf).select(F.col("ord").alias("doc_id"), "near", "copies")
 
 
+_SENTENCE_DOCS = f"""docs as materialized (select doc_id * 100000 + pos as doc_id, sha256(canonical) as content_sha256, length(canonical) as canon_len, canonical from (
+      select doc_id, unnest(range(1, len(s) + 1)) as pos, lower(unnest(s)) as canonical from (select doc_id, {SENTENCES_SQL} as s from documents)))"""
+
+
+def sentence_records(spark, sf):
+    """Every sentence of every document as a record: near pairs occur among them."""
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "s"))
+    canonical = F.lower("s")
+    return rows.select((F.col("doc_id") * 100000 + F.col("pos") + 1).alias("ord"), F.sha2(canonical, 256).alias("content_sha256"), F.length(canonical).alias("canon_len"), canonical.alias("canonical"))
+
+
+@query("d04_sentence_pairs", f"with {A.EDGES.replace(A.DOCS, _SENTENCE_DOCS)} select src, dst, distance from edges")
+def d04_sentences(spark, sf):
+    classes = materialize(D.similarity_classes(D.representatives(sentence_records(spark, sf))), "classes")
+    return D.near_pairs(classes).select("src", "dst", F.col("distance").cast("bigint").alias("distance"))
+
+
+@query("d05_sentence_near", f"with recursive {A.VERDICTS.replace(A.DOCS, _SENTENCE_DOCS)} select ord, near, copies from verdicts")
+def d05_sentences(spark, sf):
+    return D.dedup_verdicts(sentence_records(spark, sf)).select("ord", "near", "copies")
+
+
 @query(
     "d06_cap_accepted",
     f"""with recursive {A.VERDICTS}, cut as (select case when count(*) = 200 then max(ord) else 9223372036854775807 end as cut

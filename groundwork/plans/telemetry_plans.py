@@ -107,8 +107,13 @@ def l06(spark, sf):
 
 @query("l07_stream_ingest", "select event_id, 'vision-shadow-v2' as event_schema, 'normal' as mode, sha256('event|' || event_id || '|' || props) as event_hash from events")
 def l07(spark, sf):
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    target = f"{scratch_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    stream_ingest(stream, f"{target}/events", f"{target}/checkpoint")
-    return spark.read.parquet(f"{target}/events").select("event_id", "event_schema", "mode", "event_hash")
+    """Two waves of files: two thirds of the events, then all of them again."""
+    events = table(spark, sf, "events")
+    folder = f"{scratch_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    events.filter("event_id % 3 <> 0").write.parquet(f"{folder}/source/wave=1")
+    for wave in (1, 2):
+        if wave == 2:
+            events.write.parquet(f"{folder}/source/wave=2")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/source").drop("wave")
+        stream_ingest(stream, f"{folder}/events", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/events").select("event_id", "event_schema", "mode", "event_hash")

@@ -8,18 +8,33 @@ from groundwork.functions import hashing as H
 from groundwork.operators.telemetry import project_event
 
 
-def dedup_events(events: DataFrame, json: str, ts: str, event: str, delay: str = "10 minutes") -> DataFrame:
-    """Typed events without repeats of the same event hash inside the watermark delay.
-    The state holds one hash per event of that span."""
-    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("event_hash", H.hash_key("event", F.col(event), F.col(json)))
-    kept = timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["event_hash"])
-    return project_event(kept, json, event, ts, "event_hash")
-
-
-def stream_ingest(events: DataFrame, target: str, checkpoint: str, json: str = "props", ts: str = "ts", event: str = "event_id", delay: str = "10 minutes"):
-    """Run the stream over everything available and append to Parquet. Restarting with
-    the same checkpoint continues exactly where it stopped."""
-    sink = dedup_events(events, json, ts, event, delay).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
-    query = sink.outputMode("append").trigger(availableNow=True).start()
+def new_events(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+    """The first row of each event hash of a batch that ``known`` does not hold yet."""
+    fresh = batch.dropDuplicates(["event_hash"])
+    return fresh if known is None else fresh.join(known.select("event_hash"), "event_hash", "left_anti")
+
+
+def _exists(df: DataFrame, path: str) -> bool:
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def stream_ingest(events: DataFrame, target: str, checkpoint: str, json: str = "props", ts: str = "ts", event: str = "event_id"):
+    """Run the stream over everything available and append to Parquet, one folder per
+    batch. An event hash is stored once for ever: every batch is compared with the
+    table, so neither late events nor late repeats depend on a watermark. A batch that
+    is repeated after a failure overwrites its own folder. Restarting with the same
+    checkpoint continues exactly where it stopped."""
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        hashed = batch.withColumn("event_hash", H.hash_key("event", F.col(event), F.col(json)))
+        known = None
+        if _exists(batch, target):
+            known = batch.sparkSession.read.parquet(target).filter(F.col("batch") != batch_id)
+        rows = project_event(new_events(hashed, known), json, event, ts, "event_hash")
+        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    query = events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

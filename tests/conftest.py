@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -10,7 +11,8 @@ from groundwork.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", master="local[8]", cores=8, **{"spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"})
+    cores = int(os.environ.get("GROUNDWORK_CORES", "8"))
+    session = build_session("tests", master=f"local[{cores}]", cores=cores, **{"spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
