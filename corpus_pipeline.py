@@ -2,7 +2,7 @@
 
 Each stage takes what its predecessor kept, written as Parquet in the shared folder and
 read again. Documents that fail the quality rules go, one document of each component of
-near duplicates stays (the one whose id names it), documents with benchmark passages go,
+near duplicates stays (the one with the smallest id), documents with benchmark passages go,
 sources are brought to their target weights in whole documents, and all that is left is
 dealt to 24 shards.
 """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from groundwork.llm.common import materialize
+from groundwork.session import discard
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -34,5 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialize(_star(both).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
         small = _star(large)
         hooked = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        current = materialize(hooked.distinct(), "stars")
+        last, current = current, materialize(hooked.distinct(), "stars")
+        discard(last, large)
     return nodes.join(current.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

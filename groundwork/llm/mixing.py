@@ -41,8 +41,8 @@ def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...
     return own.select("source", "source_size", target.alias("target"))
 
 
-def source_cuts(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 2, seed: str = "mix", bucket_bits: int = 12) -> DataFrame:
-    """One row per source: ``target``, whole ``epochs``, and where the last, partial epoch ends.
+def source_cuts(sized: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 2, bucket_bits: int = 12) -> DataFrame:
+    """From ``_sized`` rows one row per source: ``target``, whole ``epochs``, and where the last, partial epoch ends.
 
     Rows are range partitioned by source and key range, so a source of any size is
     spread; each range is sorted and summed, the ranges' totals are summed along the
@@ -50,8 +50,7 @@ def source_cuts(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] =
     that row, ``cut_left`` words for each row equal to it, and ``cut_whole``: whether
     most of it fits. Rows equal in all order fields share the cut evenly.
     """
-    sized = _sized(docs, seed).withColumn("bucket", F.shiftright("key", KEY_BITS - bucket_bits))
-    dealt = sized.repartitionByRange("source", "bucket")
+    dealt = sized.withColumn("bucket", F.shiftright("key", KEY_BITS - bucket_bits)).repartitionByRange("source", "bucket")
     ranges = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     along = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     ranges = materialize(ranges.withColumn("offset", F.coalesce(F.sum("words").over(along), F.lit(0))), "mix-ranges")
@@ -76,12 +75,11 @@ def source_cuts(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] =
     return joined.select("p.source", "p.source_size", "p.target", "p.epochs", "p.rest", *[F.col(f"k.cut.{c}").alias(f"cut_{c}") for c in _ROW], F.col("k.cut.key").isNotNull().alias("has_cut"), "k.cut_left", "k.cut_whole")
 
 
-def _with_cuts(docs: DataFrame, cuts: DataFrame, seed: str) -> DataFrame:
-    """``row`` (all columns of docs) beside its order fields, size and its source's cut.
-    The cuts are a stored table with one row per source, so the planner knows its size."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", order_key(seed=seed).alias("key"), F.xxhash64("text").alias("sig"), word_count(F.col("text")).alias("size"))
-    cuts = cuts.withColumnRenamed("source", "cut_source")
-    return whole.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")))
+def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows with order fields beside their source's cut. The cuts are a stored table with
+    one row per source, so the planner knows its size."""
+    cuts = materialize(cuts, "mix-cuts").withColumnRenamed("source", "cut_source")
+    return rows.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")))
 
 
 def _place() -> tuple[Column, Column]:
@@ -99,17 +97,18 @@ def taken_words(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     size. Null texts have size 0; a null source is a source. Nothing depends on the
     partitioning, so reruns agree.
     """
-    cuts = materialize(source_cuts(docs, seed=seed, **options), "mix-cuts")
+    sized = materialize(_sized(docs, seed), "mix-sizes")
     early, at = _place()
     taken = F.col("epochs") * F.col("size") + F.when(early, F.col("size")).when(at, F.col("cut_left")).otherwise(F.lit(0))
-    return _with_cuts(docs, cuts, seed).select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return _with_cuts(sized, source_cuts(sized, **options)).select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """The mix itself: every document as often as the mix takes it, with the columns of
     ``docs``. Documents stay whole: the one at a source's cut is taken if at least half
     of it fits, so a source is off its budget by half a document at most."""
-    cuts = materialize(source_cuts(docs, seed=seed, **options), "mix-cuts")
+    sized = materialize(_sized(docs, seed), "mix-sizes")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", order_key(seed=seed).alias("key"), F.xxhash64("text").alias("sig"))
     early, at = _place()
     copies = F.col("epochs") + F.when(early | (at & F.col("cut_whole")), F.lit(1)).otherwise(F.lit(0))
-    return _with_cuts(docs, cuts, seed).select("row", F.explode(F.sequence(F.lit(0), copies)).alias("copy")).filter("copy > 0").select("row.*")
+    return _with_cuts(whole, source_cuts(sized, **options)).select("row", F.explode(F.sequence(F.lit(0), copies)).alias("copy")).filter("copy > 0").select("row.*")

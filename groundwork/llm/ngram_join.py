@@ -251,12 +251,16 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, percent: int = 80
 
 
 def one_per_component(docs: DataFrame, width: int = 5, percent: int = 80, **options) -> DataFrame:
-    """One row of ``docs``, all columns, per component: of the distinct set with the smallest
-    row, the first of its repeats. Rows without words are linked with nothing and stay."""
+    """One row of ``docs``, all columns, per component: the one with its smallest ``doc_id``
+    (null ids last), the first of its repeats. Rows without words are linked with nothing
+    and stay. Which row it is does not depend on the partitioning."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     sets, members, links = near_duplicate_links(whole, width, percent, **options)
     roots = components(links)
-    kept = members.join(roots.filter("node <> root").select(F.col("node").alias("cid")), "cid", "left_anti").select(F.col("cid").alias("rid"))
+    rooted = members.join(roots, members["cid"] == roots["node"], "left").select("sig", "first_id", F.coalesce("root", "cid").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "sig")).alias("head")).select("head.sig", "head.first_id")
+    found = sets.join(heads, (sets["sig"] == heads["sig"]) & sets["doc_id"].eqNullSafe(heads["first_id"]), "left_semi")
+    kept = found.groupBy("sig").agg(F.min(F.struct("thash", "rid")).alias("m")).select("m.rid")
     key = [F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("doc_id").isNull().alias("k2")]
     chosen = sets.filter("n > 0").join(kept, "rid", "left_semi").select(*key, "thash")
     own = whole.select("row", *key, F.xxhash64("text").alias("thash"), (~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).alias("blank"))
