@@ -67,11 +67,11 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     own = _documents(docs).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.sig") == F.col("m.sig"))
     joined = own.join(maps.alias("m"), same, "left").select("d.doc_id", "d.text", "m.keep")
-    lines = F.split(F.col("text"), "\n")
-    left = F.flatten(F.transform(F.col("keep"), lambda r: F.slice(lines, r["start"] + 1, r["len"])))
+    joined = joined.withColumn("lines", F.when(F.col("keep").isNotNull(), F.split("text", "\n")))
+    left = F.flatten(F.transform(F.col("keep"), lambda r: F.slice("lines", r["start"] + 1, r["len"])))
     kept = F.when(F.col("keep").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     n_kept = F.aggregate(F.col("keep"), F.lit(0), lambda total, r: total + r["len"])
-    n_lines = F.size(lines)
+    n_lines = F.size(F.split("text", "\n"))
     return joined.select(
         "doc_id",
         n_lines.cast("bigint").alias("n_lines"),

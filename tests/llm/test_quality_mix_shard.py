@@ -56,7 +56,7 @@ def test_score_is_the_mean_log_ratio(spark):
     words = sorted({w for _, t in rows for w in t.split()} | {"x"})
     buckets = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(512)).alias("b")).collect()}
     pairs = sorted({p for _, t in rows for p in zip(t.split(), t.split()[1:], strict=False)})
-    pair_buckets = {(r["a"], r["c"]): r["b"] for r in spark.createDataFrame(pairs, "a string, c string").select("a", "c", F.pmod(F.xxhash64("a", "c"), F.lit(512)).alias("b")).collect()}
+    pair_buckets = {(r["a"], r["c"]): r["b"] for r in spark.createDataFrame(pairs, "a string, c string").select("a", "c", F.pmod(F.xxhash64(F.xxhash64("a"), F.xxhash64("c")), F.lit(512)).alias("b")).collect()}
     raw, target = Counter(), Counter()
     for i, t in rows:
         w = t.split()
@@ -168,7 +168,7 @@ def test_shards_balance_and_slots_are_gapless(spark):
     assert max(size.values()) <= 1.1 * max(mean, most + 8)
     small = defaultdict(set)
     for r in got:
-        small[r["text_crc32"]].add(r["shard"])
+        small[r["text_crc32"], r["doc_id"] == 9000].add(r["shard"])  # null and empty texts have one checksum
     assert sum(len(v) > 1 for v in small.values()) <= 1  # only the hot group is split
 
 
