@@ -17,7 +17,7 @@ from groundwork.llm.common import materialize, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that pass the base rules and reach the likelihood-ratio threshold."""
-    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).filter("kept").select("row.*")
+    return quality.kept_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
