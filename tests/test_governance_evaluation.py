@@ -132,3 +132,30 @@ def test_bootstrap_interval(spark):
     assert E.bootstrap_ci(df.limit(1), "v", ["i"]).first()["iterations"] == 0
     assert E.bootstrap_ci(df.filter("v > 1e9"), "v", ["i"]).first()["lower"] is None
 
+
+
+def test_latest_approval_counts(spark):
+    """A later rejection does not block; hashes compare without case, versions must agree."""
+    candidates = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "cc"), (4, "dd")], "model_id long, sha string")
+    reviews = spark.createDataFrame(
+        [(1, 1, 10, "approve", 7, 7), (1, 2, 11, "reject", 7, 7), (2, 1, 12, "reject", 8, 8), (4, 1, 13, "approve", 7, 7)],
+        "model_id long, created_at long, review_id long, decision string, evaluation_id long, shadow_id long",
+    )
+    evaluations = spark.createDataFrame([(7, 1, "AA", 200), (8, 2, "bb", 200)], "evaluation_id long, model_id long, sha string, sample_count int")
+    shadows = spark.createDataFrame([(7, 1, "aA", 5, 5, True, True)], "shadow_id long, model_id long, sha string, runs int, complete_runs int, device_confirmed boolean, latency_confirmed boolean")
+    got = {r["model_id"]: r["blocked_by"] for r in G.promotion_gate(candidates, reviews, evaluations, shadows, 200).collect()}
+    assert got == {1: None, 2: "review_not_approved", 3: "review_missing", 4: "evaluation_hash_mismatch"}
+
+
+def test_near_pairs_refuses_longer_distances(spark):
+    from groundwork.operators import dedup as D
+
+    with pytest.raises(ValueError):
+        D.near_pairs(spark.createDataFrame([(1, 1, 50)], "ord long, simhash long, canon_len int"), max_distance=4)
+
+
+def test_export_keeps_the_limit_it_is_given(spark):
+    from groundwork.sources import writers as O
+
+    df = spark.range(12_000).withColumn("v", F.col("id") % 7)
+    assert O.export_samples(df, 9_999, ["id"]).count() == 9_999 and O.export_samples(df, None, ["id"]).count() == 12_000

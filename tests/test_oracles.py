@@ -1,5 +1,5 @@
-"""Registered queries against their SQL twins at sf0.001. By default a spread over all
-families; GROUNDWORK_ALL=1 runs every query."""
+"""Registered queries against their SQL twins at sf0.001: all of them, or with
+GROUNDWORK_SOME=1 a spread over all families."""
 
 import os
 from collections import Counter
@@ -16,7 +16,7 @@ d01_exact_dedup d02_simhash d05_near_dup_greedy d07_ingest_stats d08_merge_sourc
 v04_vector_topk v07_learned_topk v08_mlp_score g03_split_by_group_pct g09_manifest g13_gold_ready g17_allocate_packets g22_champion_state g23_promotion_gate g29_balanced_sample g30_annotation_valid
 e01_join_evidence e03_gate e05_holdout_metrics e10_metrics_by_subset q04_rule_cascade q05_evidence_state q10_fuse_layers q11_ground_claim l01_project_event l03_throttle_faults l04_anchored_rate_limit l07_stream_ingest
 s02_read_jsonl_strict s06_write_corpus s08_inventory s09_import_roster""".split()
-NAMES = list(registry.QUERIES) if os.environ.get("GROUNDWORK_ALL") else SOME
+NAMES = SOME if os.environ.get("GROUNDWORK_SOME") else list(registry.QUERIES)
 
 
 @pytest.fixture(scope="module")
