@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs of 24 or more: shorter runs are dropped anyway
+_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "literal")
 
 #: Weight of a part of a target name.
@@ -61,8 +62,11 @@ def value_weight(value: str) -> float:
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Leftmost matches per kind that are long enough: start, end, kind."""
-    out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    low, out = text.lower(), []
+    if any(word in low for word in _NAMES):  # a plain search first: most texts have none
+        out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if "AKIA" in text:
+        out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     return out
 
