@@ -36,7 +36,6 @@ _LEXER = re.compile(
       | (?P<line>\n)""",
     re.VERBOSE | re.DOTALL,
 )
-_HINT = re.compile("|".join(SENSITIVE), re.IGNORECASE)
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@%^*-]+")
 _SPLIT = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -81,7 +80,8 @@ def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
     literal bound to it before, so constants are followed through any number of copies;
     each literal of a sum is reported for the target. Comments are read like code.
     """
-    if not _HINT.search(text) or ("=" not in text and ":" not in text):
+    low = text.lower()
+    if ("=" not in text and ":" not in text) or not any(word in low for word in SENSITIVE):
         return  # no name here could be sensitive
     bound: dict[str, list[tuple[str, int, int]]] = {}
     target, terms, open_ = None, [], False
