@@ -105,8 +105,11 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> tuple[tuple[list[float
         tables[r["verdict"]][r["g"]] = float(r["n"])
     totals = {k: sum(v) / (s.order + 1) for k, v in tables.items()}
     model = (tables["allow"], tables["block"], totals["allow"], totals["block"])
-    bins = score_urls(known.filter(fold == 0), "url", model, s).filter("score IS NOT NULL")
-    bins = bins.groupBy("verdict", F.greatest(F.least(F.floor(F.col("score") / s.step), F.lit(2000)), F.lit(-2000)).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
+    scored = score_urls(known.filter(fold == 0), "url", model, s)
+    step = F.greatest(F.least(F.floor(F.col("score") / s.step), F.lit(2000)), F.lit(-2000)).cast("int")
+    # no filter on the score: the optimizer would write it out once per reference below it
+    counted = scored.select("verdict", F.when(F.col("score").isNotNull(), step).alias("bin")).groupBy("verdict", "bin").agg(F.count("*").alias("n"))
+    bins = [r for r in counted.collect() if r["bin"] is not None]
     n = {v: sum(r["n"] for r in bins if r["verdict"] == v) for v in tables}
     if not all(n.values()):
         return model, 0.0
