@@ -28,11 +28,11 @@ def crowd(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,fine,group_limit", [(1, False, 1024), (2, True, 1024), (3, False, 2), (4, True, 2)])
-def test_greedy_equals_sequential_scan(spark, seed, fine, group_limit):
+@pytest.mark.parametrize("seed,group_limit", [(1, 1024), (2, 1024), (3, 2), (4, 2)])
+def test_greedy_equals_sequential_scan(spark, seed, group_limit):
     rows = crowd(seed, 250)
     df = spark.createDataFrame(rows, "ord long, canon_len int, simhash long").repartition(seed + 1)
-    got = {r["ord"]: r["near"] for r in D.near_dup_greedy(df, group_limit=group_limit, fine=fine).collect()}
+    got = {r["ord"]: r["near"] for r in D.near_dup_greedy(df, group_limit=group_limit).collect()}
     assert got == sequential(rows)
 
 
@@ -42,9 +42,8 @@ def test_pairs_are_complete_and_unique(spark):
     classes = D.similarity_classes(df)
     nodes = [(r["ord"], r["canon_len"], r["simhash"]) for r in classes.collect()]
     want = {(a[0], b[0]) for a in nodes for b in nodes if a[0] < b[0] and min(a[1], b[1]) / max(a[1], b[1]) >= 0.9 and bin((a[2] ^ b[2]) & (2**64 - 1)).count("1") <= 3}
-    for fine in (False, True):
-        got = [(r["src"], r["dst"]) for r in D.near_pairs(classes, fine=fine).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+    got = [(r["src"], r["dst"]) for r in D.near_pairs(classes).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def python_simhash(text):
