@@ -164,14 +164,15 @@ def content_lines(lines: list[Line], sigma: float) -> np.ndarray:
     return value >= cut
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
+def main_text(html: str | None, sigma: float = 1.0) -> str:
     """Main text of a page: blocks in page order, one newline between them.
 
     The content lines choose the region: the article (or main element) that holds most of
-    their characters, else the innermost element that holds ``share`` of them. All of
-    that region's text is returned but for elements that are marked as menus, headers,
-    footers, sidebars, notices, adverts, forms, scripts, styles or comments, and, where
-    no article is marked, lines that are links only.
+    their characters, else the innermost element that holds all of them, and what lies
+    between it and the last h1 before it. All of that region's text is returned but for
+    elements that are marked as menus, headers, footers, sidebars, notices, adverts, forms,
+    scripts, styles or comments, and, where no article is marked, lines that are links
+    only, unless they are headings or content lines.
     """
     lines, names = read_lines(html or "")
     live = [x for x in lines if not x.dropped]
@@ -189,13 +190,25 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
         region = max(articles, key=lambda n: (weight[n], -n))
         kept = [x for x in live if region in x.path]
     else:
-        total = sum(len(x.text) for x in chosen)
-        inner = [n for n, w in weight.items() if w >= share * total]
-        kept = [x for x in live if (not inner or max(inner) in x.path) and x.linked < 0.9 * len(x.text)]
-    kept = [x for x in kept if not _in_header(x, names) or any(names[n] in HEADINGS for n in x.path)]
+        content = {id(x) for x in chosen}
+        # a link beside the content is content by smoothing only; one between its lines is
+        own = [k for k, x in enumerate(live) if id(x) in content and not _is_link(x)] or [k for k, x in enumerate(live) if id(x) in content]
+        inner = set.intersection(*(set(live[k].path) for k in own))
+        title = max((k for k in range(own[0]) if any(names[n] == "h1" for n in live[k].path)), default=own[0])
+        inside = [(k, x) for k, x in enumerate(live) if title <= k < own[0] or not inner or max(inner) in x.path]
+        kept = [x for k, x in inside if not _is_link(x) or _in_heading(x, names) or id(x) in content and own[0] < k < own[-1]]
+    kept = [x for x in kept if not _in_header(x, names) or _in_heading(x, names)]
     return "\n".join(x.text for x in kept)
 
 
+def _is_link(line: Line) -> bool:
+    return line.linked >= 0.9 * len(line.text)
+
+
+def _in_heading(line: Line, names: list[str]) -> bool:
+    return any(names[n] in HEADINGS for n in line.path)
+
+
 def _in_header(line: Line, names: list[str]) -> bool:
     return any(names[n] == "header" for n in line.path)
 

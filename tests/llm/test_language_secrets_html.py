@@ -133,3 +133,15 @@ def test_clustering_splits_prose_from_links():
     lines = [html_extract.Line("a" * n, t, 0, False, ()) for n, t in [(5, 4), (6, 4), (5, 4), (200, 1), (30, 1), (220, 1), (4, 6), (5, 6), (4, 6)]]
     good = html_extract.content_lines(lines, 1.0)
     assert good[3:6].all() and not good[[0, 1, 7, 8]].any()  # smoothing reaches one line further at most
+
+
+def test_no_content_is_lost_without_an_article():
+    prose = [f"Paragraph {k} has quite a number of words in it, as prose of the article does." for k in range(20)]
+    body = "".join(f"<p>{x}</p>" for x in prose)
+    menu = "<div><a href=1>Home</a></div><div><a href=2>News</a></div>" * 4
+    page = f"<body>{menu}<div><h1><a href=3>Headline</a></h1><p>A lead.</p><div class=body>{body}</div></div>{menu}"
+    assert html_extract.main_text(page).split("\n") == ["Headline", "A lead.", *prose]
+    page = f"<body>{menu}<div><div>{body}</div><div><p>{prose[0]}</p><p>{prose[1]}</p></div></div>{menu}"
+    assert html_extract.main_text(page).split("\n") == [*prose, *prose[:2]]
+    page = f"<body>{menu}<div><p>{prose[0]}</p><p><a href=4>{prose[1]}</a></p><p>{prose[2]}</p></div>{menu}"
+    assert html_extract.main_text(page).split("\n") == prose[:3]
