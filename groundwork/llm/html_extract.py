@@ -29,6 +29,10 @@ MARKS = {
     "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pagination", "pager", "popup",
     "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Marks that also name threads, which may be longer than their article.
+THREADS = {"comment", "comments", "disqus", "replies", "respond"}
+#: Class names that tell a state of the page, not what the element is.
+_STATE = re.compile(r"(?i:(?:has|no|with|without)[-_].*|.*[-_](?:enabled|disabled)|comments?[-_](?:open|closed))")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -36,17 +40,19 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 
 @dataclass
 class Line:
-    """A block of text: its words, the tags and link characters in it, where it is."""
+    """A block of text: its words, the tags and link characters in it, where it is, and the
+    names that mark all of it."""
 
     text: str
     tags: int
     linked: int
     dropped: bool
     path: tuple[int, ...]
+    marks: frozenset[str] = frozenset()
 
 
-def _marked(tag: str, attrs: list, inside: bool) -> bool:
-    """Whether an element with its content is not main text."""
+def _never(tag: str, attrs: list, inside: bool) -> bool:
+    """Whether an element with its content is not main text whatever it holds."""
     if tag in DROPPED:
         return True
     own = {k: v or "" for k, v in attrs}
@@ -54,34 +60,48 @@ def _marked(tag: str, attrs: list, inside: bool) -> bool:
         return True
     if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(own.get("style", "")):
         return True
-    if own.get("role", "").lower() in ROLES:
-        return True
-    if tag in ("html", "body", "main") or (tag == "article" and not inside):
-        return False
-    parts = {p.lower() for name in ("class", "id") for p in _PARTS.findall(own.get(name, ""))}
-    return bool(parts & MARKS)
+    return own.get("role", "").lower() in ROLES
+
+
+def _parts(name: str) -> set[str]:
+    return {p.lower() for p in _PARTS.findall(name)}
+
+
+def _marks(tag: str, attrs: list, inside: bool) -> frozenset[str]:
+    """The class and id names that mark an element as not the article."""
+    if tag in ("html", "body", "main") or (tag == "article" and not inside) or tag == "header":
+        return frozenset()
+    names = [n for k, v in attrs if k in ("class", "id") for n in (v or "").split()]
+    return frozenset(n for n in names if _parts(n) & MARKS and not _STATE.fullmatch(n))
 
 
 class Reader(HTMLParser):
-    """Turns parser events into lines. Unclosed and crossed tags are closed by what follows."""
+    """Turns parser events into lines. Unclosed and crossed tags are closed by what follows.
+    ``trusted``: marks that are not heeded."""
 
-    def __init__(self):
+    def __init__(self, trusted: frozenset[str] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []
+        self.trusted = trusted
+        self.stack: list[tuple[str, bool, int, frozenset[str]]] = []  # marks: of all open elements
         self.names: list[str] = []  # element number -> tag
+        self.marks: list[frozenset[str]] = []  # element number -> marks around it
+        self.headers: set[int] = set()  # elements that are marked as an article's header
         self.lines: list[Line] = []
-        self.parts: list[tuple[str, bool]] = []
+        self.parts: list[tuple[str, bool, frozenset[str]]] = []
         self.tags = self.linked = 0
 
-    def off(self) -> bool:
-        return any(d for _, d, _ in self.stack)
+    def add(self, data: str) -> None:
+        self.parts.append((data, *self.stack[-1][1::2]) if self.stack else (data, False, frozenset()))
 
     def flush(self) -> None:
-        """Ends a line. Text of dropped elements inside a block does not reach it."""
-        kept = " ".join("".join(t for t, d in self.parts if not d).split())
-        text = kept or " ".join("".join(t for t, _ in self.parts).split())
+        """Ends a line. Text of dropped elements inside a block does not reach it; a line
+        that is dropped for its marks only keeps them."""
+        kept = " ".join("".join(t for t, d, m in self.parts if not d and not m).split())
+        marked = "" if kept else " ".join("".join(t for t, d, _ in self.parts if not d).split())
+        text = kept or marked or " ".join("".join(t for t, _, _ in self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, not kept, tuple(n for _, _, n in self.stack)))
+            marks = frozenset.intersection(*(m for t, d, m in self.parts if not d and t.strip())) if marked else frozenset()
+            self.lines.append(Line(text, self.tags, self.linked, not kept, tuple(x[2] for x in self.stack), marks))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -91,13 +111,20 @@ class Reader(HTMLParser):
             self.close_implied(tag)
         elif tag in ("br", "td", "th", "option"):
             self.close_implied(tag)
-            self.parts.append((" ", self.off()))
+            self.add(" ")
         self.tags += 1
         if tag in VOID:
             return
-        inside = any(t in ("article", "main") for t, _, _ in self.stack)
+        inside = any(x[0] in ("article", "main") for x in self.stack)
+        never, marks = self.stack[-1][1::2] if self.stack else (False, frozenset())
+        own = _marks(tag, attrs, inside) - self.trusted
+        if inside and (tag == "header" or own and all(_parts(n) & MARKS == {"header"} for n in own)):
+            self.headers.add(len(self.names))
+            own = frozenset()
+        never, marks = never or _never(tag, attrs, inside), marks | own
+        self.stack.append((tag, never, len(self.names), marks))
         self.names.append(tag)
-        self.stack.append((tag, _marked(tag, attrs, inside), len(self.names) - 1))
+        self.marks.append(marks)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -118,7 +145,7 @@ class Reader(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         elif tag in ("td", "th"):
-            self.parts.append((" ", self.off()))
+            self.add(" ")
         self.tags += 1
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
@@ -126,17 +153,43 @@ class Reader(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self.parts.append((data, self.off()))
-        if any(t == "a" for t, _, _ in self.stack):
+        self.add(data)
+        if any(x[0] == "a" for x in self.stack):
             self.linked += len(data)
 
 
-def read_lines(html: str) -> tuple[list[Line], list[str]]:
-    reader = Reader()
+def read_lines(html: str, trusted: frozenset[str] = frozenset()) -> Reader:
+    reader = Reader(trusted)
     reader.feed(html)
     reader.close()
     reader.flush()
-    return reader.lines, reader.names
+    return reader
+
+
+def wrappers(reader: Reader, good: np.ndarray) -> frozenset[str]:
+    """Marks that do not tell what is not the article on this page, since they hold it: those
+    around a main element, around most of the content characters, or around the article if
+    it outweighs the unmarked content. Names of threads count only around a main element or
+    where nothing is unmarked."""
+    found, weight, total, plain = set(), {}, 0, 0
+    articles: dict[int, int] = {}
+    for x, g in zip(reader.lines, good, strict=True):
+        if g and (not x.dropped or x.marks):
+            total += len(x.text)
+            plain += 0 if x.dropped else len(x.text)
+            for m in x.marks:
+                weight[m] = weight.get(m, 0) + len(x.text)
+            for n in x.path:
+                if reader.names[n] == "main":
+                    found |= reader.marks[n]
+                elif reader.names[n] == "article":
+                    articles[n] = articles.get(n, 0) + len(x.text)
+    held = {m for m, w in weight.items() if 2 * w > total}
+    if articles and articles[best := max(articles, key=lambda n: (articles[n], -n))] > plain:
+        held |= reader.marks[best]
+    if any(not x.dropped for x in reader.lines):
+        held = {m for m in held if not _parts(m) & THREADS}
+    return frozenset(found | held)
 
 
 def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -172,13 +225,21 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     between it and the last h1 before it. All of that region's text is returned but for
     elements that are marked as menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles or comments, and, where no article is marked, lines that are links
-    only, unless they are headings or content lines.
+    only, unless they are headings or content lines. Class and id names mark an element
+    only if they do not hold the article itself (see ``wrappers``); of a header inside an
+    article the headings stay.
     """
-    lines, names = read_lines(html or "")
+    reader = read_lines(html or "")
+    good = content_lines(reader.lines, sigma) if reader.lines else np.zeros(0, dtype=bool)
+    trusted: frozenset[str] = frozenset()
+    while more := wrappers(reader, good):  # marks inside a wrapper show once it is trusted
+        trusted |= more
+        reader = read_lines(html or "", trusted)
+        good = content_lines(reader.lines, sigma)
+    lines, names = reader.lines, reader.names
     live = [x for x in lines if not x.dropped]
     if not live:
         return ""
-    good = content_lines(lines, sigma)
     chosen = [x for x, g in zip(lines, good, strict=True) if g and not x.dropped] or live
     weight: dict[int, int] = {}
     for x in chosen:
@@ -197,7 +258,8 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         title = max((k for k in range(own[0]) if any(names[n] == "h1" for n in live[k].path)), default=own[0])
         inside = [(k, x) for k, x in enumerate(live) if title <= k < own[0] or not inner or max(inner) in x.path]
         kept = [x for k, x in inside if not _is_link(x) or _in_heading(x, names) or id(x) in content and own[0] < k < own[-1]]
-    kept = [x for x in kept if not _in_header(x, names) or _in_heading(x, names)]
+    headers = reader.headers | {n for n, name in enumerate(names) if name == "header"}
+    kept = [x for x in kept if headers.isdisjoint(x.path) or _in_heading(x, names)]
     return "\n".join(x.text for x in kept)
 
 
@@ -209,10 +271,6 @@ def _in_heading(line: Line, names: list[str]) -> bool:
     return any(names[n] in HEADINGS for n in line.path)
 
 
-def _in_header(line: Line, names: list[str]) -> bool:
-    return any(names[n] == "header" for n in line.path)
-
-
 def extract(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
     """Per row ``page_id, url, text, n_chars`` from the whole html; null or without main text:
     an empty text. Repeated rows stay repeated, other columns are ignored."""

@@ -145,3 +145,19 @@ def test_no_content_is_lost_without_an_article():
     assert html_extract.main_text(page).split("\n") == [*prose, *prose[:2]]
     page = f"<body>{menu}<div><p>{prose[0]}</p><p><a href=4>{prose[1]}</a></p><p>{prose[2]}</p></div>{menu}"
     assert html_extract.main_text(page).split("\n") == prose[:3]
+
+
+def test_marks_of_wrappers_do_not_drop_the_article():
+    prose = [f"Paragraph {k} has quite a number of words in it, as prose of the article does." for k in range(6)]
+    body, side = "".join(f"<p>{x}</p>" for x in prose), "<div class=sidebar><p>More to read on this site.</p></div>"
+    for name in ("has-sidebar", "no-sidebar", "elementor-widget-container", "share-enabled", "content_with_ads comments-open"):
+        for open_, close in (("<div>", "</div>"), ("<article>", "</article>"), ("<main>", "</main>")):
+            page = f"<body><p>Site</p><div class='{name}'>{open_}<h1>Head</h1>{body}{close}{side}</div><p>Imprint</p>"
+            out = html_extract.main_text(page).split("\n")
+            assert [x for x in out if x not in ("Site", "Imprint")] == ["Head", *prose]
+    parts = "".join(f"<div class='elementor-widget elementor-widget-text'>{p}</div>" for p in body.split("\n"))
+    assert html_extract.main_text(f"<body>{parts}{side}").split("\n") == prose
+    page = f"<article><header class='entry-header'><h1>Head</h1><p>By me</p></header><div class='post-header'><h2>Sub</h2><p>today</p></div>{body}</article>"
+    assert html_extract.main_text(page).split("\n") == ["Head", "Sub", *prose]
+    thread = f"<div id=comments>{body * 3}</div>"
+    assert html_extract.main_text(f"<body><div><h1>Head</h1>{body}</div>{thread}").split("\n") == ["Head", *prose]
