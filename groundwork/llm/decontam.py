@@ -20,15 +20,17 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 class Settings:
     """``max_edit``: share of an item's words that edits may touch. ``repeats`` walks of
     ``steps`` steps, of which ``sampled`` symbols make a key, start at every ``stride``-th
-    word of a document and at every word of an item. Items with fewer than ``short`` words
-    are searched by exact pieces instead. ``block``: items searched in one pass."""
+    word of a document and at every word of an item that has ``tail`` words from there on.
+    Items with fewer than ``short`` words have too few starts for that and are searched by
+    exact pieces instead, which miss nothing. ``block``: items searched in one pass."""
 
     max_edit: float = 0.2
     repeats: int = 4
     steps: int = 16
     sampled: int = 5
     stride: int = 3
-    short: int = 12
+    tail: int = 12
+    short: int = 18
     block: int = 20_000
     seed: int = 7
 
@@ -68,7 +70,7 @@ class Index:
     item: np.ndarray = field(default=None)
     offset: np.ndarray = field(default=None)
     seen: np.ndarray = field(default=None)
-    pieces: dict = field(default=None)
+    pieces: dict = field(default=None)  # width -> sorted keys, items and offsets
 
 
 def build_index(items: list[tuple], s: Settings) -> Index:
@@ -79,9 +81,9 @@ def build_index(items: list[tuple], s: Settings) -> Index:
         if len(words) < s.short:
             edits = int(s.max_edit * len(words))
             for a, b in _cuts(len(words), edits + 1):
-                pieces.setdefault(b - a, {}).setdefault(_piece(words[a:b]), []).append((k, a))
+                pieces.setdefault(b - a, []).append((piece_keys(words[a:b], b - a)[0], k, a))
             continue
-        starts = np.arange(len(words) - s.short + 1)
+        starts = np.arange(max(1, len(words) - s.tail + 1))
         padded = np.concatenate([words, np.zeros(s.steps + 1, dtype=np.uint64)])
         for r in range(s.repeats):
             keys.append(walk_keys(padded, starts, s, r))
@@ -92,9 +94,12 @@ def build_index(items: list[tuple], s: Settings) -> Index:
     index.keys = keys[order]
     index.item = np.concatenate(item)[order] if item else np.zeros(0, dtype=np.int64)
     index.offset = np.concatenate(offset)[order] if offset else np.zeros(0, dtype=np.int64)
+    index.pieces = {}
     index.seen = np.zeros(1 << 20, dtype=bool)
     index.seen[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    index.pieces = pieces
+    for width, rows in pieces.items():
+        rows.sort()
+        index.pieces[width] = (np.array([r[0] for r in rows], dtype=np.uint64), [r[1] for r in rows], [r[2] for r in rows])
     return index
 
 
@@ -104,8 +109,14 @@ def _cuts(n: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
-def _piece(words: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(words.tobytes())
+def piece_keys(symbols: np.ndarray, width: int) -> np.ndarray:
+    """One key per run of ``width`` symbols."""
+    n = max(0, len(symbols) - width + 1)
+    key = np.full(n, width, dtype=np.uint64)
+    for j in range(width):
+        key = (key ^ symbols[j : j + n]) * _MIX
+        key ^= key >> np.uint64(31)
+    return key
 
 
 def infix_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -163,11 +174,15 @@ def candidates(texts: list[np.ndarray], index: Index, s: Settings) -> dict[int,
             for at, a, b in zip(maybe[high > low], low[high > low], high[high > low], strict=True):
                 for e in range(a, b):
                     found.setdefault(int(doc[at]), []).append((int(index.item[e]), int(local[at] - index.offset[e])))
-    for width, seeds in index.pieces.items():
-        for d, words in enumerate(texts):
-            for at in range(len(words) - width + 1):
-                for k, a in seeds.get(_piece(words[at : at + width]), ()):
-                    found.setdefault(d, []).append((k, at - a))
+    for width, (known, item, offset) in index.pieces.items():
+        keys = piece_keys(symbols, width)
+        low = np.searchsorted(known, keys, "left")
+        maybe = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == keys)
+        high = np.searchsorted(known, keys[maybe], "right")
+        doc = np.searchsorted(base, maybe, "right") - 1
+        for d, at, a, b in zip(doc.tolist(), (maybe - base[doc]).tolist(), low[maybe].tolist(), high.tolist(), strict=True):
+            if at + width <= sizes[d]:
+                found.setdefault(d, []).extend((item[e], at - offset[e]) for e in range(a, b))
     return found
 
 

@@ -67,6 +67,21 @@ def test_recall_and_exactness_against_brute_force(spark):
         assert len(got) >= least * len(truth) and len(truth) >= 40
 
 
+def test_recall_per_item_length():
+    rng, s = random.Random(5), decontam.Settings()
+    for n in range(12, 21):
+        for share, least in ((0.0, 1.0), (0.1, 0.97), (0.2, 0.9)):
+            items, texts = [], []
+            for k in range(150):
+                item = [f"i{k}v{rng.randrange(40)}" for _ in range(n)]
+                items.append((k, " ".join(item)))
+                for at in sorted(rng.sample(range(n), int(share * n)), reverse=True):
+                    item[at : at + 1] = rng.choice([[], ["zz"], [item[at], "yy"]])
+                texts.append(" ".join([f"w{rng.randrange(300)}" for _ in range(rng.randrange(60))] + item + ["end"] * rng.randrange(30)))
+            found = {(at, m[0]) for at, m in decontam._searched(texts, decontam.build_index(items, s), s)}
+            assert len(found & {(k, k) for k in range(150)}) >= (1.0 if n < s.short else least) * 150, (n, share)
+
+
 def test_short_items_are_found_exactly(spark):
     rows = [(1, "x one two three four five y"), (2, "one two tree four five"), (3, "one five"), (4, "ONE, two three four five!")]
     got = decontam.benchmark_matches(documents(spark, rows), spark.createDataFrame([(1, "One two three four five"), (2, "")], ITEMS))
