@@ -37,9 +37,19 @@ _LEXER = re.compile(
     re.VERBOSE | re.DOTALL,
 )
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@%^*-]+")
+_NOT_IN_PARTS = bytes(c for c in range(128) if not chr(c).isalnum())
 _SPLIT = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+def _may_name(text: str) -> bool:
+    """Whether a name in the text can have a weight: a plain search for what name_weight finds."""
+    low = text.lower()
+    if any(word in low for word in SENSITIVE):
+        return True
+    joined = text.encode("ascii", "ignore").translate(None, _NOT_IN_PARTS).lower().decode()
+    return any(word in joined for word in SENSITIVE if len(word) > 5)
+
+
 def name_weight(name: str) -> int:
     """Sum of the weights of a name's parts (camel case, underscores, dots, dashes)."""
     parts = [p.lower() for p in _SPLIT.findall(name)]
@@ -80,8 +90,7 @@ def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
     literal bound to it before, so constants are followed through any number of copies;
     each literal of a sum is reported for the target. Comments are read like code.
     """
-    low = text.lower()
-    if ("=" not in text and ":" not in text) or not any(word in low for word in SENSITIVE):
+    if ("=" not in text and ":" not in text) or not _may_name(text):
         return  # no name here could be sensitive
     bound: dict[str, list[tuple[str, int, int]]] = {}
     target, terms, open_ = None, [], False

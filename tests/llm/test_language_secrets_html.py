@@ -161,3 +161,12 @@ def test_marks_of_wrappers_do_not_drop_the_article():
     assert html_extract.main_text(page).split("\n") == ["Head", "Sub", *prose]
     thread = f"<div id=comments>{body * 3}</div>"
     assert html_extract.main_text(f"<body><div><h1>Head</h1>{body}</div>{thread}").split("\n") == ["Head", *prose]
+
+
+def test_joined_parts_of_a_name_are_sensitive_in_any_text():
+    value = "Zx81mQpL02vR7ty"
+    for name in ("ssh_pass_phrase", "PASS_PHRASE", "pass-phrase", "db.pass_word", "Cred_Entials", "pass__word"):
+        assert secrets.name_weight(name) == 4
+        for text in (f"x = 1\n{name} = '{value}'\n", f"author = 'me'\n{name} = '{value}'\n", f'{{"{name}": "{value}"}}'):
+            assert literals(text) == [value], text
+    assert literals(f"pass_port = '{value}'") == []
