@@ -21,8 +21,8 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 @dataclass(frozen=True)
 class Settings:
     """About ``documents`` documents per language, chosen by hash, give the training lines;
-    lines of up to ``line_chars`` code points fill ``dictionary_bytes`` per language, again
-    by hash. Texts are compressed in pieces of ``piece`` bytes, each with every dictionary,
+    lines, the long ones in pieces of up to ``line_chars`` code points that end at word ends,
+    fill ``dictionary_bytes`` per language, again by hash. Texts are compressed in pieces of ``piece`` bytes, each with every dictionary,
     so all parts of a long text weigh alike. ``margin``: least relative lead to accept."""
 
     documents: int = 600
@@ -52,7 +52,10 @@ def training_lines(docs: DataFrame, counts: dict[str, int], s: Settings = Settin
     limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(scale, -(-scale * s.documents // n)))])
     drawn = F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(scale)) < F.element_at(limits, F.col("lang"))
     chosen = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & drawn)
-    lines = chosen.select("lang", F.explode(F.split("text", "\n")).alias("line")).filter(F.char_length("line").between(1, s.line_chars)).distinct()
+    whole = chosen.select("lang", F.explode(F.split("text", "\n")).alias("whole"))
+    cut = rf"[\s\S]{{1,{s.line_chars}}}(?!\S)|[\s\S]{{1,{s.line_chars}}}"  # a longer word is cut
+    pieces = F.when(F.char_length("whole") <= s.line_chars, F.array("whole")).otherwise(F.regexp_extract_all("whole", F.lit(cut), F.lit(0)))
+    lines = whole.select("lang", F.explode(pieces).alias("line")).filter(F.char_length("line") > 0).distinct()
     so_far = F.sum(F.octet_length("line") + 1).over(W.partitionBy("lang").orderBy(F.xxhash64("line"), "line").rowsBetween(W.unboundedPreceding, W.currentRow))
     return lines.withColumn("so_far", so_far).filter(F.col("so_far") <= s.dictionary_bytes).select("lang", "line")
 

@@ -1,6 +1,7 @@
 """Language identification, secret scans and HTML extraction."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -170,3 +171,19 @@ def test_joined_parts_of_a_name_are_sensitive_in_any_text():
         for text in (f"x = 1\n{name} = '{value}'\n", f"author = 'me'\n{name} = '{value}'\n", f'{{"{name}": "{value}"}}'):
             assert literals(text) == [value], text
     assert literals(f"pass_port = '{value}'") == []
+
+
+def test_long_lines_are_learned_in_pieces(spark):
+    rng, s = random.Random(3), langid.Settings()
+    vocabulary = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(300)] for lang, letters in (("aa", "abcdefgh"), ("bb", "bcdefghi"))}
+    line = lambda lang, n: " ".join(rng.choice(vocabulary[lang]) for _ in range(n))
+    rows = [(k, line("aa", 900), "aa") for k in range(60)] + [(100 + k, "\n".join(line("bb", 12) for _ in range(20)), "bb") for k in range(60)]
+    assert all(len(t) > 5_000 for _, t, lang in rows if lang == "aa")
+    docs = documents(spark, rows)
+    content = langid.learn(docs)
+    assert min(map(len, content.values())) > 0.8 * s.dictionary_bytes or len(content["aa"]) > 100_000
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, content).collect()}
+    assert all(got[k] == lang for k, _, lang in rows)
+    cut = langid.training_lines(documents(spark, [(1, "x" * 4_500 + " yy", "cc"), (3, "ab " * 2_000, "cc")]), {"cc": 2}, s).collect()
+    assert max(len(r["line"]) for r in cut) <= s.line_chars and all(set(r["line"].split()) <= {"ab"} for r in cut if "a" in r["line"])
+    assert sum(r["line"].count("x") for r in cut) in (2_000, 2_500, 4_500)
