@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundwork.llm import decontam, html_extract, langid, lines, mixing, ngram_join, quality, secrets, sharding, urls
+from groundwork.llm import align, bpe, decontam, html_extract, langid, lines, manifest, mixing, ngram_join, quality, secrets, sharding, urls
 from groundwork.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +135,61 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_html_text")
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@_query("op11_bpe_codec")
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path).withColumn("ids_sha256", F.sha2("ids", 256))
+    return bpe.decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@_query("op12_tokenizer_align")
+def op12_tokenizer_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    out = align.align(table(spark, sf_dir, "documents"), *paths)
+    return out.withColumn("groups_sha256", digest).drop("groups")
+
+
+def _merkle_levels(name: str, source: str) -> str:
+    """All levels of the trees over the digest lists of ``source`` (grp, ds)."""
+    pairs = "list_transform(range(0, len(ds), 2), lambda i: sha256(ds[i + 1] || coalesce(ds[i + 2], '')))"
+    return f"{name} AS (SELECT grp, 0 AS lev, ds FROM {source} UNION ALL SELECT grp, lev + 1, {pairs} FROM {name} WHERE len(ds) > 1)"
+
+
+#: Siblings are kept as (side, digest) per level; DuckDB has no CRC-32, so its table is a
+#: list of 256 values that each come from eight steps of the polynomial.
+_MERKLE_SQL = f"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+f AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS hit FROM documents, crc),
+v AS (SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+  coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS n, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS more,
+  coalesce(strlen(text) || ':' || text, '-') AS tail, hit FROM f),
+h AS (SELECT doc_id, lang AS grp, sha256(head || n || tail) AS leaf, sha256(head || CASE WHEN hit THEN more ELSE n END || tail) AS shown FROM v),
+p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1 AS slot FROM h),
+g AS (SELECT grp, list(leaf ORDER BY slot) AS ds FROM p GROUP BY grp),
+{_merkle_levels("t", "g")},
+s AS (SELECT grp, ds[1] AS subroot, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS rk FROM t WHERE len(ds) = 1),
+u AS (SELECT 0 AS grp, list(subroot ORDER BY rk) AS ds FROM s),
+{_merkle_levels("w", "u")},
+way AS (SELECT doc_id, lev, (slot >> lev::BIGINT) AS own, ds FROM p JOIN t ON p.grp IS NOT DISTINCT FROM t.grp WHERE len(ds) > 1
+  UNION ALL SELECT doc_id, 1000 + lev, (rk >> lev::BIGINT), ds FROM p JOIN s ON p.grp IS NOT DISTINCT FROM s.grp, w WHERE len(ds) > 1),
+steps AS (SELECT doc_id, list(struct_pack(side := own % 2, sib := coalesce(ds[xor(own, 1) + 1], '')) ORDER BY lev) AS st FROM way GROUP BY doc_id),
+o AS (SELECT doc_id, grp, leaf, shown, coalesce(st, []) AS st FROM p LEFT JOIN steps USING (doc_id)),
+folds AS (SELECT doc_id, 1 AS k, shown AS d, st FROM o UNION ALL
+  SELECT doc_id, k + 1, sha256(CASE WHEN st[k].side = 1 THEN st[k].sib || d ELSE d || st[k].sib END), st FROM folds WHERE k <= len(st)),
+e AS (SELECT doc_id, d AS folded_root FROM folds WHERE k = len(st) + 1),
+r AS (SELECT ds[1] AS root FROM w WHERE len(ds) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(st, lambda x: x.sib), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM o JOIN s ON o.grp IS NOT DISTINCT FROM s.grp JOIN e USING (doc_id), r
+"""
+
+
+@_query("op13_merkle_manifest", _MERKLE_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = manifest.manifest(manifest.tampered_documents(table(spark, sf_dir, "documents")))
+    return out.withColumn("proof_sha256", manifest.proof_digest()).drop("way")
