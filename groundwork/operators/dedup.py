@@ -8,6 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundwork.functions import hashing as H, text as X
+from groundwork.operators import hamming as M
 from groundwork.operators.joins import salted_lookup, with_dense_index
 from groundwork.session import discard, materialize
 
@@ -30,6 +31,21 @@ def simhash64(df: DataFrame, keys: list[str], text: str, size: int = 3) -> DataF
     return sums.select(*keys, H.simhash_from_sums(F.col("_count")).alias("simhash"))
 
 
+def simhash_widths(df: DataFrame, keys: list[str], text: str, sizes: list[int]) -> DataFrame:
+    """``simhash64`` for several n-gram sizes from one pass over the texts: columns h<size>.
+    Votes of all sizes are summed in one aggregate."""
+    def tag(n: int) -> Column:
+        return F.transform(X.shingles(F.col(text), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+
+    tagged = F.concat(*map(tag, sizes))
+    empty = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(None).cast("string").alias("g")) for n in sizes])
+    grams = df.select(*keys, F.explode(F.concat(tagged, empty)).alias("_g")).select(*keys, F.col("_g.n").alias("_n"), F.col("_g.g").alias("_g"))
+    hashed = grams.select(*keys, "_n", H.head_long(H.sha256(F.col("_g"))).alias("_h"))
+    sums = hashed.groupBy(*keys, "_n").agg(F.count("_h").alias("_count"), *H.simhash_sums(F.col("_h")))
+    each = sums.select(*keys, "_n", H.simhash_from_sums(F.col("_count")).alias("_s"))
+    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("_n") == n, F.col("_s"))).alias(f"h{n}") for n in sizes])
+
+
 def representatives(records: DataFrame, order: str = "ord") -> DataFrame:
     """One row per content hash: the first record, its length, SimHash and copies."""
     hashes = simhash64(records, [order, "content_sha256", "canon_len"], "canonical")
@@ -39,115 +55,110 @@ def representatives(records: DataFrame, order: str = "ord") -> DataFrame:
     return best.select(F.col(f"_m.{order}").alias("ord"), "content_sha256", "_m.canon_len", "_m.simhash", "copies")
 
 
-# --- candidate keys ---------------------------------------------------------
+# --- near pairs -------------------------------------------------------------
 
 _LOG_STEP = math.log(1 / 0.89)
 
 
-def _blocks(value: Column) -> list[Column]:
-    return [F.shiftrightunsigned(value, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
+def similarity_classes(nodes: DataFrame) -> DataFrame:
+    """Records with equal SimHash and length have the same neighbours, and only the
+    earliest of them can be accepted, so one row stands for all of them."""
+    return nodes.groupBy("simhash", "canon_len").agg(F.min("ord").alias("ord"))
 
 
-def _sub_blocks(value: Column, skip: int) -> list[Column]:
-    """The 48 bits outside block ``skip`` as four 12-bit pieces: three 16-bit blocks
-    give 12 bits each, their top four bits together give the fourth piece."""
-    rest = [b for k, b in enumerate(_blocks(value)) if k != skip]
-    low = [b.bitwiseAND(F.lit(0xFFF)) for b in rest]
-    top = [F.shiftright(b, 12) for b in rest]
-    return low + [top[0] + top[1] * 16 + top[2] * 256]
+def _leaves(classes: DataFrame, max_distance: int, limit: int) -> M.Leaves:
+    """Refined key groups of classes. Bins are logarithmic in the length and wider than the
+    ratio limit, so similar lengths lie in the same or in neighbouring bins. Every class
+    stands in its own bin (up = 0) and in the next one (up = 1), where it meets the classes
+    of that bin."""
+    lb = F.floor(F.log("canon_len") / F.lit(_LOG_STEP)).cast("int")
+    rows = classes.select("ord", "canon_len", F.array("simhash").alias("_words"), H.hex64(F.col("simhash")).alias("_hex"), lb.alias("_lb"))
+    both = rows.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("bin", F.col("_lb") + F.col("up")).drop("_lb")
+    return M.refine(both, "_hex", max_distance, ["bin"], limit)
 
 
-def _slots(value: Column) -> list[Column]:
-    """16 keys of 28 bits. Values at distance <= 3 agree on one of four blocks, and then on
-    one of four pieces of the other 48 bits."""
-    return [block * 4096 + piece for i, block in enumerate(_blocks(value)) for piece in _sub_blocks(value, i)]
+def _close(min_ratio: float) -> Column:
+    """Pairs of a group that can be near: at least one in its own bin, each pair once."""
+    once = ((F.col("a.up") == 0) & (F.col("b.up") == 1) & (F.col("a.ord") != F.col("b.ord"))) | ((F.col("a.up") == 0) & (F.col("b.up") == 0) & (F.col("a.ord") < F.col("b.ord")))
+    return once & (F.least("a.canon_len", "b.canon_len") / F.greatest("a.canon_len", "b.canon_len") >= min_ratio)
 
 
-def _first_shared(a: Column, b: Column) -> Column:
-    """Index of the first key two values share: a pair is emitted at that key only."""
-    out = None
-    for i, key in enumerate(_slots(a.bitwiseXOR(b))):
-        out = F.when(key == 0, i) if out is None else out.when(key == 0, i)
-    return out
+def near_pairs(classes: DataFrame, max_distance: int = 3, min_ratio: float = 0.90, group_limit: int = M.GROUP_LIMIT, leaves: M.Leaves | None = None) -> DataFrame:
+    """Edges (src earlier than dst) between classes with Hamming distance <=
+    ``max_distance`` and length ratio >= ``min_ratio``. ``min_ratio`` is at least 0.89, the
+    width of the length bins. Crowded key groups are refined, true clusters are tiled."""
+    if min_ratio < 0.89:
+        raise ValueError("the length bins find ratios of 0.89 and more")
+    leaves = leaves or _leaves(classes, max_distance, group_limit)
+    joined = M.pairs_within(leaves, _close(min_ratio), max_distance, group_limit)
+    return joined.select(F.least("a.ord", "b.ord").alias("src"), F.greatest("a.ord", "b.ord").alias("dst"), F.col("_distance").alias("distance"))
 
 
-def similarity_classes(nodes: DataFrame) -> DataFrame:
-    """Records with equal SimHash and length have the same neighbours, and only the
-    earliest of them can be accepted, so one row stands for all of them."""
-    return nodes.groupBy("simhash", "canon_len").agg(F.min("ord").alias("ord"))
+def _accept(edges: DataFrame, free: DataFrame) -> DataFrame:
+    """The classes next to accepted ones."""
+    return edges.join(free.withColumnRenamed("ord", "src"), "src", "left_semi").select(F.col("dst").alias("ord"))
 
 
-def _keyed(classes: DataFrame, probe: bool) -> DataFrame:
-    """Key rows (slot, key, bin). Bins are logarithmic in the length and wider than the
-    ratio limit, so similar lengths lie in the same or in neighbouring bins. The probing
-    side also stands in the next bin (up = 1), which meets every neighbour once."""
-    lb = F.floor(F.log("canon_len") / F.lit(_LOG_STEP)).cast("int")
-    rows = classes.select("ord", "simhash", "canon_len", lb.alias("_lb"), F.posexplode(F.array(*_slots(F.col("simhash")))).alias("slot", "key"))
-    shifts = F.array(F.lit(0), F.lit(1)) if probe else F.array(F.lit(0))
-    return rows.withColumn("up", F.explode(shifts)).select("ord", "simhash", "canon_len", "slot", "key", "up", (F.col("_lb") + F.col("up")).alias("bin"))
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    for end in ("src", "dst"):
+        edges = edges.join(gone.withColumnRenamed("ord", end), end, "left_anti")
+    return edges
 
 
-def near_pairs(classes: DataFrame, max_distance: int = 3, min_ratio: float = 0.90) -> DataFrame:
-    """Edges (src earlier than dst) between classes with Hamming distance <=
-    ``max_distance`` (at most 3) and length ratio >= ``min_ratio``."""
-    if max_distance > 3:
-        raise ValueError("the keys find pairs up to distance 3")
-    a, b = _keyed(classes, probe=False).alias("a"), _keyed(classes, probe=True).alias("b")
-    same = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.bin") == F.col("b.bin"))
-    once = (F.col("b.up") == 1) | (F.col("a.ord") < F.col("b.ord"))
-    ratio = F.least("a.canon_len", "b.canon_len") / F.greatest("a.canon_len", "b.canon_len")
-    distance = H.hamming(F.col("a.simhash"), F.col("b.simhash"))
-    shared = _first_shared(F.col("a.simhash"), F.col("b.simhash"))
-    joined = a.join(b, same & once & (ratio >= min_ratio)).filter((distance <= max_distance) & (shared == F.col("a.slot")))
-    return joined.select(F.least("a.ord", "b.ord").alias("src"), F.greatest("a.ord", "b.ord").alias("dst"), distance.alias("distance"))
-
-
-def _leader_rounds(classes: DataFrame, group_limit: int, max_distance: int, min_ratio: float):
-    """Thin out crowded key groups before any pair is formed. Every key group compares
-    its rows with its earliest row only (a map-side minimum). A class that is the
-    earliest of all its groups has no earlier candidate and is accepted; every class
-    near it is rejected, and both leave the graph. Repeats while a group is larger
-    than ``group_limit``. Returns (remaining classes, rejected)."""
-    rejected = None
+def _dense_rounds(dense: DataFrame, edges: DataFrame, group_limit: int, max_distance: int, min_ratio: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Thins groups that stay crowded at the finest key, whose values differ in a few digits
+    only: every round compares their rows with the earliest row of the group (a map-side
+    minimum). A leader that no edge and no other group blocks is accepted, and what is near
+    it is rejected. A leader clears a ball of the few values a group can hold, so the number
+    of rounds does not grow with the rows. Returns (dense rest, edges rest, rejected)."""
+    rejected = dense.select("ord").limit(0)
     while True:
-        sizes = _keyed(classes, probe=False).groupBy("slot", "key", "bin").agg(F.count("*").alias("n"))
+        sizes = dense.groupBy("_gid").agg(F.count("*").alias("n"), F.min(F.struct("ord", "canon_len", "_words", "up")).alias("lead"))
+        sizes = materialize(sizes, "groups")
         if (sizes.agg(F.max("n")).first()[0] or 0) <= group_limit:
-            return classes, rejected
-        group = F.concat_ws(":", "slot", "key", "bin").alias("_g")
-        rows = _keyed(classes, probe=True).select("ord", "simhash", "canon_len", group)
-        leads = materialize(rows.groupBy("_g").agg(F.min(F.struct("ord", "simhash", "canon_len")).alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "groups")
-        seen = salted_lookup(rows, leads, "_g", "ord")
+            return dense, edges, rejected
+        seen = salted_lookup(dense.select("_gid", "ord", "canon_len", "_words", "up"), sizes.select("_gid", "lead"), "_gid", "ord").filter(F.col("ord") != F.col("lead.ord"))
         ratio = F.least("canon_len", "lead.canon_len") / F.greatest("canon_len", "lead.canon_len")
-        close = (H.hamming(F.col("simhash"), F.col("lead.simhash")) <= max_distance) & (ratio >= min_ratio)
-        seen = materialize(seen.select("ord", F.col("lead.ord").alias("lead"), close.alias("close")).filter("ord <> lead"), "leads")
-        won = materialize(classes.select("ord").join(seen.select("ord").distinct(), "ord", "left_anti"), "won")
-        lost = seen.filter("close").join(won.select(F.col("ord").alias("lead")), "lead", "left_semi")
-        lost = materialize(lost.select("ord").distinct(), "lost")
-        rejected = lost if rejected is None else rejected.unionByName(lost)
-        classes = materialize(classes.join(won.unionByName(lost), "ord", "left_anti"), "classes")
-
-
-def near_dup_greedy(nodes: DataFrame, group_limit: int = 1024, max_distance: int = 3, min_ratio: float = 0.90) -> DataFrame:
+        near = (M.bits_apart(F.col("_words"), F.col("lead._words")) <= max_distance) & (ratio >= min_ratio)
+        seen = materialize(seen.select("ord", F.col("lead.ord").alias("lead"), near.alias("near")), "leads")
+        blocked = seen.select("ord").union(edges.select("dst")).distinct()
+        first = sizes.select(F.col("lead.ord").alias("ord")).union(edges.select("src")).distinct()
+        free = first.join(blocked, "ord", "left_anti")  # the earliest open class is always one
+        free = materialize(free, "won")
+        hit = seen.filter("near").join(free.select(F.col("ord").alias("lead")), "lead", "left_semi").select("ord")
+        hit = materialize(hit.union(_accept(edges, free)).distinct(), "lost")
+        rejected = rejected.union(hit)
+        gone = free.union(hit)
+        dense = materialize(dense.join(gone, "ord", "left_anti"), "dense")
+        edges = materialize(_without(edges, gone), "edges")
+
+
+def near_dup_greedy(nodes: DataFrame, group_limit: int = M.GROUP_LIMIT, max_distance: int = 3, min_ratio: float = 0.90) -> DataFrame:
     """Verdict of a sequential scan: a record is near-duplicate iff an earlier accepted
     record is within the distance and length ratio. Input ``ord, canon_len, simhash``
     (distinct contents); output ``ord, near``.
 
     The scan equals the lexicographically first maximal independent set: accept what
     has no earlier open neighbour, reject its neighbours, repeat. Each round is a
-    few joins on the remaining edges, cut from lineage by a written table."""
+    few joins on the remaining edges, cut from lineage by a written table. Only groups
+    that no key refines (true clusters) are thinned before their pairs form."""
     nodes = materialize(nodes.select("ord", "canon_len", "simhash"), "nodes")
     classes = materialize(similarity_classes(nodes), "classes")
-    open_classes, rejected = _leader_rounds(classes, group_limit, max_distance, min_ratio)
-    edges = materialize(near_pairs(open_classes, max_distance, min_ratio).select("src", "dst"), "edges")
-    lost = [] if rejected is None else [rejected.select("ord")]
+    leaves = _leaves(classes, max_distance, group_limit)
+    found = M.Leaves(leaves.small, leaves.dense.limit(0))
+    edges = materialize(near_pairs(classes, max_distance, min_ratio, group_limit, found).select("src", "dst"), "edges")
+    lost = []
+    if not leaves.dense.isEmpty():
+        dense, edges, rejected = _dense_rounds(materialize(leaves.dense, "dense"), edges, group_limit, max_distance, min_ratio)
+        rest = near_pairs(classes, max_distance, min_ratio, group_limit, M.Leaves(dense, dense.limit(0)))
+        edges = materialize(edges.union(rest.select("src", "dst")), "edges")
+        lost.append(rejected)
     while not edges.isEmpty():
         blocked = edges.select(F.col("dst").alias("ord")).distinct()
-        free = edges.select(F.col("src").alias("ord")).distinct().join(blocked, "ord", "left_anti")
-        hit = materialize(edges.join(free.withColumnRenamed("ord", "src"), "src", "left_semi").select(F.col("dst").alias("ord")).distinct(), "hit")
+        free = materialize(edges.select(F.col("src").alias("ord")).distinct().join(blocked, "ord", "left_anti"), "won")
+        hit = materialize(_accept(edges, free).distinct(), "hit")
         lost.append(hit)
-        rest = edges.join(free.withColumnRenamed("ord", "src"), "src", "left_anti")
-        rest = rest.join(hit.withColumnRenamed("ord", "dst"), "dst", "left_anti")
-        edges = materialize(rest.join(hit.withColumnRenamed("ord", "src"), "src", "left_anti").select("src", "dst"), "edges")
+        edges = materialize(_without(edges, free.union(hit)), "edges")
     leaders = classes.select("ord")
     if lost:
         leaders = leaders.join(functools.reduce(DataFrame.union, lost), "ord", "left_anti")
@@ -208,12 +219,11 @@ def merge_sources(inputs: list[DataFrame], order: str = "ord") -> tuple[DataFram
 # --- signatures and groups --------------------------------------------------
 
 
-def signature_pairs(df: DataFrame, signature: str, bin: str, order: str, max_distance: int = 8) -> DataFrame:
+def signature_pairs(df: DataFrame, signature: str, bin: str, order: str, max_distance: int = 8, group_limit: int = M.GROUP_LIMIT) -> DataFrame:
     """Edges between rows whose 256-bit hex signatures differ in at most
-    ``max_distance`` bits inside one bin. With max_distance + 1 bands two near
-    signatures agree on a band. Equal (bin, signature) rows are collapsed first and
-    linked to their first row by a star, so copies add rows, never pairs."""
-    bands = max_distance + 1
+    ``max_distance`` bits inside one bin. Equal (bin, signature) rows are collapsed first
+    and linked to their first row by a star, so copies add rows, never pairs. Band keys are
+    refined where they are crowded and what stays together is tiled (see ``hamming``)."""
     unique = df.groupBy(bin, signature).agg(F.min(order).alias("_o"))
     stars = salted_lookup(
         df.withColumn("_bs", F.concat_ws(":", bin, signature)),
@@ -222,18 +232,10 @@ def signature_pairs(df: DataFrame, signature: str, bin: str, order: str, max_dis
         order,
     )
     stars = stars.filter(F.col(order) != F.col("_o")).select(F.col("_o").alias("src"), F.col(order).alias("dst"), F.lit(0).alias("distance"))
-    cuts = [round(i * 64 / bands) for i in range(bands + 1)]
-    pieces = F.array(*[F.substring(signature, cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(bands)])
-    keyed = unique.select("_o", bin, F.col(signature).alias("_s"), F.posexplode(pieces).alias("_i", "_v"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    words = [(F.conv(F.substring("a._s", 16 * w + 1, 16), 16, -10).cast("bigint"), F.conv(F.substring("b._s", 16 * w + 1, 16), 16, -10).cast("bigint")) for w in range(4)]
-    distance = sum((H.hamming(x, y) for x, y in words), F.lit(0))
-    earlier_band = F.lit(False)
-    for i in range(bands):
-        same = F.substring("a._s", cuts[i] + 1, cuts[i + 1] - cuts[i]) == F.substring("b._s", cuts[i] + 1, cuts[i + 1] - cuts[i])
-        earlier_band = earlier_band | ((F.lit(i) < F.col("a._i")) & same)
-    joined = a.join(b, (F.col(f"a.{bin}") == F.col(f"b.{bin}")) & (F.col("a._i") == F.col("b._i")) & (F.col("a._v") == F.col("b._v")) & (F.col("a._o") < F.col("b._o")))
-    near = joined.filter((distance <= max_distance) & ~earlier_band).select(F.col("a._o").alias("src"), F.col("b._o").alias("dst"), distance.alias("distance"))
+    rows = unique.select("_o", bin, F.col(signature).alias("_hex"), M.words_of(F.col(signature), 64).alias("_words"))
+    leaves = M.refine(rows, "_hex", max_distance, [bin], group_limit)
+    joined = M.pairs_within(leaves, F.col("a._o") < F.col("b._o"), max_distance, group_limit)
+    near = joined.select(F.col("a._o").alias("src"), F.col("b._o").alias("dst"), F.col("_distance").alias("distance"))
     return near.unionByName(stars)
 
 
@@ -244,26 +246,35 @@ def star_edges(df: DataFrame, key: str, node: str) -> DataFrame:
     return salted_lookup(rows, hubs.select("_k", "src"), "_k", "dst").filter("src <> dst").select("src", "dst")
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """``u, v`` with the least of u and its neighbours v as ``m``. The minimum is combined
+    before the shuffle, and a hub's links stay splittable in the join."""
+    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return links.join(least, "u")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (smallest node of the component) by minimum-label exchange
-    with pointer jumping; every round is written to the shared folder. Joins on a
-    hub or on a giant component's label are salted."""
-    pairs = edges.select("src", "dst")
-    both = materialize(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), "labels")
-    old = (labels,)
+    """``node, component`` (smallest node of the component) by alternating stars: larger
+    neighbours are linked to the least one around a node, then smaller ones, until every
+    link leads to the least node. A round is two joins of the remaining links, written to
+    the shared folder; no node is counted or gathered."""
+    pairs = edges.select("src", "dst").filter("src <> dst")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    links = materialize(pairs.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "links")
+    before = None
     while True:
-        heard = salted_lookup(both.withColumnRenamed("dst", "node"), labels, "node", "src")
-        offers = heard.groupBy(F.col("src").alias("node")).agg(F.min("label").alias("offer"))
-        lower = labels.join(offers, "node", "left").select("node", "label", F.least("label", F.coalesce("offer", "label")).alias("next"))
-        lower = materialize(lower, "labels")
-        discard(*old)
-        roots = lower.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        jumped = salted_lookup(lower, roots, "next", "node", how="left")
-        jumped = materialize(jumped.select("node", F.coalesce("jump", "next").alias("label"), (F.coalesce("jump", "next") != F.col("label")).alias("moved")), "labels")
-        labels, old = jumped.select("node", "label"), (lower, jumped)
-        if jumped.filter("moved").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
+            break
+        before = state
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = materialize(_stars(both).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        small = _stars(large)
+        moved = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
+        old, links = links, materialize(moved.distinct(), "links")
+        discard(old, large)
+    roots = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def equivalence_groups(nodes: DataFrame, edges: list[DataFrame], node: str = "ord") -> DataFrame:

@@ -1,14 +1,15 @@
 """Evidence ranking by contained tokens and topics.
 
-"Contains" is a substring test. It is planned as an equi-join: every needle is looked
-up by its first three characters among the character trigrams of the haystacks, and
-the candidate pairs are then checked. Nothing is compared all against all."""
+"Contains" is a substring test. Topics and tokens are found by equality joins (see
+``containment``); the vocabulary matches of X12 and X13 look every token up by its first
+three characters among the trigrams of the words. Nothing is compared all against all."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundwork.functions import text as X
+from groundwork.operators.containment import contained
 from groundwork.operators.joins import top_k
 from groundwork.session import materialize
 
@@ -30,23 +31,8 @@ def _grams(text: Column, sizes: list[int]) -> Column:
     return F.array_distinct(X.bind(characters, lambda chars: F.concat(*[cut(chars, n) for n in sizes])))
 
 
-def substring_join(hay: DataFrame, text: str, needles: DataFrame, needle: str, same: str | None = None) -> DataFrame:
-    """All (hay row, needle row) pairs where ``text`` contains ``needle``. ``same`` names
-    a column both sides must share. The trigram rows carry a digest instead of the text,
-    which joins once for the test, so a long text is not repeated per trigram."""
-    sizes = [r[0] for r in needles.select(F.least(F.length(needle), F.lit(3)).alias("n")).distinct().filter("n > 0").collect()]
-    shared = [same] if same else []
-    keyed = needles.filter(F.length(needle) > 0)
-    sought = keyed.select(*shared, F.col(needle).alias("_needle"), F.substring(F.col(needle), 1, 3).alias("_g")).distinct()
-    tagged = hay.withColumn("_h", F.md5(text))
-    grams = tagged.select("_h", *shared, F.explode(_grams(F.col(text), sizes or [3])).alias("_g"))
-    maybe = grams.join(sought, ["_g", *shared]).select("_h", *shared, "_needle").distinct()
-    found = tagged.join(maybe, ["_h", *shared]).filter(F.contains(F.col(text), F.col("_needle"))).drop("_h")
-    return found.join(keyed.withColumn("_needle", F.col(needle)), ["_needle", *shared]).drop("_needle")
-
-
 def word_join(words: DataFrame, word: str, needles: DataFrame, needle: str) -> DataFrame:
-    """``substring_join`` for distinct single words, which are short enough to travel."""
+    """All (word row, needle row) pairs where a distinct word contains the needle."""
     sizes = [r[0] for r in needles.select(F.least(F.length(needle), F.lit(3)).alias("n")).distinct().filter("n > 0").collect()]
     keyed_words = words.withColumn("_g", F.explode(_grams(F.col(word), sizes or [3])))
     keyed_needles = needles.filter(F.length(needle) > 0).withColumn("_g", F.substring(F.col(needle), 1, 3))
@@ -117,19 +103,23 @@ def topic_rank_with_backfill(entries: DataFrame, queries: DataFrame, n: int = 12
     """``entries``: entry_id (its order), source, core, topics. Scores topics contained
     in the query, keeps > 0.2, at most n; if fewer than min(8, n) are found, core
     entries in order fill up to that number."""
-    q = queries.select(F.col(query).alias("query"), X.squeeze(X.strip_accents(F.col(text))).alias("q"))
-    topics = entries.select("entry_id", F.explode("topics").alias("_t")).select("entry_id", X.squeeze(X.strip_accents(F.col("_t"))).alias("topic")).filter("topic <> ''")
-    topics = materialize(topics.withColumn("topic_no", F.monotonically_increasing_id()), "topics")
-    whole = substring_join(q, "q", topics, "topic").select("query", "entry_id", "topic_no")
-    tokens = topics.select("entry_id", "topic_no", F.explode(F.split("topic", r"\s+")).alias("token")).filter(F.length("token") >= 4)
-    part = substring_join(q, "q", tokens, "token").select("query", "entry_id", "topic_no").join(whole, ["query", "entry_id", "topic_no"], "left_anti")
-    sources = entries.select("entry_id", X.squeeze(X.strip_accents(F.col("source"))).alias("s"))
-    named = substring_join(q, "q", sources, "s").select("query", "entry_id")
-    # Hundredths keep the sums exact: 20, 300, 45 and 50 points.
+    fold = lambda c: X.squeeze(X.strip_accents(c))
+    q = materialize(queries.select(F.col(query).alias("query"), fold(F.col(text)).alias("q")), "queries")
+    topics = entries.select("entry_id", F.explode("topics").alias("_t")).select("entry_id", fold(F.col("_t")).alias("topic")).filter("topic <> ''")
+    topics = materialize(topics, "topics")
+    long_tokens = F.filter(F.split("topic", r"\s+"), lambda t: F.length(t) >= 4)
+    tokens = topics.select("entry_id", F.explode(long_tokens).alias("token")).groupBy("entry_id", "token").agg(F.count("*").alias("n"))
+    tokens = materialize(tokens, "tokens")
+    whole = materialize(contained(q, "query", "q", topics, "topic"), "whole")
+    part = materialize(contained(q, "query", "q", tokens, "token"), "part")
+    sources = entries.select("entry_id", fold(F.col("source")).alias("s"))
+    named = contained(q, "query", "q", sources.select("s").distinct(), "s")
+    # Hundredths keep the sums exact: 20, 300, 45 and 50 points. Every token of a contained
+    # topic is contained too, so its token points are taken back from the topic's.
     events = (
-        whole.select("query", "entry_id", F.lit(300).alias("p"))
-        .unionByName(part.select("query", "entry_id", F.lit(45).alias("p")))
-        .unionByName(named.select("query", "entry_id", F.lit(50).alias("p")))
+        whole.join(topics, "topic").select("query", "entry_id", (300 - 45 * F.size(long_tokens)).cast("bigint").alias("p"))
+        .unionByName(part.join(tokens, "token").select("query", "entry_id", (45 * F.col("n")).alias("p")))
+        .unionByName(named.join(sources, "s").select("query", "entry_id", F.lit(50).cast("bigint").alias("p")))
     )
     summed = events.groupBy("query", "entry_id").agg(F.sum("p").alias("p"))
     scored = summed.join(entries.select("entry_id", "core"), "entry_id").select("query", "entry_id", (F.col("p") + F.when(F.col("core"), 20).otherwise(0)).alias("score"))
@@ -154,7 +144,7 @@ def ontology_expand(queries: DataFrame, ontology: DataFrame, query: str = "query
     fold = lambda c: X.fold_text(c, dstroke=False, keep="-")
     q = queries.select(F.col(query).alias("query"), fold(F.col(text)).alias("q")).filter("q <> ''")
     aliases = ontology.select("node_id", F.explode("aliases").alias("_a")).select("node_id", fold(F.col("_a")).alias("alias")).filter("alias <> ''")
-    hits = substring_join(q, "q", aliases, "alias").select("query", "node_id").distinct()
+    hits = contained(q, "query", "q", aliases, "alias").join(aliases, "alias").select("query", "node_id").distinct()
     words = F.filter(F.split(fold(F.concat_ws(" ", "node_id", "label", F.array_join("aliases", " "))), " "), lambda t: F.length(t) >= 3)
     tokens = ontology.select("node_id", F.explode(words).alias("token")).distinct()
     return hits.join(tokens, "node_id").select("query", "token").distinct()
@@ -183,9 +173,10 @@ def snippet_rank(matches: DataFrame, texts: DataFrame, queries: DataFrame, query
 def topic_hits(entries: DataFrame, labels: DataFrame, k: int = 10, query: str = "query_id", text: str = "text") -> DataFrame:
     """Entries (entry_id, source, page, topics) by the number of topics contained in the
     label text; top k by score, source, page."""
-    q = labels.select(F.col(query).alias("query"), F.lower(text).alias("q"))
+    q = materialize(labels.select(F.col(query).alias("query"), F.lower(text).alias("q")), "labels")
     topics = entries.select("entry_id", F.explode("topics").alias("_t")).select("entry_id", F.lower("_t").alias("topic"))
-    counts = substring_join(q, "q", topics, "topic").groupBy("query", "entry_id").agg(F.count("*").alias("score"))
+    found = materialize(contained(q, "query", "q", topics, "topic"), "whole")
+    counts = found.join(topics, "topic").groupBy("query", "entry_id").agg(F.count("*").alias("score"))
     facts = counts.join(entries.select("entry_id", "source", "page"), "entry_id")
     return top_k(facts, ["query"], [F.desc("score"), F.asc("source"), F.asc("page"), F.asc("entry_id")], k)
 
@@ -195,7 +186,9 @@ def best_rule(entries: DataFrame, wanted: DataFrame, query: str = "query_id", to
     the first entry wins a tie; none when nothing is contained."""
     hay = entries.select("entry_id", F.lower(F.concat_ws(" ", F.array_join("topics", " "), "text")).alias("hay"))
     asked = wanted.select(F.col(query).alias("query"), F.explode(topics).alias("_t")).select("query", F.lower("_t").alias("topic"))
-    counts = substring_join(hay, "hay", asked, "topic").groupBy("query", "entry_id").agg(F.count("*").alias("score"))
+    asked = materialize(asked, "wanted")
+    found = contained(hay, "entry_id", "hay", asked.select("topic").distinct(), "topic")
+    counts = found.join(asked, "topic").groupBy("query", "entry_id").agg(F.count("*").alias("score"))
     return top_k(counts, ["query"], [F.desc("score"), F.asc("entry_id")], 1).drop("rank")
 
 

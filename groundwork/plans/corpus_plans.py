@@ -209,6 +209,17 @@ def d05_sentences(spark, sf):
     return D.dedup_verdicts(sentence_records(spark, sf)).select("ord", "near", "copies")
 
 
+@query(
+    "d07_sentence_stats",
+    f"""with recursive {A.VERDICTS.replace(A.DOCS, _SENTENCE_DOCS)} select count(*) filter (where not near) as accepted,
+      cast(coalesce(sum(copies - 1) filter (where not near), 0) as bigint) as exact_duplicate,
+      cast(coalesce(sum(copies) filter (where near), 0) as bigint) as near_duplicate, 0::bigint as empty from verdicts""",
+)
+def d07_sentences(spark, sf):
+    recs = materialize(sentence_records(spark, sf).withColumn("empty", F.lit(False)), "records")
+    return D.ingest_stats(recs, D.dedup_verdicts(recs))
+
+
 @query(
     "d06_cap_accepted",
     f"""with recursive {A.VERDICTS}, cut as (select case when count(*) = 200 then max(ord) else 9223372036854775807 end as cut
@@ -289,11 +300,41 @@ def signatures(spark, sf):
         R.drop_short(records(spark, sf)).select("ord", "source", "content_sha256", "canonical", F.floor(F.col("canon_len") / 500).alias("bin")), "records"
     )
     keys = ["ord", "source", "content_sha256", "bin"]
-    out = None
-    for n in (1, 2, 3, 4):
-        part = D.simhash64(recs, keys, "canonical", n).withColumn("simhash", H.hex64(F.col("simhash"))).withColumnRenamed("simhash", f"h{n}")
-        out = part if out is None else out.join(part.select("ord", f"h{n}"), "ord")
-    return materialize(out.select(*keys, F.concat("h1", "h2", "h3", "h4").alias("sig")), "signatures")
+    out = D.simhash_widths(recs, keys, "canonical", [1, 2, 3, 4])
+    return materialize(out.select(*keys, F.concat(*[H.hex64(F.col(f"h{n}")) for n in (1, 2, 3, 4)]).alias("sig")), "signatures")
+
+
+_FLIP = "substr({s}, 1, {p}) || lower(to_hex({d})) || substr({s}, {p} + 2, 64)"
+_ORDER_SIGS = f"""o as (select o_orderkey as ord, o_orderstatus as bin, sha256(cast(o_custkey as varchar)) as h from orders),
+  o1 as (select ord, bin, {_FLIP.format(s='h', p='(ord % 64)', d='ord % 16')} as h from o),
+  osig as materialized (select ord, bin, {_FLIP.format(s='h', p='((ord // 64) % 64)', d='(ord // 16) % 16')} as sig from o1)"""
+
+
+def order_signatures(spark, sf):
+    """A signature per order: the digest of its customer with two digits set by its key, so
+    orders of one customer lie at distances on both sides of the limit."""
+    flip = lambda s, p, d: F.concat(F.substring(s, F.lit(1), p), F.lower(F.hex(d)), F.substring(s, p + 2, F.lit(64)))
+    key = F.col("o_orderkey")
+    small = lambda c: c.cast("int")
+    rows = table(spark, sf, "orders").withColumn("sig", F.sha2(F.col("o_custkey").cast("string"), 256))
+    rows = rows.withColumn("sig", flip(F.col("sig"), small(key % 64), key % 16))
+    rows = rows.withColumn("sig", flip(F.col("sig"), small(F.floor(key / 64) % 64), F.floor(key / 16) % 16))
+    return rows.select(key.alias("ord"), F.col("o_orderstatus").alias("bin"), "sig")
+
+
+_DISTANCE = " + ".join(f"bit_count(cast(xor({A.hexnum(f'substr(a.sig, {k}, 16)', 16)}, {A.hexnum(f'substr(b.sig, {k}, 16)', 16)}) as bit))" for k in (1, 17, 33, 49))
+
+
+@query(
+    "d09_order_signatures",
+    f"""with {_ORDER_SIGS}, u as materialized (select bin, sig, min(ord) as ord from osig group by bin, sig),
+    p as (select a.ord as src, b.ord as dst, {_DISTANCE} as distance from u a join u b on a.bin = b.bin and a.ord < b.ord)
+    select src, dst, cast(distance as bigint) as distance from p where distance <= 8
+    union all select u.ord, s.ord, 0 from osig s join u using (bin, sig) where u.ord <> s.ord""",
+)
+def d09_orders(spark, sf):
+    found = D.signature_pairs(order_signatures(spark, sf), "sig", "bin", "ord")
+    return found.select("src", "dst", F.col("distance").cast("bigint").alias("distance"))
 
 
 @query("d09_signature_pairs", f"with {_SIG_SQL} select src, dst from near")

@@ -3,17 +3,19 @@ queries, the kept documents the corpus."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as X
 from groundwork.functions.dictionaries import FALLBACK_HINTS, QUERY_HINTS, QUERY_STOP_WORDS
-from groundwork.operators import evidence as E, retrieval as V
+from groundwork.operators import evidence as E, index as N, retrieval as V
 from groundwork.operators.joins import spread, top_k
 from groundwork.plans import ansi as A
 from groundwork.plans.base import query, table
 from groundwork.plans.corpus_plans import clean_records
 from groundwork.plans.text_plans import TEXT_CONCEPTS, SENTENCES_SQL, concepts_sql
-from groundwork.session import materialize
+from groundwork.session import materialize, scratch_dir
 
 
 def corpus(spark, sf):
@@ -28,8 +30,25 @@ def asked(spark, sf):
     return materialize(V.expand_query(items(spark, sf)), "queries")
 
 
-def hits(spark, sf, docs, queries):
-    return materialize(V.bm25_topk(docs, queries), "hits")
+_WRITTEN: dict[tuple[str, str], N.Index] = {}
+
+
+def stored_index(spark, sf):
+    """The index of the corpus, written once per session in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _WRITTEN:
+        _WRITTEN[key] = N.write_index(spread(corpus(spark, sf), "doc_id"), f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _WRITTEN[key]
+
+
+def hits(spark, sf, queries):
+    return materialize(N.bm25_topk(stored_index(spark, sf), queries), "hits")
+
+
+def word_pairs(words):
+    spans = F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1)))
+    pairs = F.transform(spans, lambda i: F.array_join(F.slice(words, i, 2), " "))
+    return F.when(F.size(words) >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def iwords(c: str) -> str:
@@ -52,12 +71,21 @@ def distinct_ci_sql(l: str, cap: int) -> str:
     return f"list_filter({l}, lambda x, i: list_position(list_transform({l}, lambda y: lower(y)), lower(x)) = i)[1:{cap}]"
 
 
-QUERIES_SQL = rf"""q0 as (select item_id as query, text, {_HINTS} as h from benchmark),
-  q1 as (select query, text, list_filter(h || {_FALLBACKS} || regexp_extract_all(text, '\p{{Han}}{{2,12}}')
-      || list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]{{3,}}'), lambda t: not list_contains([{_STOPS}], lower(t))),
-      lambda t: length(t) <= 48) as l from q0),
+_LATIN = rf"list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]{{3,}}'), lambda t: not list_contains([{_STOPS}], lower(t)))"
+
+
+def queries_sql(source: str, hints_only: bool = False) -> str:
+    """Query terms of ``source`` (query, text)."""
+    words = "" if hints_only else rf" || regexp_extract_all(text, '\p{{Han}}{{2,12}}') || {_LATIN}"
+    return rf"""q0 as (select query, text, {_HINTS} as h from ({source})),
+  q1 as (select query, text, list_filter(h || {_FALLBACKS}{words}, lambda t: length(t) <= 48) as l from q0),
   q as materialized (select query, text, {distinct_ci_sql('l', 14)} as terms from q1)"""
 
+
+_TURNS_SQL = "select conv_id || ':' || turn as query, text from conversations"
+_ITEMS_SQL = "select item_id as query, text from benchmark"
+QUERIES_SQL = queries_sql(_ITEMS_SQL)
+
 CORPUS_SQL = f"""{A.DOCS},
   toks as materialized (select doc_id as doc, source, clean, {iwords('clean')} as w, {iwords('source')} as ws from docs)"""
 
@@ -76,8 +104,7 @@ def x01(spark, sf):
     f"with {CORPUS_SQL} select count(*) as n_docs from toks where list_has_any(w, ['thion', 'keit', 'ement', 'worthless', 'benign'])",
 )
 def x02(spark, sf):
-    postings = V.build_index(spread(corpus(spark, sf), "doc_id"))[0]
-    return V.index_probe(postings, ["thion", "keit", "ement", "worthless", "benign"])
+    return N.index_probe(stored_index(spark, sf), ["thion", "keit", "ement", "worthless", "benign"])
 
 
 @query("x03_expand_query", f"with {QUERIES_SQL} select query as query_id, array_to_string(terms, '|') as terms, cast(len(terms) as bigint) as n_terms from q")
@@ -85,6 +112,13 @@ def x03(spark, sf):
     return V.expand_query(items(spark, sf)).select("query_id", F.array_join("terms", "|").alias("terms"), F.size("terms").cast("bigint").alias("n_terms"))
 
 
+@query("x03_hint_terms", f"with {queries_sql(_TURNS_SQL, hints_only=True)} select query as conv_turn, array_to_string(terms, '|') as terms, cast(len(terms) as bigint) as n_terms from q where len(terms) > 0")
+def x03_hints(spark, sf):
+    turns = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("conv_turn"), "text")
+    out = V.expand_query(turns, hints_only=True).filter(F.size("terms") > 0)
+    return out.select("conv_turn", F.array_join("terms", "|").alias("terms"), F.size("terms").cast("bigint").alias("n_terms"))
+
+
 _STRIP = r"""regexp_replace(t, '["''`*:^(){}\[\]]', '', 'g')"""
 _SAN = rf"list_filter(list_transform(string_split_regex(text, '[.,\n]'), lambda t: {A.squeeze(_STRIP)}), lambda t: t <> '' and length(t) <= 48)"
 
@@ -105,8 +139,8 @@ _BIGRAMS = "case when len(w) < 2 then [] else list_transform(range(1, len(w)), l
     select distinct query as query_id, doc as doc_id from grams join units using (phrase)""",
 )
 def x05(spark, sf):
-    pairs = items(spark, sf).select("query_id", V._ngrams(X.index_words(F.col("text")), 2).alias("terms"))
-    found = V.match_any_phrase(spread(corpus(spark, sf), "doc_id"), pairs)
+    pairs = items(spark, sf).select("query_id", X.bind(X.index_words(F.col("text")), word_pairs).alias("terms"))
+    found = N.match_any_phrase(stored_index(spark, sf), pairs)
     return found.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"))
 
 
@@ -125,7 +159,7 @@ def bm25_sql(corpus_sql: str = CORPUS_SQL, queries_sql: str = QUERIES_SQL, k: in
 
 @query("x06_bm25_topk", f"with {bm25_sql()} select query as query_id, doc as doc_id, rank, round(cast(score as double), 6) as bm25 from hits")
 def x06(spark, sf):
-    found = V.bm25_topk(spread(corpus(spark, sf), "doc_id"), asked(spark, sf))
+    found = N.bm25_topk(stored_index(spark, sf), asked(spark, sf))
     return found.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), F.round(F.col("score").cast("double"), 6).alias("bm25"))
 
 
@@ -136,7 +170,7 @@ def x06(spark, sf):
 )
 def x08(spark, sf):
     docs = corpus(spark, sf)
-    out = V.project_hits(hits(spark, sf, spread(docs, "doc_id"), asked(spark, sf)), docs)
+    out = V.project_hits(hits(spark, sf, asked(spark, sf)), docs)
     return out.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), "source", "case_text", "target")
 
 
@@ -149,7 +183,7 @@ def x08(spark, sf):
 )
 def x09(spark, sf):
     docs = corpus(spark, sf)
-    out = V.assemble_context(V.project_hits(hits(spark, sf, spread(docs, "doc_id"), asked(spark, sf)), docs))
+    out = V.assemble_context(V.project_hits(hits(spark, sf, asked(spark, sf)), docs))
     return out.withColumnRenamed("query", "query_id")
 
 
@@ -158,18 +192,14 @@ def x10(spark, sf):
     return V.corpus_health(corpus(spark, sf))
 
 
-_CHAT_QUERIES = f"""q as materialized (select conv_id as query, string_agg(text, ' ' order by turn) as text,
-    list_distinct(flatten(list(terms))) as terms from (
-      select conv_id, turn, text, {iwords('text')} as terms from conversations where role = 'user') group by conv_id)"""
+_CHAT_QUERIES = queries_sql("select conv_id as query, string_agg(text, ' ' order by turn) as text from conversations where role = 'user' group by conv_id")
 
 
 def chat_queries(spark, sf):
+    """Conversations as queries: what the user said, with the terms of ``expand_query``."""
     turns = table(spark, sf, "conversations").filter("role = 'user'")
-    terms = turns.select("conv_id", F.explode(X.index_words(F.col("text"))).alias("t")).distinct()
-    listed = terms.groupBy("conv_id").agg(F.collect_list("t").alias("terms"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
-    texts = turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.array_join(ordered, " ").alias("text"))
-    return texts.join(listed.withColumnRenamed("conv_id", "query_id"), "query_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    return V.expand_query(turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.array_join(ordered, " ").alias("text")))
 
 
 _ORD = ", ".join(f"({i}, '{k}')" for i, k in enumerate(TEXT_CONCEPTS))
@@ -188,7 +218,7 @@ _ORD = ", ".join(f"({i}, '{k}')" for i, k in enumerate(TEXT_CONCEPTS))
 )
 def x11(spark, sf):
     docs, queries = corpus(spark, sf), materialize(chat_queries(spark, sf), "queries")
-    found = hits(spark, sf, spread(docs, "doc_id"), queries)
+    found = hits(spark, sf, queries)
     cases = found.select("query", "doc").join(docs.select(F.col("doc_id").alias("doc"), "case_text"), "doc")
     return V.next_concept(materialize(cases, "cases"), queries, TEXT_CONCEPTS, excluded=["french"]).withColumnRenamed("query", "query_id")
 
@@ -256,7 +286,7 @@ def entries(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("entry_id"), "source", (F.coalesce("quality", F.lit(0)) == 1).alias("core"), (F.col("doc_id") % 97).alias("page"), "text",
-        F.array_distinct(V._ngrams(F.col("w"), 2)).alias("topics"),
+        F.array_distinct(word_pairs(F.col("w"))).alias("topics"),
     )
 
 
@@ -314,7 +344,7 @@ def x15(spark, sf):
 )
 def x16(spark, sf):
     queries = asked(spark, sf)
-    found = hits(spark, sf, spread(corpus(spark, sf), "doc_id"), queries)
+    found = hits(spark, sf, queries)
     quality = table(spark, sf, "labels").select(F.col("doc_id").alias("doc"), F.when(F.col("quality") == 0, "poor").alias("quality"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), "source", "text")
     matches = found.join(quality, "doc", "left").select("query", F.col("doc").alias("page"), (1 - 0.04 * (F.col("rank") - 1)).alias("similarity"), F.coalesce("quality", F.lit("good")).alias("quality"))
@@ -379,5 +409,5 @@ def x19(spark, sf):
 )
 def x20(spark, sf):
     docs = corpus(spark, sf)
-    found = hits(spark, sf, spread(docs, "doc_id"), asked(spark, sf)).join(docs.select(F.col("doc_id").alias("doc"), "source"), "doc")
+    found = hits(spark, sf, asked(spark, sf)).join(docs.select(F.col("doc_id").alias("doc"), "source"), "doc")
     return V.case_summary(found).select(F.col("query").alias("query_id"), "n_hits", F.array_join("sources", ",").alias("sources"))

@@ -46,6 +46,53 @@ def test_pairs_are_complete_and_unique(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("limit", [2, 16, 1000])
+def test_pairs_do_not_depend_on_refinement(spark, limit):
+    classes = D.similarity_classes(spark.createDataFrame(crowd(4, 260), "ord long, canon_len int, simhash long"))
+    want = {tuple(r) for r in D.near_pairs(classes).collect()}
+    got = [tuple(r) for r in D.near_pairs(classes, group_limit=limit).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_distant_classes_with_one_key_need_no_leader_rounds(spark, monkeypatch):
+    rng = random.Random(11)
+    tails = rng.sample(range(1 << 36), 20_000)
+    rows = [(i, 100, (0x5A5A5A5 << 36 | t) - (1 << 64 if 0x5A5A5A5 << 36 | t >= 1 << 63 else 0)) for i, t in enumerate(tails)]
+    monkeypatch.setattr(D, "_dense_rounds", None)
+    got = D.near_dup_greedy(spark.createDataFrame(rows, "ord long, canon_len int, simhash long"))
+    assert got.filter("near").count() == sum(sequential_by_tail(tails))
+
+
+def sequential_by_tail(tails):
+    """Verdicts of the scan for equal lengths, by looking up all values within three bits."""
+    accepted, out = set(), []
+    masks = [1 << b for b in range(36)]
+    for t in tails:
+        near = any(t ^ m in accepted for m in masks)
+        near = near or any(t ^ masks[a] ^ masks[b] in accepted for a in range(36) for b in range(a))
+        near = near or any(t ^ masks[a] ^ masks[b] ^ masks[c] in accepted for a in range(36) for b in range(a) for c in range(b))
+        out.append(near)
+        if not near:
+            accepted.add(t)
+    return out
+
+
+def test_true_clusters_are_thinned(spark):
+    rng = random.Random(12)
+    rows = [(i, 100, 0x123456789ABC0000 | v) for i, v in enumerate(rng.sample(range(1 << 12), 900))]
+    df = spark.createDataFrame(rows, "ord long, canon_len int, simhash long")
+    assert {r["ord"]: r["near"] for r in D.near_dup_greedy(df, group_limit=32).collect()} == sequential(rows)
+
+
+def test_widths_in_one_pass(spark):
+    texts = ["", "one", "one two", "the quick brown fox jumps over", "a b c d e f g"]
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, canonical string")
+    got = {r["ord"]: r for r in D.simhash_widths(df, ["ord"], "canonical", [1, 3]).collect()}
+    for n in (1, 3):
+        one = {r["ord"]: r["simhash"] for r in D.simhash64(df, ["ord"], "canonical", n).collect()}
+        assert {i: r[f"h{n}"] for i, r in got.items()} == one
+
+
 def python_simhash(text):
     words = re.findall(r"[^\W_]+", text.lower())
     grams = words if len(words) < 3 else [" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -125,6 +172,8 @@ def test_signature_pairs_brute_force(spark):
     got = {tuple(sorted((r["src"], r["dst"]))) for r in D.signature_pairs(df, "sig", "bin", "ord").collect()}
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and bin(int(a[1], 16) ^ int(b[1], 16)).count("1") <= 8}
     assert want >= got
+    crowded = D.signature_pairs(df, "sig", "bin", "ord", group_limit=3).collect()
+    assert {tuple(sorted((r["src"], r["dst"]))) for r in crowded} == got and len(crowded) == len(got)
     parts = lambda pairs: {frozenset(c) for c in _groups(pairs)}
     assert parts(got) == parts(want)
 

@@ -1,9 +1,15 @@
 import math
+import random
+from collections import Counter
+
+import pytest
 
 from pyspark.sql import functions as F
 
 from groundwork.functions.dictionaries import CONCEPTS
-from groundwork.operators import evidence as E, retrieval as V
+from groundwork.operators import evidence as E, index as N, retrieval as V
+from groundwork.operators.containment import contained
+from groundwork.session import materialize
 
 
 def test_query_expansion(spark):
@@ -24,20 +30,74 @@ def corpus(spark):
     return spark.createDataFrame(rows, "doc_id long, case_text string, target string, source string, task string")
 
 
-def test_phrase_needs_adjacent_words_in_one_field(spark):
-    q = spark.createDataFrame([(9, ["red tongue", "舌红"])], "query_id long, terms array<string>")
-    assert [r["doc"] for r in V.match_any_phrase(corpus(spark), q).collect()] == [1]
+def stored(spark, tmp_path, rows=None, **settings):
+    rows = corpus(spark) if rows is None else rows
+    return N.write_index(rows, str(tmp_path / "index"), **settings)
+
+
+def test_phrase_needs_adjacent_words_in_one_field(spark, tmp_path):
+    index = stored(spark, tmp_path)
+    q = spark.createDataFrame([(9, ["red tongue", "舌红"]), (8, ["tongue apart"]), (7, ["apart red", "none", "tongue s"]), (6, [])], "query_id long, terms array<string>")
+    assert sorted((r["query"], r["doc"]) for r in N.match_any_phrase(index, q).collect()) == [(8, 2), (9, 1)]
+    assert N.index_probe(index, ["tongue", "nothing"]).first()["n_docs"] == 3
+    assert N.index_probe(index, ["absent"]).first()["n_docs"] == 0
 
 
-def test_bm25_value(spark):
+def test_bm25_value(spark, tmp_path):
     q = spark.createDataFrame([(9, ["nothing"])], "query_id long, terms array<string>")
-    row = V.bm25_topk(corpus(spark), q).first()
+    row = N.bm25_topk(stored(spark, tmp_path), q).first()
     lengths = [4 + 2 + 1 + 1, 4 + 0 + 1 + 1, 2 + 0 + 1 + 1]
     idf = math.log((3 - 1 + 0.5) / (1 + 0.5))
     want = -idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * lengths[2] / (sum(lengths) / 3)))
     assert row["doc"] == 3 and abs(float(row["score"]) - want) < 1e-6
 
 
+def ranked(texts, terms, k):
+    """BM25 by its formula over all documents."""
+    words = {d: t.split() for d, t in texts.items()}
+    avgdl = sum(map(len, words.values())) / len(words)
+    scores = Counter()
+    for phrase in {tuple(t.split()) for t in terms if t.split()}:
+        tf = {d: n for d, w in words.items() if (n := sum(tuple(w[i : i + len(phrase)]) == phrase for i in range(len(w))))}
+        raw = math.log((len(words) - len(tf) + 0.5) / (len(tf) + 0.5)) if tf else 0
+        for d, n in tf.items():
+            scores[d] += round((raw if raw > 0 else 1e-6) * (n * 2.2) / (n + 1.2 * (0.25 + 0.75 * len(words[d]) / avgdl)), 9)
+    return sorted(scores, key=lambda d: (-round(scores[d], 7), d))[:k], scores
+
+
+@pytest.mark.parametrize("k", [1, 3, 10, 40])
+def test_ranking_with_skipped_blocks_against_the_formula(spark, tmp_path, k):
+    rng = random.Random(k)
+    pool = [f"w{j}" for j in range(60)]
+    texts = {d: " ".join(rng.choices(pool, weights=[1 / (1 + j) for j in range(60)], k=rng.randrange(1, 40))) for d in range(0, 900, 3)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, case_text string")
+    index = stored(spark, tmp_path, rows, fields=["case_text"], bits=4, kept=5, buckets=8)
+    asked = {q: [" ".join(rng.choices(pool, k=rng.choice([1, 1, 1, 2, 3]))) for _ in range(rng.randrange(1, 7))] for q in range(30)} | {98: ["w0 w0", "w1 w0 w0"], 99: ["zzz"], 100: ["w0", "w59"]}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, terms array<string>")
+    got = {}
+    for r in N.bm25_topk(index, queries, k).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["doc"], round(float(-r["score"]), 7)))
+    for q, terms in asked.items():
+        order, scores = ranked(texts, terms, k)
+        mine = got.get(q, [])
+        assert len(mine) == len(order)
+        for (doc, score), want in zip(mine, order, strict=True):
+            assert abs(score - scores[doc]) < 1e-6 and abs(scores[doc] - scores[want]) < 1e-6
+
+
+def test_fewer_candidates_than_matches(spark, tmp_path):
+    texts = [(d, "common " * (1 + d % 3) + ("rare " * 3 if d % 100 == 0 else f"x{d}")) for d in range(2000)]
+    index = stored(spark, tmp_path, spark.createDataFrame(texts, "doc_id long, case_text string"), fields=["case_text"], bits=5)
+    units = materialize(N.query_units(spark.createDataFrame([(1, ["common", "rare"])], "query_id long, terms array<string>")), "units")
+    none = spark.createDataFrame([], "phrase string, doc bigint, tf bigint, length bigint")
+    asked = N._asked(index, units, none, 4)
+    assert 4 <= N.candidates(index, asked, none).count() <= 20  # of 2,000, some of those with the rare word
+    found = index.lookup("postings", units.select(F.col("phrase").alias("term")))
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1][:200]
+    assert "GreaterThanOrEqual(term,common)" in plan
+
+
 def test_next_concept(spark):
     cases = ["头痛 头晕 dizziness", "chóng mặt mất ngủ", "hoa mắt", "dizziness insomnia"]
     hits = spark.createDataFrame([(1, c) for c in cases], "query long, case_text string")
@@ -49,17 +109,29 @@ def test_next_concept(spark):
     assert skipped["concept"] == "sleep"
 
 
-def test_substring_join_short_and_long_needles(spark):
-    hay = spark.createDataFrame([(1, "lưỡi đỏ nhạt"), (2, "ab"), (3, "qc")], "h long, t string")
-    needles = spark.createDataFrame([("đỏ nhạt",), ("b",), ("qc",), ("zz",), ("ỡi",)], "n string")
-    got = {(r["h"], r["n"]) for r in E.substring_join(hay, "t", needles, "n").collect()}
-    assert got == {(1, "đỏ nhạt"), (2, "b"), (3, "qc"), (1, "ỡi")}
+def test_contained_against_a_plain_search(spark):
+    rng = random.Random(6)
+    texts = ["lưỡi đỏ nhạt", "ab", "qc", "", " lead  two ", "x" * 500 + "needle" + "y" * 300, "a b c d", "tail \n next", None, "日本語のテキスト" * 40]
+    texts += ["".join(rng.choice("ab  c") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    needles = ["đỏ nhạt", "b", "qc", "zz", "ỡi", "needle", "xneedley", " ", "  ", " b", "b ", "a b", "b c d", "  two", "l \n n", "", "本語", "x" * 70, "i đ"]
+    needles += ["".join(rng.choice("ab c") for _ in range(rng.randrange(1, 6))) for _ in range(40)]
+    hay = spark.createDataFrame(list(enumerate(texts)), "h long, t string")
+    got = [(r["h"], r["n"]) for r in contained(hay, "h", "t", spark.createDataFrame([(n,) for n in needles], "n string"), "n").collect()]
+    want = {(k, n) for k, t in enumerate(texts) for n in needles if t is not None and n and n in t}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert contained(hay, "h", "t", spark.createDataFrame([], "n string"), "n").count() == 0
 
 
-def test_index_files_prune_by_term(spark, tmp_path):
-    V.write_index(corpus(spark), str(tmp_path / "index"))
-    postings = spark.read.parquet(str(tmp_path / "index" / "postings"))
-    assert V.index_probe(postings, ["tongue", "nothing"]).first()["n_docs"] == 3
+def test_topic_scores_count_tokens_and_whole_topics(spark):
+    entries = spark.createDataFrame(
+        [(1, "src", False, 1, ["long word", "LONG Word", "other thing"], "t"), (2, "none", True, 1, ["thing longer"], "t"), (3, "x", True, 2, ["zzzz"], "t"), (4, "x", False, 2, [], "t")],
+        "entry_id long, source string, core boolean, page long, topics array<string>, text string",
+    )
+    q = spark.createDataFrame([(1, "a very long wording from src"), (2, "nothing"), (3, "")], "query_id long, text string")
+    got = sorted((r["query"], r["rank"], r["entry_id"], r["score"]) for r in E.topic_rank_with_backfill(entries, q).collect())
+    # entry 1: two topics whole, 'src' named; entry 2 shares 'thing' with query 2 only
+    assert got == [(1, 1, 1, 6.5), (1, 2, 2, None), (1, 3, 3, None), (2, 1, 2, 0.65), (2, 2, 1, 0.45), (2, 3, 3, None), (3, 1, 2, None), (3, 2, 3, None)]
+    assert [(r["query"], r["entry_id"], r["score"]) for r in E.topic_hits(entries, q).collect()] == [(1, 1, 2)]
 
 
 def test_knowledge_rank_blocks_contradictions(spark):
