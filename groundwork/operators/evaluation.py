@@ -146,38 +146,35 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 def rle_overlap(df: DataFrame, gold: str, pred: str, size: Column) -> DataFrame:
     """Adds gold_pixels, pred_pixels, intersection, dice, iou and mask_error for two
-    run-length columns (alternating runs, zeros first). Boundaries of both masks are
-    swept in order inside the row, so the cost is the number of runs and no join or
-    shuffle is needed."""
-
-    def bounds(counts: str, tag: int) -> Column:
-        start = F.array(F.lit(0).cast("bigint"))
-        sums = F.aggregate(F.col(counts), start, lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c.cast("bigint"))))
-        return F.transform(F.slice(sums, 2, F.greatest(F.size(counts), F.lit(1))), lambda p: F.struct(p.alias("pos"), F.lit(tag).alias("tag")))
-
-    zero = F.struct(
-        F.lit(0).cast("bigint").alias("pos"), F.lit(False).alias("g"), F.lit(False).alias("p"),
-        F.lit(0).cast("bigint").alias("gs"), F.lit(0).cast("bigint").alias("ps"), F.lit(0).cast("bigint").alias("both"),
+    run-length columns (alternating runs, zeros first). Both run lists are merged by two
+    positions that only move forward, one step per run end, so a row costs its runs, and
+    no array is copied, joined or shuffled."""
+    long = lambda x: F.coalesce(x, F.lit(0)).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    total = lambda c: F.aggregate(F.col(c), zero, lambda a, x: a + x.cast("bigint"))
+    negative = lambda c: F.exists(F.col(c), lambda x: x.isNull() | (x < 0))
+    error = F.when(F.col(gold).isNull() | F.col(pred).isNull(), "MASK_REQUIRED").when(negative(gold) | negative(pred), "RLE_COUNT_INVALID").when((total(gold) != size) | (total(pred) != size), "RLE_LENGTH_MISMATCH")
+    run = lambda c, i: long(F.get(c, i))
+    # i, j: runs the sweep stands in; a, b: what is left of them; odd runs are ones
+    start = F.struct(
+        F.lit(0).alias("i"), F.lit(0).alias("j"), run(gold, F.lit(0)).alias("a"), run(pred, F.lit(0)).alias("b"),
+        zero.alias("gs"), zero.alias("ps"), zero.alias("both"),
     )
 
-    def sweep(acc, e):
-        step = e["pos"] - acc["pos"]
-        none = F.lit(0).cast("bigint")
+    def step(s, _):
+        n = F.least(s["a"], s["b"])
+        g, p = s["i"] % 2 == 1, s["j"] % 2 == 1
+        done_g, done_p = (s["a"] == n) & (s["i"] < F.size(gold)), (s["b"] == n) & (s["j"] < F.size(pred))
+        add = lambda field, on: (s[field] + F.when(on, n).otherwise(zero)).alias(field)
         return F.struct(
-            e["pos"].alias("pos"),
-            F.when(e["tag"] == 1, ~acc["g"]).otherwise(acc["g"]).alias("g"),
-            F.when(e["tag"] == 2, ~acc["p"]).otherwise(acc["p"]).alias("p"),
-            (acc["gs"] + F.when(acc["g"], step).otherwise(none)).alias("gs"),
-            (acc["ps"] + F.when(acc["p"], step).otherwise(none)).alias("ps"),
-            (acc["both"] + F.when(acc["g"] & acc["p"], step).otherwise(none)).alias("both"),
+            (s["i"] + done_g.cast("int")).alias("i"), (s["j"] + done_p.cast("int")).alias("j"),
+            F.when(done_g, run(gold, s["i"] + 1)).otherwise(s["a"] - n).alias("a"), F.when(done_p, run(pred, s["j"] + 1)).otherwise(s["b"] - n).alias("b"),
+            add("gs", g), add("ps", p), add("both", g & p),
         )
 
-    total = lambda c: F.aggregate(F.col(c), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
-    negative = lambda c: F.exists(F.col(c), lambda x: x.isNull() | (x < 0))
-    error = F.when(F.col(gold).isNull() | F.col(pred).isNull(), "MASK_REQUIRED").when(negative(gold) | negative(pred), "RLE_COUNT_INVALID").when((total(gold) != size) | (total(pred) != size), "RLE_LENGTH_MISMATCH")
-    events = F.array_sort(F.concat(bounds(gold, 1), bounds(pred, 2)))
-    staged = df.withColumn("mask_error", error).withColumn("_e", F.when(F.col("mask_error").isNull(), events))
-    swept = staged.withColumn("_o", F.aggregate("_e", zero, sweep))
+    staged = df.withColumn("mask_error", error)
+    steps = F.when(F.col("mask_error").isNull(), F.sequence(F.lit(1), F.greatest(F.size(gold) + F.size(pred), F.lit(1))))
+    swept = staged.withColumn("_o", F.aggregate(steps, start, step))
     g, p, both = F.col("_o.gs"), F.col("_o.ps"), F.col("_o.both")
     return swept.withColumns(
         {
@@ -185,7 +182,7 @@ def rle_overlap(df: DataFrame, gold: str, pred: str, size: Column) -> DataFrame:
             "dice": F.when(g + p == 0, 1.0).otherwise(F.try_divide(2 * both, g + p)),
             "iou": F.when(g + p - both == 0, 1.0).otherwise(F.try_divide(both, g + p - both)),
         }
-    ).drop("_e", "_o")
+    ).drop("_o")
 
 
 def holdout_metrics(rows: DataFrame) -> DataFrame:
@@ -236,13 +233,22 @@ def bootstrap_ci(df: DataFrame, value: str, key: list[str], iterations: int = 20
 
 def threshold_sweep(df: DataFrame, score: str, gold: str, grid: list[float], by: list[str] = ()) -> DataFrame:
     """Dice of (score >= threshold) against gold for every threshold; the first maximum
-    wins. The grid is a literal array, so each row expands in place."""
-    rows = df.select(*by, F.col(score).alias("s"), F.col(gold).alias("g"), F.explode(F.array(*[F.lit(float(t)) for t in grid])).alias("threshold"))
-    hit = F.col("s") >= F.col("threshold")
-    counts = rows.groupBy(*by, "threshold").agg(F.count_if(hit & F.col("g")).alias("tp"), F.count_if(hit & ~F.col("g")).alias("fp"), F.count_if(~hit & F.col("g")).alias("fn"))
-    both = 2 * F.col("tp") + F.col("fp") + F.col("fn")
-    metric = F.when(both == 0, 1.0).otherwise(2 * F.col("tp") / both)
-    best = counts.withColumn("metric", metric).groupBy(*by).agg(F.max(F.struct("metric", (-F.col("threshold")).alias("t"))).alias("m"))
+    wins. Rows are counted once, by the number of thresholds they reach; the counts of each
+    threshold are sums over that histogram, which has one row per group and grid step. Rows
+    without a score or a label count for neither side."""
+    levels = sorted(float(t) for t in grid)
+    reached = sum((F.coalesce((F.col(score) >= t).cast("int"), F.lit(0)) for t in levels), F.lit(0))
+    scored = F.col(score).isNotNull()
+    histogram = df.groupBy(*by, reached.alias("_r")).agg(F.count_if(F.col(gold) & scored).alias("_pos"), F.count_if(~F.col(gold) & scored).alias("_neg"))
+    cells = F.collect_list(F.struct("_r", "_pos", "_neg"))
+
+    def at(i: int) -> Column:
+        count = lambda name, keep: F.aggregate("_h", F.lit(0).cast("bigint"), lambda n, c: n + F.when(keep(c["_r"]), c[name]).otherwise(0))
+        tp, fp, fn = count("_pos", lambda r: r > i), count("_neg", lambda r: r > i), count("_pos", lambda r: r <= i)
+        both = 2 * tp + fp + fn
+        return F.struct(F.when(both == 0, 1.0).otherwise(2 * tp / both).alias("metric"), F.lit(-levels[i]).alias("t"))
+
+    best = histogram.groupBy(*by).agg(cells.alias("_h")).withColumn("m", F.array_max(F.array(*[at(i) for i in range(len(levels))])))
     return best.select(*by, (-F.col("m.t")).alias("threshold"), F.col("m.metric").alias("metric"))
 
 

@@ -361,7 +361,12 @@ def learning_events(contributions: DataFrame, samples: DataFrame, pool: DataFram
     approved = approved.select(F.lit("verified_contribution_approved").alias("event_type"), F.col("contribution_id").cast("string").alias("ref"), "e.*").join(pool, "sample_id", "left")
     adjudicated = samples.filter("status = 'adjudicated'").groupBy("sample_id", "group_hash").agg(F.min(F.struct("ts", "event_id")).alias("e"))
     adjudicated = adjudicated.select(F.lit("adjudicated_training_ready").alias("event_type"), F.concat_ws("|", F.col("sample_id").cast("string"), "group_hash").alias("ref"), "e.*", "sample_id", "group_hash")
-    every = approved.unionByName(adjudicated)
+    return learning_state(approved.unionByName(adjudicated))
+
+
+def learning_state(every: DataFrame) -> DataFrame:
+    """Key, state and rebuild flag of learning events (event_type, ref, event_id, sample_id,
+    group_hash)."""
     held = F.coalesce(H.hex_bucket(F.col("group_hash"), 8, 5) == 0, F.lit(False))
     return every.select(
         H.sha256(F.concat_ws("|", "event_type", "ref")).alias("event_key"), "event_type", "sample_id", "event_id",

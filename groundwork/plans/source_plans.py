@@ -25,11 +25,33 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text", "lang")
 
 
+_GROUP = 200
+
+
+def mixed_records(spark, sf):
+    """A folder of record files of three shapes, 200 documents to a file: an array, an object
+    with ``records``, and lines of which the first is damaged."""
+    path = _folder(spark, "records")
+    group = F.floor(F.col("doc_id") / _GROUP)
+    lines = _docs(spark, sf).groupBy(group.alias("g")).agg(F.array_sort(F.collect_list(F.to_json(F.struct("doc_id", "text", "lang")))).alias("l"))
+    shape = F.col("g") % 3
+    content = (
+        F.when(shape == 0, F.concat(F.lit("[\n"), F.array_join("l", ",\n"), F.lit("\n]")))
+        .when(shape == 1, F.concat(F.lit('{"made": "today", "records": [\n'), F.array_join("l", ",\n"), F.lit("\n]}")))
+        .otherwise(F.concat(F.lit('{"doc_id": 1, "text": "cut off"\n'), F.array_join("l", "\n")))
+    )
+    lines.select(content.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return S.read_records(spark, path, _DOC_SCHEMA)
+
+
 @query("s01_read_records", "select doc_id, lang, sha256(text) as digest from documents")
 def s01(spark, sf):
-    path = _folder(spark, "records")
-    _docs(spark, sf).write.json(path)
-    return S.read_records(spark, path, _DOC_SCHEMA).filter("_corrupt_record is null").select("doc_id", "lang", F.sha2("text", 256).alias("digest"))
+    return mixed_records(spark, sf).filter("_corrupt_record is null").select("doc_id", "lang", F.sha2("text", 256).alias("digest"))
+
+
+@query("s01_damaged_lines", f"""select '{{"doc_id": 1, "text": "cut off"' as line, count(distinct doc_id // {_GROUP}) as n from documents where (doc_id // {_GROUP}) % 3 = 2 having count(*) > 0""")
+def s01_damaged(spark, sf):
+    return mixed_records(spark, sf).filter("_corrupt_record is not null").groupBy(F.col("_corrupt_record").alias("line")).agg(F.count("*").alias("n"))
 
 
 @query("s02_read_jsonl_strict", "select lang <> 'es' as good, count(*) as n from documents group by 1")
@@ -50,14 +72,27 @@ def s03(spark, sf):
     return S.read_many(spark, [first, second], _DOC_SCHEMA).select("input_ord", "doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("s04_verify_inputs")
+@query(
+    "s04_verify_inputs",
+    """with f as (select source, string_agg(doc_id, chr(10) order by doc_id) || chr(10) as content from documents group by source),
+    n as (select content, cast(substr(source, 4) as int) % 5 as k from f)
+    select case when k = 4 then 'unpinned' when k = 3 then 'mismatch' else 'ok' end as state, count(*) as n, cast(sum(strlen(content)) as bigint) as bytes, min(sha256(content)) as least from n group by 1
+    union all select 'missing', 1, null, null""",
+)
 def s04(spark, sf):
+    """A file per source with its document ids. Pins come from the rows, not from the files:
+    one source in five is not pinned, one has another pin, and one pin has no file."""
     path = _folder(spark, "pinned")
-    table(spark, sf, "documents").repartition(4, "doc_id").write.parquet(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    pins = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
-    states = S.verify_inputs(spark, path, pins, "*.parquet")
-    return states.groupBy("state").agg(F.count("*").alias("n"))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string")), "\n")
+    files = table(spark, sf, "documents").groupBy("source").agg(ids.alias("value"))
+    files.write.partitionBy("source").text(path)
+    names = spark.read.text(path).select("source", F.concat(F.lit("source="), "source", F.lit("/"), "_metadata.file_name").alias("name")).distinct()
+    k = F.substring("source", 4, 9).cast("int") % 5
+    digest = F.sha2(F.concat("value", F.lit("\n")), 256)
+    pins = files.filter(k != 4).select("source", F.when(k == 3, F.sha2("source", 256)).otherwise(F.upper(digest)).alias("sha256")).join(names, "source").select("name", "sha256")
+    absent = spark.range(1).select(F.lit("absent.txt").alias("name"), F.lit("0").alias("sha256"))
+    states = S.verify_inputs(spark, path, pins.union(absent), "*.txt")
+    return states.groupBy("state").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.min("actual").alias("least"))
 
 
 @query("s05_source_registry", f"with {_REGISTRY_SQL} select doc_id, license, trust_tier, clinical_gold from documents join registry using (source) where source <> 'src9'")

@@ -2,33 +2,61 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from groundwork.functions import text as X
 from groundwork.functions.dictionaries import ROSTER_HEADERS
-
-
-def is_wrapped(spark: SparkSession, path: str) -> bool:
-    """Whether the files hold one JSON document each instead of one per line: the first
-    line that is not blank is an open array or not a JSON value of its own."""
-    first = spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value").alias("v"), F.try_parse_json("value").isNotNull().alias("whole")).first()
-    return first is not None and not first["whole"] and first["v"][0] in "[{"
+from groundwork.sources.digests import FileDigests
+
+
+def document_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """(files that are one JSON document, files with a record per line) of a path, decided
+    for each file by itself: its first line that is not blank opens an array or object
+    without being a JSON value of its own, and the whole file parses. What does not parse
+    whole is read by lines, so a damaged line never hides the others. The names of the
+    files pass the driver, as they do in every file listing of Spark."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    lines = spark.read.text(path).select(*place, F.trim("value").alias("v")).filter("v <> ''")
+    first = lines.groupBy("file").agg(F.min_by("v", F.struct("block", "at")).alias("v"))
+    shape = first.select("file", (F.col("v").rlike(r"^[\[{]") & F.try_parse_json("v").isNull()).alias("open")).collect()
+    listed = {r["file"]: r["open"] for r in shape}
+    opened = [f for f, is_open in listed.items() if is_open]
+    whole = set()
+    if opened:
+        texts = spark.read.text(list(map(_plain_path, opened)), wholetext=True)
+        parsed = texts.filter(F.try_parse_json("value").isNotNull()).select(F.col("_metadata.file_path").alias("file"))
+        whole = {r["file"] for r in parsed.collect()}
+    return sorted(whole), sorted(set(listed) - whole)
+
+
+def _plain_path(file: str) -> str:
+    """A listed file's URI as a path that names this file only."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(file))
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType, wrapped: bool | None = None) -> DataFrame:
     """Records of JSON files: one record per line, or files that are one document
-    (``wrapped``; found out from the first line if None). A document or line may be an
-    array, an object with ``records`` or ``data``, or a single object. Unreadable rows
-    keep their text in ``_corrupt_record``. Only files of one document each are read
-    whole by one task."""
-    if wrapped is None:
-        wrapped = is_wrapped(spark, path)
+    (``wrapped``; found out for every file if None, so a folder may mix them). A document
+    or line may be an array, an object with ``records`` or ``data``, or a single object.
+    Unreadable rows keep their text in ``_corrupt_record``. Only files of one document each
+    are read whole by one task; a path without any record gives no rows."""
     listed = T.ArrayType(schema)
     outer = T.StructType(schema.fields + [T.StructField("records", listed), T.StructField("data", listed), T.StructField("_corrupt_record", T.StringType())])
-    whole = spark.read.schema(outer).option("columnNameOfCorruptRecord", "_corrupt_record").json(path, multiLine=wrapped)
     single = F.array(F.struct(*[F.col(f.name) for f in schema.fields]))
-    rows = F.coalesce("records", "data", single)
-    return whole.select(F.explode(rows).alias("r"), "_corrupt_record").select("r.*", "_corrupt_record")
+
+    def read(paths: str | list[str], whole: bool) -> DataFrame:
+        rows = spark.read.schema(outer).option("columnNameOfCorruptRecord", "_corrupt_record").json(paths, multiLine=whole)
+        return rows.select(F.explode(F.coalesce("records", "data", single)).alias("r"), "_corrupt_record").select("r.*", "_corrupt_record")
+
+    if wrapped is not None:
+        return read(path, wrapped)
+    documents, by_line = document_files(spark, path)
+    if not documents or not by_line:
+        return read(path, bool(documents))
+    return read(list(map(_plain_path, documents)), True).unionByName(read(list(map(_plain_path, by_line)), False))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -64,12 +92,16 @@ def read_many(spark: SparkSession, paths: list[str], schema: T.StructType) -> Da
 
 
 def verify_inputs(spark: SparkSession, path: str, pinned: DataFrame, glob: str = "*") -> DataFrame:
-    """SHA-256 of every input file next to its pin (name, sha256): ok, mismatch or
-    unpinned. A file is hashed whole in one task, so it must fit in memory."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    hashed = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("actual"), "length")
-    joined = hashed.join(pinned, "name", "left")
-    state = F.when(F.col("sha256").isNull(), "unpinned").when(F.lower("sha256") == F.col("actual"), "ok").otherwise("mismatch")
+    """SHA-256 of every input file next to its pin (name, sha256): ok, mismatch, unpinned,
+    or missing for a pin without a file. Files are hashed by the ``file_digest`` source, in
+    one task each but in chunks, so a file of any size takes constant memory."""
+    spark.dataSource.register(FileDigests)
+    files = spark.read.format("file_digest").option("glob", glob).load(path)
+    joined = files.join(pinned, "name", "full")
+    state = (
+        F.when(F.col("actual").isNull(), "missing").when(F.col("sha256").isNull(), "unpinned")
+        .when(F.lower("sha256") == F.col("actual"), "ok").otherwise("mismatch")
+    )
     return joined.select("name", "length", "actual", state.alias("state"))
 
 

@@ -1,13 +1,14 @@
 import gzip
+import hashlib
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from groundwork.operators import telemetry as L
+from groundwork.operators import governance as G, telemetry as L
 from groundwork.operators.joins import salted_lookup, with_dense_index
-from groundwork.sources import readers as S
+from groundwork.sources import digests, readers as S
 from groundwork.streaming import stateful
 
 WINDOW, LIMIT = 60, 3
@@ -60,31 +61,73 @@ def test_batch_windows_equal_sequential(spark, seed, span):
     assert kept == throttle_by_hand(rows)
 
 
-def run_stream(spark, tmp_path, rows, build):
+def run_stream(spark, tmp_path, parts, build, schema="key long, s long, id long, fp string"):
+    """Runs the parts one after the other; the last one should hold a far later event, which
+    moves the watermark past all others."""
     source = str(tmp_path / "in")
-    ordered = sorted(rows, key=lambda r: r[1])
-    half = len(ordered) // 2
-    for part in (ordered[:half], ordered[half:]):
-        df = spark.createDataFrame(part, "key long, s long, id long, fp string").withColumn("t", F.col("s") * 1_000_000)
+    for part in parts:
+        df = spark.createDataFrame(part, schema).withColumn("t", F.col("s") * 1_000_000)
         df.coalesce(1).write.mode("append").parquet(source)
-    schema = "key long, s long, id long, fp string, t long"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(f"{schema}, t long").option("maxFilesPerTrigger", 1).parquet(source)
     out = str(tmp_path / "out")
     query = build(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out).collect()
+    return spark.read.parquet(out).collect(), query.recentProgress
+
+
+def waves(rows, late=120):
+    """Three waves by time with some events of each one wave late, and a closing event."""
+    ordered = sorted(rows, key=lambda r: r[1])
+    third = -(-len(ordered) // 3)
+    out, held = [], []
+    for k in range(3):
+        part = ordered[k * third : (k + 1) * third]
+        end = part[-1][1]
+        kept = [r for r in part if not (r[2] % 4 == 0 and r[1] > end - late)]
+        out.append(kept + held)
+        held = [r for r in part if r not in kept]
+    return [*out, [*held, (-1, 10**7, -1, "end")]]
+
+
+def state_rows(progress):
+    return [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress if p["stateOperators"]]
 
 
 def test_streaming_rate_limit_equals_batch(spark, tmp_path):
-    rows = events(5, n=120, span=900)
-    got = run_stream(spark, tmp_path, rows, lambda s: stateful.stream_rate_limit(s.select("key", "t", "id"), WINDOW, LIMIT))
-    assert {r["id"]: (r["allowed"], r["retry_after"]) for r in got} == limit_by_hand(rows)
+    rows = events(5, n=160, span=3000)
+    got, progress = run_stream(spark, tmp_path, waves(rows), lambda s: stateful.stream_rate_limit(s.select("key", "t", "id"), WINDOW, LIMIT, delay="150 seconds"))
+    assert {r["id"]: (r["allowed"], r["retry_after"]) for r in got if r["id"] >= 0} == limit_by_hand(rows)
+    df = frame(spark, rows)
+    assert {r["id"]: (r["allowed"], r["retry_after"]) for r in L.anchored_rate_limit(df, "k", "ts", "id", WINDOW, LIMIT).collect()} == limit_by_hand(rows)
+    # nothing is left of the keys that rest but the closing event
+    assert state_rows(progress)[-1] <= 4 < max(state_rows(progress))
 
 
 def test_streaming_throttle_equals_batch(spark, tmp_path):
-    rows = events(6, n=120, span=900)
-    got = run_stream(spark, tmp_path, rows, lambda s: stateful.stream_throttle(s.select("key", "t", "id", "fp"), WINDOW, LIMIT))
-    assert {r["id"] for r in got} == throttle_by_hand(rows)
+    rows = events(6, n=160, span=3000)
+    got, progress = run_stream(spark, tmp_path, waves(rows), lambda s: stateful.stream_throttle(s.select("key", "t", "id", "fp"), WINDOW, LIMIT, delay="150 seconds"))
+    assert {r["id"] for r in got if r["id"] >= 0} == throttle_by_hand(rows)
+    assert state_rows(progress)[-1] <= 4
+
+
+def test_streaming_learning_events_equal_batch(spark, tmp_path):
+    rng = random.Random(9)
+    group = lambda s: hashlib.sha256(str(s).encode()).hexdigest()
+    rows = []
+    for i in range(150):
+        kind = rng.choice(["contribution", "sample"])
+        sample = rng.randrange(12)
+        rows.append((kind, sample * 10 + rng.randrange(3), sample, group(sample), rng.randrange(2000), i, rng.choice(["approved", "adjudicated", "open"])))
+    schema = "kind string, ref_id long, sample_id long, group_hash string, s long, id long, status string"
+    ordered = sorted(rows, key=lambda r: r[4])
+    parts = [ordered[:70], [*ordered[75:], *ordered[70:75]], [("sample", 0, -1, group(-1), 10**7, -1, "open"), ("sample", 0, -1, group(-1), 10**7, -2, "adjudicated")]]
+    pool = spark.createDataFrame([(s, group(s)) for s in range(12) if s % 5], "sample_id long, group_hash string")
+    got, _ = run_stream(spark, tmp_path, parts, lambda s: stateful.stream_learning_events(s, pool, delay="200 seconds"), schema)
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s")).withColumnRenamed("id", "event_id")
+    contributions = df.filter("kind = 'contribution'").withColumnRenamed("ref_id", "contribution_id")
+    want = G.learning_events(contributions, df.filter("kind = 'sample'"), pool)
+    key = lambda r: tuple(r[c] for c in ("event_key", "event_type", "sample_id", "event_id", "state", "rebuild"))
+    assert sorted(key(r) for r in got if r["sample_id"] >= 0) == sorted(key(r) for r in want.collect())
 
 
 def test_salted_lookup_and_dense_index(spark):
@@ -112,6 +155,25 @@ def test_record_files(spark, tmp_path):
     assert (0, "7") in {(r["input_ord"], r["id"]) for r in both.collect()}
 
 
+def test_shape_is_decided_file_by_file(spark, tmp_path):
+    schema = spark.createDataFrame([], "id string, t string").schema
+    folder = tmp_path / "mixed [1]"
+    folder.mkdir()
+    (folder / "damaged first.jsonl").write_text('\n{"id": "1", "t": "x"\n{"id": "2"}\n[{"id": "3"}, {"id": "4"}]\n')
+    (folder / "array{a}.json").write_text(json.dumps([{"id": "5"}, {"id": "6"}], indent=1))
+    (folder / "records%20.json").write_text("\n" + json.dumps({"records": [{"id": "7"}], "x": 1}, indent=1))
+    (folder / "single.json").write_text(json.dumps({"id": "8", "t": "a\nb"}, indent=1))
+    (folder / "broken.json").write_text('[\n{"id": "9"},\n')
+    (folder / "blank.json").write_text(" \n\n")
+    rows = S.read_records(spark, str(folder).replace("[", "\\[").replace("]", "\\]"), schema).collect()
+    assert sorted(r["id"] for r in rows if r["id"]) == ["2", "3", "4", "5", "6", "7", "8", "9"]
+    damaged = {r["_corrupt_record"] for r in rows if r["_corrupt_record"] is not None}
+    assert '{"id": "1", "t": "x"' in damaged and "[" in damaged
+    only = tmp_path / "only.jsonl"
+    only.write_text('{"id": 1, "t": "x"\n{"id": 2}\n{"id": 3}\n')
+    assert [r["id"] for r in S.read_records(spark, str(only), schema).collect() if r["_corrupt_record"] is None] == ["2", "3"]
+
+
 def test_strict_lines_report_numbers(spark, tmp_path):
     path = tmp_path / "x.jsonl"
     path.write_text('{"a": 1}\n\n{"a": 2}{\n{"a": 3}\n1,2\n')
@@ -119,11 +181,22 @@ def test_strict_lines_report_numbers(spark, tmp_path):
     assert good.count() == 2 and sorted(r["line_no"] for r in bad.collect()) == [3, 5]
 
 
-def test_pins(spark, tmp_path):
-    (tmp_path / "one.txt").write_text("x")
-    (tmp_path / "two.txt").write_text("y")
-    pins = spark.createDataFrame([("one.txt", "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"), ("two.txt", "0" * 64)], "name string, sha256 string")
-    assert {r["name"]: r["state"] for r in S.verify_inputs(spark, str(tmp_path), pins).collect()} == {"one.txt": "ok", "two.txt": "mismatch"}
+def test_pins(spark, tmp_path, monkeypatch):
+    (tmp_path / "deep").mkdir()
+    for name, text in {"one.txt": "x", "two.txt": "y", "deep/three.txt": "z" * 100_000, "_hidden.txt": "h", "four.csv": ""}.items():
+        (tmp_path / name).write_text(text)
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    pins = spark.createDataFrame([("one.txt", digest("x").upper()), ("two.txt", "0" * 64), ("gone.txt", "1" * 64)], "name string, sha256 string")
+    got = {r["name"]: (r["state"], r["length"], r["actual"]) for r in S.verify_inputs(spark, f"file:{tmp_path}", pins, "*.txt").collect()}
+    assert got == {
+        "one.txt": ("ok", 1, digest("x")), "two.txt": ("mismatch", 1, digest("y")), "gone.txt": ("missing", None, None),
+        "deep/three.txt": ("unpinned", 100_000, digest("z" * 100_000)),
+    }
+    assert [r["name"] for r in S.verify_inputs(spark, str(tmp_path / "one.txt"), pins).filter("state = 'ok'").collect()] == ["one.txt"]
+    assert {r["state"] for r in S.verify_inputs(spark, str(tmp_path / "nowhere"), pins).collect()} == {"missing"}
+    reader = digests._Reader(str(tmp_path), "*")
+    monkeypatch.setattr(digests, "CHUNK", 7)  # a file is folded chunk by chunk
+    assert [list(reader.read(p))[0][2] for p in reader.partitions() if p.name == "deep/three.txt"] == [digest("z" * 100_000)]
 
 
 def test_roster(spark):
