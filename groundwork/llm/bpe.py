@@ -28,6 +28,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def unknown_letters(text: str) -> bool:
+    """Whether a text has characters that Python's Unicode tables do not know yet."""
+    return not text.isascii() and max(text) > "ͷ" and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class Vocabulary:
     """Tokens, merges and added tokens of a tokenizer file (JSON, byte-level BPE).
 
@@ -91,7 +96,7 @@ class Vocabulary:
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b, one after the other, encode to exactly a, b."""
-        if len(self.apart) > 1_000_000:
+        if len(self.apart) > 500_000:
             self.apart.clear()
         known = self.apart[a << 32 | b] = not self._meets(a, b, _NEVER)
         return known
@@ -99,7 +104,7 @@ class Vocabulary:
     def cut(self, text: str) -> list[str]:
         """The words of a text. A character that Python's tables do not know yet may be a
         letter in newer tables, so texts with one are cut by the tokenizer library itself."""
-        if max(text, default="") > "ͷ" and any(unicodedata.category(c) == "Cn" for c in set(text)):
+        if unknown_letters(text):
             return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
         return self.words.findall(text)
 
@@ -120,7 +125,7 @@ class WordTrie:
     stepping back from its end. Beyond ``max_nodes`` the trie starts anew, which costs time only.
     """
 
-    def __init__(self, vocab: Vocabulary, max_nodes: int = 1_000_000):
+    def __init__(self, vocab: Vocabulary, max_nodes: int = 500_000):
         self.vocab, self.max_nodes = vocab, max_nodes
         self._clear()
 
@@ -207,7 +212,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
-def encode(docs: DataFrame, path: str, special: bool = True, max_nodes: int = 1_000_000, slice_bytes: int = 2 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, special: bool = True, max_nodes: int = 500_000, slice_bytes: int = 2 << 20) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every row: the ids of the whole text as little-endian
     unsigned 32-bit integers, as the tokenizers library gives them for the file ``path``
     without special tokens around the text.
