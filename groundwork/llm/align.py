@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -10,27 +11,48 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from groundwork.llm.bpe import WordTrie, slices, vocabulary
+from groundwork.llm.bpe import WORDS, WordTrie, byte_letters, slices, unknown_letters, vocabulary
 from groundwork.llm.common import materialize
 
 #: Ids of one pair travel as a * 2^32 + b.
 _SHIFT = 32
 _LINK = "struct<doc_id: long, n_a: long, n_b: long, n_groups: long, n_links: long, groups: string, links: array<int>, uses: array<int>>"
+_LINKS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "uses"]
 STORED = f"block long, docs array<{_LINK}>, pairs array<long>, n_docs array<int>"
 
 
 class ByteLevel:
-    """Side A: a byte-level BPE file; strings of added tokens are plain text."""
+    """Side A: a byte-level BPE file whose ids follow its merges, encoded by tiktoken;
+    strings of added tokens are plain text. Texts with characters that Python's tables do
+    not know yet go through ``WordTrie``, which cuts them as the file's own library does."""
 
     def __init__(self, path: str):
-        self.trie = WordTrie(vocabulary(path))
-        self.bytes = self.trie.vocab.bytes
+        self.path, letter = path, byte_letters()
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        ids = model["vocab"]
+        merged = [ids[left + right] for left, right in model["merges"]]
+        if merged != sorted(merged):
+            raise ValueError("ids must follow the merges")
+        self.bytes = [b""] * (1 + max(ids.values()))
+        for text, i in ids.items():
+            self.bytes[i] = bytes(letter[c] for c in text)
+        ranks = {data: i for i, data in enumerate(self.bytes)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.trie: WordTrie | None = None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(ids, dtype="<u4").astype(np.int64) for ids in self.trie.encode([" " + t for t in texts], special=False)]
+        return [self._one(" " + t) for t in texts]
+
+    def _one(self, text: str) -> np.ndarray:
+        if unknown_letters(text):
+            self.trie = self.trie or WordTrie(vocabulary(self.path))
+            return np.frombuffer(self.trie.encode([text], special=False)[0], dtype="<u4").astype(np.int64)
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
 
 class Pieces:
@@ -95,8 +117,10 @@ def groups(a: Side, b: Side, words: _Words) -> tuple[np.ndarray, list[str]]:
     """Number of groups and their text ``a1,a2|b1;a3|b2,b3`` per document of a slice.
     A group ends where tokens of both sides end."""
     ta, tb = a.table, b.table
-    cuts = np.intersect1d(ta["end"].to_numpy(), tb["end"].to_numpy())
-    group_a, group_b = np.searchsorted(cuts, ta["end"].to_numpy()), np.searchsorted(cuts, tb["end"].to_numpy())
+    end_a, end_b = ta["end"].to_numpy(), tb["end"].to_numpy()
+    # ends rise on both sides, so what they share is found by search
+    cuts = end_a[np.append(end_b, -1)[np.searchsorted(end_b, end_a)] == end_a]
+    group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
     group = np.concatenate([group_a, group_b])
     side = np.concatenate([np.zeros(len(ta), dtype=np.int64), np.ones(len(tb), dtype=np.int64)])
     order = np.argsort(2 * group + side, kind="stable")
@@ -112,32 +136,41 @@ def groups(a: Side, b: Side, words: _Words) -> tuple[np.ndarray, list[str]]:
     return n_groups, ["".join(parts[e - k : e]) for e, k in zip(ends, a.counts + b.counts, strict=True)]
 
 
-def _aligned(texts: list[str], sides: tuple, lengths: tuple, words: _Words) -> tuple[list[dict], np.ndarray, np.ndarray]:
-    """Per text the counts, groups and links, and the id pairs of the slice with the number
-    of its documents that hold them. Links are rows into those pairs."""
-    encoded = [s.encode(texts) for s in sides]
+def _kept(texts: list[str], ids: list[np.ndarray], sides: tuple, lengths: tuple) -> None:
+    """Takes all tokens from texts whose bytes a side does not give back."""
     for k, text in enumerate(texts):
         want = b" " + text.encode() if text else b""
-        if any(b"".join(map(s.bytes.__getitem__, ids[k].tolist())) != want for s, ids in zip(sides, encoded, strict=True)):
-            encoded[0][k] = encoded[1][k] = np.zeros(0, dtype=np.int64)
-    a, b = (_side(ids, size) for ids, size in zip(encoded, lengths, strict=True))
+        # byte-level tokens spell any text, so for A the length tells
+        same = int(lengths[0][ids[0][k]].sum()) == len(want) and b"".join(map(sides[1].bytes.__getitem__, ids[1][k].tolist())) == want
+        if not same:
+            ids[0][k] = ids[1][k] = np.zeros(0, dtype=np.int64)
+
+
+def _aligned(texts: list[str], doc_ids: pa.Array, block: int, sides: tuple, lengths: tuple, words: _Words) -> pa.RecordBatch:
+    """One row of ``STORED`` for a slice of documents."""
+    n = len(texts)
+    ids = [s.encode(texts) for s in sides]
+    _kept(texts, ids, sides, lengths)
+    a, b = (_side(x, size) for x, size in zip(ids, lengths, strict=True))
     n_groups, text = groups(a, b, words)
     left, right = overlaps(a.table, b.table)
     doc = a.table["doc"].to_numpy()[left]
-    pair = (a.table["id"].to_numpy()[left] << _SHIFT) | b.table["id"].to_numpy()[right]
-    n_links = np.bincount(doc, minlength=len(texts))
-    pairs, at = np.unique(pair, return_inverse=True)
-    held, uses = np.unique(doc * max(1, len(pairs)) + at, return_counts=True)
-    held_doc, held_at = np.divmod(held, max(1, len(pairs)))
-    ends = np.cumsum(np.bincount(held_doc, minlength=len(texts)))
-    rows = [
-        {"n_a": int(a.counts[k]), "n_b": int(b.counts[k]), "n_groups": int(n_groups[k]), "n_links": int(n_links[k]), "groups": text[k], "links": links, "uses": used}
-        for k, (links, used) in enumerate(zip(np.split(held_at, ends[:-1]), np.split(uses, ends[:-1]), strict=True))
-    ]
-    return rows, pairs, np.bincount(held_at, minlength=len(pairs))
-
-
-def link_blocks(docs: DataFrame, sides: Callable[[], tuple], block_bytes: int = 1 << 20) -> DataFrame:
+    at, pairs = pd.factorize((a.table["id"].to_numpy()[left] << _SHIFT) | b.table["id"].to_numpy()[right])
+    base = max(1, len(pairs))
+    held = np.sort(doc * base + at)
+    first = np.flatnonzero(np.diff(held, prepend=-1))
+    held_doc, held_at = np.divmod(held[first], base)
+    uses = np.diff(np.append(first, len(held)))
+    offsets = pa.array(np.append(0, np.cumsum(np.bincount(held_doc, minlength=n))), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (held_at, uses)]
+    counts = [pa.array(x, pa.int64()) for x in (a.counts, b.counts, n_groups, np.bincount(doc, minlength=n))]
+    docs = pa.StructArray.from_arrays([doc_ids.cast(pa.int64()), *counts, pa.array(text, pa.string()), *lists], _LINKS)
+    whole = lambda values, size: pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), values)
+    columns = [pa.array([block], pa.int64()), whole(docs, n), whole(pa.array(pairs, pa.int64()), len(pairs)), whole(pa.array(np.bincount(held_at, minlength=len(pairs)), pa.int32()), len(pairs))]
+    return pa.RecordBatch.from_arrays(columns, ["block", "docs", "pairs", "n_docs"])
+
+
+def link_blocks(docs: DataFrame, sides: Callable[[], tuple], block_bytes: int = 1 << 19) -> DataFrame:
     """One row per block of about ``block_bytes`` bytes of text (see ``STORED``): its
     documents with counts, groups and links, and its distinct id pairs with the number of
     its documents that hold them. A document's links are rows of the block's pairs."""
@@ -145,26 +178,15 @@ def link_blocks(docs: DataFrame, sides: Callable[[], tuple], block_bytes: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sides()
         lengths = tuple(np.array([len(x) for x in s.bytes], dtype=np.int64) for s in both)
-        words, schema = _Words(max(map(len, lengths))), None
-        block = TaskContext.get().partitionId() << 32
+        words, block = _Words(max(map(len, lengths))), TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in slices(whole, "text", block_bytes):
-                rows, pairs, n_docs = _aligned(batch.column("text").to_pylist(), both, lengths, words)
-                for row, doc_id in zip(rows, batch.column("doc_id").to_pylist(), strict=True):
-                    row["doc_id"] = doc_id
-                schema = schema or _arrow_schema()
-                yield pa.RecordBatch.from_pylist([{"block": block, "docs": rows, "pairs": pairs, "n_docs": n_docs}], schema)
+                yield _aligned(batch.column("text").to_pylist(), batch.column("doc_id"), block, both, lengths, words)
                 block += 1
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, STORED)
 
 
-def _arrow_schema() -> pa.Schema:
-    whole = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
-    link = pa.struct([*[(c, pa.int64()) for c in whole], ("groups", pa.string()), ("links", pa.list_(pa.int32())), ("uses", pa.list_(pa.int32()))])
-    return pa.schema([("block", pa.int64()), ("docs", pa.list_(link)), ("pairs", pa.list_(pa.int64())), ("n_docs", pa.list_(pa.int32()))])
-
-
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """``pair, n, best``: in how many documents of the corpus a pair is linked, and whether
     no pair with the same A id is in more. One row per A id is the most that is sent to all
@@ -175,13 +197,14 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
     return held.join(F.broadcast(most), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = 1 << 20) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = 1 << 19, show: Callable[[Column], Column] = lambda groups: groups) -> DataFrame:
     """Aligns byte-level tokens (A, file ``a_path``) with pieces (B, model ``b_path``):
     ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` for every row.
 
     A encodes a space and the text, B the text, to which it adds the space. All pairs of
     tokens whose byte ranges overlap are links. ``groups`` are the id sequences between
-    byte offsets at which tokens of both sides end. The count of an id pair is the number
+    byte offsets at which tokens of both sides end; ``show`` is what is kept of them, since
+    the whole sequences are longer than the texts. The count of an id pair is the number
     of rows of ``docs`` that hold it linked; ``n_best`` links have the highest count of
     their A id (ties included), ``count_sum`` adds the counts over links.
 
@@ -192,7 +215,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = 1 << 20)
     length. Counts meet per block of documents, so a pair that every document holds is one
     row per block, not per document.
     """
-    blocks = materialize(link_blocks(docs, lambda: (ByteLevel(a_path), Pieces(b_path)), block_bytes), "align-blocks")
+    blocks = link_blocks(docs, lambda: (ByteLevel(a_path), Pieces(b_path)), block_bytes)
+    shown = F.transform("docs", lambda d: d.withField("groups", show(d["groups"])))
+    blocks = materialize(blocks.withColumn("docs", shown), "align-blocks")
     counts = pair_counts(blocks)
     asked = blocks.select(F.col("block").alias("of"), F.posexplode("pairs").alias("at", "pair"))
     answers = asked.join(counts, "pair").select("of", "at", "n", "best")

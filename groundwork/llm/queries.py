@@ -147,9 +147,8 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_tokenizer_align")
 def op12_tokenizer_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
-    out = align.align(table(spark, sf_dir, "documents"), *paths)
-    return out.withColumn("groups_sha256", digest).drop("groups")
+    digest = lambda groups: F.when(groups != "", F.sha2(groups, 256)).otherwise(F.lit(""))
+    return align.align(table(spark, sf_dir, "documents"), *paths, show=digest).withColumnRenamed("groups", "groups_sha256")
 
 
 def _merkle_levels(name: str, source: str) -> str:
