@@ -40,15 +40,34 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 
 @dataclass
 class Line:
-    """A block of text: its words, the tags and link characters in it, where it is, and the
-    names that mark all of it."""
+    """A block of text: its words, the tags and link characters in it, the innermost element
+    around it, and the marks around all of it (``chain``: an element; ``also``: names that
+    stand in every branch below it)."""
 
     text: str
     tags: int
     linked: int
     dropped: bool
-    path: tuple[int, ...]
-    marks: frozenset[str] = frozenset()
+    at: int
+    chain: int = -1
+    also: frozenset[str] = frozenset()
+    marked: bool = False
+
+
+@dataclass
+class Element:
+    """An open or closed element. Elements are numbered as they open, so what lies inside
+    one has the numbers up to ``last``. ``own``: marks of the element that no element around
+    it has; ``chain``: the nearest element with such marks, itself included."""
+
+    tag: str
+    parent: int
+    never: bool
+    own: frozenset[str]
+    chain: int
+    heading: bool
+    header: bool
+    last: int = -1
 
 
 def _never(tag: str, attrs: list, inside: bool) -> bool:
@@ -77,34 +96,75 @@ def _marks(tag: str, attrs: list, inside: bool) -> frozenset[str]:
 
 class Reader(HTMLParser):
     """Turns parser events into lines. Unclosed and crossed tags are closed by what follows.
-    ``trusted``: marks that are not heeded."""
+    ``trusted``: marks that are not heeded. Every event costs the same however deep the
+    page is nested: what is open is counted, and elements point to their parents."""
 
     def __init__(self, trusted: frozenset[str] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.trusted = trusted
-        self.stack: list[tuple[str, bool, int, frozenset[str]]] = []  # marks: of all open elements
-        self.names: list[str] = []  # element number -> tag
-        self.marks: list[frozenset[str]] = []  # element number -> marks around it
-        self.headers: set[int] = set()  # elements that are marked as an article's header
+        self.elements: list[Element] = []
+        self.stack: list[int] = []
+        self.places: dict[str, list[int]] = {}  # tag -> places on the stack
+        self.blocks: list[int] = []  # places of block elements
+        self.open_marks: dict[str, int] = {}
         self.lines: list[Line] = []
-        self.parts: list[tuple[str, bool, frozenset[str]]] = []
+        self.parts: list[tuple[str, bool, int]] = []  # text, never, chain
         self.tags = self.linked = 0
 
+    def is_open(self, *tags: str) -> bool:
+        return any(self.places.get(t) for t in tags)
+
     def add(self, data: str) -> None:
-        self.parts.append((data, *self.stack[-1][1::2]) if self.stack else (data, False, frozenset()))
+        top = self.elements[self.stack[-1]] if self.stack else None
+        self.parts.append((data, top.never, top.chain) if top else (data, False, -1))
 
     def flush(self) -> None:
         """Ends a line. Text of dropped elements inside a block does not reach it; a line
         that is dropped for its marks only keeps them."""
-        kept = " ".join("".join(t for t, d, m in self.parts if not d and not m).split())
+        kept = " ".join("".join(t for t, d, c in self.parts if not d and c < 0).split())
         marked = "" if kept else " ".join("".join(t for t, d, _ in self.parts if not d).split())
         text = kept or marked or " ".join("".join(t for t, _, _ in self.parts).split())
         if text:
-            marks = frozenset.intersection(*(m for t, d, m in self.parts if not d and t.strip())) if marked else frozenset()
-            self.lines.append(Line(text, self.tags, self.linked, not kept, tuple(x[2] for x in self.stack), marks))
+            at = self.stack[-1] if self.stack else -1
+            chain, also = self.common([c for t, d, c in self.parts if not d and t.strip()]) if marked else (-1, frozenset())
+            self.lines.append(Line(text, self.tags, self.linked, not kept, at, chain, also, bool(marked) and (chain >= 0 or bool(also))))
             self.tags = 0
         self.parts, self.linked = [], 0
 
+    def up(self, chain: int) -> int:
+        """The next marked element around a marked one."""
+        parent = self.elements[chain].parent
+        return self.elements[parent].chain if parent >= 0 else -1
+
+    def common(self, chains: list[int]) -> tuple[int, frozenset[str]]:
+        """Marks around all parts of a line: the innermost marked element around them, and
+        names that every part has in a branch of its own."""
+        low, high = min(chains), max(chains)
+        if low == high:
+            return low, frozenset()
+        top = low
+        while top >= 0 and high > self.inner(top):
+            top = self.up(top)
+        counts: dict[int, int] = {}
+        for c in chains:
+            counts[c] = counts.get(c, 0) + 1
+        covered, seen = {}, set()
+        for c in list(counts):  # every marked element between the parts and the top once
+            while c > top and c not in seen:
+                seen.add(c)
+                c = self.up(c)
+        for c in sorted(seen, reverse=True):
+            n = counts.get(c, 0)
+            for m in self.elements[c].own:
+                covered[m] = covered.get(m, 0) + n
+            counts[self.up(c)] = counts.get(self.up(c), 0) + n
+        return top, frozenset(m for m, n in covered.items() if n == len(chains))
+
+    def inner(self, n: int) -> int:
+        """The last element inside element ``n`` so far."""
+        last = self.elements[n].last
+        return len(self.elements) if last < 0 else last
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
@@ -115,31 +175,57 @@ class Reader(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        inside = any(x[0] in ("article", "main") for x in self.stack)
-        never, marks = self.stack[-1][1::2] if self.stack else (False, frozenset())
+        inside = self.is_open("article", "main")
+        parent = self.stack[-1] if self.stack else -1
+        above = self.elements[parent] if self.stack else Element("", -1, False, frozenset(), -1, False, False)
         own = _marks(tag, attrs, inside) - self.trusted
+        header = above.header or tag == "header"
         if inside and (tag == "header" or own and all(_parts(n) & MARKS == {"header"} for n in own)):
-            self.headers.add(len(self.names))
-            own = frozenset()
-        never, marks = never or _never(tag, attrs, inside), marks | own
-        self.stack.append((tag, never, len(self.names), marks))
-        self.names.append(tag)
-        self.marks.append(marks)
+            header, own = True, frozenset()
+        own = frozenset(m for m in own if not self.open_marks.get(m))
+        n = len(self.elements)
+        self.elements.append(Element(tag, parent, above.never or _never(tag, attrs, inside), own, n if own else above.chain, above.heading or tag in HEADINGS, header))
+        for m in own:
+            self.open_marks[m] = self.open_marks.get(m, 0) + 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(n)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
+    def close(self) -> None:
+        super().close()
+        self.flush()
+        self.close_from(0)
+
+    def close_from(self, place: int) -> None:
+        """Closes the elements from a place of the stack up."""
+        while len(self.stack) > place:
+            done = self.elements[self.stack.pop()]
+            done.last = len(self.elements) - 1
+            self.places[done.tag].pop()
+            if done.tag in BLOCKS:
+                self.blocks.pop()
+            for m in done.own:
+                self.open_marks[m] -= 1
+
+    def nearest(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def close_implied(self, tag: str) -> None:
         """A block ends an open paragraph; list items, rows and cells end the one before."""
         ends = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}.get(tag, set())
         bounds = {"ul", "ol", "dl", "menu"} if tag in ("li", "dt", "dd") else {"table"} if tag in ("tr", "td", "th") else set()
-        for k in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[k][0]
-            if name in ends or name == "p" and tag in BLOCKS:
-                del self.stack[k:]
-                return
-            if name in bounds or name in BLOCKS and not ends:
-                return
+        paragraph = self.nearest(["p"]) if tag in BLOCKS else -1
+        if ends:
+            found = max(self.nearest(ends), paragraph)
+            stop = self.nearest(bounds)
+        else:
+            found, stop = paragraph, self.blocks[-1] - 1 if self.blocks else -1
+        if found > stop:
+            self.close_from(found)
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
@@ -147,22 +233,33 @@ class Reader(HTMLParser):
         elif tag in ("td", "th"):
             self.add(" ")
         self.tags += 1
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
+        if self.places.get(tag):
+            self.close_from(self.places[tag][-1])
 
     def handle_data(self, data):
         self.add(data)
-        if any(x[0] == "a" for x in self.stack):
+        if self.is_open("a"):
             self.linked += len(data)
 
+    def sums(self, lines: list[Line]) -> list[int]:
+        """Characters of ``lines`` inside each element."""
+        out = [0] * len(self.elements)
+        for x in lines:
+            if x.at >= 0:
+                out[x.at] += len(x.text)
+        for n in range(len(out) - 1, -1, -1):
+            if self.elements[n].parent >= 0:
+                out[self.elements[n].parent] += out[n]
+        return out
+
+    def inside(self, line: Line, n: int) -> bool:
+        return n <= line.at <= self.elements[n].last
+
 
 def read_lines(html: str, trusted: frozenset[str] = frozenset()) -> Reader:
     reader = Reader(trusted)
     reader.feed(html)
     reader.close()
-    reader.flush()
     return reader
 
 
@@ -171,22 +268,40 @@ def wrappers(reader: Reader, good: np.ndarray) -> frozenset[str]:
     around a main element, around most of the content characters, or around the article if
     it outweighs the unmarked content. Names of threads count only around a main element or
     where nothing is unmarked."""
-    found, weight, total, plain = set(), {}, 0, 0
-    articles: dict[int, int] = {}
-    for x, g in zip(reader.lines, good, strict=True):
-        if g and (not x.dropped or x.marks):
-            total += len(x.text)
-            plain += 0 if x.dropped else len(x.text)
-            for m in x.marks:
-                weight[m] = weight.get(m, 0) + len(x.text)
-            for n in x.path:
-                if reader.names[n] == "main":
-                    found |= reader.marks[n]
-                elif reader.names[n] == "article":
-                    articles[n] = articles.get(n, 0) + len(x.text)
+    elements = reader.elements
+    lines = [x for x, g in zip(reader.lines, good, strict=True) if g and (not x.dropped or x.marked)]
+    total = sum(len(x.text) for x in lines)
+    plain = sum(len(x.text) for x in lines if not x.dropped)
+    weight: dict[str, int] = {}
+    chained = [0] * len(elements)
+    for x in lines:
+        if x.chain >= 0:
+            chained[x.chain] += len(x.text)
+        for m in x.also:
+            weight[m] = weight.get(m, 0) + len(x.text)
+    for n in range(len(elements) - 1, -1, -1):
+        if elements[n].own:
+            for m in elements[n].own:
+                weight[m] = weight.get(m, 0) + chained[n]
+            if (above := reader.up(n)) >= 0:
+                chained[above] += chained[n]
+
+    def around(n: int) -> set[str]:
+        names, chain = set(), elements[n].chain
+        while chain >= 0:
+            names |= elements[chain].own
+            chain = reader.up(chain)
+        return names
+
     held = {m for m, w in weight.items() if 2 * w > total}
-    if articles and articles[best := max(articles, key=lambda n: (articles[n], -n))] > plain:
-        held |= reader.marks[best]
+    inner = reader.sums(lines)
+    mains = [n for n, e in enumerate(elements) if e.tag == "main" and inner[n]]
+    found = around(mains[-1]) if mains else set()  # mains inside each other share what is around
+    for n in mains[:-1]:
+        found |= elements[n].own if elements[mains[-1]].parent >= n and mains[-1] <= elements[n].last else around(n)
+    articles = [n for n, e in enumerate(elements) if e.tag == "article" and inner[n]]
+    if articles and inner[best := max(articles, key=lambda n: (inner[n], -n))] > plain:
+        held |= around(best)
     if any(not x.dropped for x in reader.lines):
         held = {m for m in held if not _parts(m) & THREADS}
     return frozenset(found | held)
@@ -221,13 +336,14 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     """Main text of a page: blocks in page order, one newline between them.
 
     The content lines choose the region: the article (or main element) that holds most of
-    their characters, else the innermost element that holds all of them, and what lies
-    between it and the last h1 before it. All of that region's text is returned but for
+    their characters with the articles beside it that hold content lines, else the innermost
+    element that holds all of them; and what lies between the region and the last h1 before
+    it, if the region has none of its own. All of that region's text is returned but for
     elements that are marked as menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles or comments, and, where no article is marked, lines that are links
     only, unless they are headings or content lines. Class and id names mark an element
     only if they do not hold the article itself (see ``wrappers``); of a header inside an
-    article the headings stay.
+    article the headings stay. The time is linear in the page, however it is nested.
     """
     reader = read_lines(html or "")
     good = content_lines(reader.lines, sigma) if reader.lines else np.zeros(0, dtype=bool)
@@ -236,39 +352,79 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         trusted |= more
         reader = read_lines(html or "", trusted)
         good = content_lines(reader.lines, sigma)
-    lines, names = reader.lines, reader.names
-    live = [x for x in lines if not x.dropped]
+    elements = reader.elements
+    live = [x for x in reader.lines if not x.dropped]
     if not live:
         return ""
-    chosen = [x for x, g in zip(lines, good, strict=True) if g and not x.dropped] or live
-    weight: dict[int, int] = {}
-    for x in chosen:
-        for n in x.path:
-            weight[n] = weight.get(n, 0) + len(x.text)
-    marked = [n for n in weight if names[n] in ("article", "main")]
-    articles = [n for n in marked if names[n] == "article"] or marked
+    chosen = [x for x, g in zip(reader.lines, good, strict=True) if g and not x.dropped] or live
+    inner = reader.sums(chosen)
+    marked = [n for n, e in enumerate(elements) if inner[n] and e.tag in ("article", "main")]
+    articles = [n for n in marked if elements[n].tag == "article"] or marked
     if articles:
-        region = max(articles, key=lambda n: (weight[n], -n))
-        kept = [x for x in live if region in x.path]
+        region = max(articles, key=lambda n: (inner[n], -n))
+        beside = [n for n in articles if elements[n].parent == elements[region].parent and elements[n].tag == elements[region].tag]
+        inside = _members(reader, beside)
+        first, last = _lead(reader, live, beside[0], inside)
+        kept = [x for k, x in enumerate(live) if first <= k < last or x.at in inside]
     else:
         content = {id(x) for x in chosen}
         # a link beside the content is content by smoothing only; one between its lines is
         own = [k for k, x in enumerate(live) if id(x) in content and not _is_link(x)] or [k for k, x in enumerate(live) if id(x) in content]
-        inner = set.intersection(*(set(live[k].path) for k in own))
-        title = max((k for k in range(own[0]) if any(names[n] == "h1" for n in live[k].path)), default=own[0])
-        inside = [(k, x) for k, x in enumerate(live) if title <= k < own[0] or not inner or max(inner) in x.path]
-        kept = [x for k, x in inside if not _is_link(x) or _in_heading(x, names) or id(x) in content and own[0] < k < own[-1]]
-    headers = reader.headers | {n for n, name in enumerate(names) if name == "header"}
-    kept = [x for x in kept if headers.isdisjoint(x.path) or _in_heading(x, names)]
+        region = _around(reader, [live[k].at for k in own])
+        title = max((k for k in range(own[0]) if _in_h1(reader, live[k])), default=own[0])
+        near = [(k, x) for k, x in enumerate(live) if title <= k < own[0] or region < 0 or reader.inside(x, region)]
+        kept = [x for k, x in near if not _is_link(x) or _in_heading(reader, x) or id(x) in content and own[0] < k < own[-1]]
+    kept = [x for x in kept if x.at < 0 or not elements[x.at].header or elements[x.at].heading]
     return "\n".join(x.text for x in kept)
 
 
+def _members(reader: Reader, regions: list[int]) -> set[int]:
+    """The elements inside any of the regions."""
+    out: set[int] = set()
+    for n in regions:
+        if n not in out:
+            out.update(range(n, reader.elements[n].last + 1))
+    return out
+
+
+def _around(reader: Reader, places: list[int]) -> int:
+    """The innermost element around all places, -1 for the page."""
+    low, high = min(places), max(places)
+    while low >= 0 and high > reader.elements[low].last:
+        low = reader.elements[low].parent
+    return low
+
+
+def _lead(reader: Reader, live: list[Line], region: int, inside: set[int]) -> tuple[int, int]:
+    """First and last (exclusive) of the lines between an article's headline and the article,
+    where the headline stands before it in the same main element, or under the same parent
+    if there is none."""
+    start = next(k for k, x in enumerate(live) if x.at in inside)
+    if any(x.at in inside and _in_h1(reader, x) for x in live):
+        return start, start
+    scope = parent = reader.elements[region].parent
+    while scope >= 0 and reader.elements[scope].tag != "main":
+        scope = reader.elements[scope].parent
+    scope = scope if scope >= 0 else parent
+    titles = [k for k in range(start) if scope >= 0 and reader.inside(live[k], scope) and _in_h1(reader, live[k])]
+    return (titles[-1], start) if titles else (start, start)
+
+
 def _is_link(line: Line) -> bool:
     return line.linked >= 0.9 * len(line.text)
 
 
-def _in_heading(line: Line, names: list[str]) -> bool:
-    return any(names[n] in HEADINGS for n in line.path)
+def _in_heading(reader: Reader, line: Line) -> bool:
+    return line.at >= 0 and reader.elements[line.at].heading
+
+
+def _in_h1(reader: Reader, line: Line) -> bool:
+    n = line.at
+    while n >= 0 and reader.elements[n].heading:
+        if reader.elements[n].tag == "h1":
+            return True
+        n = reader.elements[n].parent
+    return False
 
 
 def extract(pages: DataFrame, sigma: float = 1.0) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 from groundwork.llm import html_extract, langid, queries, secrets
@@ -187,3 +188,25 @@ def test_long_lines_are_learned_in_pieces(spark):
     cut = langid.training_lines(documents(spark, [(1, "x" * 4_500 + " yy", "cc"), (3, "ab " * 2_000, "cc")]), {"cc": 2}, s).collect()
     assert max(len(r["line"]) for r in cut) <= s.line_chars and all(set(r["line"].split()) <= {"ab"} for r in cut if "a" in r["line"])
     assert sum(r["line"].count("x") for r in cut) in (2_000, 2_500, 4_500)
+
+
+def test_headline_beside_the_article_and_sibling_articles():
+    body = "<p>" + "plain words of the story " * 20 + "</p>"
+    page = f"<nav><a href=1>Menu</a></nav><main><h1>The Headline</h1><p>Lead of it</p><article>{body}</article><article>{body.replace('plain', 'more')}</article></main>"
+    lines = html_extract.main_text(page).split("\n")
+    assert lines[:2] == ["The Headline", "Lead of it"] and [x.split()[0] for x in lines[2:]] == ["plain", "more"]
+    own = f"<main><h1>Section</h1><article><h1>Own headline</h1>{body}</article></main>"
+    assert html_extract.main_text(own).startswith("Own headline")
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    def seconds(html):
+        started = time.perf_counter()
+        text = html_extract.main_text(html)
+        return time.perf_counter() - started, text
+
+    for make in (lambda n: "<div>x" * n, lambda n: "".join(f"<div class=ad-{k}>x" for k in range(n)), lambda n: "<b>" * n + "<p>x</p>" * n, lambda n: "<ul><li>" * n + "x</li>" * n):
+        small, _ = seconds(make(5_000))
+        large, _ = seconds(make(40_000))
+        assert large < 8 * small * 2.5 + 0.5
+    assert seconds("<div>x" * 200_000)[1].count("x") == 200_000
