@@ -136,34 +136,73 @@ def anchored_rate_limit(df: DataFrame, key: str, ts: str, event: str, window_sec
     return joined.select(F.col("id").alias(event), F.col("key").alias(key), allowed.alias("allowed"), F.when(~allowed, wait).alias("retry_after"))
 
 
-def throttle_faults(df: DataFrame, key: str, ts: str, event: str, fingerprint: str, window_seconds: int = 60, limit: int = 8) -> DataFrame:
+def _following(placed: DataFrame, window: int) -> DataFrame:
+    """``key, anchor, next``: the window after each one, if an acceptance of the first can
+    still rest in it, that is if it starts less than two window lengths later. Such a start
+    lies in one of the next three slots, so windows meet by (key, slot)."""
+    starts = materialize(_slots(placed.select("key", F.col("anchor").alias("t")).distinct(), window).withColumnRenamed("t", "anchor"), "windows")
+    later = starts.select("key", "slot", F.col("anchor").alias("next"))
+    reach = starts.select("key", "anchor", F.explode(F.transform(F.array(*map(F.lit, (0, 1, 2))), lambda d: F.col("slot") + d)).alias("slot"))
+    met = reach.join(later, ["key", "slot"]).filter((F.col("next") > F.col("anchor")) & (F.col("next") < F.col("anchor") + 2 * window))
+    return materialize(met.groupBy("key", "anchor").agg(F.min("next").alias("next")), "following")
+
+
+def throttle_faults(df: DataFrame, key: str, ts: str, event: str, fingerprint: str, window_seconds: int = 60, limit: int = 8, decided: list[int] | None = None) -> DataFrame:
     """Accepted faults: at most ``limit`` per anchored window, and a fingerprint rests for
     one window length after its last acceptance.
 
-    Inside a window a fingerprint is accepted at most once, so a window needs only the
-    acceptances of the window before it. Starting from none, all windows are decided
-    at once and decided again with the acceptances found, until nothing changes; the
-    first windows are right after the first pass, their successors after the next, so
-    the fixed point is the sequential result."""
+    Inside a window a fingerprint is accepted at most once, and an acceptance rests in the
+    next window only. So all windows are decided at once as if none came before, and then
+    changes are passed on: a window is decided again only if what its predecessor accepts
+    has changed, with the acceptances of that window. First windows are right at once,
+    their successors after the next pass; most changes die out soon. ``decided`` takes the
+    number of rows that each pass decides."""
     window = window_seconds * 1_000_000
     rows = _micros(df, key, ts, event, F.col(fingerprint).alias("fp"))
-    placed = materialize(_slots(with_anchor(rows, window), window), "placed")
-
-    def decide(previous: DataFrame | None) -> DataFrame:
-        open_ = placed
-        if previous is not None:
-            resting = previous.select("key", "fp", F.col("t").alias("_at"), F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
-            e, r = placed.alias("e"), resting.alias("r")
-            same = (F.col("e.key") == F.col("r.key")) & (F.col("e.fp") == F.col("r.fp")) & (F.col("e.slot") == F.col("r.slot"))
-            recent = (F.col("r._at") < F.col("e.anchor")) & (F.col("r._at") > F.col("e.t") - window)
-            open_ = e.join(r, same & recent, "left_anti")
-        first = open_.groupBy("key", "anchor", "fp").agg(F.min(F.struct("t", "id", "slot")).alias("m")).select("key", "anchor", "fp", "m.*")
-        return materialize(top_k(first, ["key", "anchor"], [F.asc("t"), F.asc("id")], limit, "_n").select("key", "fp", "t", "id", "slot"), "accepted")
-
-    accepted = decide(None)
+    placed = materialize(with_anchor(rows, window), "placed")
+    following = _following(placed, window)
+
+    def decide(open_: DataFrame) -> DataFrame:
+        first = open_.groupBy("key", "anchor", "fp").agg(F.min(F.struct("t", "id")).alias("m")).select("key", "anchor", "fp", "m.*")
+        return top_k(first, ["key", "anchor"], [F.asc("t"), F.asc("id")], limit, "_n").select("key", "anchor", "fp", "t", "id")
+
+    def note(df: DataFrame) -> DataFrame:
+        if decided is not None:
+            decided.append(df.count())
+        return df
+
+    layers = [materialize(decide(note(placed)), "accepted")]
+    redone = [materialize(placed.select("key", "anchor").distinct(), "redone")]
+    changed, delta = redone[0], layers[0]
     while True:
-        again = decide(accepted)
-        changed = again.select("id").join(accepted.select("id"), "id", "left_anti").unionByName(accepted.select("id").join(again.select("id"), "id", "left_anti"))
-        if changed.isEmpty():
-            return again.select(F.col("id").alias(event), F.col("key").alias(key), F.col("fp").alias(fingerprint))
-        accepted = again
+        again = materialize(changed.join(following, ["key", "anchor"]).select("key", F.col("anchor").alias("before"), F.col("next").alias("anchor")), "again")
+        if again.isEmpty():
+            break
+        rest = again.join(delta.select("key", F.col("anchor").alias("before"), "fp", F.col("t").alias("_at")), ["key", "before"]).select("key", "anchor", "fp", "_at")
+        mine = note(placed.join(again.select("key", "anchor"), ["key", "anchor"], "left_semi"))
+        e, r = mine.alias("e"), rest.alias("r")
+        resting = (F.col("e.key") == F.col("r.key")) & (F.col("e.anchor") == F.col("r.anchor")) & (F.col("e.fp") == F.col("r.fp")) & (F.col("r._at") > F.col("e.t") - window)
+        new = materialize(decide(e.join(r, resting, "left_anti")), "accepted")
+        old = _latest(layers, redone).join(again.select("key", "anchor"), ["key", "anchor"], "left_semi")
+        ids = lambda df: df.select("key", "anchor", "id")
+        moved = ids(new).join(ids(old), ["key", "anchor", "id"], "left_anti").union(ids(old).join(ids(new), ["key", "anchor", "id"], "left_anti"))
+        layers.append(new)
+        redone.append(again.select("key", "anchor"))
+        changed = materialize(moved.select("key", "anchor").distinct(), "changed")
+        delta = new
+    found = _latest(layers, redone)
+    return found.select(F.col("id").alias(event), F.col("key").alias(key), F.col("fp").alias(fingerprint))
+
+
+def _latest(layers: list[DataFrame], redone: list[DataFrame]) -> DataFrame:
+    """The acceptances of each window from the last pass that decided it."""
+    if len(layers) == 1:
+        return layers[0]
+    passes = redone[1].withColumn("_p", F.lit(1))
+    every = layers[0].withColumn("_p", F.lit(0))
+    for n in range(1, len(layers)):
+        every = every.unionByName(layers[n].withColumn("_p", F.lit(n)))
+        if n > 1:
+            passes = passes.unionByName(redone[n].withColumn("_p", F.lit(n)))
+    last = passes.groupBy("key", "anchor").agg(F.max("_p").alias("_last"))
+    return every.join(last, ["key", "anchor"], "left").filter(F.col("_p") == F.coalesce("_last", F.lit(0))).drop("_p", "_last")
