@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from groundwork.operators import telemetry as L
 from groundwork.plans.base import query, table
 from groundwork.session import scratch_dir
-from groundwork.streaming.ingest import stream_ingest
+from groundwork.streaming.ingest import read_events, stream_ingest
 
 HALF_DAY, DAY = 43_200, 86_400
 
@@ -116,4 +116,4 @@ def l07(spark, sf):
             events.write.parquet(f"{folder}/source/wave=2")
         stream = spark.readStream.schema(events.schema).parquet(f"{folder}/source").drop("wave")
         stream_ingest(stream, f"{folder}/events", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/events").select("event_id", "event_schema", "mode", "event_hash")
+    return read_events(spark, f"{folder}/events").select("event_id", "event_schema", "mode", "event_hash")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from groundwork.operators import governance as G, telemetry as L
 from groundwork.operators.joins import salted_lookup, with_dense_index
 from groundwork.sources import digests, readers as S
-from groundwork.streaming import stateful
+from groundwork.streaming import ingest, stateful
+from groundwork.streaming.keystore import KeyStore
 
 WINDOW, LIMIT = 60, 3
 
@@ -140,6 +141,46 @@ def test_streaming_learning_events_equal_batch(spark, tmp_path):
     assert sorted(key(r) for r in got if r["sample_id"] >= 0) == sorted(key(r) for r in want.collect())
 
 
+def test_key_store_answers_like_a_set_and_reads_few_files(spark, tmp_path):
+    store = KeyStore(spark, str(tmp_path / "keys"), buckets=4, fanout=3)
+    key = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    frame_of = lambda ids: spark.createDataFrame([(key(i),) for i in ids], "key string")
+    rng, seen, files = random.Random(1), set(), []
+    for batch in range(12):
+        ids = {rng.randrange(400) for _ in range(30)}
+        store.merge(batch)
+        got = {r["key"] for r in store.known(frame_of(ids), batch).collect()}
+        assert got == {key(i) for i in ids & seen}
+        fresh = ids - seen
+        store.add(batch, frame_of(fresh))
+        again = {r["key"] for r in store.known(frame_of(ids), batch).collect()}
+        assert again == got  # a repeated batch does not meet its own keys
+        seen |= ids
+        new = frame_of([10_000 + batch])  # one new key: its filter rows, and hardly any keys
+        asked = new.select("key", store._bucket().alias("bucket"))
+        files.append((len(store.runs()), sum(len(store.suspects(asked, r)) for r in store.runs())))
+    assert max(n for n, _ in files) <= 2 * 3 + 1 and len(store.runs()) <= 6
+    assert sum(n for _, n in files) <= 3
+    assert {r["key"] for r in store.keys(store.runs()).collect()} == {key(i) for i in seen}
+
+
+def test_ingest_is_unique_over_many_batches(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "events")
+    for wave in range(7):
+        rows = [(i, json.dumps({"mode": "general", "k": i % 5}), i) for i in range(wave * 5, wave * 5 + 12)]
+        spark.createDataFrame(rows, "event_id long, props string, ts long").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("event_id long, props string, ts long").option("maxFilesPerTrigger", 1).parquet(source)
+    ingest.stream_ingest(stream, target, str(tmp_path / "cp"), buckets=2, fanout=3)
+    stored = ingest.read_events(spark, target)
+    assert sorted(r["event_id"] for r in stored.collect()) == list(range(42))
+    assert len([p for p in (tmp_path / "events").iterdir() if p.name.startswith("batch=")]) <= 4
+    # a merge that was cut short after its rows were written is finished by the next batch
+    left = sorted(int(p.name[6:]) for p in (tmp_path / "events").iterdir() if p.name.startswith("batch="))
+    spark.read.parquet(*[f"{target}/batch={b}" for b in left]).write.parquet(f"{target}/_merged-" + "-".join(map(str, left)))
+    ingest.compact_batches(spark, target, 99, 3)
+    assert sorted(r["event_id"] for r in ingest.read_events(spark, target).collect()) == list(range(42))
+
+
 def test_salted_lookup_and_dense_index(spark):
     left = spark.range(2000).select("id", F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 5).alias("k"))
     right = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
