@@ -102,19 +102,39 @@ def s05(spark, sf):
     return known.select("doc_id", "license", "trust_tier", "clinical_gold")
 
 
+def digest_sql(table: str, columns: list[tuple[str, str]]) -> str:
+    """Rows, xor and sum of the row digests of a table with (column, type)."""
+    def text(c, t):
+        six = lambda x: f"cast(cast(cast({x} as double) as decimal(38, 6)) as varchar)"
+        value = six(c) if t == "double" else f"cast(epoch_us({c}) as varchar)" if t == "timestamp" else f"'[' || array_to_string(list_transform({c}, lambda x: {six('x')}), ',') || ']'" if t == "floats" else f"cast({c} as varchar)"
+        return f"coalesce({value}, '-')"
+
+    row = " || '|' || ".join(text(c, t) for c, t in columns)
+    return f"""select count(*) as n, cast(coalesce(bit_xor(h), 0) as varchar) as xor_hash, cast(coalesce(sum(cast(h as hugeint)), 0) as varchar) as sum_hash
+      from (select cast('0x' || substr(sha256({row}), 1, 15) as bigint) as h from {table})"""
+
+
+_WHOLE = lambda name: f"(select sha256(n || ':' || xor_hash || ':' || sum_hash) from {name})"
+
+
 @query(
     "s06_write_corpus",
-    f"""with recursive {A.VERDICTS} select (select count(*) from documents) as offered, count(*) filter (where not near) as accepted, count(*) filter (where not near) as written,
-    cast(coalesce(sum(copies - 1) filter (where not near), 0) as bigint) as exact_duplicate from verdicts""",
+    f"""with recursive {A.VERDICTS}, stored as (select d.doc_id as ord, d.source, 'text' as task, d.clean as case_text, '' as target, d.content_sha256 from verdicts v join docs d on d.doc_id = v.ord where not near),
+    din as ({digest_sql("documents", [(c, "") for c in ("doc_id", "text", "lang", "source", "n_chars")])}),
+    dout as ({digest_sql("stored", [(c, "") for c in ("ord", "source", "task", "case_text", "target", "content_sha256")])})
+    select (select count(*) from documents) as offered, count(*) filter (where not near) as accepted, count(*) filter (where not near) as written,
+    cast(coalesce(sum(copies - 1) filter (where not near), 0) as bigint) as exact_duplicate, 'documents' as source_id, {_WHOLE('din')} as input_sha256, {_WHOLE('dout')} as output_sha256 from verdicts""",
 )
 def s06(spark, sf):
     recs = clean_records(spark, sf)
     verdicts = D.dedup_verdicts(recs)
-    stats = D.ingest_stats(recs, verdicts).withColumn("offered", table(spark, sf, "documents").agg(F.count("*")).scalar())
+    docs = table(spark, sf, "documents")
+    stats = D.ingest_stats(recs, verdicts).withColumn("offered", docs.agg(F.count("*")).scalar())
     path = _folder(spark, "corpus")
-    state = O.write_corpus(D.accepted_records(recs, verdicts).select("ord", "source", "task", "case_text", "target", "content_sha256"), stats, path)
+    kept = D.accepted_records(recs, verdicts).select("ord", "source", "task", "case_text", "target", "content_sha256")
+    state = O.write_corpus(kept, stats, path, source_id="documents", inputs=docs.select("doc_id", "text", "lang", "source", "n_chars"))
     written = spark.read.text(f"{path}/records").agg(F.count("*")).scalar()
-    return state.select("offered", "accepted", written.alias("written"), "exact_duplicate")
+    return state.select("offered", "accepted", written.alias("written"), "exact_duplicate", "source_id", "input_sha256", "output_sha256")
 
 
 @query(
@@ -137,7 +157,23 @@ def s08(spark, sf):
     return O.inventory({t: table(spark, sf, t) for t in TABLES})
 
 
-@query("s08_inventory_digest")
+#: Types that the digest writes in a form of its own, by column.
+_SPECIAL = {"embedding": "floats"} | dict.fromkeys(("o_orderdate", "l_shipdate", "ts"), "timestamp")
+_SPECIAL |= dict.fromkeys(("c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"), "double")
+_COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding label", "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+
+
+@query(
+    "s08_inventory_digest",
+    " union all ".join(
+        f"select '{t}' as \"table\", '{','.join(c.split())}' as columns, n as rows, xor_hash, sum_hash, n > 0 as covered from ({digest_sql(t, [(x, _SPECIAL.get(x, '')) for x in c.split()])})" for t, c in _COLUMNS.items()
+    ),
+)
 def s08_digest(spark, sf):
     return O.inventory({t: table(spark, sf, t) for t in TABLES}, digest=True)
 
