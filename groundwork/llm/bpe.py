@@ -44,13 +44,9 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        letter, ids = byte_letters(), content["model"]["vocab"]
+        ids = content["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in content["added_tokens"]}
-        self.bytes = [b""] * (1 + max([*ids.values(), *self.added.values()]))
-        for text, i in ids.items():
-            self.bytes[i] = bytes(letter[c] for c in text)
-        for text, i in self.added.items():
-            self.bytes[i] = text.encode()
+        self.bytes = _spelled(content)
         self.rank, parts = {}, {}
         for rank, (left, right) in enumerate(content["model"]["merges"]):
             pair = (ids[left], ids[right])
@@ -109,6 +105,24 @@ class Vocabulary:
         return self.words.findall(text)
 
 
+def _spelled(content: dict) -> list[bytes]:
+    letter, ids = byte_letters(), content["model"]["vocab"]
+    added = {t["content"]: t["id"] for t in content["added_tokens"]}
+    out = [b""] * (1 + max([*ids.values(), *added.values()]))
+    for text, i in ids.items():
+        out[i] = bytes(letter[c] for c in text)
+    for text, i in added.items():
+        out[i] = text.encode()
+    return out
+
+
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> list[bytes]:
+    """What each id spells; all that decoding needs."""
+    with open(path, encoding="utf-8") as file:
+        return _spelled(json.load(file))
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     """One vocabulary per file and Python worker."""
@@ -245,7 +259,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text",
     schema = encoded.select(*[F.col(f"`{c}`") for c in kept]).schema.add(text, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary(path).bytes
+        table = token_bytes(path)
         for whole in batches:
             for batch in slices(whole, ids, slice_bytes):
                 found = []
