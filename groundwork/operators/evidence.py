@@ -150,11 +150,15 @@ def ontology_expand(queries: DataFrame, ontology: DataFrame, query: str = "query
     return hits.join(tokens, "node_id").select("query", "token").distinct()
 
 
-def snippet_rank(matches: DataFrame, texts: DataFrame, queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
-    """``matches``: query, source, page, similarity, quality. Sentences of the best
-    matches that contain query tokens; at most three distinct ones per query."""
-    usable = matches.filter((F.col("quality") != "poor") & (F.col("similarity") >= SNIPPET_MIN_SIMILARITY))
-    strong = top_k(usable, ["query"], [F.desc("similarity"), F.asc("page")], SNIPPET_MATCHES, "_m")
+def snippet_rank(
+    matches: DataFrame, texts: DataFrame, queries: DataFrame, query: str = "query_id", text: str = "text",
+    least: float = SNIPPET_MIN_SIMILARITY, n_matches: int = SNIPPET_MATCHES, n_snippets: int = SNIPPETS, chars: int | None = SNIPPET_CHARS,
+) -> DataFrame:
+    """``matches``: query, source, page, similarity, quality. Sentences of the ``n_matches``
+    best matches that contain query tokens: the ``n_snippets`` best distinct ones per query,
+    joined and cut to ``chars`` characters (None: whole)."""
+    usable = matches.filter((F.col("quality") != "poor") & (F.col("similarity") >= least))
+    strong = top_k(usable, ["query"], [F.desc("similarity"), F.asc("page")], n_matches, "_m")
     asked = queries.select(F.col(query).alias("query"), X.token_array(F.col(text)).alias("tokens"))
     pieces = (
         texts.join(strong.select("query", "source", "page", "similarity"), ["source", "page"])
@@ -165,9 +169,10 @@ def snippet_rank(matches: DataFrame, texts: DataFrame, queries: DataFrame, query
     scored = pieces.join(asked, "query").withColumn("score", F.size(F.filter("tokens", lambda t: F.contains(hay, t)))).filter("score > 0")
     order = [F.desc("score"), F.desc("similarity"), F.asc("page"), F.asc("pos")]
     distinct = top_k(scored, ["query", "folded"], order, 1, "_d")
-    best = top_k(distinct, ["query"], order, SNIPPETS)
+    best = top_k(distinct, ["query"], order, n_snippets)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sentence"))), lambda s: s["sentence"]), " ")
-    return best.groupBy("query").agg(F.substring(joined, 1, SNIPPET_CHARS).alias("wording"), F.count("*").alias("n_snippets"))
+    wording = joined if chars is None else F.substring(joined, 1, chars)
+    return best.groupBy("query").agg(wording.alias("wording"), F.count("*").alias("n_snippets"))
 
 
 def topic_hits(entries: DataFrame, labels: DataFrame, k: int = 10, query: str = "query_id", text: str = "text") -> DataFrame:

@@ -100,21 +100,22 @@ _TEMPER = [
 ]
 
 
-def _capped(confidence: str, factor: str, caps) -> str:
-    value = f"round(least(1.0, greatest(0.0, coalesce({confidence}, 0.0))) * {factor}, 3)"
-    for condition, cap in caps:
-        value = f"case when coalesce({condition}, false) then least({value}, {cap}) else {value} end"
-    return Q.num(value)
-
-
-_FACTOR = lambda g: f"(case {g} when 'good' then 1.0 when 'fair' then 0.72 else 0.35 end)"
+# The SQL of q03, q05, q06 and q08 is written out by hand with its own numbers, so that a
+# changed threshold of the operators shows. ``_d`` makes decimal literals doubles.
+_d = Q.num
+_unit = lambda x: f"greatest(0.0, least(1.0, {x}))"
 
 
 @query(
     "q03_temper_confidence",
-    f"""with {FEAT}, t as (select * from {_chain('feat', _TEMPER)}) select vec_id, {_capped('top_confidence', _FACTOR('top_grade'), Q.TOP_CAPS)} as top,
-    case when general then {_capped('bottom_confidence', _FACTOR('bottom_grade'), Q.BOTTOM_CAPS)} end as bottom,
-    {_capped('combined_confidence', f"(case when general then least({_FACTOR('top_grade')}, {_FACTOR('bottom_grade')}) else {_FACTOR('top_grade')} end)", Q.COMBINED_CAPS)} as combined from t""",
+    _d(f"""with {FEAT}, t as (select vec_id, quality as tg, case when left_events > 4 then 'poor' when left_events > 2 then 'fair' else 'good' end as bg, right_events > 2 as both_sides,
+      body_luma as tc, edge as bc, area_fill as cc, case when roi_height > 0.9 then true else roi_height > 0.2 end as top_seen, root > 0.3 as root_seen, mean_width > 0.2 as under_seen,
+      case when mid > 0.9 then true else mid > 0.3 end as vessels_seen from feat),
+    g as (select *, case tg when 'good' then 1.0 when 'fair' then 0.72 else 0.35 end as tf, case bg when 'good' then 1.0 when 'fair' then 0.72 else 0.35 end as bf from t)
+    select vec_id, least(round({_unit('tc')} * tf, 3), case when top_seen then 1.0 else 0.2 end, case tg when 'poor' then 0.25 when 'fair' then 0.62 else 1.0 end, case when both_sides and not root_seen then 0.72 else 1.0 end) as top,
+      case when both_sides then least(round({_unit('bc')} * bf, 3), case when under_seen then 1.0 else 0.2 end, case when vessels_seen then 1.0 else 0.35 end, case bg when 'poor' then 0.25 when 'fair' then 0.62 else 1.0 end) end as bottom,
+      least(round({_unit('cc')} * case when both_sides then least(tf, bf) else tf end, 3), case when top_seen then 1.0 else 0.2 end, case when both_sides and not (under_seen and vessels_seen) then 0.4 else 1.0 end,
+        case when both_sides and not root_seen then 0.65 else 1.0 end) as combined from g"""),
 )
 def q03(spark, sf):
     return Q.temper_confidence(Q.derive(features(spark, sf), _TEMPER)).select("vec_id", "top", "bottom", "combined")
@@ -204,28 +205,42 @@ def q04_distribution(spark, sf):
     return Q.label_distribution(Q.calibrated_labels(features(spark, sf)), list(Q.CALIBRATED_RULES))
 
 
-def _moisture_sql() -> str:
-    source = _chain("feat", Q.MOISTURE_INPUTS)
-    triples = []
-    for region, reliability in Q.MOISTURE_REGIONS.items():
-        source = _chain(source, Q.region_definitions(region, reliability))
-        triples.append(_triple(f"m_{region}", *Q.moisture_rules(region)))
-    return f"select vec_id, {', '.join(triples)} from {source}"
+def _moisture_region(name: str, trust: str) -> str:
+    """Label, confidence and reason of one region, from its gloss and roughness."""
+    gloss, strict, spread, rough, pixels = (f"{name}_{x}" for x in ("gloss", "strict", "distributed", "rough", "pixels"))
+    shine = _unit(f"{_unit(f'{gloss} / 0.018')} * 0.50 + {_unit(f'{strict} / 0.006')} * 0.25 + {_unit(f'{spread} / 0.65')} * 0.25")
+    grain = _unit(f"({rough} - 0.030) / 0.040")
+    return f"""select vec_id, case when quality = 'poor' then null when why in ('insufficient-region-pixels', 'flash-or-specular-confounded', 'qc-insufficient', 'evidence-below-gate') then 'Không xác định'
+        when why = 'distributed-specular-signal' then 'nhuận/ướt' when why = 'low-gloss-plus-roughness-signal' then 'khô' else 'khô ướt vừa phải' end as m_{name}_label,
+      case when quality <> 'poor' and why like '%-signal' then round(least(0.82, trust * (0.55 + 0.45 * case why when 'distributed-specular-signal' then wet when 'low-gloss-plus-roughness-signal' then dry when 'intermediate-gloss-low-roughness-signal' then even end)), 3) end as m_{name}_confidence_,
+      case when quality <> 'poor' then why end as m_{name}_reason
+    from (select *, case when pixels < 80 then 'insufficient-region-pixels' when flash >= 0.62 then 'flash-or-specular-confounded' when trust < 0.48 then 'qc-insufficient' when wet >= 0.62 then 'distributed-specular-signal'
+        when dry >= 0.64 then 'low-gloss-plus-roughness-signal' when even >= 0.62 and wet < 0.58 and dry < 0.58 then 'intermediate-gloss-low-roughness-signal' else 'evidence-below-gate' end as why
+      from (select vec_id, quality, flash, {trust} as trust, {pixels} as pixels, {shine} * (1.0 - flash * 0.72) as wet,
+          case when {gloss} <= 0.010 and {grain} >= 0.30 then {_unit(f"(1.0 - {shine}) * 0.45 + {grain} * 0.55")} else 0.0 end * (1.0 - flash * 0.35) as dry,
+          case when {gloss} > 0.004 and {gloss} < 0.020 and {rough} < 0.060 then {_unit(f"0.55 + (0.060 - {rough}) * 3.0")} else 0.0 end as even from frame))"""
 
 
-@query("q05_evidence_state", f"with {FEAT} {_moisture_sql()}")
-def q05(spark, sf):
-    return _flat(Q.evidence_state(features(spark, sf)), [f"m_{r}" for r in Q.MOISTURE_REGIONS])
+_REGIONS = {"surface": "sure", "body": "sure", "coating": "sure * 0.92"}
+_MOISTURE_SQL = _d(f"""with {FEAT}, lit as (select *, {_unit(f"{_unit('overexposed / 0.045')} * 0.45 + {_unit('(gloss_largest - 0.62) / 0.38')} * 0.35 + {_unit('(surface_gloss - 0.060) / 0.080')} * 0.20")} as flash from feat),
+    frame as materialized (select *, {_unit(f"case quality when 'good' then 0.92 else 0.68 end * (0.55 + 0.25 * {_unit('coverage / 0.18')} + 0.20 * {_unit('surface_pixels / 900.0')}) * (1.0 - flash * 0.62)")} as sure from lit),
+    {', '.join(f'{n}_ as ({_moisture_region(n, t)})' for n, t in _REGIONS.items())}
+    select vec_id, {', '.join(f'm_{n}_label, m_{n}_confidence_ as m_{n}_confidence, m_{n}_reason' for n in _REGIONS)} from surface_ join body_ using (vec_id) join coating_ using (vec_id)""")
 
 
-_GATE = {k: Q.num(f"(({Q.ACTIVE}) and ({v}))") for k, v in Q.GATES.items()}
+@query("q05_evidence_state", _MOISTURE_SQL)
+def q05(spark, sf):
+    return _flat(Q.evidence_state(features(spark, sf)), [f"m_{r}" for r in Q.MOISTURE_REGIONS])
 
 
 @query(
     "q06_visibility_gates",
-    f"""with {FEAT} select vec_id, case when {_GATE['sulcus']} then 'visible-signal' else 'unknown' end as sulcus_status, case when {_GATE['sulcus']} then round(least(78e-2, sulcus_score), 3) end as sulcus_confidence,
-    coalesce({_GATE['bilateral']}, false) as bilateral_visible, case when {_GATE['distribution']} then distribution_candidate else '{Q.UNKNOWN}' end as coating_distribution,
-    case when {_GATE['thickness']} then thickness_candidate else '' end as coating_thickness_gate from feat""",
+    _d(f"""with {FEAT}, g as (select *, quality <> 'poor' and sulcus_signal and sulcus_score >= 0.62 and sulcus_continuity >= 0.22 and sulcus_centrality >= 0.35 as furrow,
+      greatest(coat, dark) as cover from feat)
+    select vec_id, case when furrow then 'visible-signal' else 'unknown' end as sulcus_status, case when furrow then round(least(0.78, sulcus_score), 3) end as sulcus_confidence,
+      quality <> 'poor' and bilateral_signal and left_line >= 0.05 and right_line >= 0.05 and line_balance >= 0.30 and left_run >= 0.60 and right_run >= 0.60 as bilateral_visible,
+      case when quality <> 'poor' and cover >= 0.09 and distribution_candidate <> 'không rõ' then distribution_candidate else 'Không xác định' end as coating_distribution,
+      case when quality <> 'poor' and cover >= 0.07 and thickness_candidate <> 'Không xác định' then thickness_candidate else '' end as coating_thickness_gate from g"""),
 )
 def q06(spark, sf):
     out = Q.visibility_gates(features(spark, sf))
@@ -241,11 +256,23 @@ def q07(spark, sf):
     return _flat(Q.feature_labels(features(spark, sf)), list(Q.FEATURE_RULES), "whole_visible", "root_visible")
 
 
+_up = lambda c, a, b: f"case when {c} <= {a} then 0.0 else {_unit(f'({c} - {a}) / ({b} - {a})')} end"
+_down = lambda c, a, b: f"case when {c} <= 0.0 or {c} >= {a} then 0.0 else {_unit(f'({a} - {c}) / ({a} - {b})')} end"
+
+
 @query(
     "q08_dual_score_class",
-    f"""with {FEAT}, s as (select *, {_triple('shape_class', Q.SHAPE_RULES, Q.SHAPE_DEFAULT)} from {_chain('feat', Q.SHAPE_INPUTS)}), r as (select *, coalesce(shape_class_label, 'unknown') as ref from s)
-    select vec_id, round(broad_score, 3) as broad_score, round(narrow_score, 3) as narrow_score, {_triples(['shape_class'])}, case when current_shape = 'unknown' or ref = 'unknown' then 'insufficient'
-      when current_shape = ref then 'aligned' when current_shape = 'typical' or ref = 'typical' then 'partial' else 'conflict' end as shape_agreement from r""",
+    _d(f"""with {FEAT}, s as (select *,
+      round(({_up('aspect', 0.64, 0.78)} + {_up('mid', 0.72, 0.84)} + {_up('area_fill', 0.48, 0.62)} + {_up('root', 0.58, 0.76)} + {_up('mean_width', 0.54, 0.72)}) / 5.0, 3) as broad,
+      round(({_down('aspect', 0.64, 0.5)} + {_down('mid', 0.74, 0.6)} + {_down('area_fill', 0.5, 0.38)} + {_down('root', 0.64, 0.48)} + {_down('mean_width', 0.58, 0.44)}) / 5.0, 3) as slim,
+      edge < 0.60 or roi_height < case when anchored then 0.08 else 0.28 end or roi_width < case when anchored then 0.12 else 0.18 end or top_margin <= 0.012 or bottom_margin <= 0.012
+        or center_deviation > 0.14 or smoothness > 0.22 as shaky from feat),
+    w as (select *, case when quality = 'poor' then null when shaky then 'geometry-unstable' when broad >= 0.58 and broad >= slim + 0.18 then 'broad-margin' when slim >= 0.58 and slim >= broad + 0.18 then 'narrow-margin' else 'no-margin' end as why from s),
+    l as (select *, case why when 'geometry-unstable' then 'unknown' when 'broad-margin' then 'broad' when 'narrow-margin' then 'narrow' when 'no-margin' then 'typical' end as label from w)
+    select vec_id, broad as broad_score, slim as narrow_score, label as shape_class_label, why as shape_class_reason,
+      round(case why when 'broad-margin' then case quality when 'good' then 0.88 else 0.68 end * (0.70 + 0.30 * broad) when 'narrow-margin' then case quality when 'good' then 0.88 else 0.68 end * (0.70 + 0.30 * slim)
+        when 'no-margin' then case quality when 'good' then 0.82 else 0.64 end * (1.0 - least(0.35, abs(broad - slim))) end, 3) as shape_class_confidence,
+      case when current_shape = 'unknown' or coalesce(label, 'unknown') = 'unknown' then 'insufficient' when current_shape = label then 'aligned' when 'typical' in (current_shape, label) then 'partial' else 'conflict' end as shape_agreement from l"""),
 )
 def q08(spark, sf):
     out = Q.dual_score_class(features(spark, sf))
