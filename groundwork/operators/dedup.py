@@ -105,34 +105,6 @@ def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges
 
 
-def _dense_rounds(dense: DataFrame, edges: DataFrame, group_limit: int, max_distance: int, min_ratio: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Thins groups that stay crowded at the finest key, whose values differ in a few digits
-    only: every round compares their rows with the earliest row of the group (a map-side
-    minimum). A leader that no edge and no other group blocks is accepted, and what is near
-    it is rejected. A leader clears a ball of the few values a group can hold, so the number
-    of rounds does not grow with the rows. Returns (dense rest, edges rest, rejected)."""
-    rejected = dense.select("ord").limit(0)
-    while True:
-        sizes = dense.groupBy("_gid").agg(F.count("*").alias("n"), F.min(F.struct("ord", "canon_len", "_words", "up")).alias("lead"))
-        sizes = materialize(sizes, "groups")
-        if (sizes.agg(F.max("n")).first()[0] or 0) <= group_limit:
-            return dense, edges, rejected
-        seen = salted_lookup(dense.select("_gid", "ord", "canon_len", "_words", "up"), sizes.select("_gid", "lead"), "_gid", "ord").filter(F.col("ord") != F.col("lead.ord"))
-        ratio = F.least("canon_len", "lead.canon_len") / F.greatest("canon_len", "lead.canon_len")
-        near = (M.bits_apart(F.col("_words"), F.col("lead._words")) <= max_distance) & (ratio >= min_ratio)
-        seen = materialize(seen.select("ord", F.col("lead.ord").alias("lead"), near.alias("near")), "leads")
-        blocked = seen.select("ord").union(edges.select("dst")).distinct()
-        first = sizes.select(F.col("lead.ord").alias("ord")).union(edges.select("src")).distinct()
-        free = first.join(blocked, "ord", "left_anti")  # the earliest open class is always one
-        free = materialize(free, "won")
-        hit = seen.filter("near").join(free.select(F.col("ord").alias("lead")), "lead", "left_semi").select("ord")
-        hit = materialize(hit.union(_accept(edges, free)).distinct(), "lost")
-        rejected = rejected.union(hit)
-        gone = free.union(hit)
-        dense = materialize(dense.join(gone, "ord", "left_anti"), "dense")
-        edges = materialize(_without(edges, gone), "edges")
-
-
 def near_dup_greedy(nodes: DataFrame, group_limit: int = M.GROUP_LIMIT, max_distance: int = 3, min_ratio: float = 0.90) -> DataFrame:
     """Verdict of a sequential scan: a record is near-duplicate iff an earlier accepted
     record is within the distance and length ratio. Input ``ord, canon_len, simhash``
@@ -140,19 +112,12 @@ def near_dup_greedy(nodes: DataFrame, group_limit: int = M.GROUP_LIMIT, max_dist
 
     The scan equals the lexicographically first maximal independent set: accept what
     has no earlier open neighbour, reject its neighbours, repeat. Each round is a
-    few joins on the remaining edges, cut from lineage by a written table. Only groups
-    that no key refines (true clusters) are thinned before their pairs form."""
+    few joins on the remaining edges, cut from lineage by a written table. No group is
+    compared whole but those that no key refines (true clusters), and these in tiles."""
     nodes = materialize(nodes.select("ord", "canon_len", "simhash"), "nodes")
     classes = materialize(similarity_classes(nodes), "classes")
-    leaves = _leaves(classes, max_distance, group_limit)
-    found = M.Leaves(leaves.small, leaves.dense.limit(0))
-    edges = materialize(near_pairs(classes, max_distance, min_ratio, group_limit, found).select("src", "dst"), "edges")
+    edges = materialize(near_pairs(classes, max_distance, min_ratio, group_limit).select("src", "dst"), "edges")
     lost = []
-    if not leaves.dense.isEmpty():
-        dense, edges, rejected = _dense_rounds(materialize(leaves.dense, "dense"), edges, group_limit, max_distance, min_ratio)
-        rest = near_pairs(classes, max_distance, min_ratio, group_limit, M.Leaves(dense, dense.limit(0)))
-        edges = materialize(edges.union(rest.select("src", "dst")), "edges")
-        lost.append(rejected)
     while not edges.isEmpty():
         blocked = edges.select(F.col("dst").alias("ord")).distinct()
         free = materialize(edges.select(F.col("src").alias("ord")).distinct().join(blocked, "ord", "left_anti"), "won")
