@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from groundwork.llm.common import ascii_lower
+from groundwork.llm.common import ascii_lower, materialize
 
 _PAD = "\x01"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Contexts of 0 to ``order`` characters; n-gram counts in ``buckets`` hashed counters
-    per class; ``prior`` is the weight of the shorter context; one in ``folds`` of the
-    labelled URLs calibrates the threshold, in steps of ``step``."""
+    """Contexts of 0 to ``order`` characters; ``prior`` is the weight of the shorter
+    context; one in ``folds`` of the distinct labelled URLs calibrates the threshold, in
+    steps of ``step``. Log ratios are summed in units of 1/``unit``, so that a score does
+    not depend on the order of its terms."""
 
     order: int = 3
-    buckets: int = 1 << 16
     prior: float = 2.0
     folds: int = 5
     step: float = 0.01
+    unit: int = 1 << 32
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -42,80 +42,82 @@ def longest_rule(rules: list[tuple[str, str]], host: str = "host", path: str = "
     return rule, verdict
 
 
-def _with_grams(df: DataFrame, url: str, s: Settings) -> DataFrame:
-    """Adds ``_g1`` to ``_g{order+1}``: per character the bucket of the n-gram that ends there,
-    and of the ones that end before the first character."""
-    text = F.concat(F.lit(_PAD * (s.order + 1)), ascii_lower(F.coalesce(F.col(url), F.lit(""))))
-    out = df.withColumn("_text", text)
-    ends = F.sequence(F.lit(s.order + 1), F.char_length("_text"))
-    for k in range(1, s.order + 2):
-        out = out.withColumn(f"_g{k}", F.transform(ends, _bucket_at(k, s)))
-    return out
+def _key(url: Column) -> dict[str, Column]:
+    return {"h1": F.xxhash64(url), "h2": F.xxhash64(F.lit(1), url)}
+
+
+def distinct_urls(labelled: DataFrame) -> DataFrame:
+    """``h1, h2, url, n_allow, n_block``: each non-empty URL once, with its rows per verdict."""
+    count = lambda v: F.count(F.when(F.col("verdict") == v, 1))
+    known = labelled.filter("url <> ''").select("url", "verdict")
+    return known.groupBy("url").agg(count("allow").alias("n_allow"), count("block").alias("n_block")).withColumns(_key(F.col("url")))
+
 
+def _held_out(s: Settings) -> Column:
+    return F.pmod("h1", F.lit(s.folds)) == 0
 
-def _bucket_at(k: int, s: Settings):
-    return lambda i: F.pmod(F.xxhash64(F.lit(k), F.substr(F.col("_text"), i - (k - 1), F.lit(k))), F.lit(s.buckets)).cast("int")
 
+def _with_gram(urls: DataFrame, s: Settings, *keep: str) -> DataFrame:
+    """One row per character: the columns ``keep`` and ``gram``, the ``order`` characters
+    before it with itself. It holds the shorter n-grams as its ends."""
+    text = F.concat(F.lit(_PAD * s.order), ascii_lower(F.col("url")))
+    at = lambda i: F.concat(*[F.get(F.col("_chars"), i + k) for k in range(s.order + 1)])
+    chars = urls.select(*keep, F.split(text, "").alias("_chars"))
+    return chars.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.size("_chars") - s.order - 1), at)).alias("gram"))
 
-def _looked_up(counts: Column):
-    return lambda g: F.get(counts, g)
 
+def gram_weights(urls: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``gram, weight``: for every n-gram of full length in ``distinct_urls`` the log ratio of
+    its last character's probabilities after accepted and after rejected contexts.
 
-def _probability(i: Column, table: str, total: float, s: Settings) -> Column:
-    """Smoothed probability of character i (1-based) under the counts of one class: each
-    longer context is mixed with the estimate from the shorter one."""
-    p = F.lit(1.0 / 256)
+    The probabilities come from exact counts per class over all labelled URLs that are not
+    held out. From the shortest context on, p = (count + prior * p of the shorter context)
+    / (count of the context + prior), starting from 1/256. All tables are aggregates whose
+    sizes follow the number of distinct n-grams; a window holds the next characters of
+    one context only.
+    """
+    seen = lambda n: F.when(_held_out(s), 0).otherwise(F.col(n)).alias(n)
+    taught = _with_gram(urls.select("url", seen("n_allow"), seen("n_block")), s, "n_allow", "n_block")
+    sums = [F.sum("n_allow").alias("n_allow"), F.sum("n_block").alias("n_block")]
+    full = materialize(taught.groupBy("gram").agg(*sums), "url-grams")
+    below = None
     for k in range(1, s.order + 2):
-        seen = F.get(F.col(f"{table}{k}"), i)
-        context = F.lit(total) if k == 1 else F.get(F.col(f"{table}{k - 1}"), i - 1)
-        p = (seen + s.prior * p) / (F.greatest(context, seen) + s.prior)
-    return p
-
-
-def score_urls(df: DataFrame, url: str, model: tuple[list[float], list[float], float, float], s: Settings = Settings()) -> DataFrame:
-    """Adds ``score``: the log-likelihood ratio of accepted to rejected per character; null
-    for a null or empty URL. The model is a pair of constant arrays of fixed size."""
-    columns = df.columns
-    accepted, rejected, n_a, n_r = model
-    tables = {"_a": F.from_json(F.lit(json.dumps(accepted)), "array<double>"), "_r": F.from_json(F.lit(json.dumps(rejected)), "array<double>")}
-    out = _with_grams(df, url, s)
-    for name, counts in tables.items():
-        for k in range(1, s.order + 2):
-            out = out.withColumn(f"{name}{k}", F.transform(f"_g{k}", _looked_up(counts)))
-    n = F.size("_g1") - 1
-    ratio = lambda total, i: total + F.ln(_probability(i, "_a", n_a, s)) - F.ln(_probability(i, "_r", n_r, s))
-    score = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), ratio) / n)
-    return out.withColumn("score", score).select(*[F.col(f"`{c}`") for c in columns], "score")
-
-
-def fit(labelled: DataFrame, s: Settings = Settings()) -> tuple[tuple[list[float], list[float], float, float], float]:
-    """Model and threshold from ``url, verdict`` (allow or block) of all labelled rows.
-
-    Counts are combined before they are shuffled and fill at most ``buckets`` rows per
-    class. The threshold is the one with the best mean of both classes' accuracy on the
-    calibration fold, the nearest to 0 of equals; without both classes it is 0.
+        context = W.partitionBy(F.left("gram", F.lit(k - 1)))
+        level = full.groupBy(F.right("gram", F.lit(k)).alias("gram")).agg(*sums)
+        for n in ("allow", "block"):
+            level = level.withColumn(f"all_{n}", F.sum(f"n_{n}").over(context))
+        if below is not None:
+            level = level.withColumn("end", F.right("gram", F.lit(k - 1))).join(below, "end")
+        p = {n: (F.col(f"n_{n}") + s.prior * (F.lit(1.0 / 256) if below is None else F.col(f"p_{n}"))) / (F.col(f"all_{n}") + s.prior) for n in ("allow", "block")}
+        level = level.select("gram", *[c.alias(f"p_{n}") for n, c in p.items()])
+        below = level.withColumnRenamed("gram", "end")
+    ratio = F.ln("p_allow") - F.ln("p_block")
+    return materialize(level.select("gram", F.round(ratio * s.unit).cast("bigint").alias("weight")), "url-weights")
+
+
+def url_scores(urls: DataFrame, weights: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``h1, h2, score``: mean log ratio of accepted to rejected over a URL's characters.
+
+    Characters meet their weights by an equality join; a frequent n-gram such as a
+    scheme's is split by the skew join, or the weights are broadcast while they are small.
     """
-    known = labelled.filter(F.col("verdict").isNotNull() & F.col("url").isNotNull()).select("url", "verdict")
-    fold = F.pmod(F.xxhash64("url"), F.lit(s.folds))
-    grams = _with_grams(known.filter(fold != 0), "url", s)
-    inner = F.concat(*[F.slice(f"_g{k}", 2, F.size(f"_g{k}")) for k in range(1, s.order + 2)])
-    counts = grams.select("verdict", F.explode(inner).alias("g")).groupBy("verdict", "g").agg(F.count("*").alias("n"))
-    tables = {"allow": [0.0] * s.buckets, "block": [0.0] * s.buckets}
-    for r in counts.collect():
-        tables[r["verdict"]][r["g"]] = float(r["n"])
-    totals = {k: sum(v) / (s.order + 1) for k, v in tables.items()}
-    model = (tables["allow"], tables["block"], totals["allow"], totals["block"])
-    scored = score_urls(known.filter(fold == 0), "url", model, s)
+    met = _with_gram(urls, s, "h1", "h2").join(weights, "gram")
+    return met.groupBy("h1", "h2").agg((F.sum("weight") / F.lit(float(s.unit)) / F.count("*")).alias("score"))
+
+
+def calibrated(urls: DataFrame, scores: DataFrame, s: Settings = Settings()) -> float:
+    """The threshold with the best mean of both classes' accuracy on the held-out URLs, the
+    nearest to 0 of equals; without both classes it is 0. Scores are counted in at most
+    4,001 steps."""
     step = F.greatest(F.least(F.floor(F.col("score") / s.step), F.lit(2000)), F.lit(-2000)).cast("int")
-    # no filter on the score: the optimizer would write it out once per reference below it
-    counted = scored.select("verdict", F.when(F.col("score").isNotNull(), step).alias("bin")).groupBy("verdict", "bin").agg(F.count("*").alias("n"))
-    bins = [r for r in counted.collect() if r["bin"] is not None]
-    n = {v: sum(r["n"] for r in bins if r["verdict"] == v) for v in tables}
+    held = urls.filter(_held_out(s) & (F.col("n_allow") + F.col("n_block") > 0)).join(scores, ["h1", "h2"])
+    bins = held.groupBy(step.alias("bin")).agg(F.sum("n_allow").alias("allow"), F.sum("n_block").alias("block")).collect()
+    n = {v: sum(r[v] for r in bins) for v in ("allow", "block")}
     if not all(n.values()):
-        return model, 0.0
-    passed = lambda v, t: sum(r["n"] for r in bins if r["verdict"] == v and r["bin"] >= t) / n[v]
+        return 0.0
+    passed = lambda v, t: sum(r[v] for r in bins if r["bin"] >= t) / n[v]
     best = max(sorted({0, *(r["bin"] for r in bins)}), key=lambda t: (passed("allow", t) - passed("block", t), -abs(t)))
-    return model, best * s.step
+    return best * s.step
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], s: Settings = Settings()) -> DataFrame:
@@ -129,7 +131,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], s: Settings = Set
     parsed = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(rules)
     ruled = parsed.withColumns({"rule": rule, "verdict": verdict})
-    model, threshold = fit(ruled, s)
-    scored = score_urls(ruled, "url", model, s)
-    own = F.when(F.col("score") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
+    urls = materialize(distinct_urls(ruled), "urls")
+    scores = materialize(url_scores(urls, gram_weights(urls, s), s), "url-scores")
+    own = F.when(F.col("score") >= calibrated(urls, scores, s), F.lit("allow")).otherwise(F.lit("block"))
+    scored = ruled.withColumns(_key(F.col("url"))).join(scores, ["h1", "h2"], "left")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score")

@@ -161,31 +161,67 @@ def test_hosts_paths_and_rules(spark):
     assert urls.judge_urls(pages.limit(0), RULES).count() == 0
 
 
-def test_scores_against_brute_force(spark):
-    s = urls.Settings(order=2, buckets=1 << 17, folds=1000)
-    rows = [(f"http://good{k}.org/abc", "allow") for k in range(30)] + [(f"http://bad{k}.net/xyz", "block") for k in range(20)]
-    model, _ = urls.fit(spark.createDataFrame(rows, "url string, verdict string"), s)
-    fold = {r["url"] for r in spark.createDataFrame(rows, "url string, verdict string").filter(F.pmod(F.xxhash64("url"), F.lit(1000)) == 0).collect()}
-    counts = {"allow": [Counter() for _ in range(4)], "block": [Counter() for _ in range(4)]}
+def brute_force_scores(rows, held, s):
+    """Scores of (url, allow or block or None) rows from exact counts; ``held`` teaches nothing."""
+    lowered = lambda u: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in u)
+    sides = {v: Counter() for v in ("allow", "block")}
+    contexts = {v: Counter() for v in ("allow", "block")}
     for url, verdict in rows:
-        if url not in fold:
-            text = "\x01" * 3 + url
-            for i in range(3, len(text)):
-                for k in (1, 2, 3):
-                    counts[verdict][k][text[i - k + 1 : i + 1]] += 1
+        if url and verdict and url not in held:
+            text = "\x01" * s.order + lowered(url)
+            for i in range(s.order, len(text)):
+                for k in range(s.order + 1):
+                    sides[verdict][text[i - k : i + 1]] += 1
+                    contexts[verdict][text[i - k : i], k] += 1
 
     def p(verdict, text, i):
-        out, c = 1 / 256, counts[verdict]
-        for k in (1, 2, 3):
-            seen = c[k][text[i - k + 1 : i + 1]]
-            context = sum(c[1].values()) if k == 1 else c[k - 1][text[i - k + 1 : i]]
-            out = (seen + 2.0 * out) / (max(context, seen) + 2.0)
+        out = 1 / 256
+        for k in range(s.order + 1):
+            out = (sides[verdict][text[i - k : i + 1]] + s.prior * out) / (contexts[verdict][text[i - k : i], k] + s.prior)
         return out
 
-    test = ["http://good5.org/abd", "https://q.net/xy", "é"]
-    got = {r["url"]: r["score"] for r in urls.score_urls(spark.createDataFrame([(u,) for u in test], "url string"), "url", model, s).collect()}
-    for url in test:
-        text = "\x01" * 3 + url
-        expected = sum(math.log(p("allow", text, i)) - math.log(p("block", text, i)) for i in range(3, len(text))) / len(url)
-        assert math.isclose(got[url], expected, rel_tol=1e-3)  # hashed counters
-    assert got[test[0]] > got[test[1]]
+    scores = {}
+    for url in {u for u, _ in rows if u}:
+        text = "\x01" * s.order + lowered(url)
+        scores[url] = sum(math.log(p("allow", text, i)) - math.log(p("block", text, i)) for i in range(s.order, len(text))) / len(url)
+    return scores
+
+
+def best_threshold(rows, scores, held, s):
+    known = [(min(2000, max(-2000, math.floor(scores[u] / s.step))), v) for u, v in rows if u in held and v]
+    n = Counter(v for _, v in known)
+    if len(n) < 2:
+        return 0.0
+    gain = lambda t: sum((1 if v == "allow" else -1) / n[v] for b, v in known if b >= t)
+    return max(sorted({0, *(b for b, _ in known)}), key=lambda t: (round(gain(t), 12), -abs(t))) * s.step
+
+
+def test_scores_and_verdicts_against_brute_force(spark):
+    rng, s = random.Random(5), urls.Settings()
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 9)))
+    made = [f"https://{word('abcde')}.com/{word('abcxyz')}" for _ in range(150)] + [f"http://{word('defg')}.net/fr/{word('klmé')}" for _ in range(120)]
+    made += [f"http://{word('abcdefg')}.org/{word('abklm')}" for _ in range(60)] + ["HTTP://Q.org/😀" + "é" * 40, "x" * 5_000, "", None] + [made[0]] * 50 + [made[160]] * 30
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    folds = {r["url"] for r in pages.filter(F.pmod(F.xxhash64("url"), F.lit(s.folds)) == 0).collect()}
+    rows = [(u, ruled(*parsed(u))[1]) for u in made]
+    assert {v for u, v in rows if u in folds} == {"allow", "block", None}
+    scores = brute_force_scores(rows, folds, s)
+    threshold = best_threshold(rows, scores, folds, s)
+    got = urls.judge_urls(pages, RULES).collect()
+    assert len(got) == len(made)
+    for r in got:
+        url, verdict = rows[r["page_id"]]
+        assert r["score"] is None if not url else math.isclose(r["score"], scores[url], rel_tol=1e-7, abs_tol=1e-8), url
+        assert r["verdict"] == (verdict or ("allow" if url and scores[url] >= threshold else "block")), url
+
+
+def test_verdicts_of_the_table_against_brute_force(spark):
+    s, pages = urls.Settings(), spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [(r["url"], ruled(*parsed(r["url"]))[1]) for r in pages.collect()]
+    folds = {r["url"] for r in pages.filter(F.pmod(F.xxhash64("url"), F.lit(s.folds)) == 0).collect()}
+    scores = brute_force_scores(rows, folds, s)
+    for r in queries.QUERIES["op5_url_filter"](spark, SF).select("score", "rule", "host", "path", "verdict").collect():
+        assert any(math.isclose(r["score"], x, rel_tol=1e-7, abs_tol=1e-8) for x in scores.values())
+    threshold = best_threshold(rows, scores, folds, s)
+    expected = Counter(v or ("allow" if u and scores[u] >= threshold else "block") for u, v in rows)
+    assert Counter(r["verdict"] for r in queries.QUERIES["op5_url_filter"](spark, SF).collect()) == expected
