@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,20 +27,31 @@ SENSITIVE = {
     "private": 2, "api": 1, "key": 2, "auth": 2, "access": 1, "bearer": 3, "signing": 2, "encryption": 2, "client": 1, "session": 1, "webhook": 1, "dsn": 2,
 }
 #: Parts that make a name harmless, and values that are placeholders.
-HARMLESS = {"count", "counts", "max", "min", "length", "len", "limit", "url", "file", "path", "name", "type", "id", "field", "label", "public", "expires", "timeout", "ttl", "size"}
+HARMLESS = {"error", "message", "prompt", "hint", "help", "description", "title", "placeholder", "count", "counts", "max", "min", "length", "len", "limit", "url", "file", "path", "name", "type", "id", "field", "label", "public", "expires", "timeout", "ttl", "size"}
 PLACEHOLDERS = {"changeme", "example", "password", "secret", "token", "none", "null", "true", "false", "todo", "redacted", "placeholder", "undefined", "your_password", "your_api_key", "your_token"}
 
+#: Names whose value belongs to what stands around them, and names whose value is a name.
+CARRIERS = {"value", "default", "data", "content", "val", "raw", "current", "text"}
+LABELS = {"key", "name", "id", "field", "setting", "property"}
+_JOINERS = {"or", "and", "if", "else"}
+_EXPORTS = {"export", "set", "env", "ENV", "declare"}
+_CLOSERS = {")": "(", "]": "[", "}": "{"}
+
 _LEXER = re.compile(
     r"""(?P<triple>\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?''')
       | (?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
       | (?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)
       | (?P<number>[0-9][A-Za-z0-9_.+/=-]*)
-      | (?P<op>:=|=>|==|!=|<=|>=|->|[=:+,;{}()\[\]&])
+      | (?P<op>:=|=>|==|!=|<=|>=|->|\|\||\?\?|[=:+,;{}()\[\]&])
       | (?P<line>\n)""",
     re.VERBOSE | re.DOTALL,
 )
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@%^*-]+")
 _NOT_IN_PARTS = bytes(c for c in range(128) if not chr(c).isalnum())
+_NAME = re.compile(r"[A-Za-z_][\w.-]*")
+_WORDS_ONLY = re.compile(r"[A-Z][A-Z0-9_]*|[A-Za-z_.:/ -]*")
+_PATH = re.compile(r"[A-Za-z_]+(?:\.[A-Za-z_]+)+")
+_GAP = re.compile(r"[ \t]*")
 _SPLIT = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -59,9 +73,12 @@ def name_weight(name: str) -> int:
     return max([sum(SENSITIVE.get(p, 0) for p in parts), *[w for k, w in SENSITIVE.items() if len(k) > 5 and k in joined]])
 
 
-def value_weight(value: str) -> float:
-    """How much a literal looks like a secret: length, alphabet and entropy; 0 for placeholders."""
-    if len(value) < 6 or value.lower() in PLACEHOLDERS or len(set(value)) < 4 or value.startswith(("${", "<", "{{", "http://", "https://")) or " " in value.strip():
+def value_weight(value: str, phrase: bool = False) -> float:
+    """How much a literal looks like a secret: length, alphabet and entropy; 0 for
+    placeholders, and for texts with blanks unless a ``phrase`` may be a secret here."""
+    if len(value) < 6 or value.lower() in PLACEHOLDERS or len(set(value)) < 4 or value.startswith(("${", "<", "{{", "http://", "https://")):
+        return 0.0
+    if not phrase and " " in value.strip():
         return 0.0
     counts = Counter(value)
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
@@ -80,74 +97,250 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """Name-literal pairs of source and configuration syntax: name, value, start and end of
-    the literal in the text.
+@dataclass(eq=False)
+class Binding:
+    """A name with the literals bound to it, as (value, start, end, whether inside a call or
+    subscript), and the earlier bindings that its right side names."""
+
+    name: str
+    line: int
+    literals: list[tuple[str, int, int, bool]] = field(default_factory=list)
+    sources: list[Binding] = field(default_factory=list)
+
+    def filled(self) -> bool:
+        return bool(self.literals or self.sources)
+
+
+@dataclass(eq=False)
+class _Frame:
+    """What an open bracket holds: the binding around it, the one being read inside it, and
+    the last literal of a label such as ``name``."""
+
+    opener: str = ""
+    around: Binding | None = None
+    called: bool = False
+    own: Binding | None = None
+    own_name: str = ""
+    by: str = ""
+    bare: bool = False
+    join: bool = False
+    label: tuple[str, int] | None = None
+
+
+class _Reader:
+    """Reads bindings from the tokens of one text. The time is linear in the text."""
+
+    def __init__(self, text: str):
+        self.text, self.out, self.latest = text, [], {}
+        self.frames, self.parents = [_Frame()], []
+        self.line, self.line_start, self.in_line = 0, 0, 0
+        self.pending, self.pending_first, self.pending_column, self.taken = None, False, 0, None
+        self.word, self.word_end = "", -1
+
+    def read(self) -> list[Binding]:
+        at = 0
+        while m := _LEXER.search(self.text, at):
+            at = m.end()
+            kind, value = m.lastgroup, m[0]
+            if kind == "line":
+                self._line(m)
+                continue
+            self.in_line += 1
+            if kind in ("text", "triple"):
+                quote = 3 if kind == "triple" else 1
+                self._literal(value[quote:-quote], m.start() + quote, m.end() - quote)
+                self._pend(value[quote:-quote], m.start())
+                self.line += value.count("\n")
+            elif kind in ("name", "number"):
+                at = max(at, self._word(kind, value, m.start()))
+            else:
+                at = max(at, self._operator(value, m))
+                self.pending = self.taken = None
+        while self.frames:
+            self._close()
+            self.frames.pop()
+        return self.out
+
+    def _pend(self, name: str, start: int) -> None:
+        known = len(name) <= 200 and _NAME.fullmatch(name)
+        first = self.in_line == 1 or (self.in_line == 2 and self.word in _EXPORTS)
+        self.pending, self.pending_first, self.pending_column = name if known else None, first, start - self.line_start
+
+    def _close(self) -> None:
+        top = self.frames[-1]
+        if top.own is not None:
+            if top.own.filled():
+                self.latest[top.own_name] = top.own
+            if top.own_name.lower() in LABELS and len(top.own.literals) == 1 and _NAME.fullmatch(top.own.literals[0][0][:200]):
+                top.label = (top.own.literals[0][0], self.line)
+        top.own, top.join = None, False
+
+    def _holder(self) -> Binding | None:
+        """The binding that the next literal or name belongs to."""
+        top = self.frames[-1]
+        if top.own is not None and top.own.filled() and not top.join:
+            self._close()
+            return None
+        return top.own or top.around
+
+    def _literal(self, value: str, start: int, end: int, bare: bool = False) -> None:
+        holder, top = self._holder(), self.frames[-1]
+        self.taken = None
+        if holder is not None:
+            holder.literals.append((value, start, end, top.called))
+            top.join, top.bare, self.taken = False, bare, holder.literals
+
+    def _word(self, kind: str, value: str, start: int) -> int:
+        top, end = self.frames[-1], start + len(value)
+        self.taken = None
+        if value in _JOINERS and top.own is not None:
+            top.join, self.pending, self.word, self.word_end = top.own.filled(), None, value, end
+            return end
+        holder = top.around if top.own is None else top.own if not top.own.filled() or top.join else None
+        if holder is not None and value in self.latest:
+            holder.sources.append(self.latest[value])
+            top.join, self.taken = False, holder.sources
+        elif top.own is not None and not top.own.filled() and (bare := self._bare(start, False)):
+            self._literal(*bare, True)
+            self.pending = self.taken = None
+            return bare[2]
+        self._pend(value if kind == "name" else "", start)
+        self.word, self.word_end = value, end
+        return end
+
+    def _bare(self, at: int, plain: bool) -> tuple[str, int, int] | None:
+        """A value without quotes: one with a digit, or any one if ``plain``."""
+        m = _BARE.match(self.text, at)
+        if not m or m.end() - at < 6 or m[0] in self.latest or self.text[m.end() : m.end() + 1] in ("(", "[", "{", '"', "'"):
+            return None
+        ends = self.text[m.end() : m.end() + 1] in ("", " ", "\t", "\r", "\n", ";", "#")
+        if any(map(str.isdigit, m[0])) or (plain and ends and not _PATH.fullmatch(m[0])):
+            return m[0], m.start(), m.end()
+        return None
+
+    def _line(self, m: re.Match) -> None:
+        if self.in_line == 0 and not self.text[self.line_start : m.start()].strip():  # a blank line
+            while len(self.frames) > 1:
+                self._close()
+                self.frames.pop()
+            self._close()
+            self.parents = []
+        top = self.frames[-1]
+        if len(self.frames) == 1 and top.own is not None and top.own.filled() and not top.join:
+            self._close()
+        self.line, self.line_start, self.in_line = self.line + 1, m.end(), 0
+        self.pending = self.taken = None
+
+    def _operator(self, value: str, m: re.Match) -> int:
+        top = self.frames[-1]
+        if value in ("=", ":=", ":", "=>"):
+            return self._bind(value, m)
+        if value in ("+", "||", "??"):
+            top.join = top.own is not None and top.own.filled()
+        elif value in ("(", "[", "{"):
+            called = top.called or (value != "{" and self.word_end == m.start())
+            around = None if top.own is not None and top.own.filled() and not top.join else top.own or top.around
+            self.frames.append(_Frame(value, around, called))
+        elif value in _CLOSERS:
+            if len(self.frames) > 1 and top.opener == _CLOSERS[value]:
+                self._close()
+                self.frames.pop()
+                self.word_end = m.end()
+        else:
+            self._close()
+            if value == ";":
+                top.around = None  # statements of a block, not elements of a value
+        return m.end()
+
+    def _bind(self, op: str, m: re.Match) -> int:
+        top = self.frames[-1]
+        if self.taken:
+            self.taken.pop()  # what looked like a value is a key
+        typed = op == "=" and top.own is not None and top.by == ":" and top.own.line == self.line
+        if typed and (not top.own.filled() or (top.bare and self.pending is None and len(top.own.literals) == 1)):
+            top.own.literals.clear()
+            top.by, depth = "=", len(self.frames)
+            return self._value(op, m, depth == 1 and self.pending_first)
+        if self.pending is None:
+            if op == "=>":
+                self._close()
+            return m.end()
+        name, column, first = self.pending, self.pending_column, self.pending_first
+        self._close()
+        parent = top.around.name if top.around is not None else None
+        if len(self.frames) == 1 and first and op == ":":
+            while self.parents and self.parents[-1][0] >= column:
+                self.parents.pop()
+            parent = self.parents[-1][1] if self.parents else None
+        full = name
+        if name.lower() in CARRIERS:
+            near = top.label is not None and (len(self.frames) > 1 or self.line - top.label[1] <= 1)
+            full = top.label[0] if near else parent or name
+        if len(self.frames) == 1 and first and op == ":":
+            self.parents.append((column, full))
+        top.own, top.own_name, top.by, top.bare = Binding(full, self.line), name, op, False
+        self.out.append(top.own)
+        return self._value(op, m, first and op == "=" and len(self.frames) == 1)
+
+    def _value(self, op: str, m: re.Match, plain: bool) -> int:
+        """Takes a value without quotes right after the operator, if there is one."""
+        at = _GAP.match(self.text, m.end()).end()
+        if bare := self._bare(at, plain and at == m.end()):
+            self._literal(*bare, True)
+            self.word_end = -1
+            return bare[2]
+        top = self.frames[-1]
+        if top.own_name.lower() in LABELS and (name := _NAME.match(self.text, at)):
+            top.label = (name[0], self.line)
+        return m.end()
+
+
+def bindings(text: str) -> list[Binding]:
+    """Names with what is bound to them, in source and configuration syntax.
 
     Understood are ``name = "literal"`` with ``:=``, ``:`` (mappings, also with a quoted
-    key), ``=>`` and typed declarations, call arguments, shell and property lines with a
-    bare value after ``=``, and sums of literals. A name on the right stands for the last
-    literal bound to it before, so constants are followed through any number of copies;
-    each literal of a sum is reported for the target. Comments are read like code.
+    key), ``=>`` and typed declarations, call arguments, sums and alternatives of literals,
+    and literals inside the brackets, calls and subscripts of a value. Shell, property and
+    YAML lines may have a bare value: any one right after a ``=``, else one with a digit. The
+    value of ``value``, ``default`` and the like belongs to the name beside it (``name:
+    DB_PWD``, ``key="DbPwd"``) or to the mapping around it. A name on the right stands for
+    what was bound to it last, so constants are followed through any number of copies. A
+    blank line ends whatever is open. Comments are read like code.
     """
     if ("=" not in text and ":" not in text) or not _may_name(text):
-        return  # no name here could be sensitive
-    bound: dict[str, list[tuple[str, int, int]]] = {}
-    target, terms, open_ = None, [], False
-    pending, after_plus = None, False
-
-    def close():
-        if target is not None and terms:
-            bound[target] = list(terms)
-            yield from ((target, v, a, b) for v, a, b in terms)
-
-    for m in _LEXER.finditer(text):
-        kind, value = m.lastgroup, m[0]
-        if kind in ("text", "triple"):
-            quote = 3 if kind == "triple" else 1
-            literal = (value[quote:-quote], m.start() + quote, m.end() - quote)
-            if open_ and (not terms or after_plus):
-                terms.append(literal)
-                after_plus = False
-            elif not open_ or terms:
-                if open_:
-                    yield from close()
-                target, terms, open_ = None, [], False
-            pending = literal[0]
-        elif kind == "name" or kind == "number":
-            if open_ and not terms and kind == "number":
-                bare = _BARE.match(text, m.start())
-                terms.append((bare[0], bare.start(), bare.end()))
-            elif open_ and (not terms or after_plus) and value in bound:
-                terms.extend(bound[value])
-                after_plus = False
-            elif open_ and not terms and (bare := _BARE.match(text, m.start())) and bare.end() - bare.start() >= 6 and any(map(str.isdigit, bare[0])):
-                terms.append((bare[0], bare.start(), bare.end()))
-            pending = value if kind == "name" else None
-        elif kind == "op" and value in ("=", ":=", ":", "=>") and pending is not None and re.fullmatch(r"[A-Za-z_][\w.-]*", pending):
-            if value == "=" and open_ and not terms and target is not None and text[m.start() - 1 : m.start()] != "=":
-                pass  # a typed declaration: the name before the type stays the target
-            else:
-                if open_:
-                    yield from close()
-                target = pending
-            terms, open_, pending, after_plus = [], True, None, False
-        elif kind == "op" and value == "+":
-            after_plus = bool(terms)
-        else:
-            if kind == "line" and open_ and (not terms or after_plus):
-                continue  # the value may follow on the next line
-            if open_:
-                yield from close()
-            target, terms, open_, pending, after_plus = None, [], False, None, False
-    if open_:
-        yield from close()
+        return []  # no name here could be sensitive
+    return _Reader(text).read()
+
+
+def _reached(binding: Binding, done: set[int]) -> Iterator[tuple[str, int, int, bool]]:
+    """The literals of a binding and of all it names, each binding once per ``done``."""
+    stack = [binding]
+    while stack:
+        node = stack.pop()
+        if id(node) not in done:
+            done.add(id(node))
+            yield from node.literals
+            stack += node.sources
+
+
+def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """Name-literal pairs of a text: name, value, start and end of the literal."""
+    for binding in bindings(text):
+        for value, a, b, _ in _reached(binding, set()):
+            yield binding.name, value, a, b
 
 
 def literal_spans(text: str, least: float = 4.0) -> list[tuple[int, int, str]]:
     """Literals bound to a sensitive name, scored by the name times the value. A literal that
-    was bound under a harmless name is found when it is copied to a sensitive one."""
-    found = {(a, b) for name, value, a, b in assignments(text) if b > a and name_weight(name) * value_weight(value) >= least}
+    was bound under a harmless name is found when it is copied to a sensitive one. Texts
+    with blanks count for the most telling names only; inside a call or a subscript neither
+    they nor mere words count, since those are prompts and keys."""
+    found, done = set(), {}
+    for binding in bindings(text):
+        if weight := name_weight(binding.name):
+            for value, a, b, called in _reached(binding, done.setdefault(weight, set())):
+                if b > a and not (called and _WORDS_ONLY.fullmatch(value)) and weight * value_weight(value, weight >= 4 and not called) >= least:
+                    found.add((a, b))
     return [(a, b, "literal") for a, b in sorted(found)]
 
 
@@ -157,7 +350,8 @@ def scan(text: str | None, least: float = 4.0) -> tuple[list[tuple[int, int, str
     text = text or ""
     key = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = sorted(base_spans(text), key=key)
-    covered = lambda a, b: any(x <= a and b <= y for x, y, _ in base)
+    starts, ends = [x for x, _, _ in base], list(accumulate((y for _, y, _ in base), max))
+    covered = lambda a, b: (n := bisect_right(starts, a)) > 0 and ends[n - 1] >= b
     return base, sorted(base + [s for s in literal_spans(text, least) if not covered(s[0], s[1])], key=key)
 
 
