@@ -155,14 +155,45 @@ def _pairs(a: str, b: str):
     return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
 
 
-def _verified(pairs: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Expands group pairs to pairs of member sets and keeps the links. Pairs inside a
-    group (a = b) are included. The sets of candidates are made again from the texts where
-    those are read: a table of fixed size tells which texts may be candidates, so neither
-    the texts nor all sets are shuffled or stored."""
-    left = members.select(F.col("gid").alias("a"), F.col("cid").alias("x"))
-    right = members.select(F.col("gid").alias("b"), F.col("cid").alias("y"))
-    expanded = materialize(pairs.join(left, "a").join(right, "b").filter("x <> y AND (a <> b OR x < y)").select("x", "y"), "member-pairs")
+def _starred(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Member pairs (x, y) of a first look at group pairs (a, b): the members of each group
+    with the leader of the other, and those of every group with its own leader."""
+    others = members.filter("cid <> gid").select("gid", "cid")
+    left = pairs.join(others, F.col("a") == F.col("gid")).select(F.col("cid").alias("x"), F.col("b").alias("y"))
+    right = pairs.join(others, F.col("b") == F.col("gid")).select(F.col("a").alias("x"), F.col("cid").alias("y"))
+    return pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(left).union(right).union(others.select("gid", "cid"))
+
+
+def _tiled(pairs: DataFrame, rooted: DataFrame, tile: int) -> DataFrame:
+    """Member pairs (x, y) of group pairs (a, b) whose classes are not connected yet.
+
+    ``rooted`` (gid, cid, root) are all classes. Members of a group with its most frequent
+    root are left out against others with that root as a whole, so a cluster with a few
+    strangers costs only the strangers times its size. What is compared is cut into tiles
+    of about ``tile`` members a side, so no task gets a group."""
+    counts = rooted.groupBy("gid", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("gid").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    kept = materialize(rooted.join(main, "gid").select("gid", "cid", "root", "main", (F.col("root") == F.col("main")).alias("in_main")), "rooted")
+    parts = kept.groupBy("gid", "in_main", "main").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    placed = kept.join(parts.select("gid", "in_main", "tiles"), ["gid", "in_main"]).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+    side = lambda df, g, names: df.select(F.col("gid").alias(g), *[F.col(c).alias(f"{c}_{g}") for c in names])
+    wanted = pairs.join(side(parts, "a", ["in_main", "main", "tiles"]), "a").join(side(parts, "b", ["in_main", "main", "tiles"]), "b")
+    wanted = wanted.filter("NOT (in_main_a AND in_main_b AND main_a = main_b) AND (a <> b OR in_main_a <= in_main_b)")
+    for g in "ab":
+        wanted = wanted.withColumn(f"i_{g}", F.explode(F.sequence(F.lit(0), F.col(f"tiles_{g}") - 1)))
+    wanted = wanted.filter("a <> b OR in_main_a <> in_main_b OR i_a <= i_b").select("a", "b", "in_main_a", "in_main_b", "i_a", "i_b")
+    left = side(placed, "a", ["in_main", "i", "cid", "root"])
+    right = side(placed, "b", ["in_main", "i", "cid", "root"])
+    met = wanted.join(left, ["a", "in_main_a", "i_a"]).join(right, ["b", "in_main_b", "i_b"])
+    same = (F.col("a") == F.col("b")) & (F.col("in_main_a") == F.col("in_main_b")) & (F.col("i_a") == F.col("i_b"))
+    return met.filter((F.col("root_a") != F.col("root_b")) & (~same | (F.col("cid_a") < F.col("cid_b")))).select(F.col("cid_a").alias("x"), F.col("cid_b").alias("y"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links (a, b) among pairs of member sets (x, y). The sets of candidates are made
+    again from the texts where those are read: a table of fixed size tells which texts may
+    be candidates, so neither the texts nor all sets are shuffled or stored."""
+    expanded = materialize(pairs, "member-pairs")
     wanted = expanded.select(F.col("x").alias("rid")).union(expanded.select("y")).distinct()
     where = sets.select("rid", "doc_id", "thash").join(wanted, "rid", "left_semi")
     where = materialize(where.select(F.col("rid").alias("cid"), F.col("doc_id").alias("_id"), "thash", F.xxhash64("doc_id", "thash").alias("key")), "candidates")
@@ -196,9 +227,11 @@ def near_duplicate_links(docs: DataFrame, width: int = 5, percent: int = 80, bit
     Rows with equal shingle sets are one class, classes with equal prefix and size one
     group. Groups that share a prefix shingle, and pass the size and position filters,
     are candidates. In a list of more than ``hot`` groups each is first compared with the
-    list's leader only; after that, groups of the list that are not yet connected are
-    compared pair by pair in tiles of about ``tile`` groups. So a large cluster of near
-    copies costs a star, and no pair that could connect two components is left out.
+    list's leader only, and members of a group meet their own leader and those of its
+    candidates only. After that, groups of the list and members of groups that are not yet
+    connected are compared pair by pair in tiles of about ``tile`` of them. So a large
+    cluster of near copies costs a star, and no pair that could connect two components is
+    left out.
 
     Joins of prefixes and sets are sort-merge joins by hint: both sides grow with the
     table, so neither is ever broadcast, and the plan is the same at every size.
@@ -213,14 +246,31 @@ def near_duplicate_links(docs: DataFrame, width: int = 5, percent: int = 80, bit
     before = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.gid") < F.col("r.gid")))
     close = few.alias("l").join(few.alias("r"), (F.col("l.token") == F.col("r.token")) & before & _may_link("l", "r", percent)).select(*_pairs("l", "r"))
     star = many.select(F.struct("gid", "n", "pos").alias("l"), F.col("head").alias("r")).filter(F.col("l.gid") != F.col("r.gid")).filter(_may_link("l", "r", percent)).select(*_pairs("l", "r"))
-    inside = groups.filter("n_members > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    first = materialize(_verified(close.union(star).union(inside).distinct(), members, sets, docs, width, percent), "links")
-    if many.isEmpty():
+    pairs = materialize(close.union(star).distinct(), "group-pairs")
+    first = materialize(_verified(_starred(pairs, members), sets, docs, width, percent), "links")
+    large = groups.filter("n_members > 1").select("gid")
+    no_list = many.isEmpty()
+    if no_list and large.isEmpty():
         return sets, members, first
     # a group counts as connected to another if all their classes are
     roots = components(first)
-    state = members.join(roots, members["cid"] == roots["node"], "left").select("gid", F.coalesce("root", "cid").alias("root"))
-    state = state.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    rooted = members.join(roots, members["cid"] == roots["node"], "left").select("gid", "cid", F.coalesce("root", "cid").alias("root"))
+    rooted = materialize(rooted, "roots")
+    state = materialize(rooted.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")), "states")
+    # pairs of groups whose leaders have met, with members that have not
+    left, right = (state.select(F.col("gid").alias(g), F.col("low").alias(f"low_{g}"), F.col("high").alias(f"high_{g}")) for g in "ab")
+    met = pairs.join(large.select(F.col("gid").alias("a")), "a", "left_semi").union(pairs.join(large.select(F.col("gid").alias("b")), "b", "left_semi").select("a", "b"))
+    met = met.union(large.select(F.col("gid").alias("a"), F.col("gid").alias("b"))).distinct()
+    rest = met.join(left, "a").join(right, "b").filter("low_a <> high_a OR low_b <> high_b OR low_a <> low_b").select("a", "b")
+    if not no_list:
+        rest = rest.union(_open_lists(many, state, percent, tile)).distinct()
+    second = materialize(_verified(_tiled(rest, rooted, tile), sets, docs, width, percent), "links")
+    return sets, members, first.union(second)
+
+
+def _open_lists(many: DataFrame, state: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Pairs (a, b) of groups of the long lists ``many`` that are not yet connected."""
+    before = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.gid") < F.col("r.gid")))
     open_ = many.join(state, "gid").withColumn("tiles", F.ceil(F.col("df") / tile).cast("int"))
     own = F.pmod(F.xxhash64("gid"), F.col("tiles")).cast("int")
     placed = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -228,9 +278,7 @@ def near_duplicate_links(docs: DataFrame, width: int = 5, percent: int = 80, bit
     apart = (F.col("l.low") != F.col("r.low")) | (F.col("l.low") != F.col("l.high")) | (F.col("r.low") != F.col("r.high"))
     same_tile = (F.col("l.token") == F.col("r.token")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
     once = (F.col("l.i") == F.col("l.j")) | (F.col("l.own") != F.col("r.own"))
-    rest = placed.alias("l").join(placed.alias("r"), same_tile & once & before & apart & _may_link("l", "r", percent)).select(*_pairs("l", "r")).distinct()
-    second = materialize(_verified(rest, members, sets, docs, width, percent), "links")
-    return sets, members, first.union(second)
+    return placed.alias("l").join(placed.alias("r"), same_tile & once & before & apart & _may_link("l", "r", percent)).select(*_pairs("l", "r")).distinct()
 
 
 def near_duplicate_components(docs: DataFrame, width: int = 5, percent: int = 80, **options) -> DataFrame:

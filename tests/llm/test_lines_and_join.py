@@ -1,6 +1,7 @@
 """Line de-duplication and the shingle join against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -85,6 +86,44 @@ def test_join_against_brute_force(spark, hot, tile, seed):
     assert sorted((tuple(r) for r in got.collect()), key=str) == component_ids(rows)
 
 
+def grouped_rows(phrases, variants):
+    """Rows that share their rarest shingles and their size but not the rest: a rare opening
+    with one of ``phrases`` bodies whose last word varies. Fillers make the bodies frequent."""
+    rng = random.Random(phrases)
+    often = 2 * phrases * variants + 10
+    opening = [f"r{k}" for k in range(40)]
+    rows, fill = [], []
+    for j in range(phrases):
+        body = [f"p{j}x{k}" for k in range(100)]
+        fill.append(" ".join(opening[-4:] + body[:-1]))
+        for v in range(variants):
+            rows.append(" ".join(opening + body[:-1] + [f"v{v}"]))
+            fill.append(" ".join(body[-5:-1] + [f"v{v}"]))
+    rng.shuffle(rows)
+    return list(enumerate(rows)), [(10_000 + k, t) for k, t in enumerate(fill * often)]
+
+
+@pytest.mark.parametrize("phrases,variants,tile", [(5, 6, 4), (1, 40, 256), (12, 1, 5)])
+def test_groups_of_different_members(spark, monkeypatch, phrases, variants, tile):
+    rows, fill = grouped_rows(phrases, variants)
+    pairs, stored = [], ngram_join.materialize
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "member-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    _, members, _ = ngram_join.near_duplicate_links(documents(spark, rows + fill), tile=tile)
+    assert max(r["count"] for r in members.groupBy("gid").count().collect()) == len(rows)
+    # the star, then pairs with a member that is not in the leader's cluster
+    apart = math.comb(len(rows), 2) - math.comb(variants, 2)
+    assert pairs[0] == len(rows) - 1 and sum(pairs[1:]) <= apart
+    got = ngram_join.near_duplicate_components(documents(spark, rows + fill), tile=tile)
+    assert sorted((tuple(r) for r in got.filter("doc_id < 10000").collect()), key=str) == component_ids(rows)
+
+
 def test_one_row_per_component(spark):
     rows = near_rows(4, copies=12)
     kept = [tuple(r) for r in ngram_join.one_per_component(documents(spark, rows, clash=True)).select("doc_id", "text").collect()]
