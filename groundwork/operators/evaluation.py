@@ -191,6 +191,8 @@ def holdout_metrics(rows: DataFrame) -> DataFrame:
     pred_present, dice, iou. ``error`` names mixed versions, mixed models or repeated
     samples."""
     usable, gold, pred = F.col("usable"), F.col("gold_present"), F.col("pred_present")
+    # read five times: written once, or every reader and every pushed filter computes the overlaps again
+    rows = materialize(rows, "holdout")
     repeated = rows.groupBy("sample_id").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*")).scalar()
     counts = presence_confusion(rows, gold, pred, usable)
     extra = rows.agg(
@@ -217,7 +219,7 @@ def bootstrap_ci(df: DataFrame, value: str, key: list[str], iterations: int = 20
     position): any engine can repeat them. Nulls are left out."""
     place = H.hex_bucket(H.sha256(F.concat_ws(":", *[F.col(k).cast("string") for k in key])), 2)
     rows = df.select(place.alias("bucket"), F.col(value).cast("double").alias("v")).filter("v is not null")
-    buckets = rows.groupBy("bucket").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
+    buckets = materialize(rows.groupBy("bucket").agg(F.sum("v").alias("s"), F.count("*").alias("c")), "buckets")
     spark = df.sparkSession
     pos = F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1)))
     drawn = spark.range(iterations).select(F.col("id").alias("b"), pos.alias("pos"))

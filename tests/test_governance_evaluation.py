@@ -159,3 +159,15 @@ def test_export_keeps_the_limit_it_is_given(spark):
 
     df = spark.range(12_000).withColumn("v", F.col("id") % 7)
     assert O.export_samples(df, 9_999, ["id"]).count() == 9_999 and O.export_samples(df, None, ["id"]).count() == 12_000
+
+
+def test_holdout_overlaps_are_computed_once(spark):
+    """Readers of the rows must not carry the overlap sweep into their plans."""
+    masks = spark.createDataFrame([(1, [2, 3, 5], [3, 3, 4]), (2, [0, 10], [1, 9]), (3, [10], [10])], "sample_id long, gold array<long>, pred array<long>")
+    swept = E.rle_overlap(masks, "gold", "pred", F.lit(10))
+    rows = swept.select("sample_id", F.lit("h").alias("holdout_version"), F.lit("m").alias("model_sha256"), F.lit(True).alias("usable"), (F.col("gold_pixels") > 0).alias("gold_present"), (F.col("pred_pixels") > 0).alias("pred_present"), "dice", "iou")
+    out = E.holdout_metrics(rows)
+    assert "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.first()
+    assert (got["samples"], got["positives"], got["tp"], got["tn"], got["error"]) == (3, 2, 2, 1, None)
+    assert abs(got["mean_dice"] - (4 / 6 + 18 / 19) / 2) < 1e-9
