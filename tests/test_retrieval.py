@@ -142,3 +142,14 @@ def test_knowledge_rank_blocks_contradictions(spark):
     out = E.knowledge_rank(docs, q).collect()
     assert [r["doc"] for r in out if r["query"] == 1] == [4]
     assert {r["doc"]: r["score"] for r in out if r["query"] == 2}[3] == 6 + 12
+
+
+def test_every_word_of_a_conversation_is_a_term(spark, tmp_path):
+    from groundwork.plans import retrieval_plans as P
+
+    said = [f"w{i} the {'x' * (i % 3 + 1)}" for i in range(40)]
+    rows = [(1, i, "user", t) for i, t in enumerate(said)] + [(1, 99, "assistant", "unsaid"), (2, 0, "user", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["query_id"]: r for r in P.chat_queries(spark, str(tmp_path)).collect()}
+    assert set(got[1]["terms"]) == {w for t in said for w in t.split()} and len(got[1]["terms"]) == 44
+    assert got[2]["terms"] == [] and got[1]["text"] == " ".join(said)
