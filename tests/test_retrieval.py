@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -153,3 +154,17 @@ def test_every_word_of_a_conversation_is_a_term(spark, tmp_path):
     got = {r["query_id"]: r for r in P.chat_queries(spark, str(tmp_path)).collect()}
     assert set(got[1]["terms"]) == {w for t in said for w in t.split()} and len(got[1]["terms"]) == 44
     assert got[2]["terms"] == [] and got[1]["text"] == " ".join(said)
+
+
+def test_sums_per_query_and_document_move_no_pairs(spark, tmp_path):
+    rows = spark.range(300).selectExpr("id as doc_id", "concat('common red tongue w', id % 7) as case_text", "'' as target", "'s' as source", "'t' as task")
+    index = N.write_index(rows, str(tmp_path / "index"), bits=4)
+    best = {r["term"]: r for r in index.table("terms").collect()}
+    assert (best["w3"]["df"], best["common"]["cf"], len(best["common"]["best"])) == (43, 300, 64) and best["w3"]["best"][0] >= best["w3"]["best"][-1]
+    queries = spark.createDataFrame([(q, ["common", f"w{q}", "red tongue"]) for q in range(5)], "query_id long, terms array<string>")
+    units = materialize(N.query_units(queries), "units")
+    phrases = materialize(N.phrase_postings(index, units).join(index.table("doc_stats"), "doc"), "phrases")
+    found = N.candidates(index, materialize(N._asked(index, units, phrases, 4), "asked"), phrases)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and not re.search(r"hashpartitioning\(query#\d+L?, doc#", plan)
+    assert found.count() >= 20
