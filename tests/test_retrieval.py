@@ -168,3 +168,16 @@ def test_sums_per_query_and_document_move_no_pairs(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(block" in plan and not re.search(r"hashpartitioning\(query#\d+L?, doc#", plan)
     assert found.count() >= 20
+
+
+def test_many_phrases_are_found_in_one_pass(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 12))) for i in range(60)}
+    rows = [(i, t, "", "s", "t") for i, t in texts.items()]
+    index = N.write_index(spark.createDataFrame(rows, "doc_id long, case_text string, target string, source string, task string"), str(tmp_path / "index"))
+    asked = {q: [" ".join(rng.choices("abcdefgh", k=rng.choice([1, 2, 2, 3]))) for _ in range(30)] for q in range(8)}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, terms array<string>")
+    monkeypatch.setattr(N, "phrase_postings", None)  # the positions of all words would be read many times over
+    got = [(r["query"], r["doc"]) for r in N.match_any_phrase(index, queries).collect()]
+    want = {(q, d) for q, phrases in asked.items() for d, t in texts.items() if any(f" {p} " in f" {t} " for p in phrases)}
+    assert sorted(got) == sorted(want)
