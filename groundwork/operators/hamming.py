@@ -23,7 +23,7 @@ GROUP_LIMIT = 256
 class Leaves:
     """``small``: rows of groups that are compared whole; ``dense``: rows of groups that stay
     crowded to the end. Columns: _gid, _skip (the pieces before the key's, level by level)
-    and those of the input."""
+    and those of the input but the digits."""
 
     small: DataFrame
     dense: DataFrame
@@ -45,7 +45,8 @@ def refine(rows: DataFrame, value: str, distance: int, scope: list[str] = (), li
     of one row leave at once."""
     parts = distance + 1
     start = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope]) if scope else F.lit("")
-    level = rows.withColumns({"_gid": start, "_rest": F.col(value), "_skip": F.array().cast("array<string>")})
+    kept = [c for c in rows.columns if c != value]  # pairs are compared by their words: the digits are not carried along
+    level = rows.withColumns({"_gid": start, "_rest": F.col(value), "_skip": F.array().cast("array<string>")}).drop(value)
     small, dense = [], []
     while True:
         cut = lambda i: F.floor(F.length("_rest") * i / parts).cast("int")
@@ -53,7 +54,7 @@ def refine(rows: DataFrame, value: str, distance: int, scope: list[str] = (), li
         cutted = level.withColumn("_pieces", pieces)
         keyed = cutted.select("*", F.posexplode("_pieces").alias("_i", "_key"))
         level = keyed.select(
-            *rows.columns,
+            *kept,
             F.concat_ws("\u0001", "_gid", "_i", "_key").alias("_gid"),
             F.concat(F.substring("_rest", F.lit(1), cut(F.col("_i"))), F.expr("_rest").substr(cut(F.col("_i") + 1) + 1, F.length("_rest"))).alias("_rest"),
             F.concat("_skip", F.slice("_pieces", F.lit(1), F.col("_i"))).alias("_skip"),

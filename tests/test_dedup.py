@@ -4,7 +4,9 @@ import re
 
 import pytest
 
-from groundwork.operators import dedup as D
+from pyspark.sql import functions as F
+
+from groundwork.operators import dedup as D, hamming as M
 
 
 def sequential(rows, limit=3, ratio=0.90):
@@ -178,3 +180,11 @@ def _groups(pairs):
         merged = set().union({a, b}, *hit)
         groups = [g for g in groups if g not in hit] + [merged]
     return groups
+
+
+def test_refined_rows_do_not_carry_the_digits(spark):
+    rows = spark.createDataFrame([(i, f"{i:016x}") for i in range(20)], "ord long, _hex string").select("ord", "_hex", M.words_of(F.col("_hex"), 16).alias("_words"))
+    leaves = M.refine(rows, "_hex", 3)
+    assert sorted(leaves.small.columns) == ["_gid", "_skip", "_words", "ord"]
+    got = {(r[0], r[1]) for r in M.pairs_within(leaves, F.col("a.ord") < F.col("b.ord"), 3).select("a.ord", "b.ord").collect()}
+    assert got == {(a, b) for a in range(20) for b in range(a + 1, 20) if bin(a ^ b).count("1") <= 3}
