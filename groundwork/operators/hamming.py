@@ -3,8 +3,10 @@
 Two values that differ in at most d bits differ in at most d hex digits, so of d + 1 pieces
 of the digits they share one. Rows are grouped by each of their pieces. A group that holds
 more than ``limit`` rows is keyed again by d + 1 pieces of the digits outside its key, level
-by level, until groups are small or fewer than d + 1 digits are left; rows that only share a
-key part that way, and only true clusters stay together to the end. A pair is compared in
+by level, until groups are small, fewer than d + 1 digits are left, or two levels did not pay:
+d + 1 groups of n rows cost more than one of m rows when (d + 1) n^2 > m^2. One such level may
+come from digits that all rows share; after two, the group is taken for a true cluster, which
+would be copied d + 1 times at every further level. A pair is compared in
 many groups but kept in one: where every level's piece is the first that the two share."""
 
 from __future__ import annotations
@@ -22,16 +24,18 @@ GROUP_LIMIT = 256
 @dataclass(frozen=True)
 class Leaves:
     """``small``: rows of groups that are compared whole; ``dense``: rows of groups that stay
-    crowded to the end. Columns: _gid, _skip (the pieces before the key's, level by level)
-    and those of the input but the digits."""
+    crowded. Columns: _gid, _skip (the pieces before the key's, level by level) and those of
+    the input but the digits. ``words``: longs per value."""
 
     small: DataFrame
     dense: DataFrame
+    words: int
 
 
-def bits_apart(a: Column, b: Column) -> Column:
-    """Bits in which two arrays of longs differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+def bits_apart(a: Column, b: Column, words: int) -> Column:
+    """Bits in which two arrays of ``words`` longs differ. It runs for every pair of a group,
+    so it is written out without functions over arrays, which are not compiled."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(words)), F.lit(0))
 
 
 def words_of(value: Column, digits: int) -> Column:
@@ -47,39 +51,46 @@ def refine(rows: DataFrame, value: str, distance: int, scope: list[str] = (), li
     start = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope]) if scope else F.lit("")
     kept = [c for c in rows.columns if c != value]  # pairs are compared by their words: the digits are not carried along
     level = rows.withColumns({"_gid": start, "_rest": F.col(value), "_skip": F.array().cast("array<string>")}).drop(value)
-    small, dense = [], []
+    level = level.withColumns({"_up": F.lit(None).cast("bigint"), "_slow": F.lit(0)})
+    small, dense, words = [], [], None
     while True:
         cut = lambda i: F.floor(F.length("_rest") * i / parts).cast("int")
-        pieces = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.expr("_rest").substr(cut(i) + 1, cut(i + 1) - cut(i)))
-        cutted = level.withColumn("_pieces", pieces)
-        keyed = cutted.select("*", F.posexplode("_pieces").alias("_i", "_key"))
+        pieces = F.array(*[F.expr("_rest").substr(cut(i) + 1, cut(i + 1) - cut(i)) for i in range(parts)])
+        keyed = level.select("*", F.posexplode(pieces).alias("_i", "_key"))
+        # pieces are marked with their place, so that two rows share one if their lists overlap
+        passed = [F.when(F.col("_i") > i, F.concat(F.lit(f"{len(small)}.{i}:"), F.expr("_rest").substr(cut(i) + 1, cut(i + 1) - cut(i)))) for i in range(parts - 1)]
         level = keyed.select(
             *kept,
+            "_up",
+            "_slow",
             F.concat_ws("\u0001", "_gid", "_i", "_key").alias("_gid"),
             F.concat(F.substring("_rest", F.lit(1), cut(F.col("_i"))), F.expr("_rest").substr(cut(F.col("_i") + 1) + 1, F.length("_rest"))).alias("_rest"),
-            F.concat("_skip", F.slice("_pieces", F.lit(1), F.col("_i"))).alias("_skip"),
+            F.concat("_skip", F.array_compact(F.array(*passed).cast("array<string>"))).alias("_skip"),
         )
         counts = level.groupBy("_gid").agg(F.count("*").alias("_n")).filter("_n > 1")
         level = materialize(level.join(counts, "_gid"), "refined")
-        small.append(level.filter(F.col("_n") <= limit).drop("_n", "_rest"))
-        crowded = level.filter(F.col("_n") > limit).drop("_n")
-        fine = F.length("_rest") >= parts
+        if words is None:
+            words = level.agg(F.max(F.size("_words"))).first()[0] or 0
+        small.append(level.filter(F.col("_n") <= limit).drop("_n", "_up", "_slow", "_rest"))
+        n, up = (F.col(c).cast("double") for c in ("_n", "_up"))
+        crowded = level.filter(F.col("_n") > limit).withColumn("_slow", F.col("_slow") + F.when(n * n * parts > up * up, 1).otherwise(0))
         if crowded.isEmpty():
             break
-        dense.append(crowded.filter(~fine).drop("_rest"))
-        level = crowded.filter(fine)
+        fine = (F.length("_rest") >= parts) & (F.col("_slow") < 2)
+        dense.append(crowded.filter(~fine).drop("_n", "_up", "_slow", "_rest"))
+        level = crowded.filter(fine).drop("_up").withColumnRenamed("_n", "_up")
     whole = small[0]
     for more in small[1:]:
         whole = whole.unionByName(more)
     rest = whole.limit(0)
     for more in dense:
         rest = rest.unionByName(more)
-    return Leaves(whole, rest)
+    return Leaves(whole, rest, words)
 
 
 def first_shared(a: str, b: str) -> Column:
     """Whether two rows of a group share no earlier piece at any level of its key."""
-    return ~F.exists(F.zip_with(f"{a}._skip", f"{b}._skip", lambda x, y: x == y), lambda same: same)
+    return ~F.arrays_overlap(f"{a}._skip", f"{b}._skip")
 
 
 def tiled_pairs(leaves: Leaves, limit: int = GROUP_LIMIT) -> tuple[DataFrame, list[str]]:
@@ -107,5 +118,5 @@ def pairs_within(leaves: Leaves, keys: Column, distance: int, limit: int = GROUP
         same = same & (F.col(f"a.{name}") == F.col(f"b.{name}"))
     # in a tile of two halves, only pairs across the halves
     across = (F.col("a._lo") == F.col("a._hi")) | (F.col("a._mine") != F.col("b._mine"))
-    apart = bits_apart(F.col("a._words"), F.col("b._words"))
+    apart = bits_apart(F.col("a._words"), F.col("b._words"), leaves.words)
     return a.join(b, same & across).withColumn("_distance", apart).filter((F.col("_distance") <= distance) & first_shared("a", "b"))

@@ -188,3 +188,21 @@ def test_refined_rows_do_not_carry_the_digits(spark):
     assert sorted(leaves.small.columns) == ["_gid", "_skip", "_words", "ord"]
     got = {(r[0], r[1]) for r in M.pairs_within(leaves, F.col("a.ord") < F.col("b.ord"), 3).select("a.ord", "b.ord").collect()}
     assert got == {(a, b) for a in range(20) for b in range(a + 1, 20) if bin(a ^ b).count("1") <= 3}
+
+
+def test_simhash_is_computed_without_a_shuffle(spark):
+    words = [f"w{i % 977}" for i in range(70_000)]  # more votes than are laid out at a time
+    texts = ["", None, "one", "a b c d", " ".join(words), "the quick brown fox", " ".join(words[:9])]
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, canonical string").coalesce(1)
+    out = D.simhash64(df, ["ord"], "canonical")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["ord"]: r["simhash"] & (2**64 - 1) for r in out.collect()} == {i: python_simhash(t or "") for i, t in enumerate(texts)}
+
+
+def test_clusters_are_not_copied_at_every_level(spark):
+    # 40 rows that differ in their last digit only: no key tells them apart
+    rows = spark.createDataFrame([(i, "ab" * 30 + f"{i:04x}") for i in range(40)], "ord long, _hex string")
+    leaves = M.refine(rows.select("*", M.words_of(F.col("_hex"), 64).alias("_words")), "_hex", 8, limit=8)
+    assert leaves.small.count() + leaves.dense.count() < 40 * 9**3 * 2
+    got = [tuple(r) for r in M.pairs_within(leaves, F.col("a.ord") < F.col("b.ord"), 8, 8).select("a.ord", "b.ord").collect()]
+    assert len(got) == len(set(got)) == 40 * 39 // 2
