@@ -181,3 +181,27 @@ def test_many_phrases_are_found_in_one_pass(spark, tmp_path, monkeypatch):
     got = [(r["query"], r["doc"]) for r in N.match_any_phrase(index, queries).collect()]
     want = {(q, d) for q, phrases in asked.items() for d, t in texts.items() if any(f" {p} " in f" {t} " for p in phrases)}
     assert sorted(got) == sorted(want)
+
+
+def test_token_scores_are_summed_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [a + b for a in ("ab", "abc", "xyz", "bcd") for b in ("", "e", "efg", "abc")]
+    docs = spark.createDataFrame([(i, rng.choice(["s", "t", None]), i % 3, " ".join(rng.choices(words, k=rng.randrange(6)))) for i in range(90)], "doc_id long, source string, page long, text string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choices(words, k=4))) for i in range(7)], "query_id long, text string")
+    bonuses, blocks = [("ab", "d.source = 's'", 2), ("xyz", "d.page = 1", 5, "q.query_id > 2")], [("d.page = 2", "q.query_id = 3")]
+    run = lambda: ([tuple(r) for r in E.evidence_rank(docs, queries, 5, bonuses, blocks).orderBy("query", "rank").collect()], [tuple(r) for r in E.token_overlap_search(docs, queries, 4).orderBy("query", "rank").collect()])
+    whole = run()
+    monkeypatch.setattr(E, "BLOCK_CELLS", 1)  # 16 documents a block
+    assert run() == whole
+    tokens = {r["query_id"]: {w for w in r["text"].split() if len(w) >= 3} for r in queries.collect()}
+    want = []
+    for q, text in [(r["query_id"], r["text"]) for r in queries.collect()]:
+        scored = []
+        for d in docs.collect():
+            terms = {w for w in d["text"].split() if len(w) >= 3}
+            base = sum(3 if t in terms else any(t in w or w in t for w in terms) for t in tokens[q])
+            if base and not (d["page"] == 2 and q == 3):
+                base += 2 * ("ab" in text and d["source"] == "s") + 5 * ("xyz" in text and d["page"] == 1 and q > 2)
+                scored.append((-base, d["source"] or "", d["page"], d["doc_id"]))
+        want += [(q, s[3], s[1] or None, s[2], -s[0], i + 1) for i, s in enumerate(sorted(scored)[:5])]
+    assert [tuple(r) for r in E.evidence_rank(docs, queries, 5, bonuses, blocks).select("query", "doc", "source", "page", "score", "rank").orderBy("query", "rank").collect()] == want
