@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from groundwork.session import materialize
+
 #: Parts longer than this are cut into overlapping pieces before substrings are taken,
 #: because a substring by position walks the characters from the start.
 PIECE = 64
@@ -77,3 +79,42 @@ def contained(hay: DataFrame, key: str, text: str, needles: DataFrame, needle: s
         match = found.distinct().join(sought, "sub").distinct().select("part", F.col("sub").alias(needle))
         out = out.unionByName(own.join(match, "part").select(key, needle).distinct())
     return out
+
+
+def _openings(hay: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """``_sub, _keys``: every string that a needle contained in a text can have up to its second
+    blank, with the texts that hold it: substrings of one part, and an end of a part with a
+    start of the next. Lengths are taken from the needles only where a part of a text is long."""
+    parts = F.split(text, " ", -1)
+    longest = hay.agg(F.max(F.array_max(F.transform(parts, F.length)))).first()[0] or 0
+    inside, first, last = list(range(1, longest + 1)), list(range(longest + 1)), list(range(longest + 1))
+    if longest > PIECE:
+        classes = length_classes(needles, needle)
+        inside = classes.get(1, ([], []))[0]
+        first = sorted({n for k, (a, _) in classes.items() if k > 1 for n in a})
+        last = classes.get(2, ([], []))[1]
+    words = hay.select(key, F.explode(F.array_distinct(parts)).alias("part")).filter("part <> ''")
+    within = _substrings(words.select("part").distinct(), inside) if inside else words.select("part", F.col("part").alias("sub"))
+    runs = hay.select(key, parts.alias("parts")).select(key, F.explode(_windows(2)).alias("part"))
+    pairs = runs.select("part").distinct().withColumn("w", F.split("part", " ", -1))
+    # a needle of three and more parts has its second one whole
+    across = _borders(pairs, first, last) if last else None
+    whole = _borders(pairs.withColumn("w", F.array(F.col("w")[0], F.lit(""))), first, [0]).join(pairs, "part").select("part", F.concat("sub", F.col("w")[1]).alias("sub")) if first and longest > PIECE else None
+    out = words.join(within.distinct(), "part")
+    for more in (across, whole):
+        if more is not None:
+            out = out.unionByName(runs.join(more.distinct(), "part"))
+    return out.groupBy(F.col("sub").alias("_sub")).agg(F.collect_set(key).alias("_keys"))
+
+
+def found_in(needles: DataFrame, needle: str, hay: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``needles`` (many, any columns), once per text of ``hay`` (few) that contains
+    their non-empty needle, with its ``key``. A needle meets the texts by equality of what
+    stands before its second blank; only one with more parts is looked for in the texts that
+    it met. What the texts offer is small and written first, so the planner can broadcast it
+    and the needles then stay where they are."""
+    offered = materialize(_openings(hay, key, text, needles, needle), "offered")
+    texts = materialize(hay.groupBy(key).agg(F.collect_set(text).alias("_texts")), "texts")
+    met = needles.withColumn("_sub", F.substring_index(needle, " ", 2)).join(offered, "_sub").withColumn(key, F.explode("_keys")).drop("_keys")
+    sure = (F.col("_sub") == F.col(needle)) | F.exists("_texts", lambda t: F.contains(t, F.col(needle)))
+    return met.join(texts, key).filter(sure).drop("_sub", "_texts")

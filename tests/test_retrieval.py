@@ -123,6 +123,65 @@ def test_contained_against_a_plain_search(spark):
     assert contained(hay, "h", "t", spark.createDataFrame([], "n string"), "n").count() == 0
 
 
+def test_many_needles_in_few_texts(spark):
+    from groundwork.operators.containment import found_in
+
+    rng = random.Random(8)
+    needles = ["a b", "b c d", "c d ab", " b", "b ", "  ", " ", "", "ab", "x y z", "tail", "ail \n ne", "日本語", "本語の", "y" * 70, "x y", "a b", "d  e", None]
+    needles += ["".join(rng.choice("ab c") for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    rows = list(enumerate(needles))
+    short = ["ab b c d ab", "tail \n next", "", None, "d  e", " b "] + ["".join(rng.choice("ab  c") for _ in range(rng.randrange(1, 30))) for _ in range(20)]
+    for texts in (short, short + ["日本語のテキスト" * 40 + " x", "q" + "x" * 90 + " " + "y" * 80 + " z", "w" * 80 + "x y zz"]):
+        hay = spark.createDataFrame(list(enumerate(texts)), "h long, t string")
+        got = [(r["i"], r["h"]) for r in found_in(spark.createDataFrame(rows, "i long, n string"), "n", hay, "h", "t").select("i", "h").collect()]
+        want = {(i, h) for i, n in rows for h, t in enumerate(texts) if n and t is not None and n in t}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_topics_stay_where_they_are(spark):
+    """Topics meet the few texts without being shuffled, and a generated topic list is made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def pairs(text):
+        made.add(1)
+        words = text.split(" ")
+        return [" ".join(p) for p in zip(words, words[1:])]
+
+    docs = spark.createDataFrame([(i, f"src{i % 3}", i % 97, f"common words w{i} here") for i in range(50)], "entry_id long, source string, page long, text string")
+    q = spark.createDataFrame([(1, "uncommon words w7 hereby"), (2, "w8 here")], "query_id long, text string")
+    out = E.topic_hits(docs.withColumn("topics", pairs("text")), q)
+    assert sorted((r["query"], r["entry_id"], r["score"]) for r in out.collect() if r["score"] > 1 or r["query"] == 2) == [(1, 7, 3), (2, 8, 1)]
+    assert made.value == 50
+
+
+def test_best_rule_against_a_plain_search(spark):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abñ") for _ in range(rng.randrange(1, 5))) + rng.choice(["", ",", ".\n"]) for _ in range(rng.randrange(0, 7))) for _ in range(60)] + [None, "Straße No-7 a b", "no 7 topic"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    entries = spark.createDataFrame(rows, "entry_id long, text string")
+    plain = [["ab", "ñ", "zz"], ["bb", "aab", "ñb", "a"], ["zz"], [], ["straße", "no", "7"], ["A", "a"]]
+    for wanted in (plain, plain + [["no-7", ","], ["b,"]], plain + [["a b", "no 7"], ["\n"]]):
+        lists = spark.createDataFrame(list(enumerate(wanted)), "query_id long, wanted array<string>")
+        got = {r["query"]: (r["entry_id"], r["score"]) for r in E.best_rule(entries, lists).collect()}
+        want = {}
+        for k, ts in enumerate(wanted):
+            scored = [(-sum(t.lower() in text.lower() for t in ts), i) for i, text in enumerate(texts) if text is not None]
+            least = min(scored)
+            if least[0]:
+                want[k] = (least[1], -least[0])
+        assert got == want
+
+
+def test_core_flags_may_come_apart_from_the_entries(spark):
+    entries = spark.createDataFrame([(1, "s", ["long word"]), (2, "s", ["long"]), (3, "s", ["zz"])], "entry_id long, source string, topics array<string>")
+    core = spark.createDataFrame([(1, False), (2, True), (3, True)], "entry_id long, core boolean")
+    q = spark.createDataFrame([(1, "a long word")], "query_id long, text string")
+    both = [sorted(map(tuple, E.topic_rank_with_backfill(*a, **k).collect()), key=str) for a, k in (((entries, q), {"core": core}), ((entries.join(core, "entry_id"), q), {}))]
+    assert both[0] == both[1] and (1, 1, 2, 3.0) in both[0] and (1, 2, 1, 3.2) in both[0]
+
+
 def test_topic_scores_count_tokens_and_whole_topics(spark):
     entries = spark.createDataFrame(
         [(1, "src", False, 1, ["long word", "LONG Word", "other thing"], "t"), (2, "none", True, 1, ["thing longer"], "t"), (3, "x", True, 2, ["zzzz"], "t"), (4, "x", False, 2, [], "t")],
