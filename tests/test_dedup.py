@@ -151,6 +151,20 @@ def test_merge_counts_make_each_text_once(spark):
     assert sorted((r["input_ord"], r["ord"]) for r in kept.collect()) == [(0, i) for i in (1, 2, 3, 4, 6, 7, 12)]
 
 
+def test_votes_of_long_lists_equal_a_count(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from groundwork.functions import hashing as H
+
+    rng = np.random.default_rng(4)
+    sizes = [0, 1, 254, 255, 256, 510, 511, 70_000, 3, 0]
+    lists = [[int(x) for x in rng.integers(-(2**63), 2**63 - 1, n) | (0xF0F if n > 255 else 0)] for n in sizes]
+    want = [-1 if not l else sum(1 << b for b in range(64) if 2 * int(((np.array(l) >> b) & 1).sum()) >= len(l)) for l in lists]
+    got = H._majority(pa.array([l + [None] for l in lists], pa.list_(pa.int64())))
+    assert [int(x) & (2**64 - 1) for x in got] == [w & (2**64 - 1) for w in want]
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(500 + i, 501 + i) for i in range(60)]
