@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from groundwork.functions.dictionaries import CONCEPTS
 from groundwork.operators import evidence as E, index as N, retrieval as V
 from groundwork.operators.containment import contained
+from groundwork.operators.joins import sized
 from groundwork.session import materialize
 
 
@@ -229,6 +231,42 @@ def test_sums_per_query_and_document_move_no_pairs(spark, tmp_path):
     assert found.count() >= 20
 
 
+def test_no_pair_of_query_and_document_is_written(spark, tmp_path, monkeypatch):
+    rows = spark.range(600).selectExpr("id as doc_id", "concat('common usual w', id % 7) as case_text", "'' as target", "'s' as source", "'t' as task")
+    index = N.write_index(rows, str(tmp_path / "index"), bits=8)
+    queries = spark.createDataFrame([(q, ["common", "usual", "text", f"w{q % 7}"]) for q in range(30)], "query_id long, terms array<string>")
+    written = {}
+    keep = lambda df, name: written.setdefault(name, materialize(df, name))
+    monkeypatch.setattr(N, "materialize", keep)
+    got = {(r["query"], r["doc"]) for r in N.bm25_topk(index, queries, 2).collect()}
+    assert got == {(q, d) for q in range(30) for d in (q % 7, q % 7 + 7)}
+    assert max(df.count() for df in written.values()) <= 30 * 4  # the pairs were 18,000
+
+
+def test_points_are_rounded_as_a_cast_rounds(spark):
+    rng = np.random.default_rng(3)
+    parts = np.concatenate([rng.random(2000) * 40, np.round(rng.random(2000) * 40, 9) + 5e-10, [0.0, 5e-10, 1e-12]])
+    rows = spark.createDataFrame(list(enumerate(parts.tolist())), "i long, part double")
+    want = [int(r[0]) for r in rows.orderBy("i").selectExpr("cast(part as decimal(38,9)) * 1000000000").collect()]
+    assert N._billionths(parts).tolist() == want
+
+
+def test_places_do_not_run_from_field_to_field(spark, tmp_path):
+    rows = [(7, "a b a", "b c", "", ""), (7, "c a", "", "", ""), (9, "", "a b", "c", "")]
+    index = stored(spark, tmp_path, spark.createDataFrame(rows, "doc_id long, case_text string, target string, source string, task string"))
+    got = {(r["term"], d): t for r in index.table("postings").collect() for d, t in zip(r["docs"], r["tfs"])}
+    assert got == {("a", 7): 3, ("b", 7): 2, ("c", 7): 2, ("a", 9): 1, ("b", 9): 1, ("c", 9): 1}
+    units = N.query_units(spark.createDataFrame([(1, ["a b", "b c", "a c", "b a", "b a b", "c a"])], "query_id long, terms array<string>"))
+    found = {(r["phrase"], r["doc"]): r["tf"] for r in N.phrase_postings(index, units).collect()}
+    assert found == {("a b", 7): 1, ("b c", 7): 1, ("b a", 7): 1, ("c a", 7): 1, ("a b", 9): 1}
+
+
+def test_large_tables_in_small_files_are_not_broadcast(spark):
+    many = materialize(spark.range(3000).selectExpr("id", "0 as x"), "many")
+    plan = lambda few: spark.range(9).join(sized(many, few), "id")._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" in plan(3000) and "Broadcast" not in plan(2999).split("\n")[1] and "SortMergeJoin" in plan(2999)
+
+
 def test_many_phrases_are_found_in_one_pass(spark, tmp_path, monkeypatch):
     rng = random.Random(5)
     texts = {i: " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 12))) for i in range(60)}
