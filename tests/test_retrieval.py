@@ -112,6 +112,18 @@ def test_next_concept(spark):
     assert skipped["concept"] == "sleep"
 
 
+def test_concepts_of_a_case_are_sought_once(spark, monkeypatch):
+    found = spark.createDataFrame([(q, d) for q in range(40) for d in ((1, 2) if q % 2 else (2, 3))], "query long, doc long")
+    cases = spark.createDataFrame([(1, "头痛 dizziness"), (2, "dizziness"), (3, "mất ngủ")], "doc long, case_text string")
+    q = spark.createDataFrame([(i, "none" if i % 3 else "chóng mặt") for i in range(41)], "query_id long, text string")
+    written = {}
+    monkeypatch.setattr(V, "materialize", lambda df, name: written.setdefault(name, materialize(df, name)))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    once = rows(V.next_concept(found, q, CONCEPTS, cases=cases))
+    assert once == rows(V.next_concept(found.join(cases, "doc"), q, CONCEPTS)) and len(once) == 41
+    assert written["held"].count() == 3  # not the 80 hits
+
+
 def test_contained_against_a_plain_search(spark):
     rng = random.Random(6)
     texts = ["lưỡi đỏ nhạt", "ab", "qc", "", " lead  two ", "x" * 500 + "needle" + "y" * 300, "a b c d", "tail \n next", None, "日本語のテキスト" * 40]
