@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundwork.session import materialize
@@ -24,12 +26,15 @@ GROUP_LIMIT = 256
 @dataclass(frozen=True)
 class Leaves:
     """``small``: rows of groups that are compared whole; ``dense``: rows of groups that stay
-    crowded. Columns: _gid, _skip (the pieces before the key's, level by level) and those of
-    the input but the digits. ``words``: longs per value."""
+    crowded. Columns: _gid, _skip (which piece was the key, a letter per level) and those of the
+    input but the digits. ``words``: longs per value; ``digits``: its hex digits; ``parts``:
+    pieces of a level."""
 
     small: DataFrame
     dense: DataFrame
     words: int
+    digits: int
+    parts: int
 
 
 def bits_apart(a: Column, b: Column, words: int) -> Column:
@@ -43,54 +48,100 @@ def words_of(value: Column, digits: int) -> Column:
     return F.array(*[F.conv(F.substring(value, at + 1, min(16, digits - at)), 16, -10).cast("bigint") for at in range(0, digits, 16)])
 
 
+def _cut(n, i, parts: int):
+    return F.floor(n * i / parts).cast("int")
+
+
+def _nibbles(values: np.ndarray, digits: int) -> np.ndarray:
+    """A row of hex digits for every row of longs."""
+    octets = values.astype(">i8").view(np.uint8).reshape(len(values), -1)
+    whole = np.stack([octets >> 4, octets & 15], axis=2).reshape(len(values), values.shape[1], 16)
+    return np.concatenate([whole[:, i, 16 - min(16, digits - 16 * i) :] for i in range(values.shape[1])], axis=1)
+
+
+def _path(skip: str, digits: int, parts: int) -> tuple[list[int], list[list[int]]]:
+    """The places of the digits outside a key, and those of every piece before its own."""
+    left, earlier = list(range(digits)), []
+    for letter in skip:
+        i, cuts = ord(letter) - 65, [len(left) * j // parts for j in range(parts + 1)]
+        earlier += [left[cuts[j] : cuts[j + 1]] for j in range(i)]
+        left = left[: cuts[i]] + left[cuts[i + 1] :]
+    return left, earlier
+
+
+def _outside(words: Column, skip: Column, width: int, digits: int, parts: int) -> Column:
+    """The hex digits outside the key of a row, told from its longs and the path of its key."""
+
+    @F.arrow_udf("string")
+    def outside(words: pa.Array, skip: pa.Array) -> pa.Array:
+        shown = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)[_nibbles(words.flatten().to_numpy().reshape(-1, width), digits)]
+        paths, rows, out = skip.dictionary_encode(), np.arange(len(skip)), np.empty(len(skip), dtype=object)
+        for n, path in enumerate(paths.dictionary.to_pylist()):
+            some, left = rows[paths.indices.to_numpy() == n], _path(path, digits, parts)[0]
+            out[some] = np.ascontiguousarray(shown[some][:, left]).view(f"S{len(left)}").ravel().astype(str) if left else ""
+        return pa.array(out, pa.string())
+
+    return outside.asNondeterministic()(words, skip)
+
+
 def refine(rows: DataFrame, value: str, distance: int, scope: list[str] = (), limit: int = GROUP_LIMIT) -> Leaves:
     """Key groups of ``rows`` by the hex string ``value`` (one length for all rows), inside
     equal ``scope`` columns. Every level counts its groups and writes its rows once; groups
-    of one row leave at once."""
+    of one row leave at once. A row moves with its longs and the places of its keys: the digits
+    outside them are told from these when they are needed."""
     parts = distance + 1
     start = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in scope]) if scope else F.lit("")
-    kept = [c for c in rows.columns if c != value]  # pairs are compared by their words: the digits are not carried along
-    level = rows.withColumns({"_gid": start, "_rest": F.col(value), "_skip": F.array().cast("array<string>")}).drop(value)
-    level = level.withColumns({"_up": F.lit(None).cast("bigint"), "_slow": F.lit(0)})
-    small, dense, words = [], [], None
+    kept = [c for c in rows.columns if c != value]
+    level = rows.filter(F.col(value).isNotNull()).withColumns({"_gid": start, "_skip": F.lit(""), "_rest": F.lower(value), "_digits": F.length(value).cast("smallint")}).drop(value)
+    level = level.withColumns({"_up": F.lit(None).cast("bigint"), "_slow": F.lit(0).cast("tinyint"), "_left": F.col("_digits")})
+    carried = [*kept, "_digits", "_up", "_slow"]
+    small, dense, words, digits, levels = [], [], None, 0, 0
     while True:
-        cut = lambda i: F.floor(F.length("_rest") * i / parts).cast("int")
-        pieces = F.array(*[F.expr("_rest").substr(cut(i) + 1, cut(i + 1) - cut(i)) for i in range(parts)])
-        keyed = level.select("*", F.posexplode(pieces).alias("_i", "_key"))
-        # pieces are marked with their place, so that two rows share one if their lists overlap
-        passed = [F.when(F.col("_i") > i, F.concat(F.lit(f"{len(small)}.{i}:"), F.expr("_rest").substr(cut(i) + 1, cut(i + 1) - cut(i)))) for i in range(parts - 1)]
-        level = keyed.select(
-            *kept,
-            "_up",
-            "_slow",
-            F.concat_ws("\u0001", "_gid", "_i", "_key").alias("_gid"),
-            F.concat(F.substring("_rest", F.lit(1), cut(F.col("_i"))), F.expr("_rest").substr(cut(F.col("_i") + 1) + 1, F.length("_rest"))).alias("_rest"),
-            F.concat("_skip", F.array_compact(F.array(*passed).cast("array<string>"))).alias("_skip"),
-        )
+        at = lambda i: _cut(F.length("_rest"), i, parts)
+        pieces = F.array(*[F.expr("_rest").substr(at(i) + 1, at(i + 1) - at(i)) for i in range(parts)])
+        keyed = level.select(*carried, "_left", "_gid", "_skip", F.posexplode(pieces).alias("_i", "_key"))
+        gid, skip = F.concat_ws("\u0001", "_gid", "_i", "_key"), F.concat("_skip", F.char(F.col("_i") + 65))
+        level = keyed.select(*carried, (F.col("_left") - F.length("_key")).cast("smallint").alias("_left"), gid.alias("_gid"), skip.alias("_skip"))
         counts = level.groupBy("_gid").agg(F.count("*").alias("_n")).filter("_n > 1")
         level = materialize(level.join(counts, "_gid"), "refined")
         if words is None:
-            words = level.agg(F.max(F.size("_words"))).first()[0] or 0
-        small.append(level.filter(F.col("_n") <= limit).drop("_n", "_up", "_slow", "_rest"))
+            words, digits = (x or 0 for x in level.agg(F.max(F.size("_words")), F.max("_digits")).first())
+        levels += 1
+        spent = ["_n", "_up", "_slow", "_digits", "_left"]
+        small.append(level.filter(F.col("_n") <= limit).drop(*spent))
         n, up = (F.col(c).cast("double") for c in ("_n", "_up"))
-        crowded = level.filter(F.col("_n") > limit).withColumn("_slow", F.col("_slow") + F.when(n * n * parts > up * up, 1).otherwise(0))
+        slow = (F.col("_slow") + F.when(n * n * parts > up * up, 1).otherwise(0)).cast("tinyint")
+        crowded = level.filter(F.col("_n") > limit).withColumn("_slow", slow)
         if crowded.isEmpty():
             break
-        fine = (F.length("_rest") >= parts) & (F.col("_slow") < 2)
-        dense.append(crowded.filter(~fine).drop("_n", "_up", "_slow", "_rest"))
-        level = crowded.filter(fine).drop("_up").withColumnRenamed("_n", "_up")
+        fine = (F.col("_left") >= parts) & (F.col("_slow") < 2)
+        dense.append(crowded.filter(~fine).drop(*spent))
+        rest = _outside(F.col("_words"), F.col("_skip"), words, digits, parts)
+        level = crowded.filter(fine).drop("_up").withColumnRenamed("_n", "_up").withColumn("_rest", rest)
     whole = small[0]
     for more in small[1:]:
         whole = whole.unionByName(more)
     rest = whole.limit(0)
     for more in dense:
         rest = rest.unionByName(more)
-    return Leaves(whole, rest, words)
+    return Leaves(whole, rest, words, digits, parts)
+
+
+def first_shared(leaves: Leaves) -> Column:
+    """Whether two rows a and b of a group share no earlier piece at any level of its key."""
+    width, digits, parts = max(1, leaves.words), leaves.digits, leaves.parts
 
+    @F.arrow_udf("boolean")
+    def first(a: pa.Array, b: pa.Array, skip: pa.Array) -> pa.Array:
+        apart = _nibbles((a.flatten().to_numpy() ^ b.flatten().to_numpy()).reshape(-1, width), digits) != 0
+        paths, rows, out = skip.dictionary_encode(), np.arange(len(skip)), np.ones(len(skip), dtype=bool)
+        for n, path in enumerate(paths.dictionary.to_pylist()):
+            some = rows[paths.indices.to_numpy() == n]
+            for piece in _path(path, digits, parts)[1]:
+                out[some] &= apart[some][:, piece].any(axis=1)
+        return pa.array(out)
 
-def first_shared(a: str, b: str) -> Column:
-    """Whether two rows of a group share no earlier piece at any level of its key."""
-    return ~F.arrays_overlap(f"{a}._skip", f"{b}._skip")
+    return first(F.col("a._words"), F.col("b._words"), F.col("a._skip"))
 
 
 def tiled_pairs(leaves: Leaves, limit: int = GROUP_LIMIT) -> tuple[DataFrame, list[str]]:
@@ -119,4 +170,5 @@ def pairs_within(leaves: Leaves, keys: Column, distance: int, limit: int = GROUP
     # in a tile of two halves, only pairs across the halves
     across = (F.col("a._lo") == F.col("a._hi")) | (F.col("a._mine") != F.col("b._mine"))
     apart = bits_apart(F.col("a._words"), F.col("b._words"), leaves.words)
-    return a.join(b, same & across).withColumn("_distance", apart).filter((F.col("_distance") <= distance) & first_shared("a", "b"))
+    near = a.join(b, same & across).withColumn("_distance", apart).filter(F.col("_distance") <= distance)
+    return near.filter(first_shared(leaves))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwork.operators import dedup as D, hamming as M
+from groundwork.session import materialize
 
 
 def sequential(rows, limit=3, ratio=0.90):
@@ -219,6 +220,22 @@ def test_refined_rows_do_not_carry_the_digits(spark):
     assert got == {(a, b) for a in range(20) for b in range(a + 1, 20) if bin(a ^ b).count("1") <= 3}
 
 
+def test_keys_of_refined_rows_are_told_from_their_longs(spark, monkeypatch):
+    rng, written = random.Random(11), []
+    monkeypatch.setattr(M, "materialize", lambda df, name: written.append(materialize(df, name)) or written[-1])
+    for digits, distance in ((16, 3), (20, 2), (64, 8)):
+        base = rng.getrandbits(4 * digits)
+        values = [base ^ sum(1 << b for b in {rng.randrange(4 * digits) for _ in range(rng.randrange(1, 5))}) for _ in range(50)]
+        df = spark.createDataFrame([(i, f"{v:0{digits}x}") for i, v in enumerate(values)] + [(99, None)], "ord long, _hex string")
+        leaves = M.refine(df.withColumn("_words", M.words_of(F.col("_hex"), digits)), "_hex", distance, limit=6)
+        got = [tuple(r) for r in M.pairs_within(leaves, F.col("a.ord") < F.col("b.ord"), distance, 6).select("a.ord", "b.ord").collect()]
+        want = [(i, j) for i in range(50) for j in range(i + 1, 50) if (values[i] ^ values[j]).bit_count() <= distance]
+        assert sorted(got) == want
+    # no digits and no lists of pieces are written: a letter per level
+    assert all("_rest" not in df.columns and dict(df.dtypes)["_skip"] == "string" for df in written) and len(written) > 3
+    assert {len(r["_skip"]) for r in written[0].collect()} == {1}
+
+
 def test_simhash_is_computed_without_a_shuffle(spark):
     words = [f"w{i % 977}" for i in range(70_000)]  # more votes than are laid out at a time
     texts = ["", None, "one", "a b c d", " ".join(words), "the quick brown fox", " ".join(words[:9])]
