@@ -236,6 +236,18 @@ def test_keys_of_refined_rows_are_told_from_their_longs(spark, monkeypatch):
     assert {len(r["_skip"]) for r in written[0].collect()} == {1}
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    stored = lambda: {f for f in map(str, files().toString().split(", ")) if "shuffle_" in f}
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    before = stored()
+    counted = materialize(spark.range(5000).selectExpr("id % 700 as k").groupBy("k").count().repartition(3, "k"), "counted")
+    assert not stored() - before and counted.count() == 700
+
+
 def test_simhash_is_computed_without_a_shuffle(spark):
     words = [f"w{i % 977}" for i in range(70_000)]  # more votes than are laid out at a time
     texts = ["", None, "one", "a b c d", " ".join(words), "the quick brown fox", " ".join(words[:9])]
